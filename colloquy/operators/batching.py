@@ -45,16 +45,11 @@ def pad_batches(batches: DataFrame, pad_id=config.PAD_TOKEN_ID, ignore_index: in
     ``attention_len`` keeps the real length, so a pad id that equals a real token id never
     confuses real and padded cells.  ``pad_id`` may be an int or a column.
     """
-    pad = F.lit(pad_id) if isinstance(pad_id, int) else pad_id
-    w = Window.partitionBy("epoch", "batch_idx")
-    n = F.size(F.col(input_col))
-    return (batches.withColumn("attention_len", n.cast("bigint"))
-                   .withColumn("padded_len", F.max(n).over(w).cast("bigint"))
-                   .withColumn(input_col, F.concat(F.col(input_col),
-                                                   F.array_repeat(pad.cast("int"), (F.col("padded_len") - n).cast("int"))))
-                   .withColumn(label_col, F.concat(F.col(label_col),
-                                                   F.array_repeat(F.lit(ignore_index).cast("int"),
-                                                                  (F.col("padded_len") - n).cast("int")))))
+    pad = F.lit(pad_id) if isinstance(pad_id, int) else pad_id  # int or (scalar) column
+    d = batch_max_len(batches, input_col)
+    fill = (F.col("padded_len") - F.col("attention_len")).cast("int")
+    return (d.withColumn(input_col, F.concat(F.col(input_col), F.array_repeat(pad.cast("int"), fill)))
+             .withColumn(label_col, F.concat(F.col(label_col), F.array_repeat(F.lit(ignore_index).cast("int"), fill))))
 
 
 def batch_max_len(batches: DataFrame, input_col: str = "input_ids") -> DataFrame:

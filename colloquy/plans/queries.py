@@ -1,21 +1,36 @@
 """Registered queries: one per operator key of the inventory; each is (spark, sf_dir) -> DataFrame.
 
 Every query reads the driver's tables (or data Spark derives from them) in full.
-Integer outputs are BIGINT, doubles are rounded, arrays are joined to strings so the
-DuckDB oracle in ``oracle.py`` can be compared value by value.
+Integer outputs are BIGINT, doubles are rounded, arrays are joined to strings or hashed
+so the DuckDB oracle in ``oracle.py`` can be compared value by value.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.operators import batching
-from colloquy.plans import training
+from colloquy.functions.text import count_char, join_ints
+from colloquy.operators import batching, convlog, qa, render, rollout, scoring, sequence, steps, tokens
+from colloquy.plans import standins, training
 from colloquy.plans.tables import table
+from colloquy.session import checkpoint_dir
+from colloquy.sources import jsonl, metrics
 
 REGISTRY: dict = {}
 
+SEP = "\u001f"  # joins surface tokens before hashing (never produced by the tokenizer's input here)
+# Stand-in event intervals (optimizer steps) scaled to the test tables; the reference's
+# defaults (100 / 5000 / 500) are the operator defaults in ``config``.
+LOG_EVERY, SAVE_EVERY, TEST_EVERY = 5, 20, 10
+LAZY_MIN_TOKENS = 200          # K9 stand-in minimum so that some rows are "too short"
+DECAY_PER_SECOND = 1.0 / 3600.0
+FIR_WEIGHTS, FIR_BIAS = (0.1, 0.2, 0.3, 0.4), 0.5
+ROLLOUT_STEPS = 3
+
 
 def query(name):
     def deco(fn):
@@ -24,9 +39,433 @@ def query(name):
     return deco
 
 
+def _conv(spark, sf):
+    return table(spark, sf, "conversations")
+
+
+def _r(c, n=9):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def _hash_tokens(c):
+    return F.md5(F.array_join(F.col(c), SEP))
+
+
+# --- S1-S3 ------------------------------------------------------------------------------
+
+@query("jsonl_validate")
+def q_jsonl_validate(spark, sf):
+    c = jsonl.classify_lines(standins.jsonl_lines(_conv(spark, sf)))
+    return jsonl.reason_counts(c)
+
+
+# --- P1-P11, U1-U2, A1 --------------------------------------------------------------------
+
+def _flat_out(df):
+    return df.select("row_key", "branch", "pos1", "pos2", F.col("context")[0].alias("context"), "response")
+
+
+def _flat(spark, sf):
+    conv = _conv(spark, sf)
+    return {
+        "ambig": qa.qa_ambig(standins.ambig_source(conv)),
+        "wiki": qa.qa_wiki(standins.wiki_source(table(spark, sf, "documents"), table(spark, sf, "labels"))),
+        "truthful": qa.qa_truthful(standins.truthful_source(conv)),
+        "squad": qa.qa_first_answer(standins.squad_source(conv), on_empty="drop"),
+        "instruct": qa.qa_instruct(standins.instruct_source(conv)),
+    }
+
+
+@query("qa_ambig")
+def q_qa_ambig(spark, sf):
+    return _flat_out(qa.qa_ambig(standins.ambig_source(_conv(spark, sf))))
+
+
+@query("qa_wiki")
+def q_qa_wiki(spark, sf):
+    return _flat_out(qa.qa_wiki(standins.wiki_source(table(spark, sf, "documents"), table(spark, sf, "labels"))))
+
+
+@query("qa_truthful")
+def q_qa_truthful(spark, sf):
+    return _flat_out(qa.qa_truthful(standins.truthful_source(_conv(spark, sf))))
+
+
+@query("qa_first_answer")
+def q_qa_first_answer(spark, sf):
+    return _flat_out(qa.qa_first_answer(standins.squad_source(_conv(spark, sf)), on_empty="drop"))
+
+
+@query("qa_instruct")
+def q_qa_instruct(spark, sf):
+    return _flat_out(qa.qa_instruct(standins.instruct_source(_conv(spark, sf))))
+
+
+@query("qa_union")
+def q_qa_union(spark, sf):
+    u = qa.union_sources(_flat(spark, sf))
+    return u.select("source", "source_ord", "row_key", "branch", "pos1", "pos2",
+                    F.col("context")[0].alias("context"), "response")
+
+
+@query("source_counts")
+def q_source_counts(spark, sf):
+    return qa.source_counts(qa.union_sources(_flat(spark, sf))).select(
+        "source", "source_ord", F.col("n").cast("bigint").alias("n"), F.col("running").cast("bigint").alias("running"))
+
+
+# --- P12, P13 ------------------------------------------------------------------------------
+
+@query("conv_examples")
+def q_conv_examples(spark, sf):
+    ex = render.conversation_examples(_conv(spark, sf))
+    return ex.select("conv_id", "turn", F.size("context").cast("bigint").alias("n_ctx"),
+                     F.array_join("context", "\n").alias("context_text"), "response")
+
+
+@query("render_text")
+def q_render_text(spark, sf):
+    ex = render.render_text(render.conversation_examples(_conv(spark, sf)))
+    return ex.select("conv_id", "turn", "full_text", F.char_length("full_text").cast("bigint").alias("n_chars"))
+
+
+# --- K1-K10 ---------------------------------------------------------------------------------
+
+@query("tokenize")
+def q_tokenize(spark, sf):
+    d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", F.size("tokens").cast("bigint").alias("n_tok"),
+                    (F.array_join("tokens", "") == F.col("text")).alias("lossless"))
+
+
+def _doc_vocab(spark, sf):
+    d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d, tokens.build_vocab(d)
+
+
+@query("vocab")
+def q_vocab(spark, sf):
+    _, v = _doc_vocab(spark, sf)
+    return v.select("token", F.col("token_id").cast("bigint").alias("token_id"), F.col("freq").cast("bigint").alias("freq"))
+
+
+@query("shift_pairs")
+def q_shift_pairs(spark, sf):
+    ex = training.training_examples(_conv(spark, sf))
+    return ex.select("conv_id", "turn", "n_full", F.size("input_ids").cast("bigint").alias("n"),
+                     _hash_tokens("input_ids").alias("input_md5"), _hash_tokens("labels").alias("labels_md5"))
+
+
+def _tokenized_examples(conv, max_seq_len=config.TRAIN_MAX_SEQ_LEN):
+    ex = render.render_text(render.conversation_examples(conv))
+    return tokens.truncate(tokens.tokenize(ex, "full_text"), max_seq_len)
+
+
+@query("dataset_sizes")
+def q_dataset_sizes(spark, sf):
+    t = _tokenized_examples(_conv(spark, sf))
+    return t.agg(F.count(F.lit(1)).alias("n_lazy"),
+                 F.sum(F.when(F.size("tokens") >= config.MIN_TOKENS, 1).otherwise(0)).cast("bigint").alias("n_cached"),
+                 F.sum(F.when(F.size("tokens") >= LAZY_MIN_TOKENS, 1).otherwise(0)).cast("bigint").alias("n_cached_min200"))
+
+
+@query("lazy_fill")
+def q_lazy_fill(spark, sf):
+    t = _tokenized_examples(_conv(spark, sf)).withColumn("valid", F.size("tokens") >= LAZY_MIN_TOKENS)
+    f = tokens.lazy_fill(t.select("conv_id", "turn", "valid"), "conv_id", "turn", "valid", ["conv_id", "turn"])
+    return f.select("conv_id", "turn", "src_conv_id", "src_turn")
+
+
+@query("detokenize")
+def q_detokenize(spark, sf):
+    d, v = _doc_vocab(spark, sf)
+    sp = tokens.special_ids(v)
+    ids = tokens.encode(d, v, ["doc_id"], "tokens", "ids")
+    # every sequence ends with <|endoftext|>; decoding skips it
+    ids = ids.withColumn("ids", F.concat("ids", F.array(sp.select("eos_id").scalar())))
+    txt = tokens.detokenize(ids, v, ["doc_id"], "ids", "text", specials=sp)
+    return txt.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# --- B1-B7 ----------------------------------------------------------------------------------
+
+def _ordered(spark, sf):
+    ex = training.training_examples(_conv(spark, sf))
+    return batching.epoch_order(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+
+
+@query("epoch_order")
+def q_epoch_order(spark, sf):
+    return _ordered(spark, sf).select(F.col("epoch").cast("bigint").alias("epoch"), F.col("pos").cast("bigint").alias("pos"),
+                                      "conv_id", "turn")
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf):
+    b = batching.assign_batches(_ordered(spark, sf), config.BATCH_SIZE)
+    return b.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", "slot", "conv_id", "turn")
+
+
+def _example_vocab(ex):
+    return tokens.build_vocab(ex, "tokens")
+
+
+@query("padded_batches")
+def q_padded_batches(spark, sf):
+    ex = training.training_examples(_conv(spark, sf))
+    v = _example_vocab(ex)
+    sp = tokens.special_ids(v)
+    ids = tokens.encode(ex, v, ["conv_id", "turn"], "tokens", "ids")
+    ids = ids.select("conv_id", "turn", F.slice("ids", 1, F.size("ids") - 1).alias("input_ids"),
+                     F.slice("ids", 2, F.size("ids") - 1).alias("labels"))
+    ordered = batching.epoch_order(ids, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+    b = batching.assign_batches(ordered, config.BATCH_SIZE)
+    p = batching.pad_batches(b, sp.select("pad_id").scalar())
+    return p.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", "slot", "attention_len", "padded_len",
+                    join_ints("input_ids").alias("input_ids"), join_ints("labels").alias("labels"))
+
+
 @query("batch_stats")
-def q_batch_stats(spark, sf_dir):
-    b = training.training_batches(table(spark, sf_dir, "conversations"))
+def q_batch_stats(spark, sf):
+    b = training.training_batches(_conv(spark, sf))
     return batching.batch_stats(b).select(
         F.col("epoch").cast("bigint").alias("epoch"), "n_batches", F.col("n_rows").cast("bigint").alias("n_rows"),
         "padded_cells", "real_cells")
+
+
+# --- A2, T1-T4, A3-A5, N1 -----------------------------------------------------------------------
+
+def _batches(spark, sf):
+    return training.training_batches(_conv(spark, sf))
+
+
+@query("run_plan")
+def q_run_plan(spark, sf):
+    return steps.run_plan(training.training_examples(_conv(spark, sf)))
+
+
+@query("step_map")
+def q_step_map(spark, sf):
+    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
+    # -1 marks "never applied" (NULL in the operator) so both engines type the column BIGINT
+    return sm.withColumn("consumed_by_step", F.coalesce("consumed_by_step", F.lit(-1).cast("bigint")))
+
+
+def _updates(spark, sf):
+    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
+    return sm.filter("is_update").select(F.col("step_after").alias("step"))
+
+
+@query("step_events")
+def q_step_events(spark, sf):
+    return steps.step_events(_updates(spark, sf), LOG_EVERY, SAVE_EVERY, TEST_EVERY)
+
+
+def _total_steps(spark, sf):
+    return steps.run_plan(training.training_examples(_conv(spark, sf))).select("total_steps")
+
+
+@query("lr_plan")
+def q_lr_plan(spark, sf):
+    u = _updates(spark, sf)
+    return u.select("step", _r(steps.lr_at("step", _total_steps(spark, sf).scalar()), 12).alias("lr"))
+
+
+@query("next_token")
+def q_next_token(spark, sf):
+    ex = training.training_examples(_conv(spark, sf))
+    return scoring.next_token_counts(ex).select("ctx", "token", F.col("n").cast("bigint").alias("n"))
+
+
+def _batch_loss(spark, sf):
+    conv = _conv(spark, sf)
+    ex = training.training_examples(conv)
+    counts = scoring.next_token_counts(ex)
+    b = batching.assign_batches(batching.epoch_order(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS))
+    return scoring.batch_loss(b, counts)
+
+
+@query("batch_loss")
+def q_batch_loss(spark, sf):
+    bl = _batch_loss(spark, sf)
+    return bl.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", _r("loss").alias("loss"),
+                     _r("scaled_loss").alias("scaled_loss"), "n_positions")
+
+
+@query("epoch_loss")
+def q_epoch_loss(spark, sf):
+    el = steps.epoch_loss(_batch_loss(spark, sf))
+    return el.select(F.col("epoch").cast("bigint").alias("epoch"), _r("epoch_loss").alias("epoch_loss"),
+                     F.col("n_batches").cast("bigint").alias("n_batches"))
+
+
+def _metrics(spark, sf):
+    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
+    return steps.metrics_log(sm, _batch_loss(spark, sf), total_steps=_total_steps(spark, sf).scalar(),
+                             log_interval=LOG_EVERY)
+
+
+@query("metrics_log")
+def q_metrics_log(spark, sf):
+    m = _metrics(spark, sf)
+    return m.select("step", F.col("epoch").cast("bigint").alias("epoch"), "batch_idx",
+                    _r("train_loss").alias("train_loss"), _r("lr", 12).alias("lr"), "mem_gb")
+
+
+@query("metrics_rows")
+def q_metrics_rows(spark, sf):
+    """S10 round trip: logged metrics written as JSON rows to the shared checkpoint folder, read back."""
+    path = os.path.join(checkpoint_dir(spark), f"metrics-{uuid.uuid4().hex}")
+    metrics.write_metrics_rows(_metrics(spark, sf), path)
+    r = metrics.read_metrics_rows(spark, path)
+    return r.select("step", _r("train_loss").alias("train_loss"), _r("lr", 12).alias("lr"), "mem_gb")
+
+
+# --- G1-G7, G9 ----------------------------------------------------------------------------------
+
+def _counts(spark, sf):
+    return scoring.next_token_counts(training.training_examples(_conv(spark, sf)))
+
+
+@query("softmax")
+def q_softmax(spark, sf):
+    s = scoring.softmax(scoring.temperature(scoring.count_scores(_counts(spark, sf)), config.TEMPERATURE))
+    return s.select("ctx", "token", _r("p").alias("p"))
+
+
+@query("topk_filter")
+def q_topk_filter(spark, sf):
+    s = scoring.top_k(scoring.temperature(scoring.count_scores(_counts(spark, sf)), config.TEMPERATURE), config.TOP_K)
+    return s.select("ctx", "token", F.col("n").cast("bigint").alias("n"), _r("logit").alias("logit"))
+
+
+@query("topp_filter")
+def q_topp_filter(spark, sf):
+    s = scoring.decode_filters(_counts(spark, sf), config.TEMPERATURE, config.TOP_K, config.TOP_P)
+    return s.select("ctx", "token", _r("p").alias("p"))
+
+
+@query("sample_token")
+def q_sample_token(spark, sf):
+    s = scoring.sample(scoring.decode_filters(_counts(spark, sf)), seed=config.SEED, step=0)
+    return s.select("ctx", "token")
+
+
+@query("tail_context")
+def q_tail_context(spark, sf):
+    ex = tokens.tokenize(render.render_text(render.conversation_examples(_conv(spark, sf))), "full_text")
+    t = scoring.tail_context(ex, config.TRAIN_MAX_SEQ_LEN, "tokens", "ctx_tokens")
+    return t.select("conv_id", "turn", F.size("ctx_tokens").cast("bigint").alias("n_tail"),
+                    _hash_tokens("ctx_tokens").alias("tail_md5"))
+
+
+@query("stop_cut")
+def q_stop_cut(spark, sf):
+    conv = _conv(spark, sf).filter(F.col("role") == "assistant")
+    g = tokens.tokenize(conv.select("conv_id", "turn", "text"), "text", "gen_tokens")
+    s = scoring.stop_cut(g, ["conv_id", "turn"])
+    return s.select("conv_id", "turn", "n_kept", "stop_reason", F.md5("kept_text").alias("kept_md5"))
+
+
+@query("strip_prompt")
+def q_strip_prompt(spark, sf):
+    ex = render.render_text(render.conversation_examples(_conv(spark, sf)))
+    ex = ex.withColumn("prompt", F.concat(F.array_join("context", "\n"), F.lit("\n")))
+    return scoring.strip_prompt(ex).select("conv_id", "turn", "reply")
+
+
+@query("rollout")
+def q_rollout(spark, sf):
+    conv = _conv(spark, sf)
+    first_user = (conv.filter(F.col("role") == "user").groupBy("conv_id")
+                      .agg(F.min(F.struct("turn", "text")).alias("f"))
+                      .select(F.col("conv_id").alias("prompt_id"),
+                              F.concat(F.lit(config.USER_PREFIX), F.col("f.text"), F.lit(config.PROMPT_SUFFIX)).alias("prompt")))
+    prompts = tokens.tokenize(first_user, "prompt")
+    return rollout.rollout(prompts, _counts(spark, sf), steps=ROLLOUT_STEPS)
+
+
+# --- C1-C8 ----------------------------------------------------------------------------------------
+
+def _log(spark, sf):
+    return standins.chat_input_log(table(spark, sf, "events"))
+
+
+@query("clean_inputs")
+def q_clean_inputs(spark, sf):
+    return convlog.clean_inputs(_log(spark, sf)).select("conv_id", "turn", "clean")
+
+
+@query("classify_inputs")
+def q_classify_inputs(spark, sf):
+    c = convlog.classify_inputs(convlog.clean_inputs(_log(spark, sf)))
+    return c.select("conv_id", "turn", "kind", "verb", "temp_value", F.col("tokens_value").cast("double").alias("tokens_value"))
+
+
+def _cut(spark, sf):
+    return convlog.cut_after_quit(convlog.classify_inputs(convlog.clean_inputs(_log(spark, sf))))
+
+
+@query("cut_after_quit")
+def q_cut_after_quit(spark, sf):
+    return _cut(spark, sf).select("conv_id", "turn", "kind")
+
+
+@query("segments")
+def q_segments(spark, sf):
+    return convlog.segments(_cut(spark, sf)).select("conv_id", "turn", "kind", "segment_id")
+
+
+@query("carry_settings")
+def q_carry_settings(spark, sf):
+    d = convlog.carry_settings(convlog.segments(_cut(spark, sf)))
+    return d.select("conv_id", "turn", "kind", "temperature", "max_tokens")
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf):
+    d = convlog.build_prompts(convlog.process_log(_log(spark, sf)))
+    return d.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
+
+
+@query("extract_reply")
+def q_extract_reply(spark, sf):
+    ex = render.render_text(render.conversation_examples(_conv(spark, sf)))
+    ex = ex.withColumn("prompt", F.concat(F.array_join("context", "\n"), F.lit(config.PROMPT_SUFFIX)))
+    return convlog.extract_reply(ex, "full_text", "prompt").select("conv_id", "turn", "reply")
+
+
+# --- M1-M4 ----------------------------------------------------------------------------------------
+
+@query("embed_lookup")
+def q_embed_lookup(spark, sf):
+    ex = training.training_examples(_conv(spark, sf))
+    v = _example_vocab(ex)
+    pos = ex.select("conv_id", "turn", F.posexplode("input_ids").alias("pos", "token"))
+    pos = pos.join(v.select("token", "token_id"), "token")
+    e = sequence.embed_lookup(pos, table(spark, sf, "embeddings"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"),
+                    F.col("token_id").cast("bigint").alias("token_id"), _r(norm, 6).alias("norm"))
+
+
+@query("vector_standardize")
+def q_vector_standardize(spark, sf):
+    z = sequence.standardize(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    ss = F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)
+    return z.select("vec_id", _r(F.get("z", 0), 6).alias("z_first"), _r(F.element_at("z", -1), 6).alias("z_last"),
+                    _r(ss, 6).alias("z_sumsq"))
+
+
+@query("causal_fir")
+def q_causal_fir(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    y = sequence.causal_fir(ev, FIR_WEIGHTS, FIR_BIAS)
+    return y.select("event_id", "user_id", _r("y", 6).alias("y"))
+
+
+@query("decayed_state")
+def q_decayed_state(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    s = sequence.decayed_state(ev, DECAY_PER_SECOND)
+    return s.select("event_id", "user_id", _r("state", 6).alias("state"))
