@@ -25,7 +25,9 @@ def global_positions(df: DataFrame, bucket, order_cols, pos_col: str = "pos",
     which broadcasts it only after measuring it.
     """
     part = list(partition_cols)
-    d = df.withColumn("_bkt", bucket)
+    # one exchange on (partition, bucket) feeds both the in-bucket numbering and the bucket
+    # counts, so the input is evaluated once (the second consumer reuses the shuffle)
+    d = df.withColumn("_bkt", bucket).repartition(*part, "_bkt")
     counts = d.groupBy(*part, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -15,7 +15,8 @@ from colloquy.functions.text import count_char, keyed_uniform
 
 def next_token_counts(pairs: DataFrame, input_col: str = "input_ids", label_col: str = "labels") -> DataFrame:
     """``(ctx, token, n)`` - how often ``token`` follows ``ctx`` (partial + final hash agg)."""
-    z = pairs.select(F.explode(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
+    z = pairs.select(F.explode_outer(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
+    z = z.filter(F.col("z").isNotNull())
     return z.groupBy(F.col("z.ctx").alias("ctx"), F.col("z.token").alias("token")).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -32,7 +33,8 @@ def batch_loss(batches: DataFrame, counts: DataFrame, accumulation: int = config
     ``(batch, ctx, token)`` before the join.  An unseen pair fails the job unless a
     ``smoothing`` probability is given."""
     pos = (batches.select("epoch", "batch_idx",
-                          F.explode(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
+                          F.explode_outer(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
+                  .filter(F.col("z").isNotNull())
                   .groupBy("epoch", "batch_idx", F.col("z.ctx").alias("ctx"), F.col("z.token").alias("token"))
                   .agg(F.count(F.lit(1)).alias("c")))
     tot = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))
@@ -115,7 +117,8 @@ def stop_cut(gen: DataFrame, keys, eos_token: str | None = config.EOS_TOKEN,
     ``gen`` holds one row per sequence with ``col`` = generated surface tokens."""
     keys = list(keys)
     base = F.col(prompt_newlines) if prompt_newlines else F.lit(0)
-    ex = (gen.select(*keys, base.alias("_base"), F.posexplode(F.slice(F.col(col), 1, max_new_tokens)).alias("pos", "tok")))
+    ex = (gen.select(*keys, base.alias("_base"), F.posexplode_outer(F.slice(F.col(col), 1, max_new_tokens)).alias("pos", "tok"))
+             .filter(F.col("pos").isNotNull()))
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ex = ex.withColumn("_nl", F.sum(count_char("tok", "\n")).over(w))
     is_eos = (F.col("tok") == eos_token) if eos_token else F.lit(False)

@@ -45,6 +45,17 @@ def _pretrained_udf(path: str):
 _TOKENIZERS: dict = {}
 
 
+def explode_items(df: DataFrame, col: str, out: str, keys=(), pos: str | None = None) -> DataFrame:
+    """One row per array element.  The ``_outer`` generators keep Catalyst from inferring a
+    ``size(array) > 0`` filter that would evaluate an expensive array expression (the
+    tokenizer regex) a second and third time; the null rows of empty arrays are dropped."""
+    keys = list(keys)
+    if pos:
+        g = df.select(*keys, F.posexplode_outer(F.col(col)).alias(pos, out))
+        return g.filter(F.col(pos).isNotNull())
+    return df.select(*keys, F.explode_outer(F.col(col)).alias(out)).filter(F.col(out).isNotNull())
+
+
 def truncate(df: DataFrame, max_seq_len: int, col: str = "tokens") -> DataFrame:
     """K4: keep the head ``max_seq_len`` tokens."""
     return df.withColumn(col, F.slice(F.col(col), 1, int(max_seq_len)))
@@ -69,7 +80,7 @@ def build_vocab(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     buckets ``(freq, first character)``, which are monotone in the order
     ``(freq desc, token asc)``, so no window ever holds all tokens in one task.
     """
-    counts = (tokens.select(F.explode(F.col(col)).alias("token"))
+    counts = (explode_items(tokens, col, "token")
                     .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     bucket = F.struct((-F.col("freq")).alias("nf"), F.substring("token", 1, 1).alias("c"))
     ranked = global_positions(counts, bucket, [F.desc("freq"), F.asc("token")], pos_col="token_id")
@@ -97,7 +108,7 @@ def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str
     after measuring it and splits skewed token partitions otherwise).  Each key group holds
     one sequence, so the re-assembly is bounded by the sequence length."""
     keys = list(keys)
-    exploded = df.select(*keys, F.posexplode(F.col(col)).alias("_p", "token"))
+    exploded = explode_items(df, col, "token", keys=keys, pos="_p")
     joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
     return (joined.groupBy(*keys)
                   .agg(F.sort_array(F.collect_list(F.struct("_p", "token_id"))).alias("_s"))
@@ -112,7 +123,7 @@ def detokenize(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str
     if specials is not None:
         sp = specials.select(F.col("eos_id").alias("token_id"), F.lit(config.EOS_TOKEN).alias("token"))
         v = v.unionByName(sp.filter(F.col("token_id").isNotNull()))
-    exploded = df.select(*keys, F.posexplode(F.col(col)).alias("_p", "token_id"))
+    exploded = explode_items(df, col, "token_id", keys=keys, pos="_p")
     joined = (exploded.join(v, "token_id", "left")
                       .filter(~F.col("token").isin(*special_tokens) | F.col("token").isNull()))
     assembled = (joined.groupBy(*keys)

@@ -441,7 +441,7 @@ def q_extract_reply(spark, sf):
 def q_embed_lookup(spark, sf):
     ex = training.training_examples(_conv(spark, sf))
     v = _example_vocab(ex)
-    pos = ex.select("conv_id", "turn", F.posexplode("input_ids").alias("pos", "token"))
+    pos = tokens.explode_items(ex, "input_ids", "token", keys=["conv_id", "turn"], pos="pos")
     pos = pos.join(v.select("token", "token_id"), "token")
     e = sequence.embed_lookup(pos, table(spark, sf, "embeddings"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
