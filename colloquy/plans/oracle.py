@@ -420,3 +420,35 @@ rec AS (
   FROM rec r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
 )
 SELECT event_id, user_id, round(h, 6) AS state FROM rec"""
+
+ORACLE["rollout"] = f"""WITH RECURSIVE {EXAMPLES},
+cdf AS (
+  SELECT ctx, token, logit,
+         sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+         row_number() OVER (PARTITION BY ctx ORDER BY logit ASC, token DESC) AS from_end
+  FROM topp
+),
+draw AS (
+  SELECT ctx, token,
+         coalesce(lag(cum) OVER (PARTITION BY ctx ORDER BY logit DESC, token), 0) AS lo,
+         CASE WHEN from_end = 1 THEN 'inf'::DOUBLE ELSE cum END AS hi
+  FROM cdf
+),
+prompts AS (
+  SELECT conv_id AS prompt_id,
+         regexp_extract_all('User: ' || arg_min(text, turn) || chr(10) || 'Assistant:', {PRETOKEN})[-1] AS last
+  FROM conversations WHERE role = 'user' GROUP BY conv_id
+),
+gen(prompt_id, pos, token, nl) AS (
+  SELECT p.prompt_id, 0::BIGINT, d.token, length(d.token) - length(replace(d.token, chr(10), ''))
+  FROM prompts p JOIN draw d ON d.ctx = p.last
+  WHERE ('0x' || substring(md5('42:0:' || p.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 >= d.lo
+    AND ('0x' || substring(md5('42:0:' || p.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < d.hi
+  UNION ALL
+  SELECT g.prompt_id, g.pos + 1, d.token, g.nl + length(d.token) - length(replace(d.token, chr(10), ''))
+  FROM gen g JOIN draw d ON d.ctx = g.token
+  WHERE g.pos + 1 < 3 AND g.nl <= 3 AND g.token <> '<|endoftext|>'
+    AND ('0x' || substring(md5('42:' || (g.pos + 1)::VARCHAR || ':' || g.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 >= d.lo
+    AND ('0x' || substring(md5('42:' || (g.pos + 1)::VARCHAR || ':' || g.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < d.hi
+)
+SELECT prompt_id, pos, token FROM gen"""

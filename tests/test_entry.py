@@ -8,8 +8,8 @@ def test_entry_smoke(spark):
     assert df.count() == 2
 
 
-def test_every_query_has_an_oracle_except_iterative():
-    assert set(E.queries()) - set(E.oracle_sql()) <= {"rollout"}
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def test_rollout_runs(spark):
