@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.ordering import global_positions
+
 
 def role_line(role="role", text="text"):
     """``"User: hi"``: the role, capitalised, as prefix (user -> "User: ", assistant -> "Assistant: ")."""
@@ -27,6 +29,50 @@ def conversation_examples(conv: DataFrame, max_turns: int | None = None,
                 .select(key, order, "context", F.col("_line").alias("response")))
 
 
+def conversation_examples_head(conv: DataFrame, max_lines: int, key="conv_id", order="turn",
+                               chunk_rows: int = 65536, hot_rows: int | None = 1_000_000) -> DataFrame:
+    """P13 for training: the context is cut to the conversation's first ``max_lines`` lines.
+
+    Exact for anything truncated to ``max_seq_len <= max_lines`` tokens afterwards: every
+    line ("Role: text") is at least two tokens, so the first ``max_lines`` lines already hold
+    more than ``max_seq_len`` tokens and later lines never reach the kept head.
+
+    The largest conversation is measured first (one small aggregate).  Up to ``hot_rows``
+    rows a conversation is one window partition whose history buffer keeps at most
+    ``max_lines`` lines.  Beyond it no window sees a whole conversation: line numbers come from
+    the two-phase bucket form (buckets ``turn div chunk_rows`` per conversation), rows inside
+    the head use a window over at most ``max_lines`` rows, and every later assistant row joins
+    the conversation's head (one row per conversation), a hot conversation being spread by
+    AQE's skew-join split.  ``hot_rows=None`` always takes the split path.
+    """
+    L = int(max_lines)
+    lines = conv.withColumn("_line", role_line())
+    if hot_rows is not None:
+        biggest = conv.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= hot_rows:
+            w = Window.partitionBy(key).orderBy(order)
+            hist = F.collect_list(F.when(F.col("_rn") <= L, F.col("_line"))).over(
+                w.rowsBetween(Window.unboundedPreceding, -1))
+            return (lines.withColumn("_rn", F.row_number().over(w))
+                         .withColumn("context", hist)
+                         .filter(F.col("role") == "assistant")
+                         .select(key, order, "context", F.col("_line").alias("response")))
+    num = global_positions(lines, F.floor(F.col(order) / chunk_rows), [order], pos_col="_ln",
+                           partition_cols=[key])
+    head = num.filter(F.col("_ln") < L)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    early = (head.withColumn("context", F.collect_list("_line").over(w))
+                 .filter(F.col("role") == "assistant")
+                 .select(key, order, "context", F.col("_line").alias("response")))
+    head_ctx = (head.groupBy(key)
+                    .agg(F.sort_array(F.collect_list(F.struct(order, "_line"))).alias("_h"))
+                    .select(key, F.transform("_h", lambda s: s["_line"]).alias("context")))
+    late = (num.filter((F.col("_ln") >= L) & (F.col("role") == "assistant"))
+               .join(head_ctx, key)
+               .select(key, order, "context", F.col("_line").alias("response")))
+    return early.unionByName(late)
+
+
 def render_text(df: DataFrame, context="context", response="response", out="full_text") -> DataFrame:
     """``"\\n".join(context) + "\\n" + response`` (an empty context keeps the leading newline)."""
     return df.withColumn(out, F.concat(F.array_join(F.col(context), "\n"), F.lit("\n"), F.col(response)))

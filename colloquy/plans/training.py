@@ -13,9 +13,12 @@ def training_examples(conv: DataFrame, max_seq_len: int = config.TRAIN_MAX_SEQ_L
                       min_tokens: int = config.MIN_TOKENS) -> DataFrame:
     """P13 -> P12 -> K1 -> K4 -> K5 -> K6 on the conversation log.
 
+    The history is bounded to the first ``max_seq_len`` lines, which is exact after the
+    truncation to ``max_seq_len`` tokens (see ``render.conversation_examples_head``).
+
     Output ``(conv_id, turn, n_full, tokens, input_ids, labels)``; arrays are surface tokens.
     """
-    ex = render.conversation_examples(conv.select("conv_id", "turn", "role", "text"))
+    ex = render.conversation_examples_head(conv.select("conv_id", "turn", "role", "text"), max_seq_len)
     ex = render.render_text(ex)
     ex = tokens.tokenize(ex, "full_text")
     ex = ex.withColumn("n_full", F.size("tokens").cast("bigint"))

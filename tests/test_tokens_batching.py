@@ -77,3 +77,17 @@ def test_flagship_numbers_sf0001(spark):
     assert (s.n_batches, s.padded_cells) == (17, 12550)
     ex = training.training_examples(spark.read.parquet(f"{SF001}/conversations.parquet"))
     assert ex.count() == 34 and ex.agg(F.sum(F.size("input_ids"))).first()[0] == 10171
+
+
+def test_head_bounded_examples_exact(spark):
+    """Short limits so that most examples are cut: bounded history == full history after truncation."""
+    from colloquy.operators import render
+    conv = spark.read.parquet(f"{SF001}/conversations.parquet")
+    for L in (3, 6):
+        full = tokens.truncate(tokens.tokenize(render.render_text(render.conversation_examples(conv)), "full_text"), L)
+        a = sorted((r.conv_id, r.turn, tuple(r.tokens)) for r in full.select("conv_id", "turn", "tokens").collect())
+        for hot in (None, 10**6):      # split path and single-window path
+            head = tokens.truncate(tokens.tokenize(render.render_text(
+                render.conversation_examples_head(conv, L, chunk_rows=2, hot_rows=hot)), "full_text"), L)
+            b = sorted((r.conv_id, r.turn, tuple(r.tokens)) for r in head.select("conv_id", "turn", "tokens").collect())
+            assert a == b and len(a) == 34
