@@ -43,3 +43,65 @@ def global_positions(df: DataFrame, bucket, order_cols, pos_col: str = "pos",
              .join(offs, [*part, "_bkt"])
              .withColumn(pos_col, F.col("_rn") - 1 + F.col("_off"))
              .drop("_bkt", "_rn", "_off"))
+
+
+def largest_group(df: DataFrame, key) -> int:
+    """Row count of the biggest ``key`` group (one small aggregate job)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 65536,
+                 hot_rows: int | None = 1_000_000) -> DataFrame:
+    """Running aggregates per ``key`` in ``order`` (rows up to and including the current one).
+
+    ``specs`` = ``[(out, kind, col)]`` with kind ``sum``, ``max`` or ``last`` (last non-null).
+    When the largest group has at most ``hot_rows`` rows this is one window.  Otherwise no
+    window sees a whole group: running values are computed inside chunks
+    ``(key, order div chunk_rows)`` (``order`` is numeric), each chunk's carry-in comes from a
+    window over the chunk summaries of its key (one row per chunk), and the two are combined
+    exactly (sum: add, max: greatest, last: coalesce).
+    """
+    run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def agg(kind, c, w):
+        if kind == "sum":
+            return F.sum(c).over(w)
+        if kind == "max":
+            return F.max(c).over(w)
+        if kind == "last":
+            return F.last(c, ignorenulls=True).over(w)
+        raise ValueError(kind)
+
+    if hot_rows is not None and largest_group(df, key) <= hot_rows:
+        out = df
+        for name, kind, c in specs:
+            out = out.withColumn(name, agg(kind, F.col(c), run))
+        return out
+    d = df.withColumn("_ck", F.floor(F.col(order) / chunk_rows))
+    local = Window.partitionBy(key, "_ck").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summary = []
+    for name, kind, c in specs:
+        d = d.withColumn(f"_loc_{name}", agg(kind, F.col(c), local))
+        if kind == "sum":
+            summary.append(F.sum(c).alias(f"_tot_{name}"))
+        elif kind == "max":
+            summary.append(F.max(c).alias(f"_tot_{name}"))
+        else:
+            summary.append(F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))
+                           ["v"].alias(f"_tot_{name}"))
+    chunks = d.groupBy(key, "_ck").agg(*summary)
+    before = Window.partitionBy(key).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(key, "_ck", *[agg(kind, F.col(f"_tot_{name}"), before).alias(f"_in_{name}")
+                                         for name, kind, _ in specs])
+    out = d.join(chunks, [key, "_ck"], "left")
+    for name, kind, _ in specs:
+        loc, cin = F.col(f"_loc_{name}"), F.col(f"_in_{name}")
+        if kind == "sum":
+            v = F.coalesce(cin, F.lit(0)) + loc
+        elif kind == "max":
+            v = F.when(cin.isNull(), loc).otherwise(F.greatest(cin, loc))
+        else:
+            v = F.coalesce(loc, cin)
+        out = out.withColumn(name, v)
+    return out.drop("_ck", *[f"_loc_{n}" for n, _, _ in specs], *[f"_in_{n}" for n, _, _ in specs])

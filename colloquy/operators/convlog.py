@@ -1,6 +1,8 @@
 """The chat loop's input handling as window jobs over ``(conv_id, turn, raw)`` logs.
 
-All windows share ``partitionBy(conv_id)`` ordered by ``turn`` - one shuffle.
+The running state (quit seen, clears so far, last setting) is a running aggregate per
+conversation: one window normally, a chunked two-phase prefix when a conversation is too
+big for one task (``functions.ordering.running_aggs``).  ``hot_rows`` sets that limit.
 """
 
 from __future__ import annotations
@@ -9,15 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
+from colloquy.functions.ordering import running_aggs
 from colloquy.functions.text import PY_FLOAT_RE, PY_INT_RE, py_split, py_strip
 
 
 
-def _run():
-    """Running frame per conversation (built lazily: a Window needs an active session)."""
-    return Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def clean_inputs(log: DataFrame, raw: str = "raw") -> DataFrame:
     """Python ``strip()``; empty lines are skipped."""
     return log.withColumn("clean", py_strip(raw)).filter(F.col("clean") != "")
@@ -45,22 +43,30 @@ def classify_inputs(clean: DataFrame) -> DataFrame:
                  .withColumn("tokens_value", F.when(F.col("kind") == "tokens", num.cast("decimal(38,0)").cast("bigint"))))
 
 
-def cut_after_quit(classified: DataFrame) -> DataFrame:
+HOT_ROWS = 1_000_000
+
+
+def cut_after_quit(classified: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """C4: the first ``/quit`` ends the session; it and every later row are dropped."""
-    q = F.max(F.when(F.col("kind") == "quit", 1).otherwise(0)).over(_run())
-    return classified.withColumn("_q", q).filter(F.col("_q") == 0).drop("_q")
+    d = classified.withColumn("_isq", F.when(F.col("kind") == "quit", 1).otherwise(0))
+    d = running_aggs(d, "conv_id", "turn", [("_q", "max", "_isq")], hot_rows=hot_rows)
+    return d.filter(F.col("_q") == 0).drop("_q", "_isq")
 
 
-def segments(df: DataFrame) -> DataFrame:
+def segments(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``/clear`` starts a new history segment (running count of clears)."""
-    return df.withColumn("segment_id", F.sum(F.when(F.col("kind") == "clear", 1).otherwise(0)).over(_run()).cast("bigint"))
+    d = df.withColumn("_isc", F.when(F.col("kind") == "clear", 1).otherwise(0))
+    d = running_aggs(d, "conv_id", "turn", [("segment_id", "sum", "_isc")], hot_rows=hot_rows)
+    return d.withColumn("segment_id", F.col("segment_id").cast("bigint")).drop("_isc")
 
 
-def carry_settings(df: DataFrame, temp0: float = config.TEMPERATURE, tokens0: int = config.MAX_NEW_TOKENS) -> DataFrame:
+def carry_settings(df: DataFrame, temp0: float = config.TEMPERATURE, tokens0: int = config.MAX_NEW_TOKENS,
+                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Temperature and max tokens hold until changed (not reset by ``/clear``)."""
-    return (df.withColumn("temperature", F.coalesce(F.last("temp_value", ignorenulls=True).over(_run()), F.lit(temp0)))
-              .withColumn("max_tokens", F.coalesce(F.last("tokens_value", ignorenulls=True).over(_run()),
-                                                   F.lit(tokens0).cast("bigint"))))
+    d = running_aggs(df, "conv_id", "turn", [("_t", "last", "temp_value"), ("_m", "last", "tokens_value")],
+                     hot_rows=hot_rows)
+    return (d.withColumn("temperature", F.coalesce("_t", F.lit(temp0)))
+             .withColumn("max_tokens", F.coalesce("_m", F.lit(tokens0).cast("bigint"))).drop("_t", "_m"))
 
 
 def build_prompts(df: DataFrame) -> DataFrame:
@@ -74,9 +80,10 @@ def build_prompts(df: DataFrame) -> DataFrame:
     return msgs.withColumn("prompt", F.concat(F.array_join(hist, "\n"), F.lit(config.PROMPT_SUFFIX)))
 
 
-def process_log(log: DataFrame) -> DataFrame:
+def process_log(log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """C1 -> C6 in order."""
-    return carry_settings(segments(cut_after_quit(classify_inputs(clean_inputs(log)))))
+    d = cut_after_quit(classify_inputs(clean_inputs(log)), hot_rows)
+    return carry_settings(segments(d, hot_rows), hot_rows=hot_rows)
 
 
 def extract_reply(df: DataFrame, text: str = "generated", prompt: str = "prompt", out: str = "reply") -> DataFrame:

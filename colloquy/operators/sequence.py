@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
+from colloquy.functions.ordering import global_positions, largest_group
 
 # Largest table broadcast without a second thought; bigger ones take the shuffle path.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -48,16 +49,32 @@ def standardize(df: DataFrame, col: str = "embedding", out: str = "z", eps: floa
 
 
 def causal_fir(df: DataFrame, weights, bias: float = 0.0, key: str = "user_id", order=("ts", "event_id"),
-               value: str = "value", out: str = "y") -> DataFrame:
+               value: str = "value", out: str = "y", hot_rows: int | None = 1_000_000,
+               chunk_seconds: float = 3600.0) -> DataFrame:
     """M3: causal depthwise convolution, left zero padding:
-    ``y_t = bias + sum_j w_j * x_{t-(k-1)+j}`` as weighted ``lag`` terms over one window."""
-    w = Window.partitionBy(key).orderBy(*order)
+    ``y_t = bias + sum_j w_j * x_{t-(k-1)+j}``.
+
+    Weighted ``lag`` terms over one window while every key fits a task (``hot_rows``).  Beyond
+    that, events are numbered per key two-phase (hourly buckets of ``order[0]``, a timestamp)
+    and the ``k-1`` earlier values arrive by equi-joins on ``(key, position)``, which spread a
+    hot key over all tasks.
+    """
     k = len(weights)
-    terms = [F.lit(float(wj)) * F.lag(F.col(value), k - 1 - j, 0.0).over(w) for j, wj in enumerate(weights)]
-    y = F.lit(float(bias))
-    for t in terms:
-        y = y + t
-    return df.withColumn(out, y)
+    if hot_rows is not None and largest_group(df, key) <= hot_rows:
+        w = Window.partitionBy(key).orderBy(*order)
+        y = F.lit(float(bias))
+        for j, wj in enumerate(weights):
+            y = y + F.lit(float(wj)) * F.lag(F.col(value), k - 1 - j, 0.0).over(w)
+        return df.withColumn(out, y)
+    bucket = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (chunk_seconds * 1e6))
+    pos = global_positions(df, bucket, list(order), pos_col="_pos", partition_cols=[key])
+    base = pos.select(key, "_pos", F.col(value).alias("_x"))
+    y = F.lit(float(bias)) + F.lit(float(weights[-1])) * F.col(value)
+    for lag in range(1, k):
+        prev = base.select(key, (F.col("_pos") + lag).alias("_pos"), F.col("_x").alias(f"_x{lag}"))
+        pos = pos.join(prev, [key, "_pos"], "left")
+        y = y + F.lit(float(weights[k - 1 - lag])) * F.coalesce(F.col(f"_x{lag}"), F.lit(0.0))
+    return pos.withColumn(out, y).drop("_pos", *[f"_x{lag}" for lag in range(1, k)])
 
 
 def decayed_state(df: DataFrame, lam: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.ordering import global_positions
+
 def neighbours(conv: DataFrame) -> DataFrame:
     _W = Window.partitionBy("conv_id").orderBy("turn")
     return (conv.select("conv_id", "turn", "role", "text")
@@ -101,6 +103,9 @@ def chat_input_log(events: DataFrame) -> DataFrame:
             .when(e == "purchase", F.concat(F.lit("/tokens "), F.floor("value").cast("bigint").cast("string")))
             .when(eid % 7 == 0, F.lit("/clear")).when(eid % 11 == 0, F.lit("/temp"))
             .when(eid % 101 == 0, F.lit("/quit now")).otherwise(F.lit(" ")))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("conv_id"), (F.row_number().over(w) - 1).cast("bigint").alias("turn"),
-                         raw.alias("raw"))
+    # turn = position in (ts, event_id) order per user, numbered two-phase (hourly buckets),
+    # so a user with a third of all events is not one window task
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    d = events.select("user_id", "ts", "event_id", raw.alias("raw"))
+    d = global_positions(d, hour, ["ts", "event_id"], pos_col="turn", partition_cols=["user_id"])
+    return d.select(F.col("user_id").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "raw")

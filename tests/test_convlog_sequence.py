@@ -76,3 +76,25 @@ def test_standardize(spark):
     z = sequence.standardize(df).first().z
     sd = math.sqrt(2 / 3 + 1e-5)
     assert all(math.isclose(a, b) for a, b in zip(z, [-1 / sd, 0, 1 / sd]))
+
+
+def test_chunked_running_state_equals_window(spark):
+    """Hot-conversation path (chunks of 3 rows) gives the single-window result."""
+    from colloquy.functions import ordering
+    log = standins.chat_input_log(spark.read.parquet(f"{SF001}/events.parquet"))
+    plain = convlog.process_log(log).select("conv_id", "turn", "kind", "segment_id", "temperature", "max_tokens")
+    d = convlog.classify_inputs(convlog.clean_inputs(log)).withColumn("_isq", F.when(F.col("kind") == "quit", 1).otherwise(0))
+    d = ordering.running_aggs(d, "conv_id", "turn", [("_q", "max", "_isq")], chunk_rows=3, hot_rows=None)
+    d = d.filter("_q = 0").withColumn("_isc", F.when(F.col("kind") == "clear", 1).otherwise(0))
+    d = ordering.running_aggs(d, "conv_id", "turn", [("segment_id", "sum", "_isc"), ("_t", "last", "temp_value"),
+                                                     ("_m", "last", "tokens_value")], chunk_rows=3, hot_rows=None)
+    d = d.select("conv_id", "turn", "kind", F.col("segment_id").cast("bigint").alias("segment_id"),
+                 F.coalesce("_t", F.lit(0.8)).alias("temperature"), F.coalesce("_m", F.lit(200).cast("bigint")).alias("max_tokens"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, d.collect()))
+
+
+def test_causal_fir_hot_path_equals_window(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("event_id", "user_id", "ts", "value")
+    a = {r.event_id: r.y for r in sequence.causal_fir(ev, [0.1, 0.2, 0.3, 0.4], 0.5).collect()}
+    b = {r.event_id: r.y for r in sequence.causal_fir(ev, [0.1, 0.2, 0.3, 0.4], 0.5, hot_rows=None).collect()}
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
