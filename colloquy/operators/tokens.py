@@ -140,15 +140,19 @@ def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col
         F.sum(F.when(F.size(col) >= int(min_tokens), 1).otherwise(0)).cast("bigint").alias("n_cached"))
 
 
-def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chunk_rows: int = 65536) -> DataFrame:
+def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chunk_rows: int = 65536,
+              keys_per_super: int = 4096) -> DataFrame:
     """K9: a too-short row is replaced by the next valid row in dataset order ``(key, seq)``,
     wrapping to the first valid row at the end.  Fails at action time if no row is valid.
 
-    Two phases, so no window holds the whole dataset: chunks ``(key, seq div chunk_rows)``
-    (monotone in the order, and a hot key is split) are filled inside by a reversed running
-    ``last_value``; each chunk then takes the first valid row of the next chunk that has one,
-    from a window over the chunk table (one row per chunk), and the end wraps to the global
-    first valid row.
+    Three levels, so no window holds more than a chunk, a super-chunk's chunk summaries, or
+    the (tiny) super-chunk table:
+      rows     chunks ``(key, seq div chunk_rows)`` - monotone in the order, a hot key split -
+               filled inside by a reversed running ``last_value`` (linear, no following frame);
+      chunks   each takes the first valid row of the next chunk that has one, inside its
+               super-chunk ``key div keys_per_super`` (``key`` numeric);
+      supers   otherwise the first valid row of the next super-chunk, else the global first
+               valid row (the wrap).
     """
     carry_cols = list(carry_cols)
     payload = F.struct(*[F.col(c) for c in carry_cols])
@@ -158,13 +162,21 @@ def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chu
     d = d.withColumn("_next_in", F.last("_own", ignorenulls=True).over(rev))
     chunks = d.groupBy("_chunk").agg(
         F.min(F.when(F.col(valid_col), F.struct(F.col(seq).alias("_s"), payload.alias("_p")))).alias("_f"))
-    chunks = chunks.select("_chunk", F.col("_f._p").alias("_first"))
-    after = Window.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    chunks = chunks.select(
-        "_chunk",
-        F.coalesce(F.last("_first", ignorenulls=True).over(after),
-                   F.first("_first", ignorenulls=True).over(whole)).alias("_after"))
+    chunks = chunks.select("_chunk", F.col("_f._p").alias("_first"),
+                           F.floor(F.col("_chunk.k") / keys_per_super).alias("_super"))
+    after = Window.partitionBy("_super").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_next_chunk", F.last("_first", ignorenulls=True).over(after))
+    supers = chunks.groupBy("_super").agg(
+        F.min(F.when(F.col("_first").isNotNull(), F.struct(F.col("_chunk").alias("_c"), F.col("_first").alias("_p"))))
+        .alias("_sf")).select("_super", F.col("_sf._p").alias("_sfirst"))
+    s_after = Window.orderBy(F.desc("_super")).rowsBetween(Window.unboundedPreceding, -1)
+    s_whole = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    supers = supers.select("_super",
+                           F.coalesce(F.last("_sfirst", ignorenulls=True).over(s_after),
+                                      F.first("_sfirst", ignorenulls=True).over(s_whole)).alias("_snext"))
+    chunks = chunks.join(supers, "_super").select("_chunk", F.coalesce("_next_chunk", "_snext").alias("_after"))
     filled = d.join(chunks, "_chunk", "left").withColumn(
         "_src", F.coalesce("_next_in", "_after", F.raise_error(F.lit("lazy_fill: no row is long enough"))))
     return filled.select(*df.columns, *[F.col(f"_src.{c}").alias(f"src_{c}") for c in carry_cols])
+
+

@@ -42,6 +42,23 @@ def test_lazy_fill_wraps(spark):
     assert [r.src_turn for r in out] == [0, 3, 3, 3, 0]
 
 
+def test_lazy_fill_levels_against_loop(spark):
+    """Many keys, tiny chunks and super-chunks: every level of the carry is exercised."""
+    import random
+    rnd = random.Random(5)
+    rows = [(k, t, rnd.random() < 0.15) for k in range(40) for t in range(rnd.randint(1, 6))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, valid boolean")
+    got = {(r.conv_id, r.turn): (r.src_conv_id, r.src_turn) for r in
+           tokens.lazy_fill(df, "conv_id", "turn", "valid", ["conv_id", "turn"], chunk_rows=2, keys_per_super=3).collect()}
+    order = sorted((k, t) for k, t, _ in rows)
+    ok = {(k, t) for k, t, v in rows if v}
+    for i, kt in enumerate(order):
+        j = i
+        while order[j % len(order)] not in ok:
+            j += 1
+        assert got[kt] == order[j % len(order)]
+
+
 def test_lazy_fill_no_valid_row_fails(spark):
     df = spark.createDataFrame([(0, 0, False)], "conv_id bigint, turn bigint, valid boolean")
     with pytest.raises(Exception):
