@@ -62,11 +62,22 @@ def top_k(scores: DataFrame, k: int = config.TOP_K, col: str = "logit") -> DataF
     return scores.withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= k).drop("rk")
 
 
-def softmax(scores: DataFrame, col: str = "logit", out: str = "p") -> DataFrame:
-    """``exp(l - max) / sum`` per context."""
-    w = Window.partitionBy("ctx")
-    e = F.exp(F.col(col) - F.max(col).over(w))
-    return scores.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+def softmax(scores: DataFrame, col: str = "logit", out: str = "p", method: str = "aggregate") -> DataFrame:
+    """``exp(l - max) / sum`` per context.
+
+    ``aggregate`` (for full candidate lists): the per-context max and normaliser come from two
+    partial (map-side combined) aggregates joined back on ``ctx``, so a context with millions of
+    candidates is never one task (AQE splits its probe-side rows in the joins).
+    ``window``: two whole-partition windows; right after top-k, where each context holds about
+    k rows and one shuffle is cheaper than two joins."""
+    if method == "window":
+        w = Window.partitionBy("ctx")
+        e = F.exp(F.col(col) - F.max(col).over(w))
+        return scores.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    m = scores.groupBy("ctx").agg(F.max(col).alias("_m"))
+    d = scores.join(m, "ctx").withColumn("_e", F.exp(F.col(col) - F.col("_m")))
+    z = d.groupBy("ctx").agg(F.sum("_e").alias("_z"))
+    return d.join(z, "ctx").withColumn(out, F.col("_e") / F.col("_z")).drop("_m", "_e", "_z")
 
 
 def top_p(probs: DataFrame, p: float = config.TOP_P, col: str = "logit", prob: str = "p") -> DataFrame:
@@ -84,7 +95,8 @@ def top_p(probs: DataFrame, p: float = config.TOP_P, col: str = "logit", prob: s
 def decode_filters(counts: DataFrame, t: float = config.TEMPERATURE, k: int = config.TOP_K,
                    p: float = config.TOP_P) -> DataFrame:
     """G2 -> G3 -> G4 -> G5 on count scores."""
-    return top_p(softmax(top_k(temperature(count_scores(counts), t), k)), p)
+    cut = top_k(temperature(count_scores(counts), t), k)
+    return top_p(softmax(cut, method="window" if k > 0 else "aggregate"), p)
 
 
 def sample(probs: DataFrame, seed: int = config.SEED, step=0, key: str = "ctx",
