@@ -180,3 +180,10 @@ def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chu
     return filled.select(*df.columns, *[F.col(f"_src.{c}").alias(f"src_{c}") for c in carry_cols])
 
 
+
+
+def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """K7: pre-tokenize once and keep the result - write the token table as Parquet and read it
+    back, so later epochs (and a lost executor) never re-tokenize or recompute the lineage."""
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -47,6 +47,13 @@ def _r(c, n=9):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def _once(df):
+    """K7 inside a query: a table used by two branches is checkpointed (reliably, into the
+    cluster's ``spark.checkpoint.dir``) so tokenisation runs once and lineage is cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _hash_tokens(c):
     return F.md5(F.array_join(F.col(c), SEP))
 
@@ -138,8 +145,10 @@ def q_tokenize(spark, sf):
                     (F.array_join("tokens", "") == F.col("text")).alias("lossless"))
 
 
-def _doc_vocab(spark, sf):
+def _doc_vocab(spark, sf, once=False):
     d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    if once:
+        d = _once(d)
     return d, tokens.build_vocab(d)
 
 
@@ -178,7 +187,7 @@ def q_lazy_fill(spark, sf):
 
 @query("detokenize")
 def q_detokenize(spark, sf):
-    d, v = _doc_vocab(spark, sf)
+    d, v = _doc_vocab(spark, sf, once=True)
     sp = tokens.special_ids(v)
     ids = tokens.encode(d, v, ["doc_id"], "tokens", "ids")
     # every sequence ends with <|endoftext|>; decoding skips it
@@ -212,7 +221,7 @@ def _example_vocab(ex):
 
 @query("padded_batches")
 def q_padded_batches(spark, sf):
-    ex = training.training_examples(_conv(spark, sf))
+    ex = _once(training.training_examples(_conv(spark, sf)))
     v = _example_vocab(ex)
     sp = tokens.special_ids(v)
     ids = tokens.encode(ex, v, ["conv_id", "turn"], "tokens", "ids")
@@ -279,7 +288,7 @@ def q_next_token(spark, sf):
 
 def _batch_loss(spark, sf):
     conv = _conv(spark, sf)
-    ex = training.training_examples(conv)
+    ex = _once(training.training_examples(conv))
     counts = scoring.next_token_counts(ex)
     b = batching.assign_batches(batching.epoch_order(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS))
     return scoring.batch_loss(b, counts)
@@ -439,7 +448,7 @@ def q_extract_reply(spark, sf):
 
 @query("embed_lookup")
 def q_embed_lookup(spark, sf):
-    ex = training.training_examples(_conv(spark, sf))
+    ex = _once(training.training_examples(_conv(spark, sf)))
     v = _example_vocab(ex)
     pos = tokens.explode_items(ex, "input_ids", "token", keys=["conv_id", "turn"], pos="pos")
     pos = pos.join(v.select("token", "token_id"), "token")
