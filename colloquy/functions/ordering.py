@@ -52,7 +52,7 @@ def largest_group(df: DataFrame, key) -> int:
 
 
 def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 65536,
-                 hot_rows: int | None = 1_000_000) -> DataFrame:
+                 hot_rows: int | None = 1_000_000, split: bool | None = None) -> DataFrame:
     """Running aggregates per ``key`` in ``order`` (rows up to and including the current one).
 
     ``specs`` = ``[(out, kind, col)]`` with kind ``sum``, ``max`` or ``last`` (last non-null).
@@ -60,7 +60,8 @@ def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 6
     window sees a whole group: running values are computed inside chunks
     ``(key, order div chunk_rows)`` (``order`` is numeric), each chunk's carry-in comes from a
     window over the chunk summaries of its key (one row per chunk), and the two are combined
-    exactly (sum: add, max: greatest, last: coalesce).
+    exactly (sum: add, max: greatest, last: coalesce).  ``split`` given by the caller skips the
+    size check (True: chunked path, False: one window).
     """
     run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -73,7 +74,9 @@ def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 6
             return F.last(c, ignorenulls=True).over(w)
         raise ValueError(kind)
 
-    if hot_rows is not None and largest_group(df, key) <= hot_rows:
+    if split is None:
+        split = hot_rows is None or largest_group(df, key) > hot_rows
+    if not split:
         out = df
         for name, kind, c in specs:
             out = out.withColumn(name, agg(kind, F.col(c), run))

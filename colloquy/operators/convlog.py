@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.ordering import running_aggs
+from colloquy.functions.ordering import largest_group, running_aggs
 from colloquy.functions.text import PY_FLOAT_RE, PY_INT_RE, py_split, py_strip
 
 
@@ -46,25 +46,25 @@ def classify_inputs(clean: DataFrame) -> DataFrame:
 HOT_ROWS = 1_000_000
 
 
-def cut_after_quit(classified: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def cut_after_quit(classified: DataFrame, hot_rows: int | None = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """C4: the first ``/quit`` ends the session; it and every later row are dropped."""
     d = classified.withColumn("_isq", F.when(F.col("kind") == "quit", 1).otherwise(0))
-    d = running_aggs(d, "conv_id", "turn", [("_q", "max", "_isq")], hot_rows=hot_rows)
+    d = running_aggs(d, "conv_id", "turn", [("_q", "max", "_isq")], hot_rows=hot_rows, split=split)
     return d.filter(F.col("_q") == 0).drop("_q", "_isq")
 
 
-def segments(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def segments(df: DataFrame, hot_rows: int | None = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """``/clear`` starts a new history segment (running count of clears)."""
     d = df.withColumn("_isc", F.when(F.col("kind") == "clear", 1).otherwise(0))
-    d = running_aggs(d, "conv_id", "turn", [("segment_id", "sum", "_isc")], hot_rows=hot_rows)
+    d = running_aggs(d, "conv_id", "turn", [("segment_id", "sum", "_isc")], hot_rows=hot_rows, split=split)
     return d.withColumn("segment_id", F.col("segment_id").cast("bigint")).drop("_isc")
 
 
 def carry_settings(df: DataFrame, temp0: float = config.TEMPERATURE, tokens0: int = config.MAX_NEW_TOKENS,
-                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                   hot_rows: int | None = HOT_ROWS, split: bool | None = None) -> DataFrame:
     """Temperature and max tokens hold until changed (not reset by ``/clear``)."""
     d = running_aggs(df, "conv_id", "turn", [("_t", "last", "temp_value"), ("_m", "last", "tokens_value")],
-                     hot_rows=hot_rows)
+                     hot_rows=hot_rows, split=split)
     return (d.withColumn("temperature", F.coalesce("_t", F.lit(temp0)))
              .withColumn("max_tokens", F.coalesce("_m", F.lit(tokens0).cast("bigint"))).drop("_t", "_m"))
 
@@ -81,9 +81,10 @@ def build_prompts(df: DataFrame) -> DataFrame:
 
 
 def process_log(log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """C1 -> C6 in order."""
-    d = cut_after_quit(classify_inputs(clean_inputs(log)), hot_rows)
-    return carry_settings(segments(d, hot_rows), hot_rows=hot_rows)
+    """C1 -> C6 in order; the largest conversation is measured once, on the raw log."""
+    split = hot_rows is None or largest_group(log, "conv_id") > hot_rows
+    d = cut_after_quit(classify_inputs(clean_inputs(log)), split=split)
+    return carry_settings(segments(d, split=split), split=split)
 
 
 def extract_reply(df: DataFrame, text: str = "generated", prompt: str = "prompt", out: str = "reply") -> DataFrame:
