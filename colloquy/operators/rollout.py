@@ -59,3 +59,22 @@ def rollout(prompts: DataFrame, counts: DataFrame, steps: int = 3, t: float = co
             stop = stop | (F.col("token") == eos_token)
         live = nxt.filter(~stop).select("prompt_id", F.col("token").alias("last"), "nl")
     return out
+
+
+def generation_report(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_MAX_TOKENS,
+                      **kw) -> DataFrame:
+    """Run a prompt table ``(prompt_id, prompt)`` and report ``(prompt_id, prompt, generated)``.
+
+    ``generated`` is the decoded continuation only - the prompt is cut by character length as
+    the trainer's sampler does (G9); each prompt's tokens form one bounded group (<= steps).
+    """
+    from colloquy.operators.tokens import tokenize
+    toks = tokenize(prompts, "prompt")
+    gen = rollout(toks.select("prompt_id", "tokens"), counts, steps=steps, **kw)
+    text = (gen.groupBy("prompt_id")
+               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))),
+                                             lambda s: s["token"]), "").alias("_cont")))
+    full = prompts.join(text, "prompt_id", "left").withColumn(
+        "_full", F.concat(F.col("prompt"), F.coalesce(F.col("_cont"), F.lit(""))))
+    return full.select("prompt_id", "prompt",
+                       F.expr("substring(_full, char_length(prompt) + 1)").alias("generated"))

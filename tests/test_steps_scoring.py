@@ -98,3 +98,16 @@ def test_stop_cut_rules(spark):
 def test_strip_prompt_by_chars(spark):
     df = spark.createDataFrame([("héllo world", "héllo")], "full_text string, prompt string")
     assert scoring.strip_prompt(df).first().reply == " world"
+
+
+def test_generation_report_on_test_prompts(spark):
+    from colloquy import config
+    from colloquy.operators.rollout import generation_report
+    from colloquy.plans import training
+    from tests.conftest import SF001
+    counts = scoring.next_token_counts(training.training_examples(spark.read.parquet(f"{SF001}/conversations.parquet")))
+    prompts = spark.createDataFrame(list(enumerate(config.TEST_PROMPTS)), "prompt_id long, prompt string")
+    rep = {r.prompt_id: r for r in generation_report(prompts, counts, steps=5).collect()}
+    assert set(rep) == {0, 1, 2}
+    for r in rep.values():
+        assert r.generated is not None and len(r.generated) > 0     # ':' is a known context
