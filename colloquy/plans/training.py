@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.operators import batching, render, tokens
+from colloquy.session import checkpoint_dir
 
 
 def training_examples(conv: DataFrame, max_seq_len: int = config.TRAIN_MAX_SEQ_LEN,
-                      min_tokens: int = config.MIN_TOKENS) -> DataFrame:
-    """P13 -> P12 -> K1 -> K4 -> K5 -> K6 on the conversation log.
+                      min_tokens: int = config.MIN_TOKENS, materialize: bool = True) -> DataFrame:
+    """P13 -> P12 -> K1 -> K4 -> (K7) -> K5 -> K6 on the conversation log.
 
     The history is bounded to the first ``max_seq_len`` lines, which is exact after the
     truncation to ``max_seq_len`` tokens (see ``render.conversation_examples_head``).
 
+    K7: the truncated token table is materialised with ``checkpoint()`` into the cluster's
+    ``spark.checkpoint.dir`` before K5/K6.  The tokenizer regex then runs exactly once (a K5
+    filter above an un-materialised projection would be pushed below it and re-evaluate the
+    regex), every consumer - vocabulary, counts, ordering, batches - reads the stored table, and
+    a lost executor does not re-tokenize.
+
     Output ``(conv_id, turn, n_full, tokens, input_ids, labels)``; arrays are surface tokens.
     """
     ex = render.conversation_examples_head(conv.select("conv_id", "turn", "role", "text"), max_seq_len)
     ex = render.render_text(ex)
     ex = tokens.tokenize(ex, "full_text")
     ex = ex.withColumn("n_full", F.size("tokens").cast("bigint"))
-    ex = tokens.truncate(ex, max_seq_len)
+    ex = tokens.truncate(ex, max_seq_len).select("conv_id", "turn", "n_full", "tokens")
+    if materialize:
+        checkpoint_dir(ex.sparkSession)
+        ex = ex.checkpoint(eager=True)
     ex = tokens.drop_short(ex, min_tokens)
     ex = tokens.shift_pairs(ex)
     return ex.select("conv_id", "turn", "n_full", "tokens", "input_ids", "labels")
