@@ -122,14 +122,14 @@ def tail_context(df: DataFrame, n: int, col: str = "tokens", out: str = "context
 
 def stop_cut(gen: DataFrame, keys, eos_token: str | None = config.EOS_TOKEN,
              newline_budget: int = config.NEWLINE_BUDGET, max_new_tokens: int = config.MAX_NEW_TOKENS,
-             prompt_newlines: str | None = None, col: str = "gen_tokens") -> DataFrame:
+             col: str = "gen_tokens") -> DataFrame:
     """Cut a generated token sequence at the first eos, or at the token after which the
     decoded text holds more than ``budget`` newlines beyond the prompt's, at most
     ``max_new_tokens``; the stopping token is kept.  Per-sequence windows (bounded groups).
-    ``gen`` holds one row per sequence with ``col`` = generated surface tokens."""
+    ``gen`` holds one row per sequence with ``col`` = the generated surface tokens only (the
+    prompt's own newlines cancel out of the rule)."""
     keys = list(keys)
-    base = F.col(prompt_newlines) if prompt_newlines else F.lit(0)
-    ex = (gen.select(*keys, base.alias("_base"), F.posexplode_outer(F.slice(F.col(col), 1, max_new_tokens)).alias("pos", "tok"))
+    ex = (gen.select(*keys, F.posexplode_outer(F.slice(F.col(col), 1, max_new_tokens)).alias("pos", "tok"))
              .filter(F.col("pos").isNotNull()))
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ex = ex.withColumn("_nl", F.sum(count_char("tok", "\n")).over(w))

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.text import count_char, join_ints
+from colloquy.functions.text import join_ints
 from colloquy.operators import batching, convlog, qa, render, rollout, scoring, sequence, steps, tokens
 from colloquy.plans import standins, training
 from colloquy.plans.tables import table

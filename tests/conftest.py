@@ -17,7 +17,8 @@ def spark():
     from colloquy.session import checkpoint_dir, configure
     s = (SparkSession.builder.master("local[*]").appName("colloquy-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.driver.memory", "4g").getOrCreate())
+         .config("spark.driver.memory", "4g").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+         .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
     if not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
