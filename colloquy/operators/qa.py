@@ -29,10 +29,21 @@ def _assistant(a: Column) -> Column:
 
 
 def first_of(c: Column) -> Column:
-    """First element of a list; a scalar is its own answer (decided by the column type)."""
+    """First element of a list."""
     return F.get(c, 0)
 
 
+def _answers(df: DataFrame, col: str = "alist"):
+    """P3 + P4 for one exploded answer entry, decided by its type at plan time: a list is
+    kept when non-empty (``[""]`` is kept) and answers with its first element; a scalar is its
+    own answer and is kept when truthy (null and ``""`` dropped)."""
+    from pyspark.sql.types import ArrayType
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, ArrayType):
+        return df.filter(c.isNotNull() & (F.size(c) > 0)), first_of(c)
+    return df.filter(c.isNotNull() & (c.cast("string") != "")), c
+
+
 def _emit(df: DataFrame, key, branch: int, pos1, pos2, question, answer) -> DataFrame:
     return df.select(F.col(key).alias("row_key") if isinstance(key, str) else key.alias("row_key"),
                      F.lit(branch).cast("bigint").alias("branch"),
@@ -48,20 +59,19 @@ def qa_ambig(df: DataFrame, key: str = "row_key", drop_null: bool = True) -> Dat
     """P1+P2 (+P3-P5): one row per non-empty answer list of every qaPair (branch 0), then one
     per non-empty direct answer list (branch 1); the answer is the list's first element and the
     question is always the outer one.  ``[""]`` is kept (it is a non-empty list)."""
+    qa_t = df.schema["annotations"].dataType["qaPairs"].dataType
+    ans_t = qa_t.elementType["answer"].dataType
+    direct_t = df.schema["annotations"].dataType["answer"].dataType
     pairs = (df.select(key, "question",
-                       F.posexplode(F.coalesce(F.col("annotations.qaPairs"),
-                                               F.array().cast(df.schema["annotations"].dataType["qaPairs"].dataType)))
-                       .alias("pos1", "pair"))
+                       F.posexplode(F.coalesce(F.col("annotations.qaPairs"), F.array().cast(qa_t))).alias("pos1", "pair"))
                .select(key, "question", "pos1",
-                       F.posexplode(F.coalesce(F.col("pair.answer"), F.array().cast("array<array<string>>")))
-                       .alias("pos2", "alist"))
-               .filter(F.col("alist").isNotNull() & (F.size("alist") > 0)))
-    direct = (df.select(key, "question",
-                        F.posexplode(F.coalesce(F.col("annotations.answer"), F.array().cast("array<array<string>>")))
-                        .alias("pos1", "alist"))
-                .filter(F.col("alist").isNotNull() & (F.size("alist") > 0)))
-    out = _emit(pairs, key, 0, F.col("pos1"), F.col("pos2"), F.col("question"), first_of(F.col("alist"))).unionByName(
-        _emit(direct, key, 1, F.col("pos1"), F.lit(0), F.col("question"), first_of(F.col("alist"))))
+                       F.posexplode(F.coalesce(F.col("pair.answer"), F.array().cast(ans_t))).alias("pos2", "alist")))
+    pairs, pair_answer = _answers(pairs)
+    direct = df.select(key, "question",
+                       F.posexplode(F.coalesce(F.col("annotations.answer"), F.array().cast(direct_t))).alias("pos1", "alist"))
+    direct, direct_answer = _answers(direct)
+    out = _emit(pairs, key, 0, F.col("pos1"), F.col("pos2"), F.col("question"), pair_answer).unionByName(
+        _emit(direct, key, 1, F.col("pos1"), F.lit(0), F.col("question"), direct_answer))
     return _finish(out, drop_null)
 
 

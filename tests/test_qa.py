@@ -44,3 +44,12 @@ def test_wiki_filter_pushed_and_union_counts(spark, tmp_path):
         [(9, "i", None, "r")], "row_key bigint, instruction string, context string, response string"))})
     got = [(r.source, r.n, r.running) for r in qa.source_counts(u).orderBy("source_ord").collect()]
     assert got == [("wiki", 2, 2), ("instruct", 1, 3)]
+
+
+def test_ambig_scalar_answers(spark):
+    """P3/P4 with scalar answers: the value is the answer; "" and null are falsy."""
+    schema = ("row_key bigint, question string, annotations struct<qaPairs: array<struct<answer: array<string>>>, "
+              "answer: array<string>>")
+    df = spark.createDataFrame([(1, "q", ([(["x", "", None],)], ["d", ""]))], schema)
+    got = sorted((r.branch, r.pos1, r.pos2, r.response) for r in qa.qa_ambig(df).collect())
+    assert got == [(0, 0, 0, "Assistant: x"), (1, 0, 0, "Assistant: d")]
