@@ -1,7 +1,8 @@
 """S1-S3 JSONL dialogue source with a reject table; S9 corpus sink.
 
 Acceptance rules (a line is kept only if the reference would both load and render it):
-  malformed    not strict JSON (single quotes, NaN, BOM, blank lines, truncation)
+  malformed    not strict JSON (single quotes, BOM, blank lines, truncation)
+  non_finite   JSON only with a NaN / Infinity literal (Python's json accepts them; we do not)
   not_object   valid JSON that is not an object
   missing_key  ``context`` or ``response`` key absent (an explicit null is present)
   bad_context  context not an array of strings (null, string, non-string or null element)
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from colloquy.session import configure
 
-REASONS = ("ok", "malformed", "not_object", "missing_key", "bad_context", "bad_response")
+REASONS = ("ok", "malformed", "non_finite", "not_object", "missing_key", "bad_context", "bad_response")
+
+# NaN / Infinity / -Infinity as bare literals (not inside a string, not part of a word)
+_NON_FINITE = r'(?<![\w".])-?(NaN|Infinity)(?![\w"])'
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
@@ -33,7 +37,9 @@ def classify_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     rsp_v = F.expr("variant_get(_v, '$.response', 'variant')")
     ctx_t = F.schema_of_variant(ctx_v)
     ctx_a = F.expr("try_variant_get(_v, '$.context', 'array<string>')")
-    reason = (F.when(F.col("_v").isNull(), "malformed")
+    fixed = F.try_parse_json(F.regexp_replace(F.col(col), _NON_FINITE, "0"))
+    reason = (F.when(F.col("_v").isNull() & F.col(col).rlike(_NON_FINITE) & fixed.isNotNull(), "non_finite")
+               .when(F.col("_v").isNull(), "malformed")
                .when(~F.schema_of_variant("_v").startswith("OBJECT"), "not_object")
                .when(ctx_v.isNull() | rsp_v.isNull(), "missing_key")
                .when(~ctx_t.isin("ARRAY<STRING>", "ARRAY<VOID>")

@@ -22,7 +22,9 @@ CASES = [
     ('{"context":"ab","response":"x"}', "bad_context"),
     ('{"context":["a"],"response":1}', "bad_response"),
     ('{"context":["a"],"response":null}', "bad_response"),
-    ('{"context":["a"],"response":"b","x":NaN}', "malformed"),
+    ('{"context":["a"],"response":"b","x":NaN}', "non_finite"),
+    ('{"context":["a"],"response":-Infinity}', "non_finite"),
+    ('{"context":["NaN"],"response":"b"', "malformed"),
     ('﻿{"context":["a"],"response":"b"}', "malformed"),
 ]
 
