@@ -77,12 +77,13 @@ def build_vocab(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     """K2: frequency-ranked ids ``(token, token_id, freq)``; ties broken by the token's bytes.
 
     Runs on distinct tokens only; the global rank uses the two-phase bucket form with
-    buckets ``(freq, first character)``, which are monotone in the order
-    ``(freq desc, token asc)``, so no window ever holds all tokens in one task.
+    buckets ``(freq, first two characters)``, which are monotone in the order
+    ``(freq desc, token asc)`` (code-point order of a prefix agrees with byte order), so no
+    window holds all tokens - not even all rare tokens - in one task.
     """
     counts = (explode_items(tokens, col, "token")
                     .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    bucket = F.struct((-F.col("freq")).alias("nf"), F.substring("token", 1, 1).alias("c"))
+    bucket = F.struct((-F.col("freq")).alias("nf"), F.substring("token", 1, 2).alias("c"))
     ranked = global_positions(counts, bucket, [F.desc("freq"), F.asc("token")], pos_col="token_id")
     return ranked.select("token", "token_id", "freq")
 
