@@ -31,7 +31,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when it is unset (local tests) a scratch folder is created and registered.
+    Only when it is unset *and* the master is local (tests) a scratch folder is created and
+    registered; on a cluster an unset folder is an error, never a machine-local fallback.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -39,6 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = sc._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage "
+                               "(a machine-local folder would not survive a lost executor)")
         d = tempfile.mkdtemp(prefix="colloquy-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
