@@ -111,3 +111,18 @@ def test_generation_report_on_test_prompts(spark):
     assert set(rep) == {0, 1, 2}
     for r in rep.values():
         assert r.generated is not None and len(r.generated) > 0     # ':' is a known context
+
+
+def test_properties_on_data(spark):
+    """SURVEY 5 properties: size(input) = size(labels) = n-1; probabilities sum to 1 per context
+    after top-p; top-p keeps a prefix of the top-k order."""
+    from colloquy.plans import training
+    from tests.conftest import SF001
+    ex = training.training_examples(spark.read.parquet(f"{SF001}/conversations.parquet"))
+    assert ex.filter((F.size("input_ids") != F.size("labels")) | (F.size("input_ids") != F.size("tokens") - 1)).count() == 0
+    counts = scoring.next_token_counts(ex)
+    p = scoring.decode_filters(counts)
+    sums = p.groupBy("ctx").agg(F.sum("p").alias("s")).collect()
+    assert sums and all(abs(r.s - 1) < 1e-9 for r in sums)
+    k = scoring.top_k(scoring.temperature(scoring.count_scores(counts)))
+    assert p.join(k, ["ctx", "token"], "left_anti").count() == 0
