@@ -60,7 +60,7 @@ def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_ms: int):
         last_turn, quit_, seg, temp, toks, hist = -1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS, []
     conv_id = int(key[0])
     out = []
-    rows = pd.concat(list(pdfs)).sort_values("turn")
+    rows = pd.concat(list(pdfs)).sort_values("turn", kind="stable")  # arrival order breaks ties
     for turn, raw in zip(rows["turn"].tolist(), rows["raw"].tolist()):
         turn = int(turn)
         if turn <= last_turn:

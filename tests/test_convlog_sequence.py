@@ -98,3 +98,18 @@ def test_causal_fir_hot_path_equals_window(spark):
     a = {r.event_id: r.y for r in sequence.causal_fir(ev, [0.1, 0.2, 0.3, 0.4], 0.5).collect()}
     b = {r.event_id: r.y for r in sequence.causal_fir(ev, [0.1, 0.2, 0.3, 0.4], 0.5, hot_rows=None).collect()}
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-12) for k in a)
+
+
+def test_chat_state_late_rows(spark, scratch):
+    """A repeated turn is emitted with late = true and changes nothing (R2, streamed)."""
+    src = os.path.join(scratch, "late")
+    spark.createDataFrame([(0, 0, "hi"), (0, 0, "again"), (0, 1, "/temp 0.3"), (0, 2, "there")],
+                          "conv_id bigint, turn bigint, raw string").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("conv_id bigint, turn bigint, raw string").parquet(src)
+    q = (chat_sessions(stream, idle_timeout_ms=None).writeStream.format("memory").queryName("chat_late_test")
+         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ckpt"))
+         .trigger(availableNow=True).start())
+    assert q.awaitTermination(240)
+    out = sorted((r.turn, r.late, r.kind, r.temperature, r.prompt) for r in spark.table("chat_late_test").collect())
+    assert out == [(0, False, "message", 0.8, "User: hi\nAssistant:"), (0, True, None, None, None),
+                   (1, False, "temp", 0.3, None), (2, False, "message", 0.3, "User: hi\nUser: there\nAssistant:")]
