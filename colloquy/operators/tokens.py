@@ -118,20 +118,22 @@ def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str
 
 def detokenize(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str = "text",
                special_tokens=(config.EOS_TOKEN, config.PAD_TOKEN), specials: DataFrame | None = None) -> DataFrame:
-    """Ids -> text, skipping special tokens (decode(..., skip_special_tokens=True))."""
+    """Ids -> text, skipping special tokens (decode(..., skip_special_tokens=True)).
+
+    Special and unknown ids become '' instead of being filtered out, and the outer explode
+    keeps empty sequences, so every input sequence comes back from the one regroup (no join
+    back to the keys)."""
     keys = list(keys)
     v = vocab.select("token", "token_id")
     if specials is not None:
         sp = specials.select(F.col("eos_id").alias("token_id"), F.lit(config.EOS_TOKEN).alias("token"))
         v = v.unionByName(sp.filter(F.col("token_id").isNotNull()))
-    exploded = explode_items(df, col, "token_id", keys=keys, pos="_p")
-    joined = (exploded.join(v, "token_id", "left")
-                      .filter(~F.col("token").isin(*special_tokens) | F.col("token").isNull()))
+    exploded = df.select(*keys, F.posexplode_outer(F.col(col)).alias("_p", "token_id"))
+    joined = exploded.join(v, "token_id", "left").withColumn(
+        "token", F.when(F.col("token").isin(*special_tokens) | F.col("token").isNull(), F.lit("")).otherwise(F.col("token")))
     assembled = (joined.groupBy(*keys)
                        .agg(F.sort_array(F.collect_list(F.struct("_p", "token"))).alias("_s")))
-    out_df = assembled.select(*keys, F.array_join(F.transform("_s", lambda s: s["token"]), "").alias(out))
-    # sequences whose every token was special decode to ''
-    return df.select(*keys).join(out_df, keys, "left").fillna({out: ""})
+    return assembled.select(*keys, F.array_join(F.transform("_s", lambda s: s["token"]), "").alias(out))
 
 
 def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col: str = "tokens") -> DataFrame:

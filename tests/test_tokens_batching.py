@@ -108,3 +108,11 @@ def test_head_bounded_examples_exact(spark):
                 render.conversation_examples_head(conv, L, chunk_rows=2, hot_rows=hot)), "full_text"), L)
             b = sorted((r.conv_id, r.turn, tuple(r.tokens)) for r in head.select("conv_id", "turn", "tokens").collect())
             assert a == b and len(a) == 34
+
+
+def test_detokenize_special_and_empty(spark):
+    vocab = spark.createDataFrame([("a", 0, 2), ("b", 1, 1)], "token string, token_id bigint, freq bigint")
+    ids = spark.createDataFrame([(1, [0, 2, 1]), (2, [2]), (3, [])], "id int, ids array<bigint>")
+    sp = tokens.special_ids(vocab)                      # eos id = 2
+    got = {r.id: r.text for r in tokens.detokenize(ids, vocab, ["id"], specials=sp).collect()}
+    assert got == {1: "ab", 2: "", 3: ""}
