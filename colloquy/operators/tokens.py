@@ -109,10 +109,12 @@ def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str
     after measuring it and splits skewed token partitions otherwise).  Each key group holds
     one sequence, so the re-assembly is bounded by the sequence length."""
     keys = list(keys)
-    exploded = explode_items(df, col, "token", keys=keys, pos="_p")
+    # outer explode: an empty sequence keeps one (null) row and encodes to []
+    exploded = df.select(*keys, F.posexplode_outer(F.col(col)).alias("_p", "token"))
     joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
+    item = F.when(F.col("_p").isNotNull(), F.struct("_p", "token_id"))
     return (joined.groupBy(*keys)
-                  .agg(F.sort_array(F.collect_list(F.struct("_p", "token_id"))).alias("_s"))
+                  .agg(F.sort_array(F.collect_list(item)).alias("_s"))
                   .select(*keys, F.transform("_s", lambda s: s["token_id"]).alias(out)))
 
 

@@ -116,3 +116,10 @@ def test_detokenize_special_and_empty(spark):
     sp = tokens.special_ids(vocab)                      # eos id = 2
     got = {r.id: r.text for r in tokens.detokenize(ids, vocab, ["id"], specials=sp).collect()}
     assert got == {1: "ab", 2: "", 3: ""}
+
+
+def test_encode_keeps_empty_sequences(spark):
+    vocab = spark.createDataFrame([("a", 0, 2), ("b", 1, 1)], "token string, token_id bigint, freq bigint")
+    df = spark.createDataFrame([(1, ["b", "a"]), (2, [])], "id int, tokens array<string>")
+    got = {r.id: r.ids for r in tokens.encode(df, vocab, ["id"]).collect()}
+    assert got == {1: [1, 0], 2: []}
