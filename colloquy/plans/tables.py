@@ -20,8 +20,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     later windows/aggregates use means that shuffle is the one they need anyway.  On a
     large input the scan already has far more splits than cores and nothing is added.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the scan as it is
+        return df
+    if splits >= target:
         return df
     return df.repartition(key) if key else df.repartition(target)
 
