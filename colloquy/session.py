@@ -29,16 +29,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """Shared checkpoint folder of the session, registered once.
 
-    Only when it is unset *and* the master is local (tests) a scratch folder is created and
-    registered; on a cluster an unset folder is an error, never a machine-local fallback.
+    A folder that is already registered stays (a second call opens no new one).  Else the one
+    the cluster names in ``spark.checkpoint.dir`` is registered.  Only when both are unset *and*
+    the master is local (tests) a scratch folder is created; on a cluster that is an error,
+    never a machine-local fallback.
     """
     sc = spark.sparkContext
+    registered = sc._jsc.sc().getCheckpointDir()
+    if registered.isDefined():
+        return registered.get()
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = sc._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage "
@@ -46,4 +48,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="colloquy-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
-    return d
+    return sc._jsc.sc().getCheckpointDir().get()
