@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import curriculum, simhash, url_filter, warc
+from colloquy.llm import curriculum, licenses, nearest, simhash, toxicity, url_filter, warc
 from colloquy.llm.common import read_table
 
 
@@ -17,10 +17,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    files = licenses.document_files(read_table(spark, sf_dir, "documents"))
+    return licenses.license_scan(files, templates).withColumnRenamed("id", "doc_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -28,7 +42,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_REGISTRY = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
+    "op6_nearest": op6_nearest,
     "op7_mixing": op7_mixing,
+    "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
 
