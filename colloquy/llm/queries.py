@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import curriculum, licenses, nearest, simhash, toxicity, url_filter, warc
+from colloquy.llm import curriculum, licenses, nearest, simhash, suffix_dedup, toxicity, url_filter, warc
 from colloquy.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_REGISTRY = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
