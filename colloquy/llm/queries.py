@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import curriculum, licenses, nearest, simhash, suffix_dedup, toxicity, url_filter, warc
+from colloquy.llm import curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc
 from colloquy.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -33,6 +37,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
     files = licenses.document_files(read_table(spark, sf_dir, "documents"))
@@ -48,8 +56,10 @@ LLM_REGISTRY = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scores": op5_lm_scores,
     "op6_nearest": op6_nearest,
     "op7_mixing": op7_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
