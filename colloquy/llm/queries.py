@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc
 from colloquy.llm.common import read_table
+from corpus_pipeline import run as pipeline
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_REGISTRY = {
+    "pipeline": pipeline,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
