@@ -35,14 +35,23 @@ def global_positions(df: DataFrame, bucket, order_cols, pos_col: str = "pos",
     if total_col:
         offs = offs.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*part)))
         cols.append(total_col)
-    offs = offs.select(*cols)
+    # null keys and null buckets are groups of their own: the join back is null-safe
+    offs = offs.select(*[F.col(c).alias(f"_o_{c}") if c in (*part, "_bkt") else F.col(c) for c in cols])
     if max_buckets is not None:
         offs = F.broadcast(offs)
     inner = Window.partitionBy(*part, "_bkt").orderBy(*order_cols)
     return (d.withColumn("_rn", F.row_number().over(inner))
-             .join(offs, [*part, "_bkt"])
+             .join(offs, _same([*part, "_bkt"]))
              .withColumn(pos_col, F.col("_rn") - 1 + F.col("_off"))
-             .drop("_bkt", "_rn", "_off"))
+             .drop("_bkt", "_rn", "_off", *[f"_o_{c}" for c in (*part, "_bkt")]))
+
+
+def _same(cols):
+    """Null-safe equality of columns with their ``_o_`` copies."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return cond
 
 
 def largest_group(df: DataFrame, key) -> int:
@@ -95,9 +104,9 @@ def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 6
                            ["v"].alias(f"_tot_{name}"))
     chunks = d.groupBy(key, "_ck").agg(*summary)
     before = Window.partitionBy(key).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(key, "_ck", *[agg(kind, F.col(f"_tot_{name}"), before).alias(f"_in_{name}")
+    chunks = chunks.select(F.col(key).alias(f"_o_{key}"), F.col("_ck").alias("_o__ck"), *[agg(kind, F.col(f"_tot_{name}"), before).alias(f"_in_{name}")
                                          for name, kind, _ in specs])
-    out = d.join(chunks, [key, "_ck"], "left")
+    out = d.join(chunks, _same([key, "_ck"]), "left")
     for name, kind, _ in specs:
         loc, cin = F.col(f"_loc_{name}"), F.col(f"_in_{name}")
         if kind == "sum":
@@ -107,4 +116,4 @@ def running_aggs(df: DataFrame, key: str, order: str, specs, chunk_rows: int = 6
         else:
             v = F.coalesce(loc, cin)
         out = out.withColumn(name, v)
-    return out.drop("_ck", *[f"_loc_{n}" for n, _, _ in specs], *[f"_in_{n}" for n, _, _ in specs])
+    return out.drop("_ck", f"_o_{key}", "_o__ck", *[f"_loc_{n}" for n, _, _ in specs], *[f"_in_{n}" for n, _, _ in specs])

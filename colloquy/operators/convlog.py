@@ -24,23 +24,23 @@ def clean_inputs(log: DataFrame, raw: str = "raw") -> DataFrame:
 def classify_inputs(clean: DataFrame) -> DataFrame:
     """C2+C3: ``kind`` in message / quit / clear / temp / temp_bad / tokens / tokens_bad / unknown.
     A command needs its value (``/temp`` alone is unknown); a value Python's ``float``/``int``
-    would reject is ``*_bad`` and changes nothing."""
+    would reject is ``*_bad`` and changes nothing, as is an integer beyond BIGINT."""
     words = py_split(F.lower(F.col("clean")))
     verb, arg = F.get(words, 0), F.get(words, 1)
     is_cmd = F.col("clean").startswith("/")
     temp_ok = arg.rlike(PY_FLOAT_RE)
-    tok_ok = arg.rlike(PY_INT_RE)
+    num = F.regexp_replace(arg, "_", "")
+    tok_ok = arg.rlike(PY_INT_RE) & num.try_cast("bigint").isNotNull()
     kind = (F.when(~is_cmd, "message")
              .when(verb == "/quit", "quit")
              .when(verb == "/clear", "clear")
              .when((verb == "/temp") & arg.isNotNull(), F.when(temp_ok, "temp").otherwise("temp_bad"))
              .when((verb == "/tokens") & arg.isNotNull(), F.when(tok_ok, "tokens").otherwise("tokens_bad"))
              .otherwise("unknown"))
-    num = F.regexp_replace(arg, "_", "")
     return (clean.withColumn("verb", F.when(is_cmd, verb))
                  .withColumn("kind", kind)
-                 .withColumn("temp_value", F.when(F.col("kind") == "temp", num.cast("double")))
-                 .withColumn("tokens_value", F.when(F.col("kind") == "tokens", num.cast("decimal(38,0)").cast("bigint"))))
+                 .withColumn("temp_value", F.when(F.col("kind") == "temp", num.try_cast("double")))
+                 .withColumn("tokens_value", F.when(F.col("kind") == "tokens", num.try_cast("bigint"))))
 
 
 HOT_ROWS = 1_000_000

@@ -44,9 +44,12 @@ def conversation_examples_head(conv: DataFrame, max_lines: int, key="conv_id", o
     the head use a window over at most ``max_lines`` rows, and every later assistant row joins
     the conversation's head (one row per conversation), a hot conversation being spread by
     AQE's skew-join split.  ``hot_rows=None`` always takes the split path.
+
+    A row without text (or role) has no line: it takes no place in the head, adds nothing to a
+    context and gives no example, on both paths.
     """
     L = int(max_lines)
-    lines = conv.withColumn("_line", role_line())
+    lines = conv.withColumn("_line", role_line()).filter(F.col("_line").isNotNull())
     if hot_rows is not None:
         biggest = conv.groupBy(key).count().agg(F.max("count")).first()[0] or 0
         if biggest <= hot_rows:
@@ -68,7 +71,7 @@ def conversation_examples_head(conv: DataFrame, max_lines: int, key="conv_id", o
                     .agg(F.sort_array(F.collect_list(F.struct(order, "_line"))).alias("_h"))
                     .select(key, F.transform("_h", lambda s: s["_line"]).alias("context")))
     late = (num.filter((F.col("_ln") >= L) & (F.col("role") == "assistant"))
-               .join(head_ctx, key)
+               .join(head_ctx.withColumnRenamed(key, "_hk"), F.col(key).eqNullSafe(F.col("_hk")))
                .select(key, order, "context", F.col("_line").alias("response")))
     return early.unionByName(late)
 

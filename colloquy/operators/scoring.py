@@ -27,14 +27,17 @@ def count_scores(counts: DataFrame) -> DataFrame:
 
 
 def batch_loss(batches: DataFrame, counts: DataFrame, accumulation: int = config.ACCUMULATION_STEPS,
-               input_col: str = "input_ids", label_col: str = "labels", smoothing: float | None = None) -> DataFrame:
+               input_col: str = "input_ids", label_col: str = "labels", smoothing: float | None = None,
+               ignore_index: int = -100) -> DataFrame:
     """A3 + A5: masked mean of ``-ln p(label | ctx)`` per ``(epoch, batch_idx)`` over the real
-    (non -100) positions, p = count ratio within the context.  Positions are aggregated to
+    positions (numeric labels equal to ``ignore_index`` are padding), p = count ratio within the context.  Positions are aggregated to
     ``(batch, ctx, token)`` before the join.  An unseen pair fails the job unless a
     ``smoothing`` probability is given."""
+    numeric = batches.schema[label_col].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
+    real = F.col("z.token") != F.lit(ignore_index) if numeric else F.lit(True)
     pos = (batches.select("epoch", "batch_idx",
                           F.explode_outer(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
-                  .filter(F.col("z").isNotNull())
+                  .filter(F.col("z").isNotNull() & real)
                   .groupBy("epoch", "batch_idx", F.col("z.ctx").alias("ctx"), F.col("z.token").alias("token"))
                   .agg(F.count(F.lit(1)).alias("c")))
     tot = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))

@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 from colloquy import config
 from colloquy.functions.ordering import global_positions, largest_group
 
-# Largest table broadcast without a second thought; bigger ones take the shuffle path.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest vector table that is broadcast, in bytes; bigger ones take the shuffle path.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS):
-    """Size check for a lookup table: ``(df or broadcast(df), n_rows)``."""
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
+def small_side(df: DataFrame, col: str, max_bytes: int = BROADCAST_MAX_BYTES):
+    """Size check for a vector table: ``(df or broadcast(df), n_rows)``."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(col)), F.lit(0)).alias("values")).first()
+    return (F.broadcast(df) if 32 * r["n"] + 8 * r["values"] <= max_bytes else df), r["n"]
 
 
 def embed_lookup(positions: DataFrame, embeddings: DataFrame, n_vectors: int | None = None,
                  id_col: str = "token_id", pos_col: str = "pos") -> DataFrame:
     """M1: gather ``embedding[id]`` and add the positional vector ``embedding[pos]``
-    (both ``mod n_vectors``); element-wise add with ``zip_with``.  The embedding table is
-    broadcast only after its row count is checked."""
-    emb = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    emb_j, n = small_side(emb)
+    (both ``mod n_vectors``); element-wise add with ``zip_with``.  Vectors are addressed by
+    their rank of ``vec_id``, so gaps in the ids lose nothing; null ids address no vector.  The
+    embedding table is broadcast only after its size is checked."""
+    emb = embeddings.filter("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    emb = global_positions(emb, F.floor(F.col("vec_id") / 65536), ["vec_id"], pos_col="_slot").select(
+        F.col("_slot").alias("vec_id"), "v")
+    emb_j, n = small_side(emb, "v")
     n = n_vectors or n
     d = positions.withColumn("_tv", F.pmod(F.col(id_col), F.lit(n))).withColumn("_pv", F.pmod(F.col(pos_col), F.lit(n)))
     tok = emb_j.select(F.col("vec_id").alias("_tv"), F.col("v").alias("_tok_vec"))
@@ -54,7 +57,7 @@ def causal_fir(df: DataFrame, weights, bias: float = 0.0, key: str = "user_id",
     """M3: causal depthwise convolution, left zero padding:
     ``y_t = bias + sum_j w_j * x_{t-(k-1)+j}``.
 
-    Weighted ``lag`` terms over one window while every key fits a task (``hot_rows``).  Beyond
+    A missing value counts as 0, like the padding.  Weighted ``lag`` terms over one window while every key fits a task (``hot_rows``).  Beyond
     that, events are numbered per key two-phase (hourly buckets of ``order[0]``, a timestamp)
     and the ``k-1`` earlier values arrive by equi-joins on ``(key, position)``, which spread a
     hot key over all tasks.
@@ -62,32 +65,38 @@ def causal_fir(df: DataFrame, weights, bias: float = 0.0, key: str = "user_id",
     k = len(weights)
     if hot_rows is not None and largest_group(df, key) <= hot_rows:
         w = Window.partitionBy(key).orderBy(*order)
+        x = F.coalesce(F.col(value), F.lit(0.0))
         y = F.lit(float(bias))
         for j, wj in enumerate(weights):
-            y = y + F.lit(float(wj)) * F.lag(F.col(value), k - 1 - j, 0.0).over(w)
+            y = y + F.lit(float(wj)) * F.lag(x, k - 1 - j, 0.0).over(w)
         return df.withColumn(out, y)
     bucket = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (chunk_seconds * 1e6))
     pos = global_positions(df, bucket, list(order), pos_col="_pos", partition_cols=[key])
     base = pos.select(key, "_pos", F.col(value).alias("_x"))
-    y = F.lit(float(bias)) + F.lit(float(weights[-1])) * F.col(value)
+    y = F.lit(float(bias)) + F.lit(float(weights[-1])) * F.coalesce(F.col(value), F.lit(0.0))
     for lag in range(1, k):
-        prev = base.select(key, (F.col("_pos") + lag).alias("_pos"), F.col("_x").alias(f"_x{lag}"))
-        pos = pos.join(prev, [key, "_pos"], "left")
+        prev = base.select(F.col(key).alias("_pk"), (F.col("_pos") + lag).alias("_pp"), F.col("_x").alias(f"_x{lag}"))
+        pos = pos.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & (F.col("_pos") == F.col("_pp")), "left").drop("_pk", "_pp")
         y = y + F.lit(float(weights[k - 1 - lag])) * F.coalesce(F.col(f"_x{lag}"), F.lit(0.0))
     return pos.withColumn(out, y).drop("_pos", *[f"_x{lag}" for lag in range(1, k)])
 
 
+MAX_EXPONENT = 300.0      # exp(300) is far from the largest double
+
+
 def decayed_state(df: DataFrame, lam: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
                   value: str = "value", out: str = "state", chunk_seconds: float = 86400.0) -> DataFrame:
     """M4: ``h_t = exp(-lam * dt) * h_{t-1} + x_t`` per key in ``(ts, tie)`` order (h before the
     first event is 0).
 
     The recurrence has the closed form ``h_t = sum_{s<=t} exp(-lam (t - t_s)) x_s``.  Each key
-    is cut into time chunks of ``chunk_seconds`` (so a hot key is spread over many tasks and
-    exponents stay bounded); inside a chunk it is a running-sum window.  Chunk ends are
+    is cut into time chunks of ``chunk_seconds``, or less where ``lam`` is large: no exponent inside
+    a chunk exceeds ``MAX_EXPONENT``.  A hot key is spread over many tasks; inside a chunk it is a running-sum window.  Chunk ends are
     carried with the same recurrence over the chunk summaries (one row per chunk, a small
     sequential helper per key), and added back with one more decay factor.
     """
+    if lam > 0:
+        chunk_seconds = min(chunk_seconds, MAX_EXPONENT / lam)
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
     d = df.withColumn("_t", t).withColumn("_c", F.floor(F.col("_t") / chunk_seconds).cast("bigint"))
     d = d.withColumn("_t0", F.col("_c").cast("double") * chunk_seconds)

@@ -4,45 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy import config
 from colloquy.functions.ordering import global_positions
 from colloquy.functions.text import pretokens
 
 
-def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", provider: str = "native",
-             tokenizer_file: str | None = None) -> DataFrame:
-    """K1. ``native``: surface tokens by the GPT-2-style split (JVM regex, lossless).
-
-    ``pretrained``: ids from a ``tokenizer.json`` (HuggingFace ``tokenizers``), loaded once
-    per Python worker inside an Arrow-batched pandas UDF.
-    """
-    if provider == "native":
-        return df.withColumn(out, pretokens(col))
-    if provider == "pretrained":
-        if not tokenizer_file:
-            raise ValueError("provider='pretrained' needs tokenizer_file")
-        return df.withColumn(out, _pretrained_udf(tokenizer_file)(F.col(col)))
-    raise ValueError(f"unknown provider {provider!r}")
-
-
-def _pretrained_udf(path: str):
-    import pandas as pd
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer  # imported on the executor
-        tok = _TOKENIZERS.get(path)
-        if tok is None:
-            tok = _TOKENIZERS[path] = Tokenizer.from_file(path)
-        encs = tok.encode_batch(texts.fillna("").tolist())
-        return pd.Series([e.ids for e in encs])
-
-    return encode
-
-
-_TOKENIZERS: dict = {}
+def tokenize(df: DataFrame, col: str = "text", out: str = "tokens") -> DataFrame:
+    """K1: surface tokens by the GPT-2-style split (JVM regex, lossless)."""
+    return df.withColumn(out, pretokens(col))
 
 
 def explode_items(df: DataFrame, col: str, out: str, keys=(), pos: str | None = None) -> DataFrame:
@@ -95,13 +65,12 @@ def special_ids(vocab: DataFrame, has_pad: bool = False, has_eos: bool = True) -
     places it last).  pad = existing pad, else eos, else a new ``<|pad|>`` appended.
     Because pad may equal a real id, padding is always derived from lengths.
     """
-    n = vocab.agg(F.count(F.lit(1)).alias("n"))
     eos = F.col("n") if has_eos else F.lit(None).cast("bigint")
-    size = F.col("n") + (1 if has_eos else 0)
-    pad = F.coalesce(F.lit(None).cast("bigint") if not has_pad else F.col("n") + 1, eos, size)
-    return n.select(
-        (size + F.when(pad == size, 1).otherwise(0)).alias("vocab_size"),
-        eos.alias("eos_id"), pad.alias("pad_id"))
+    size = F.col("n") + int(has_eos)
+    fresh = size                                    # the next id: an existing pad, or a new one
+    pad = fresh if has_pad else F.coalesce(eos, fresh)
+    return vocab.agg(F.count(F.lit(1)).alias("n")).select(
+        (size + int(has_pad or not has_eos)).alias("vocab_size"), eos.alias("eos_id"), pad.alias("pad_id"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str = "ids") -> DataFrame:
@@ -138,11 +107,13 @@ def detokenize(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str
     return assembled.select(*keys, F.array_join(F.transform("_s", lambda s: s["token"]), "").alias(out))
 
 
-def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col: str = "tokens") -> DataFrame:
-    """K8: lazy length (every valid row) and cached length (rows that survive K5), one pass."""
-    return tokenized.agg(
-        F.count(F.lit(1)).alias("n_lazy"),
-        F.sum(F.when(F.size(col) >= int(min_tokens), 1).otherwise(0)).cast("bigint").alias("n_cached"))
+def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col: str = "tokens",
+                  more: dict[str, int] | None = None) -> DataFrame:
+    """K8: lazy length (every valid row) and cached length (rows that survive K5), one pass.
+    ``more`` names cached lengths for other minima."""
+    return tokenized.agg(F.count(F.lit(1)).alias("n_lazy"), *[
+        F.sum(F.when(F.size(col) >= int(m), 1).otherwise(0)).cast("bigint").alias(name)
+        for name, m in {"n_cached": min_tokens, **(more or {})}.items()])
 
 
 def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chunk_rows: int = 65536,

@@ -31,11 +31,11 @@ ex0 AS (
   FROM ctx WHERE role = 'assistant'
 ),
 examples AS (
-  SELECT *, toks_full[1:448] AS tokens, len(toks_full)::BIGINT AS n_full
+  SELECT *, toks_full[1:448] AS tokens
   FROM (SELECT *, regexp_extract_all(full_text, {PRETOKEN}) AS toks_full FROM ex0)
 ),
 pairs AS (
-  SELECT conv_id, turn, n_full, tokens, tokens[1:len(tokens)-1] AS input_ids, tokens[2:len(tokens)] AS labels
+  SELECT conv_id, turn, tokens, tokens[1:len(tokens)-1] AS input_ids, tokens[2:len(tokens)] AS labels
   FROM examples WHERE len(tokens) >= 2
 ),
 ordered AS (
@@ -197,7 +197,7 @@ ORACLE["detokenize"] = """
 SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents"""
 
 ORACLE["shift_pairs"] = f"""WITH {EXAMPLES}
-SELECT conv_id, turn, n_full, len(input_ids)::BIGINT AS n,
+SELECT conv_id, turn, len(input_ids)::BIGINT AS n,
        md5(array_to_string(input_ids, {SEP})) AS input_md5, md5(array_to_string(labels, {SEP})) AS labels_md5
 FROM pairs"""
 

@@ -161,7 +161,7 @@ def q_vocab(spark, sf):
 @query("shift_pairs")
 def q_shift_pairs(spark, sf):
     ex = training.training_examples(_conv(spark, sf))
-    return ex.select("conv_id", "turn", "n_full", F.size("input_ids").cast("bigint").alias("n"),
+    return ex.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n"),
                      _hash_tokens("input_ids").alias("input_md5"), _hash_tokens("labels").alias("labels_md5"))
 
 
@@ -173,9 +173,7 @@ def _tokenized_examples(conv, max_seq_len=config.TRAIN_MAX_SEQ_LEN):
 @query("dataset_sizes")
 def q_dataset_sizes(spark, sf):
     t = _tokenized_examples(_conv(spark, sf))
-    return t.agg(F.count(F.lit(1)).alias("n_lazy"),
-                 F.sum(F.when(F.size("tokens") >= config.MIN_TOKENS, 1).otherwise(0)).cast("bigint").alias("n_cached"),
-                 F.sum(F.when(F.size("tokens") >= LAZY_MIN_TOKENS, 1).otherwise(0)).cast("bigint").alias("n_cached_min200"))
+    return tokens.dataset_sizes(t, config.MIN_TOKENS, more={"n_cached_min200": LAZY_MIN_TOKENS})
 
 
 @query("lazy_fill")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.operators import batching, render, tokens
@@ -23,19 +22,18 @@ def training_examples(conv: DataFrame, max_seq_len: int = config.TRAIN_MAX_SEQ_L
     regex), every consumer - vocabulary, counts, ordering, batches - reads the stored table, and
     a lost executor does not re-tokenize.
 
-    Output ``(conv_id, turn, n_full, tokens, input_ids, labels)``; arrays are surface tokens.
+    Output ``(conv_id, turn, tokens, input_ids, labels)``; arrays are surface tokens.
     """
     ex = render.conversation_examples_head(conv.select("conv_id", "turn", "role", "text"), max_seq_len)
     ex = render.render_text(ex)
     ex = tokens.tokenize(ex, "full_text")
-    ex = ex.withColumn("n_full", F.size("tokens").cast("bigint"))
-    ex = tokens.truncate(ex, max_seq_len).select("conv_id", "turn", "n_full", "tokens")
+    ex = tokens.truncate(ex, max_seq_len).select("conv_id", "turn", "tokens")
     if materialize:
         checkpoint_dir(ex.sparkSession)
         ex = ex.checkpoint(eager=True)
     ex = tokens.drop_short(ex, min_tokens)
     ex = tokens.shift_pairs(ex)
-    return ex.select("conv_id", "turn", "n_full", "tokens", "input_ids", "labels")
+    return ex.select("conv_id", "turn", "tokens", "input_ids", "labels")
 
 
 def training_batches(conv: DataFrame, max_seq_len: int = config.TRAIN_MAX_SEQ_LEN,

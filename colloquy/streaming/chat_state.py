@@ -13,12 +13,14 @@ a one-shot replay (``availableNow``) passes ``idle_timeout_ms=None``.  The batch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy import config
+from colloquy.operators.convlog import classify_inputs, clean_inputs
 
 OUTPUT_SCHEMA = ("conv_id bigint, turn bigint, kind string, segment_id bigint, temperature double, "
                  "max_tokens bigint, prompt string, late boolean")
@@ -26,77 +28,61 @@ STATE_SCHEMA = ("last_turn bigint, quit boolean, segment_id bigint, temperature
                 "history array<string>")
 
 
-def _classify(clean: str):
-    """The REPL's command dispatch on one stripped line: ``(kind, temp, tokens)``."""
-    if not clean.startswith("/"):
-        return "message", None, None
-    cmd = clean.lower().split()
-    verb = cmd[0]
-    if verb == "/quit":
-        return "quit", None, None
-    if verb == "/clear":
-        return "clear", None, None
-    if verb == "/temp" and len(cmd) > 1:
-        try:
-            return "temp", float(cmd[1]), None
-        except ValueError:
-            return "temp_bad", None, None
-    if verb == "/tokens" and len(cmd) > 1:
-        try:
-            return "tokens", None, int(cmd[1])
-        except ValueError:
-            return "tokens_bad", None, None
-    return "unknown", None, None
+def _carried(values: pd.Series, start) -> list:
+    """Running last value, ``start`` before the first."""
+    return list(accumulate(values.tolist(), lambda held, v: held if pd.isna(v) else v, initial=start))[1:]
 
 
-def _step(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_ms: int):
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        last_turn, quit_, seg, temp, toks, hist = state.get
-        hist = list(hist)
-    else:
-        last_turn, quit_, seg, temp, toks, hist = -1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS, []
-    conv_id = int(key[0])
-    out = []
-    rows = pd.concat(list(pdfs)).sort_values("turn", kind="stable")  # arrival order breaks ties
-    for turn, raw in zip(rows["turn"].tolist(), rows["raw"].tolist()):
-        turn = int(turn)
-        if turn <= last_turn:
-            out.append((conv_id, turn, None, None, None, None, None, True))
-            continue
-        last_turn = turn
-        clean = (raw or "").strip()
-        if quit_ or not clean:
-            continue
-        kind, t, n = _classify(clean)
-        prompt = None
-        if kind == "quit":
-            quit_ = True
-            continue
-        if kind == "clear":
-            seg += 1
-            hist = []
-        elif kind == "temp":
-            temp = t
-        elif kind == "tokens":
-            toks = n
-        elif kind == "message":
-            hist.append(f"{config.USER_PREFIX}{clean}")
-            prompt = "\n".join(hist) + config.PROMPT_SUFFIX
-        out.append((conv_id, turn, kind, seg, temp, toks, prompt, False))
-    state.update((last_turn, quit_, seg, temp, toks, hist))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-    if out:
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "kind", "segment_id", "temperature", "max_tokens",
-                                         "prompt", "late"]).astype({"segment_id": "Int64", "max_tokens": "Int64"})
+def _advance(held: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """One conversation's new state and output rows for classified input lines in turn order."""
+    last_turn, ended, segment, temperature, max_tokens, history = held
+    seen = rows["turn"].cummax().shift(1).fillna(last_turn).clip(lower=last_turn)
+    late = rows["turn"] <= seen
+    live = rows[~late]
+    last_turn = int(max(last_turn, rows["turn"].max()))
+    stop = (live["kind"] == "quit").cumsum() > 0
+    ended_now = ended or bool(stop.any())
+    live = live[~stop] if not ended else live.iloc[:0]
+    live = live.assign(segment_id=segment + (live["kind"] == "clear").cumsum(),
+                       temperature=_carried(live["temp_value"], temperature), max_tokens=_carried(live["tokens_value"], max_tokens))
+    lines = (config.USER_PREFIX + live["clean"]).where(live["kind"] == "message")
+    prompts = pd.Series([None] * len(live), index=live.index, dtype=object)
+    for seg, own in lines.dropna().groupby(live["segment_id"]):
+        before = list(history) if seg == segment else []
+        texts = list(accumulate(before + own.tolist(), lambda a, b: a + "\n" + b))[len(before):]
+        prompts[own.index] = [t + config.PROMPT_SUFFIX for t in texts]
+    if len(live):
+        end = live.iloc[-1]
+        current = lines[live["segment_id"] == end["segment_id"]].dropna().tolist()
+        history = (list(history) if end["segment_id"] == segment else []) + current
+        segment, temperature, max_tokens = int(end["segment_id"]), float(end["temperature"]), int(end["max_tokens"])
+    done = live.assign(prompt=prompts, late=False)
+    skipped = rows[late][["turn"]].assign(late=True)
+    out = pd.concat([done, skipped]).sort_index().reindex(columns=["turn", "kind", "segment_id", "temperature", "max_tokens", "prompt", "late"])
+    return (last_turn, ended_now, segment, temperature, max_tokens, list(history)), out
 
 
 def chat_sessions(log: DataFrame, idle_timeout_ms: int | None = 3_600_000) -> DataFrame:
-    """Streaming (or batch) ``(conv_id, turn, raw)`` -> one row per processed input line."""
-    def fn(key, pdfs, state):
-        yield from _step(key, pdfs, state, idle_timeout_ms)
+    """Streaming (or batch) ``(conv_id, turn, raw)`` -> one row per processed input line.
+
+    Lines are cleaned and classified by the batch operators (C1-C3) before the stateful step, which
+    holds only the transition."""
+    lines = classify_inputs(clean_inputs(log.select("conv_id", "turn", "raw"))).filter("conv_id is not null and turn is not null").select(
+        "conv_id", "turn", "kind", "clean", "temp_value", "tokens_value")
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else (-1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS, [])
+        rows = pd.concat(list(pdfs)).sort_values("turn", kind="stable").reset_index(drop=True)  # arrival order breaks ties
+        held, out = _advance(held, rows)
+        state.update(held)
+        if idle_timeout_ms:
+            state.setTimeoutDuration(idle_timeout_ms)
+        if len(out):
+            out.insert(0, "conv_id", int(key[0]))
+            yield out.astype({"segment_id": "Int64", "max_tokens": "Int64", "turn": "int64", "late": bool})
+
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return log.groupBy("conv_id").applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    return lines.groupBy("conv_id").applyInPandasWithState(step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
