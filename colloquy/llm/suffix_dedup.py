@@ -298,7 +298,8 @@ def _keyed(docs: DataFrame, extra: list[str]) -> DataFrame:
 def repeated_ranges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """``(k1, k2, ranges)``: the byte ranges of each document's text that repeat; ranges may overlap."""
     found = materialize(_keyed(docs, []).select("k1", "k2", "text").mapInPandas(_scan, PIECE), "suffix-anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # a table of its own, so that the join's sides are plain exchanges and a hot anchor's rows can be split
+    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "suffix-twice")
     found = materialize(found.join(twice, "h", "left_semi"), "suffix-repeated")
     one = found.groupBy("h", "pid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "lo", "left", "starts")).alias("r"))
     one = materialize(one.select("h", "pid", "n", "r.*"), "suffix-distinct")
