@@ -49,10 +49,11 @@ def search_block(q: np.ndarray, v: np.ndarray, k: int, own: np.ndarray, ids: np.
     n, d = v.shape
     rng = np.random.default_rng(SEED)
     dirs = rng.standard_normal((d + 1, PROJECTIONS))
-    lifted = _lift(v)
+    lifted = _lift(v / np.abs(v).max())                     # squares of huge or tiny components stay finite
     radius = np.sqrt((lifted[0] ** 2).sum())
     proj = lifted @ dirs / max(radius, 1e-300)
-    centre = np.column_stack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))]) @ dirs
+    unit = q / np.abs(q).max(axis=1, keepdims=True)
+    centre = np.column_stack([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros(len(q))]) @ dirs
     order = np.argsort(proj, axis=0, kind="stable")
     arrays = np.take_along_axis(proj, order, axis=0).T.copy()
     order = order.T

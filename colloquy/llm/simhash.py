@@ -69,18 +69,13 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with a ``_fp`` (signed 64-bit) column in place of ``text``."""
-    names = [c for c in docs.columns if c != "text"]
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[names].copy()
-            out["_fp"] = np.array([_signed(fingerprint(t if isinstance(t, str) else None, k)) for t in pdf["text"]],
-                                  dtype=np.int64)
-            yield out
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["_fp bigint"])
-    return docs.select(*names, "text").mapInPandas(run, schema)
+    """``docs`` with a ``_fp`` (signed 64-bit) column in place of ``text``; only texts go through Python, so
+    ids keep their exact values beside nulls."""
+    @F.pandas_udf("bigint")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([_signed(fingerprint(t if isinstance(t, str) else None, k)) for t in texts], dtype=np.int64))
+
+    return docs.withColumn("_fp", fp("text")).drop("text")
 
 
 def _bit_flips(outside: int) -> list[int]:

@@ -138,3 +138,9 @@ def test_simhash_groups(spark, odd_docs, no_docs):
 def test_sha_of_untouched_text(spark):
     docs = spark.createDataFrame([(1, "short text")], "doc_id bigint, text string")
     assert suffix_dedup.suffix_dedup(docs).first().kept_sha256 == hashlib.sha256(b"short text").hexdigest()
+
+
+def test_simhash_keeps_large_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "one two three"), (None, "four five six")], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.simhash_near_dedup(docs).collect()} == {big, None}

@@ -144,3 +144,9 @@ def test_lcs():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontaminate.lcs(a, b) == t[-1][-1]
+
+
+def test_nearest_huge_and_tiny_components(spark):
+    rows = [(i, [10.0 ** e * (i % 7 + 1), 10.0 ** e]) for e in (160, -170) for i in range(40) if (i < 20) == (e > 0)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r.query_id for r in out} == {0, 20} and len(out) == 40
