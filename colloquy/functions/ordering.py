@@ -13,6 +13,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import checkpoint_dir
+
+_ROW_BITS = (1 << 33) - 1        # low bits of monotonically_increasing_id: the row inside its partition
+
+
+def range_partitions(df: DataFrame, order_cols, parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order_cols``, with ``_part`` (ascending along the order) and
+    ``_row`` (0-based place inside the part).
+
+    Ranges are sampled from the data, so a crowded value prefix is split like any other and parts stay
+    even.  The result is checkpointed once: a re-run of a lost task cannot move a row."""
+    checkpoint_dir(df.sparkSession)
+    d = df.repartitionByRange(parts, *order_cols) if parts else df.repartitionByRange(*order_cols)
+    return (d.sortWithinPartitions(*order_cols)
+             .select("*", F.spark_partition_id().alias("_part"),
+                     F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row"))
+             .checkpoint(eager=True))
+
+
+def range_positions(df: DataFrame, order_cols, pos_col: str = "pos", parts: int | None = None) -> DataFrame:
+    """Add ``pos`` = 0-based rank by ``order_cols`` over the whole table.  Only the row counts of the
+    parts (one number a shuffle partition) reach the driver; no window holds the table."""
+    d = range_partitions(df, order_cols, parts)
+    offsets, at = [], 0
+    for part, n in sorted(d.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        offsets.append((part, at))
+        at += n
+    offs = df.sparkSession.createDataFrame(offsets, "_part int, _off bigint")
+    return d.join(F.broadcast(offs), "_part").withColumn(pos_col, F.col("_off") + F.col("_row")).drop("_part", "_row", "_off")
+
 
 def global_positions(df: DataFrame, bucket, order_cols, pos_col: str = "pos",
                      partition_cols=(), total_col: str | None = None,

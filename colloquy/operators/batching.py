@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,21 +12,21 @@ from colloquy.functions.ordering import global_positions
 
 
 def epoch_order(df: DataFrame, key_cols, seed: int = config.SEED, epochs: int = 1,
-                hex_digits: int = 3) -> DataFrame:
+                rows_per_bucket: int = 50_000) -> DataFrame:
     """B1: one seeded permutation per epoch, ``pos`` 0..N-1.
 
-    Order key ``md5("seed:epoch:key...")`` then the keys.  The global position comes from
-    ``16**hex_digits`` md5-prefix buckets per epoch (uniform by construction, so no hot
-    bucket); only the bucket-offset table, ``epochs * 16**hex_digits`` rows, is broadcast.
-    Adds ``epoch``, ``pos`` and ``n_examples`` (examples per epoch).
+    Order key ``md5("seed:epoch:key...")`` then the keys.  The global position comes from md5-prefix
+    buckets (uniform by construction, so no hot bucket); their number follows the row count, at about
+    ``rows_per_bucket`` rows each, and the join with the bucket offsets is left to AQE, which broadcasts them
+    after measuring.  Adds ``epoch``, ``pos`` and ``n_examples`` (examples per epoch).
     """
     keys = list(key_cols)
+    digits = max(2, math.ceil(math.log(max(1.0, df.count() / rows_per_bucket), 16)))
     d = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(epochs) - 1))))
     d = d.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                             *[F.col(k).cast("string") for k in keys])))
-    out = global_positions(d, F.substring("_h", 1, hex_digits), ["_h", *keys], pos_col="pos",
-                           partition_cols=["epoch"], total_col="n_examples",
-                           max_buckets=int(epochs) * 16 ** hex_digits)
+    out = global_positions(d, F.substring("_h", 1, digits), ["_h", *keys], pos_col="pos",
+                           partition_cols=["epoch"], total_col="n_examples")
     return out.drop("_h")
 
 
@@ -52,14 +54,21 @@ def pad_batches(batches: DataFrame, pad_id=config.PAD_TOKEN_ID, ignore_index: in
              .withColumn(label_col, F.concat(F.col(label_col), F.array_repeat(F.lit(ignore_index).cast("int"), fill))))
 
 
-def batch_max_len(batches: DataFrame, input_col: str = "input_ids") -> DataFrame:
-    """B3 without materialising padded arrays: ``padded_len`` per row."""
+def batch_max_len(batches: DataFrame, input_col: str = "input_ids", length=None) -> DataFrame:
+    """B3 without materialising padded arrays: ``padded_len`` per row (``length``: a column that already
+    holds the size of ``input_col``)."""
     w = Window.partitionBy("epoch", "batch_idx")
-    n = F.size(F.col(input_col))
+    n = F.size(F.col(input_col)) if length is None else length
     return (batches.withColumn("attention_len", n.cast("bigint"))
                    .withColumn("padded_len", F.max(n).over(w).cast("bigint")))
 
 
+def export_batches(padded: DataFrame, consume, schema: str) -> DataFrame:
+    """Hand padded batches to a consumer: ``consume`` gets an iterator of Arrow record batches (``mapInArrow``)
+    in which the rows of a batch are together, in slot order; rows of one batch never leave their task."""
+    return padded.repartition("epoch", "batch_idx").sortWithinPartitions("epoch", "batch_idx", "slot").mapInArrow(consume, schema)
+
+
 def batch_stats(padded: DataFrame) -> DataFrame:
     """B7 report per epoch: batches, examples, padded cells, real cells."""
     return (padded.groupBy("epoch")

@@ -131,6 +131,12 @@ def union_sources(flat: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def reject_counts(unified: DataFrame) -> DataFrame:
+    """Rows per source and how many of them the null rule rejects (of rows flattened with ``drop_null=False``)."""
+    bad = F.col("response").isNull() | F.col("context")[0].isNull()
+    return unified.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("rejected"))
+
+
 def source_counts(unified: DataFrame) -> DataFrame:
     """A1: rows per source and the running total after each (a window over <= 5 rows)."""
     c = unified.groupBy("source", "source_ord").agg(F.count(F.lit(1)).alias("n"))

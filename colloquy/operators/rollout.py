@@ -2,19 +2,23 @@
 
 Each step joins every live sequence's last token to the filtered next-token table
 (G2-G5 precomputed once, with cumulative bounds per context), draws with the keyed
-uniform (G6) as a range condition on that equi-join, appends, and applies the stop
-rule (G7).  The driver loop only launches jobs; lineage is cut with ``checkpoint()``
-into the cluster's checkpoint folder every few steps.
+uniform (G6) inside the context's bounds, appends, and applies the stop rule (G7).
+The driver loop only launches jobs; lineage is cut with ``checkpoint()`` into the
+cluster's checkpoint folder every few steps.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.functions.text import count_char, keyed_uniform
 from colloquy.operators import scoring
+from colloquy.operators.scoring import strip_prompt
+from colloquy.operators.tokens import tokenize
 from colloquy.session import checkpoint_dir
 
 
@@ -30,35 +34,53 @@ def draw_table(counts: DataFrame, t: float = config.TEMPERATURE, k: int = config
     return d.select("ctx", "token", "lo", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("hi")).alias("hi"))
 
 
-def rollout(prompts: DataFrame, counts: DataFrame, steps: int = 3, t: float = config.TEMPERATURE,
-            k: int = config.TOP_K, p: float = config.TOP_P, seed: int = config.SEED,
-            eos_token: str | None = config.EOS_TOKEN, newline_budget: int = config.NEWLINE_BUDGET,
-            checkpoint_every: int = 4) -> DataFrame:
-    """``prompts(prompt_id, tokens)`` -> generated rows ``(prompt_id, pos, token)``.
+def generate(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_MAX_TOKENS, t: float = config.TEMPERATURE,
+             k: int = config.TOP_K, p: float = config.TOP_P, seed: int = config.SEED,
+             eos_token: str | None = config.EOS_TOKEN, newline_budget: int = config.NEWLINE_BUDGET,
+             checkpoint_every: int = 10) -> DataFrame:
+    """``prompts(prompt_id, tokens)`` -> one row per prompt, ``(prompt_id, gen)``: its generated tokens.
+
+    A sequence stops at eos, when its generated newlines exceed the budget (the stopping token is kept), after
+    ``steps`` tokens, or when its last token never occurs as a context (it then ends with a null).
 
-    A sequence stops at eos, when its generated newlines exceed the budget (the stopping token
-    is kept), after ``steps`` tokens, or when its last token never occurs as a context.
+    The draw table is stored once, one row per context.  A sequence is one row that carries its tokens (at
+    most ``steps``), so a step is one join and the plan is a chain.  Every ``checkpoint_every`` steps the
+    rows are stored and ended sequences leave the loop; until then they join under a key of their own.
     """
-    spark = prompts.sparkSession
-    table = draw_table(counts, t, k, p)
-    live = prompts.select("prompt_id", F.element_at("tokens", -1).alias("last"), F.lit(0).alias("nl"))
-    out = None
+    checkpoint_dir(prompts.sparkSession)
+    table = (draw_table(counts, t, k, p).groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi", "token")).alias("_draws"))
+             .checkpoint(eager=True))
+    idle = F.concat(F.lit("\0"), F.col("prompt_id").cast("string"))        # no token holds this key
+    live = prompts.select("prompt_id", F.get("tokens", F.size("tokens") - 1).alias("_last"), F.lit(0).alias("_nl"),
+                          F.array().cast("array<string>").alias("gen"), F.lit(False).alias("_done"))
+    ended = []
     for step in range(steps):
         u = keyed_uniform(F.lit(str(seed)), F.lit(str(step)), F.col("prompt_id").cast("string"))
-        cand = live.withColumn("_u", u).join(table, F.col("last") == F.col("ctx"))
-        nxt = cand.filter((F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).select(
-            "prompt_id", F.lit(step).cast("bigint").alias("pos"), "token",
-            (F.col("nl") + count_char("token", "\n")).alias("nl"))
-        if checkpoint_every and (step + 1) % checkpoint_every == 0:
-            checkpoint_dir(spark)
-            nxt = nxt.checkpoint(eager=True)
-        gen = nxt.select("prompt_id", "pos", "token")
-        out = gen if out is None else out.unionByName(gen)
-        stop = (F.col("nl") > newline_budget)
+        d = live.select("*", u.alias("_u"), F.when(F.col("_done") | F.col("_last").isNull(), idle)
+                        .otherwise(F.col("_last")).alias("_key"))
+        d = d.join(table, d["_key"] == table["ctx"], "left").withColumn("_tok", F.get(F.filter(
+            "_draws", lambda x: (F.col("_u") >= x["lo"]) & (F.col("_u") < x["hi"])), 0)["token"])
+        nl = F.col("_nl") + F.coalesce(count_char("_tok", "\n"), F.lit(0))
+        stop = F.col("_tok").isNull() | (nl > newline_budget)
         if eos_token:
-            stop = stop | (F.col("token") == eos_token)
-        live = nxt.filter(~stop).select("prompt_id", F.col("token").alias("last"), "nl")
-    return out
+            stop = stop | F.coalesce(F.col("_tok") == eos_token, F.lit(False))
+        live = d.select("prompt_id", F.col("_tok").alias("_last"), nl.alias("_nl"),
+                        F.when(F.col("_done"), F.col("gen")).otherwise(F.concat("gen", F.array("_tok"))).alias("gen"),
+                        (F.col("_done") | stop).alias("_done"))
+        if (step + 1) % checkpoint_every == 0 and step + 1 < steps:
+            live = live.checkpoint(eager=True)
+            ended.append(live.filter("_done").select("prompt_id", "gen"))
+            live = live.filter("not _done")
+            if live.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, [*ended, live.select("prompt_id", "gen")])
+
+
+def rollout(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_MAX_TOKENS, **kw) -> DataFrame:
+    """Generated rows ``(prompt_id, pos, token)``; see ``generate``.  A null token is the place where a
+    sequence met a context without any continuation."""
+    gen = generate(prompts, counts, steps=steps, **kw)
+    return gen.select("prompt_id", F.posexplode("gen").alias("pos", "token")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def generation_report(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_MAX_TOKENS,
@@ -66,15 +88,9 @@ def generation_report(prompts: DataFrame, counts: DataFrame, steps: int = config
     """Run a prompt table ``(prompt_id, prompt)`` and report ``(prompt_id, prompt, generated)``.
 
     ``generated`` is the decoded continuation only - the prompt is cut by character length as
-    the trainer's sampler does (G9); each prompt's tokens form one bounded group (<= steps).
+    the trainer's sampler does (G9).
     """
-    from colloquy.operators.tokens import tokenize
-    toks = tokenize(prompts, "prompt")
-    gen = rollout(toks.select("prompt_id", "tokens"), counts, steps=steps, **kw)
-    text = (gen.groupBy("prompt_id")
-               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))),
-                                             lambda s: s["token"]), "").alias("_cont")))
-    full = prompts.join(text, "prompt_id", "left").withColumn(
-        "_full", F.concat(F.col("prompt"), F.coalesce(F.col("_cont"), F.lit(""))))
-    return full.select("prompt_id", "prompt",
-                       F.expr("substring(_full, char_length(prompt) + 1)").alias("generated"))
+    gen = generate(tokenize(prompts, "prompt").select("prompt_id", "tokens"), counts, steps=steps, **kw)
+    full = prompts.join(gen, "prompt_id", "left").withColumn(
+        "_full", F.concat(F.col("prompt"), F.coalesce(F.array_join("gen", ""), F.lit(""))))
+    return strip_prompt(full, "_full", "prompt", "generated").select("prompt_id", "prompt", "generated")

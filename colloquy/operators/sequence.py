@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.ordering import global_positions, largest_group
+from colloquy.functions.ordering import global_positions, largest_group, range_positions
 
 # Largest vector table that is broadcast, in bytes; bigger ones take the shuffle path.
 BROADCAST_MAX_BYTES = 64 << 20
@@ -27,9 +27,8 @@ def embed_lookup(positions: DataFrame, embeddings: DataFrame, n_vectors: int | N
     (both ``mod n_vectors``); element-wise add with ``zip_with``.  Vectors are addressed by
     their rank of ``vec_id``, so gaps in the ids lose nothing; null ids address no vector.  The
     embedding table is broadcast only after its size is checked."""
-    emb = embeddings.filter("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    emb = global_positions(emb, F.floor(F.col("vec_id") / 65536), ["vec_id"], pos_col="_slot").select(
-        F.col("_slot").alias("vec_id"), "v")
+    emb = range_positions(embeddings.filter("vec_id is not null").select("vec_id", "embedding"), ["vec_id"], pos_col="_slot")
+    emb = emb.select(F.col("_slot").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     emb_j, n = small_side(emb, "v")
     n = n_vectors or n
     d = positions.withColumn("_tv", F.pmod(F.col(id_col), F.lit(n))).withColumn("_pv", F.pmod(F.col(pos_col), F.lit(n)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy import config
-from colloquy.functions.ordering import global_positions
+from colloquy.functions.ordering import range_partitions, range_positions
 from colloquy.functions.text import pretokens
 
 
@@ -46,15 +47,13 @@ def shift_pairs(df: DataFrame, col: str = "tokens") -> DataFrame:
 def build_vocab(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     """K2: frequency-ranked ids ``(token, token_id, freq)``; ties broken by the token's bytes.
 
-    Runs on distinct tokens only; the global rank uses the two-phase bucket form with
-    buckets ``(freq, first two characters)``, which are monotone in the order
-    ``(freq desc, token asc)`` (code-point order of a prefix agrees with byte order), so no
-    window holds all tokens - not even all rare tokens - in one task.
+    Runs on distinct tokens only; ids are positions in a range partitioning of ``(freq desc, token)``
+    (code-point order agrees with byte order), so no window holds all tokens and no crowded prefix
+    or frequency makes one large task.
     """
     counts = (explode_items(tokens, col, "token")
                     .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    bucket = F.struct((-F.col("freq")).alias("nf"), F.substring("token", 1, 2).alias("c"))
-    ranked = global_positions(counts, bucket, [F.desc("freq"), F.asc("token")], pos_col="token_id")
+    ranked = range_positions(counts, [F.desc("freq"), F.asc("token")], pos_col="token_id")
     return ranked.select("token", "token_id", "freq")
 
 
@@ -116,48 +115,34 @@ def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col
         for name, m in {"n_cached": min_tokens, **(more or {})}.items()])
 
 
-def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, chunk_rows: int = 65536,
-              keys_per_super: int = 4096) -> DataFrame:
+def lazy_fill(df: DataFrame, key: str, seq: str, valid_col: str, carry_cols, parts: int | None = None) -> DataFrame:
     """K9: a too-short row is replaced by the next valid row in dataset order ``(key, seq)``,
     wrapping to the first valid row at the end.  Fails at action time if no row is valid.
 
-    Three levels, so no window holds more than a chunk, a super-chunk's chunk summaries, or
-    the (tiny) super-chunk table:
-      rows     chunks ``(key, seq div chunk_rows)`` - monotone in the order, a hot key split -
-               filled inside by a reversed running ``last_value`` (linear, no following frame);
-      chunks   each takes the first valid row of the next chunk that has one, inside its
-               super-chunk ``key div keys_per_super`` (``key`` numeric);
-      supers   otherwise the first valid row of the next super-chunk, else the global first
-               valid row (the wrap).
+    The rows are range-partitioned by the order (a hot key spans several parts).  Inside a part a reversed
+    running ``last_value`` fills linearly; past its end the first valid row of the next part that
+    has one follows, which takes one small row a part on the driver.
     """
     carry_cols = list(carry_cols)
-    payload = F.struct(*[F.col(c) for c in carry_cols])
-    d = (df.withColumn("_chunk", F.struct(F.col(key).alias("k"), F.floor(F.col(seq) / chunk_rows).alias("c")))
-           .withColumn("_own", F.when(F.col(valid_col), payload)))
-    rev = Window.partitionBy("_chunk").orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_next_in", F.last("_own", ignorenulls=True).over(rev))
-    chunks = d.groupBy("_chunk").agg(
-        F.min(F.when(F.col(valid_col), F.struct(F.col(seq).alias("_s"), payload.alias("_p")))).alias("_f"))
-    chunks = chunks.select("_chunk", F.col("_f._p").alias("_first"),
-                           F.floor(F.col("_chunk.k") / keys_per_super).alias("_super"))
-    after = Window.partitionBy("_super").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_next_chunk", F.last("_first", ignorenulls=True).over(after))
-    supers = chunks.groupBy("_super").agg(
-        F.min(F.when(F.col("_first").isNotNull(), F.struct(F.col("_chunk").alias("_c"), F.col("_first").alias("_p"))))
-        .alias("_sf")).select("_super", F.col("_sf._p").alias("_sfirst"))
-    s_after = Window.orderBy(F.desc("_super")).rowsBetween(Window.unboundedPreceding, -1)
-    s_whole = Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    supers = supers.select("_super",
-                           F.coalesce(F.last("_sfirst", ignorenulls=True).over(s_after),
-                                      F.first("_sfirst", ignorenulls=True).over(s_whole)).alias("_snext"))
-    chunks = chunks.join(supers, "_super").select("_chunk", F.coalesce("_next_chunk", "_snext").alias("_after"))
-    filled = d.join(chunks, "_chunk", "left").withColumn(
+    spark = df.sparkSession
+    own = F.when(F.col(valid_col), F.struct(*[F.col(c) for c in carry_cols]))
+    d = range_partitions(df.withColumn("_own", own), [key, seq], parts)
+    firsts = d.groupBy("_part").agg(
+        F.min_by("_own", F.when(F.col("_own").isNotNull(), F.col("_row"))).alias("_own")).collect()
+    firsts = sorted(((r["_part"], r["_own"]) for r in firsts), key=lambda r: r[0])
+    nxt = next((own for _, own in firsts if own is not None), None)          # the wrap
+    after = []
+    for part, first in reversed(firsts):
+        after.append((part, nxt))
+        nxt = first if first is not None else nxt
+    schema = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_after", d.schema["_own"].dataType)])
+    rev = Window.partitionBy("_part").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = d.withColumn("_next_in", F.last("_own", ignorenulls=True).over(rev)).join(
+        F.broadcast(spark.createDataFrame(after, schema)), "_part").withColumn(
         "_src", F.coalesce("_next_in", "_after", F.raise_error(F.lit("lazy_fill: no row is long enough"))))
     return filled.select(*df.columns, *[F.col(f"_src.{c}").alias(f"src_{c}") for c in carry_cols])
 
 
-
-
 def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """K7: pre-tokenize once and keep the result - write the token table as Parquet and read it
     back, so later epochs (and a lost executor) never re-tokenize or recompute the lineage."""

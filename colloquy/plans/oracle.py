@@ -110,7 +110,7 @@ vocab AS (
 
 NEIGH = """
 cl AS (
-  SELECT conv_id, turn, role, text, conv_id * 1000000 + turn AS row_key,
+  SELECT conv_id, turn, role, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS row_key,
          lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text,
          lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
@@ -127,7 +127,7 @@ ambig AS (
   WHERE role = 'assistant' AND prev_role = 'user'
 ),
 wiki AS (
-  SELECT d.doc_id AS row_key, 0::BIGINT AS branch, 0::BIGINT AS pos1, 0::BIGINT AS pos2,
+  SELECT d.doc_id::VARCHAR AS row_key, 0::BIGINT AS branch, 0::BIGINT AS pos1, 0::BIGINT AS pos2,
          'User: ' || split_part(d.text, chr(10), 1) AS context, 'Assistant: ' || d.text AS response
   FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1
 ),
@@ -421,34 +421,79 @@ rec AS (
 )
 SELECT event_id, user_id, round(h, 6) AS state FROM rec"""
 
-ORACLE["rollout"] = f"""WITH RECURSIVE {EXAMPLES},
+U = "('0x' || substring(md5('42:' || {pos} || ':' || {id}::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
+U0, U1 = U.format(pos="'0'", id="p.prompt_id"), U.format(pos="(g.pos + 1)::VARCHAR", id="g.prompt_id")
+GENERATED = f"""
 cdf AS (
   SELECT ctx, token, logit,
          sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
          row_number() OVER (PARTITION BY ctx ORDER BY logit ASC, token DESC) AS from_end
   FROM topp
 ),
-draw AS (
+draw AS MATERIALIZED (
   SELECT ctx, token,
          coalesce(lag(cum) OVER (PARTITION BY ctx ORDER BY logit DESC, token), 0) AS lo,
          CASE WHEN from_end = 1 THEN 'inf'::DOUBLE ELSE cum END AS hi
   FROM cdf
 ),
-prompts AS (
-  SELECT conv_id AS prompt_id,
-         regexp_extract_all('User: ' || arg_min(text, turn) || chr(10) || 'Assistant:', {PRETOKEN})[-1] AS last
+prompts AS MATERIALIZED (
+  SELECT conv_id AS prompt_id, 'User: ' || arg_min(text, turn) || chr(10) || 'Assistant:' AS prompt
   FROM conversations WHERE role = 'user' GROUP BY conv_id
 ),
 gen(prompt_id, pos, token, nl) AS (
-  SELECT p.prompt_id, 0::BIGINT, d.token, length(d.token) - length(replace(d.token, chr(10), ''))
-  FROM prompts p JOIN draw d ON d.ctx = p.last
-  WHERE ('0x' || substring(md5('42:0:' || p.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 >= d.lo
-    AND ('0x' || substring(md5('42:0:' || p.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < d.hi
+  SELECT p.prompt_id, 0::BIGINT, d.token, coalesce(length(d.token) - length(replace(d.token, chr(10), '')), 0)
+  FROM prompts p LEFT JOIN draw d ON d.ctx = regexp_extract_all(p.prompt, {PRETOKEN})[-1] AND {U0} >= d.lo AND {U0} < d.hi
   UNION ALL
-  SELECT g.prompt_id, g.pos + 1, d.token, g.nl + length(d.token) - length(replace(d.token, chr(10), ''))
-  FROM gen g JOIN draw d ON d.ctx = g.token
-  WHERE g.pos + 1 < 3 AND g.nl <= 3 AND g.token <> '<|endoftext|>'
-    AND ('0x' || substring(md5('42:' || (g.pos + 1)::VARCHAR || ':' || g.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 >= d.lo
-    AND ('0x' || substring(md5('42:' || (g.pos + 1)::VARCHAR || ':' || g.prompt_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 < d.hi
+  SELECT g.prompt_id, g.pos + 1, d.token, g.nl + coalesce(length(d.token) - length(replace(d.token, chr(10), '')), 0)
+  FROM (SELECT * FROM gen WHERE pos + 1 < 50 AND nl <= 3 AND token <> '<|endoftext|>') g
+  LEFT JOIN draw d ON d.ctx = g.token AND {U1} >= d.lo AND {U1} < d.hi
 )
-SELECT prompt_id, pos, token FROM gen"""
+"""
+ORACLE["rollout"] = f"WITH RECURSIVE {EXAMPLES}, {GENERATED} SELECT prompt_id, pos, token FROM gen"
+ORACLE["generation_report"] = f"""WITH RECURSIVE {EXAMPLES}, {GENERATED}
+SELECT prompt_id, prompt, coalesce(cont, '') AS generated FROM prompts
+LEFT JOIN (SELECT prompt_id, string_agg(token, '' ORDER BY pos) AS cont FROM gen GROUP BY prompt_id) USING (prompt_id)"""
+
+ORACLE["special_ids"] = f"""WITH {DOC_VOCAB},
+n AS (SELECT count(*)::BIGINT AS n FROM doc_vocab)
+SELECT false AS has_pad, false AS has_eos, n + 1 AS vocab_size, -1::BIGINT AS eos_id, n AS pad_id FROM n
+UNION ALL SELECT false, true, n + 1, n, n FROM n
+UNION ALL SELECT true, false, n + 1, -1, n FROM n
+UNION ALL SELECT true, true, n + 2, n, n + 1 FROM n"""
+
+ORACLE["batch_export"] = f"""WITH {EXAMPLES}
+SELECT epoch::BIGINT AS epoch, batch_idx::BIGINT AS batch_idx, sum(padded_len)::BIGINT AS cells, sum(attention_len)::BIGINT AS real,
+       sum(list_sum(list_transform(labels, lambda x: length(x))))::BIGINT AS label_sum
+FROM batches GROUP BY epoch, batch_idx"""
+
+# --- files and split forms ----------------------------------------------------------------------
+ORACLE["jsonl_files"] = ORACLE["jsonl_validate"]
+ORACLE["corpus_files"] = f"""WITH {EXAMPLES}
+SELECT len(context)::BIGINT AS n_ctx, array_to_string(context, chr(10)) AS context_text, response FROM ex0"""
+ORACLE["qa_files"] = f"""WITH {NEIGH}
+SELECT source, source_ord, (right(row_key, 1)::INT % 2)::BIGINT AS split_ord, context, response FROM qa_all"""
+ORACLE["qa_reject_counts"] = f"""WITH {NEIGH}
+SELECT source, count(*)::BIGINT AS n, count(*) FILTER (WHERE context IS NULL OR response IS NULL)::BIGINT AS rejected
+FROM qa_all GROUP BY source"""
+ORACLE["metrics_document"] = ORACLE["metrics_rows"]
+ORACLE["long_examples"] = """
+WITH l AS (
+  SELECT conv_id * 1000000 + turn AS turn, role, upper(role[1]) || lower(role[2:]) || ': ' || text AS line,
+         row_number() OVER (ORDER BY conv_id, turn) AS rn FROM conversations
+),
+h AS (SELECT list(line ORDER BY rn) AS head FROM l WHERE rn <= 448)
+SELECT turn, least(rn - 1, 448)::BIGINT AS n_ctx, md5(array_to_string(head[1:least(rn - 1, 448)], chr(10))) AS context_md5, line AS response
+FROM l, h WHERE role = 'assistant'"""
+LONG = f"""{LOG},
+one AS (SELECT conv_id * 1000000 + turn AS turn, kind, temp_value, tokens_value FROM cls2)"""
+ORACLE["long_cut"] = f"""WITH {LONG}
+SELECT turn, kind FROM one WHERE turn < coalesce((SELECT min(turn) FROM one WHERE kind = 'quit'), 9223372036854775807)"""
+ORACLE["long_segments"] = f"""WITH {LONG}
+SELECT turn, kind, (sum(CASE WHEN kind = 'clear' THEN 1 ELSE 0 END) OVER w)::BIGINT AS segment_id,
+       coalesce(last_value(temp_value IGNORE NULLS) OVER w, 0.8) AS temperature,
+       coalesce(last_value(tokens_value IGNORE NULLS) OVER w, 200)::BIGINT AS max_tokens
+FROM one WINDOW w AS (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+ORACLE["long_fir"] = """
+SELECT event_id, round(0.5 + 0.1 * lag(value, 3, 0) OVER w + 0.2 * lag(value, 2, 0) OVER w + 0.3 * lag(value, 1, 0) OVER w
+             + 0.4 * value, 6) AS y
+FROM events WINDOW w AS (ORDER BY ts, event_id)"""

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import config
@@ -18,7 +20,7 @@ from colloquy.operators import batching, convlog, qa, render, rollout, scoring,
 from colloquy.plans import standins, training
 from colloquy.plans.tables import table
 from colloquy.session import checkpoint_dir
-from colloquy.sources import jsonl, metrics
+from colloquy.sources import jsonl, metrics, qa_files
 
 REGISTRY: dict = {}
 
@@ -29,7 +31,6 @@ LOG_EVERY, SAVE_EVERY, TEST_EVERY = 5, 20, 10
 LAZY_MIN_TOKENS = 200          # K9 stand-in minimum so that some rows are "too short"
 DECAY_PER_SECOND = 1.0 / 3600.0
 FIR_WEIGHTS, FIR_BIAS = (0.1, 0.2, 0.3, 0.4), 0.5
-ROLLOUT_STEPS = 3
 
 
 def query(name):
@@ -54,6 +55,11 @@ def _once(df):
     return df.checkpoint(eager=True)
 
 
+def _folder(spark, what):
+    """A new folder below the shared checkpoint folder; it goes with that folder."""
+    return os.path.join(checkpoint_dir(spark), f"{what}-{uuid.uuid4().hex}")
+
+
 def _hash_tokens(c):
     return F.md5(F.array_join(F.col(c), SEP))
 
@@ -66,21 +72,43 @@ def q_jsonl_validate(spark, sf):
     return jsonl.reason_counts(c)
 
 
+@query("jsonl_files")
+def q_jsonl_files(spark, sf):
+    """S1 -> S2 -> S3 over text files."""
+    path = _folder(spark, "lines")
+    standins.jsonl_lines(_conv(spark, sf)).select("value").write.text(path)
+    return jsonl.reason_counts(jsonl.classify_lines(jsonl.read_lines(spark, path)))
+
+
+@query("corpus_files")
+def q_corpus_files(spark, sf):
+    """S9 -> S1 -> S2: the example corpus written as JSON lines, read back and validated."""
+    path = _folder(spark, "corpus")
+    jsonl.write_corpus_jsonl(render.conversation_examples(_conv(spark, sf)), path)
+    valid, _ = jsonl.validate_jsonl(jsonl.read_lines(spark, path))
+    return valid.select(F.size("context").cast("bigint").alias("n_ctx"), F.array_join("context", "\n").alias("context_text"), "response")
+
+
 # --- P1-P11, U1-U2, A1 --------------------------------------------------------------------
 
 def _flat_out(df):
     return df.select("row_key", "branch", "pos1", "pos2", F.col("context")[0].alias("context"), "response")
 
 
-def _flat(spark, sf):
+def _sources(spark, sf):
     conv = _conv(spark, sf)
-    return {
-        "ambig": qa.qa_ambig(standins.ambig_source(conv)),
-        "wiki": qa.qa_wiki(standins.wiki_source(table(spark, sf, "documents"), table(spark, sf, "labels"))),
-        "truthful": qa.qa_truthful(standins.truthful_source(conv)),
-        "squad": qa.qa_first_answer(standins.squad_source(conv), on_empty="drop"),
-        "instruct": qa.qa_instruct(standins.instruct_source(conv)),
-    }
+    return {"ambig": standins.ambig_source(conv),
+            "wiki": standins.wiki_source(table(spark, sf, "documents"), table(spark, sf, "labels")),
+            "truthful": standins.truthful_source(conv), "squad": standins.squad_source(conv),
+            "instruct": standins.instruct_source(conv)}
+
+
+def _flatten(sources, **kw):
+    return {name: qa.FLATTEN[name](df, **kw, **({"on_empty": "drop"} if name == "squad" else {})) for name, df in sources.items()}
+
+
+def _flat(spark, sf):
+    return _flatten(_sources(spark, sf))
 
 
 @query("qa_ambig")
@@ -115,6 +143,25 @@ def q_qa_union(spark, sf):
                     F.col("context")[0].alias("context"), "response")
 
 
+@query("qa_files")
+def q_qa_files(spark, sf):
+    """S4-S8 + U1: every source written as files of two splits, read through its reader, flattened and united."""
+    read = {}
+    for name, df in _sources(spark, sf).items():
+        paths = [_folder(spark, f"qa-{name}-{i}") for i in (0, 1)]
+        split = F.right("row_key", F.lit(1)).cast("int") % 2
+        for i, path in enumerate(paths):
+            df.filter(split == i).drop("row_key").write.json(path)
+        read[name] = qa_files.read_source(spark, name, paths, "json").withColumn("split_ord", F.col("split_ord").cast("bigint"))
+    u = qa.union_sources(_flatten(read, key="split_ord"))
+    return u.select("source", "source_ord", F.col("row_key").alias("split_ord"), F.col("context")[0].alias("context"), "response")
+
+
+@query("qa_reject_counts")
+def q_qa_reject_counts(spark, sf):
+    return qa.reject_counts(qa.union_sources(_flatten(_sources(spark, sf), drop_null=False)))
+
+
 @query("source_counts")
 def q_source_counts(spark, sf):
     return qa.source_counts(qa.union_sources(_flat(spark, sf))).select(
@@ -146,7 +193,7 @@ def q_tokenize(spark, sf):
 
 
 def _doc_vocab(spark, sf, once=False):
-    d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
     if once:
         d = _once(d)
     return d, tokens.build_vocab(d)
@@ -165,24 +212,30 @@ def q_shift_pairs(spark, sf):
                      _hash_tokens("input_ids").alias("input_md5"), _hash_tokens("labels").alias("labels_md5"))
 
 
-def _tokenized_examples(conv, max_seq_len=config.TRAIN_MAX_SEQ_LEN):
-    ex = render.render_text(render.conversation_examples(conv))
-    return tokens.truncate(tokens.tokenize(ex, "full_text"), max_seq_len)
-
-
 @query("dataset_sizes")
 def q_dataset_sizes(spark, sf):
-    t = _tokenized_examples(_conv(spark, sf))
+    t = training.token_table(_conv(spark, sf))
     return tokens.dataset_sizes(t, config.MIN_TOKENS, more={"n_cached_min200": LAZY_MIN_TOKENS})
 
 
 @query("lazy_fill")
 def q_lazy_fill(spark, sf):
-    t = _tokenized_examples(_conv(spark, sf)).withColumn("valid", F.size("tokens") >= LAZY_MIN_TOKENS)
-    f = tokens.lazy_fill(t.select("conv_id", "turn", "valid"), "conv_id", "turn", "valid", ["conv_id", "turn"])
+    t = training.token_table(_conv(spark, sf)).select("conv_id", "turn", (F.size("tokens") >= LAZY_MIN_TOKENS).alias("valid"))
+    f = tokens.lazy_fill(t, "conv_id", "turn", "valid", ["conv_id", "turn"])
     return f.select("conv_id", "turn", "src_conv_id", "src_turn")
 
 
+@query("special_ids")
+def q_special_ids(spark, sf):
+    """K3 on the document vocabulary, in all four cases of existing pad and eos tokens."""
+    v = _once(_doc_vocab(spark, sf)[1].select("token"))
+    cases = [(p, e) for p in (False, True) for e in (False, True)]
+    return reduce(DataFrame.unionByName, [
+        tokens.special_ids(v, has_pad=p, has_eos=e).select(F.lit(p).alias("has_pad"), F.lit(e).alias("has_eos"),
+                                                           "vocab_size", F.coalesce("eos_id", F.lit(-1).cast("bigint")).alias("eos_id"), "pad_id")
+        for p, e in cases])
+
+
 @query("detokenize")
 def q_detokenize(spark, sf):
     d, v = _doc_vocab(spark, sf, once=True)
@@ -234,7 +287,7 @@ def q_padded_batches(spark, sf):
 
 @query("batch_stats")
 def q_batch_stats(spark, sf):
-    b = training.training_batches(_conv(spark, sf))
+    b = _batches(training.training_examples(_conv(spark, sf)))
     return batching.batch_stats(b).select(
         F.col("epoch").cast("bigint").alias("epoch"), "n_batches", F.col("n_rows").cast("bigint").alias("n_rows"),
         "padded_cells", "real_cells")
@@ -242,8 +295,20 @@ def q_batch_stats(spark, sf):
 
 # --- A2, T1-T4, A3-A5, N1 -----------------------------------------------------------------------
 
-def _batches(spark, sf):
-    return training.training_batches(_conv(spark, sf))
+def _batches(examples):
+    return training.training_batches(examples)
+
+
+@query("batch_export")
+def q_batch_export(spark, sf):
+    """Padded batches through the Arrow hook: one row a batch with its shape and a checksum of its cells."""
+    ex = training.training_examples(_conv(spark, sf)).select(
+        "conv_id", "turn", *[F.transform(c, F.char_length).alias(c) for c in ("input_ids", "labels")])
+    ordered = batching.epoch_order(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+    p = batching.pad_batches(batching.assign_batches(ordered, config.BATCH_SIZE))
+    p = p.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", "slot", "attention_len", "padded_len", "input_ids", "labels")
+    out = batching.export_batches(p, training.cell_sums, "epoch bigint, batch_idx bigint, cells bigint, real bigint, label_sum bigint")
+    return out.groupBy("epoch", "batch_idx").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("cells", "real", "label_sum")])
 
 
 @query("run_plan")
@@ -251,31 +316,34 @@ def q_run_plan(spark, sf):
     return steps.run_plan(training.training_examples(_conv(spark, sf)))
 
 
+def _step_map(examples):
+    return steps.step_map(_batches(examples), config.ACCUMULATION_STEPS, config.EPOCHS)
+
+
 @query("step_map")
 def q_step_map(spark, sf):
-    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
+    sm = _step_map(training.training_examples(_conv(spark, sf)))
     # -1 marks "never applied" (NULL in the operator) so both engines type the column BIGINT
     return sm.withColumn("consumed_by_step", F.coalesce("consumed_by_step", F.lit(-1).cast("bigint")))
 
 
-def _updates(spark, sf):
-    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
-    return sm.filter("is_update").select(F.col("step_after").alias("step"))
+def _updates(examples):
+    return _step_map(examples).filter("is_update").select(F.col("step_after").alias("step"))
 
 
 @query("step_events")
 def q_step_events(spark, sf):
-    return steps.step_events(_updates(spark, sf), LOG_EVERY, SAVE_EVERY, TEST_EVERY)
+    return steps.step_events(_updates(training.training_examples(_conv(spark, sf))), LOG_EVERY, SAVE_EVERY, TEST_EVERY)
 
 
-def _total_steps(spark, sf):
-    return steps.run_plan(training.training_examples(_conv(spark, sf))).select("total_steps")
+def _total_steps(examples):
+    return steps.run_plan(examples).select("total_steps")
 
 
 @query("lr_plan")
 def q_lr_plan(spark, sf):
-    u = _updates(spark, sf)
-    return u.select("step", _r(steps.lr_at("step", _total_steps(spark, sf).scalar()), 12).alias("lr"))
+    ex = training.training_examples(_conv(spark, sf))
+    return _updates(ex).select("step", _r(steps.lr_at("step", _total_steps(ex).scalar()), 12).alias("lr"))
 
 
 @query("next_token")
@@ -284,32 +352,28 @@ def q_next_token(spark, sf):
     return scoring.next_token_counts(ex).select("ctx", "token", F.col("n").cast("bigint").alias("n"))
 
 
-def _batch_loss(spark, sf):
-    conv = _conv(spark, sf)
-    ex = training.training_examples(conv)
-    counts = scoring.next_token_counts(ex)
-    b = batching.assign_batches(batching.epoch_order(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS))
-    return scoring.batch_loss(b, counts)
+def _batch_loss(examples):
+    ordered = batching.epoch_order(examples, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+    return scoring.batch_loss(batching.assign_batches(ordered), scoring.next_token_counts(examples))
 
 
 @query("batch_loss")
 def q_batch_loss(spark, sf):
-    bl = _batch_loss(spark, sf)
+    bl = _batch_loss(training.training_examples(_conv(spark, sf)))
     return bl.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", _r("loss").alias("loss"),
                      _r("scaled_loss").alias("scaled_loss"), "n_positions")
 
 
 @query("epoch_loss")
 def q_epoch_loss(spark, sf):
-    el = steps.epoch_loss(_batch_loss(spark, sf))
+    el = steps.epoch_loss(_batch_loss(training.training_examples(_conv(spark, sf))))
     return el.select(F.col("epoch").cast("bigint").alias("epoch"), _r("epoch_loss").alias("epoch_loss"),
                      F.col("n_batches").cast("bigint").alias("n_batches"))
 
 
 def _metrics(spark, sf):
-    sm = steps.step_map(_batches(spark, sf), config.ACCUMULATION_STEPS, config.EPOCHS)
-    return steps.metrics_log(sm, _batch_loss(spark, sf), total_steps=_total_steps(spark, sf).scalar(),
-                             log_interval=LOG_EVERY)
+    ex = training.training_examples(_conv(spark, sf))
+    return steps.metrics_log(_step_map(ex), _batch_loss(ex), total_steps=_total_steps(ex).scalar(), log_interval=LOG_EVERY)
 
 
 @query("metrics_log")
@@ -322,12 +386,21 @@ def q_metrics_log(spark, sf):
 @query("metrics_rows")
 def q_metrics_rows(spark, sf):
     """S10 round trip: logged metrics written as JSON rows to the shared checkpoint folder, read back."""
-    path = os.path.join(checkpoint_dir(spark), f"metrics-{uuid.uuid4().hex}")
+    path = _folder(spark, "metrics")
     metrics.write_metrics_rows(_metrics(spark, sf), path)
     r = metrics.read_metrics_rows(spark, path)
     return r.select("step", _r("train_loss").alias("train_loss"), _r("lr", 12).alias("lr"), "mem_gb")
 
 
+@query("metrics_document")
+def q_metrics_document(spark, sf):
+    """The logged metrics as the trainer's document of parallel lists, read back as rows."""
+    path = _folder(spark, "metrics")
+    metrics.write_metrics_json(_metrics(spark, sf), path)
+    r = metrics.read_metrics_json(spark, path)
+    return r.select("step", _r("train_loss").alias("train_loss"), _r("lr", 12).alias("lr"), "mem_gb")
+
+
 # --- G1-G7, G9 ----------------------------------------------------------------------------------
 
 def _counts(spark, sf):
@@ -360,8 +433,10 @@ def q_sample_token(spark, sf):
 
 @query("tail_context")
 def q_tail_context(spark, sf):
-    ex = tokens.tokenize(render.render_text(render.conversation_examples(_conv(spark, sf))), "full_text")
-    t = scoring.tail_context(ex, config.TRAIN_MAX_SEQ_LEN, "tokens", "ctx_tokens")
+    # a line is two tokens at least and starts a token, so the last n lines hold the last n tokens
+    n = config.TRAIN_MAX_SEQ_LEN
+    ex = tokens.tokenize(render.render_text(render.conversation_examples(_conv(spark, sf), max_turns=n)), "full_text")
+    t = scoring.tail_context(ex, n, "tokens", "ctx_tokens")
     return t.select("conv_id", "turn", F.size("ctx_tokens").cast("bigint").alias("n_tail"),
                     _hash_tokens("ctx_tokens").alias("tail_md5"))
 
@@ -381,15 +456,22 @@ def q_strip_prompt(spark, sf):
     return scoring.strip_prompt(ex).select("conv_id", "turn", "reply")
 
 
+def _first_prompts(spark, sf):
+    conv = _conv(spark, sf)
+    return (conv.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("f"))
+                .select(F.col("conv_id").alias("prompt_id"),
+                        F.concat(F.lit(config.USER_PREFIX), F.col("f.text"), F.lit(config.PROMPT_SUFFIX)).alias("prompt")))
+
+
 @query("rollout")
 def q_rollout(spark, sf):
-    conv = _conv(spark, sf)
-    first_user = (conv.filter(F.col("role") == "user").groupBy("conv_id")
-                      .agg(F.min(F.struct("turn", "text")).alias("f"))
-                      .select(F.col("conv_id").alias("prompt_id"),
-                              F.concat(F.lit(config.USER_PREFIX), F.col("f.text"), F.lit(config.PROMPT_SUFFIX)).alias("prompt")))
-    prompts = tokens.tokenize(first_user, "prompt")
-    return rollout.rollout(prompts, _counts(spark, sf), steps=ROLLOUT_STEPS)
+    prompts = tokens.tokenize(_first_prompts(spark, sf), "prompt")
+    return rollout.rollout(prompts, _counts(spark, sf), steps=config.SAMPLER_MAX_TOKENS)
+
+
+@query("generation_report")
+def q_generation_report(spark, sf):
+    return rollout.generation_report(_first_prompts(spark, sf), _counts(spark, sf), steps=config.SAMPLER_MAX_TOKENS)
 
 
 # --- C1-C8 ----------------------------------------------------------------------------------------
@@ -476,3 +558,34 @@ def q_decayed_state(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
     s = sequence.decayed_state(ev, DECAY_PER_SECOND)
     return s.select("event_id", "user_id", _r("state", 6).alias("state"))
+
+
+# --- split forms of hot keys: the whole table is one key ---------------------------------------------
+
+@query("long_examples")
+def q_long_examples(spark, sf):
+    conv = standins.one_key(_conv(spark, sf), "conv_id", "turn")
+    ex = render.conversation_examples_head(conv, config.TRAIN_MAX_SEQ_LEN, hot_rows=None)
+    return ex.select("turn", F.size("context").cast("bigint").alias("n_ctx"),
+                     F.md5(F.array_join("context", "\n")).alias("context_md5"), "response")
+
+
+def _long_log(spark, sf):
+    return standins.one_key(convlog.classify_inputs(convlog.clean_inputs(_log(spark, sf))), "conv_id", "turn")
+
+
+@query("long_cut")
+def q_long_cut(spark, sf):
+    return convlog.cut_after_quit(_long_log(spark, sf), split=True).select("turn", "kind")
+
+
+@query("long_segments")
+def q_long_segments(spark, sf):
+    d = convlog.carry_settings(convlog.segments(_long_log(spark, sf), split=True), split=True)
+    return d.select("turn", "kind", "segment_id", "temperature", "max_tokens")
+
+
+@query("long_fir")
+def q_long_fir(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", F.lit(0).cast("bigint").alias("user_id"), "ts", "value")
+    return sequence.causal_fir(ev, FIR_WEIGHTS, FIR_BIAS, hot_rows=None).select("event_id", _r("y", 6).alias("y"))

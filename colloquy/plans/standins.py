@@ -17,7 +17,7 @@ def neighbours(conv: DataFrame) -> DataFrame:
     return (conv.select("conv_id", "turn", "role", "text")
                 .withColumn("prev_role", F.lag("role").over(_W)).withColumn("prev_text", F.lag("text").over(_W))
                 .withColumn("next_role", F.lead("role").over(_W)).withColumn("next_text", F.lead("text").over(_W))
-                .withColumn("row_key", F.col("conv_id") * 1000000 + F.col("turn")))
+                .withColumn("row_key", F.concat_ws(":", "conv_id", "turn")))
 
 
 def _lines(c):
@@ -40,7 +40,7 @@ def wiki_source(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents: question = first line, answer = the whole text, label = quality."""
     return (labels.select("doc_id", F.col("quality").alias("label"))
                   .join(documents.select("doc_id", "text"), "doc_id")
-                  .select(F.col("doc_id").alias("row_key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
+                  .select(F.col("doc_id").cast("string").alias("row_key"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
                           F.col("text").alias("answer"), "label"))
 
 
@@ -109,3 +109,8 @@ def chat_input_log(events: DataFrame) -> DataFrame:
     d = events.select("user_id", "ts", "event_id", raw.alias("raw"))
     d = global_positions(d, hour, ["ts", "event_id"], pos_col="turn", partition_cols=["user_id"])
     return d.select(F.col("user_id").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "raw")
+
+
+def one_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The whole table as one group: ``key`` is 0 for all rows and ``order`` follows ``(key, order)``."""
+    return df.withColumns({order: F.col(key) * 1_000_000 + F.col(order), key: F.lit(0).cast("bigint")})

@@ -18,6 +18,13 @@ def read_metrics_json(spark: SparkSession, path) -> DataFrame:
     return doc.select(F.inline(z))
 
 
+def write_metrics_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the document of parallel lists in step order: one value a list for each logged step."""
+    cols = {"steps": "step", "train_loss": "train_loss", "learning_rates": "lr", "memory_used": "mem_gb"}
+    doc = rows.agg(F.sort_array(F.collect_list(F.struct(*cols.values()))).alias("r"))
+    doc.select(*[F.col(f"r.{c}").alias(name) for name, c in cols.items()]).write.mode(mode).json(path)
+
+
 def write_metrics_rows(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write one JSON object per logged step (distributed; no single document)."""
     rows.select("step", "train_loss", "lr", "mem_gb").write.mode(mode).json(path)

@@ -16,4 +16,4 @@ def test_every_query_has_an_oracle():
 def test_rollout_runs(spark):
     out = E.queries()["rollout"](spark, SF001)
     rows = out.collect()
-    assert rows and {r.pos for r in rows} <= {0, 1, 2}
+    assert rows and {r.pos for r in rows} <= set(range(50)) and len({r.pos for r in rows}) > 10

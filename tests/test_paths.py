@@ -2,10 +2,12 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from colloquy.functions.ordering import running_aggs
-from colloquy.operators import convlog, render, scoring, sequence, tokens
+from colloquy.functions.ordering import range_positions, running_aggs
+from colloquy.operators import batching, convlog, qa, render, rollout, scoring, sequence, tokens
+from colloquy.sources import metrics
 
 
 def _rows(df):
@@ -76,3 +78,60 @@ def test_large_and_foreign_numbers(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "conv_id bigint, turn bigint, raw string")
     got = {r.turn: (r.kind, r.temp_value, r.tokens_value) for r in convlog.classify_inputs(convlog.clean_inputs(df)).collect()}
     assert got == {0: ("tokens_bad", None, None), 1: ("tokens", None, 12), 2: ("temp_bad", None, None), 3: ("temp", 0.5, None)}
+
+
+def test_range_positions_with_crowded_values(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 50 == 0 else rng.choice([1, 1, 1, 2, 3]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "f bigint, i bigint")
+    got = [(r.pos, r.i) for r in range_positions(df, [F.desc("f"), F.asc("i")], parts=7).orderBy("pos").collect()]
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == [(p, r[1]) for p, r in enumerate(want)]
+    assert range_positions(df.limit(0), ["i"]).count() == 0
+
+
+def test_no_single_partition_exchange(spark):
+    t = spark.createDataFrame([(i, [f"w{i % 9}", f" v{i}"]) for i in range(90)], "id bigint, tokens array<string>")
+    valid = spark.createDataFrame([(i, 0, i % 3 == 0) for i in range(30)], "conv_id bigint, turn bigint, valid boolean")
+    emb = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "vec_id bigint, embedding array<double>")
+    pos = spark.createDataFrame([(1, 1)], "token_id bigint, pos bigint")
+    for df in (tokens.build_vocab(t), tokens.lazy_fill(valid, "conv_id", "turn", "valid", ["turn"]), sequence.embed_lookup(pos, emb)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+
+
+def test_generate_stops_and_marks_unseen_contexts(spark):
+    counts = spark.createDataFrame([("a", "b", 1), ("b", "<|endoftext|>", 1), ("n", "\n", 1), ("\n", "n", 1), ("x", "y", 1)],
+                                   "ctx string, token string, n bigint")
+    prompts = spark.createDataFrame([(1, ["a"]), (2, ["n"]), (3, ["x"]), (4, []), (5, ["?"])], "prompt_id bigint, tokens array<string>")
+    for every in (2, 3, 50):
+        got = {r.prompt_id: r.gen for r in rollout.generate(prompts, counts, steps=20, checkpoint_every=every).collect()}
+        assert got == {1: ["b", "<|endoftext|>"], 2: ["\n", "n"] * 3 + ["\n"], 3: ["y", None], 4: [None], 5: [None]}
+    rep = rollout.generation_report(spark.createDataFrame([(3, "x"), (5, "?")], "prompt_id bigint, prompt string"), counts, steps=4)
+    assert sorted(tuple(r) for r in rep.collect()) == [(3, "x", "y"), (5, "?", "")]
+
+
+def test_export_keeps_batches_together(spark):
+    rows = [(e, b, s, 2, 2, [1, 2], [1, 2]) for e in range(2) for b in range(9) for s in range(2)]
+    p = spark.createDataFrame(rows, "epoch bigint, batch_idx bigint, slot bigint, attention_len bigint, padded_len bigint, input_ids array<int>, labels array<int>")
+
+    def consume(batches):
+        for x in batches:
+            keys = list(zip(x.column("epoch").to_pylist(), x.column("batch_idx").to_pylist(), x.column("slot").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([keys == sorted(keys)]), pa.array([len(keys)])], names=["sorted", "n"])
+
+    got = batching.export_batches(p, consume, "sorted boolean, n bigint").collect()
+    assert all(r.sorted for r in got) and sum(r.n for r in got) == 36
+
+
+def test_metrics_document_round_trip(spark, scratch):
+    rows = spark.createDataFrame([(10, .5, .1, 0.0), (5, .7, .2, 0.0)], "step bigint, train_loss double, lr double, mem_gb double")
+    metrics.write_metrics_json(rows, scratch)
+    assert _rows(metrics.read_metrics_json(spark, scratch)) == _rows(rows)
+    metrics.write_metrics_json(rows.limit(0), scratch)
+    assert metrics.read_metrics_json(spark, scratch).count() == 0
+
+
+def test_reject_counts(spark):
+    u = spark.createDataFrame([("s", ["q"], "a"), ("s", [None], "a"), ("t", ["q"], None)], "source string, context array<string>, response string")
+    assert sorted(tuple(r) for r in qa.reject_counts(u).collect()) == [("s", 2, 1), ("t", 1, 1)]

@@ -38,18 +38,18 @@ def test_lazy_fill_wraps(spark):
     # FIXTURES: values [1, -, -, 4, -] -> [1, 4, 4, 4, 1]
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([True, False, False, True, False])],
                                "conv_id bigint, turn bigint, valid boolean")
-    out = tokens.lazy_fill(df, "conv_id", "turn", "valid", ["turn"], chunk_rows=2).orderBy("turn").collect()
+    out = tokens.lazy_fill(df, "conv_id", "turn", "valid", ["turn"], parts=3).orderBy("turn").collect()
     assert [r.src_turn for r in out] == [0, 3, 3, 3, 0]
 
 
 def test_lazy_fill_levels_against_loop(spark):
-    """Many keys, tiny chunks and super-chunks: every level of the carry is exercised."""
+    """Many keys over many parts, some without a valid row: both levels of the carry are exercised."""
     import random
     rnd = random.Random(5)
     rows = [(k, t, rnd.random() < 0.15) for k in range(40) for t in range(rnd.randint(1, 6))]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, valid boolean")
     got = {(r.conv_id, r.turn): (r.src_conv_id, r.src_turn) for r in
-           tokens.lazy_fill(df, "conv_id", "turn", "valid", ["conv_id", "turn"], chunk_rows=2, keys_per_super=3).collect()}
+           tokens.lazy_fill(df, "conv_id", "turn", "valid", ["conv_id", "turn"], parts=9).collect()}
     order = sorted((k, t) for k, t, _ in rows)
     ok = {(k, t) for k, t, v in rows if v}
     for i, kt in enumerate(order):
@@ -88,7 +88,7 @@ def test_epoch_order_is_permutation_without_single_partition(spark):
 
 
 def test_flagship_numbers_sf0001(spark):
-    b = training.training_batches(spark.read.parquet(f"{SF001}/conversations.parquet"))
+    b = training.training_batches(training.training_examples(spark.read.parquet(f"{SF001}/conversations.parquet")))
     s = batching.batch_stats(b).filter("epoch = 0").collect()[0]
     # SURVEY 5.1 at sf0.001: 17 batches, 12,550 padded cells, 10,171 positions in 34 examples
     assert (s.n_batches, s.padded_cells) == (17, 12550)
