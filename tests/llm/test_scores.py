@@ -135,6 +135,15 @@ def test_decontamination(spark, word, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_without_answer_column(spark, word):
+    text = word(37, 7001) + ". Ñ"
+    docs = spark.createDataFrame([(1, word(60, 7002) + " " + text.rsplit(" ", 1)[0] + " " + word(60, 7003)), (2, word(150, 7004))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    assert [(r.doc_id, r.answer) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None)]
+    asked = bench.withColumn("answer", F.lit("blue whale"))
+    assert decontaminate.contaminated(docs, asked).count() == 0
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):
