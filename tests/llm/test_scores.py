@@ -144,6 +144,13 @@ def test_decontamination_without_answer_column(spark, word):
     assert decontaminate.contaminated(docs, asked).count() == 0
 
 
+def test_decontamination_non_latin_items(spark, word):
+    cyrillic = "каждое слово этого длинного вопроса написано только русскими буквами без латинских знаков"
+    docs = spark.createDataFrame([(1, word(50, 7101) + " " + cyrillic + " " + word(50, 7102)), (2, word(100, 7103))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, cyrillic), (2, "...")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):
