@@ -151,6 +151,14 @@ def test_decontamination_non_latin_items(spark, word):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_candidates_at_a_document_start_are_all_tried(word, monkeypatch):
+    item = decontaminate.Item(1, word(40, 7200), None)
+    stretched = word(30, 7201).split() + [w for pair in zip(item.words, word(40, 7202).split()) for w in pair]
+    search = decontaminate.Search([item], {w: k for k, w in enumerate(sorted(set(item.words)))}, np.eye(41, 40, dtype=np.float32))
+    monkeypatch.setattr(search, "candidates", lambda texts: [(0, 0, 0, 0.9), (0, 0, 32, 0.8)])
+    assert [(d, i) for d, i, *_ in search.found([" ".join(stretched)])] == [(0, 0)]
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):
