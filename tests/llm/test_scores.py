@@ -151,6 +151,33 @@ def test_decontamination_non_latin_items(spark, word):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_recall_against_brute_force_in_a_large_benchmark(spark):
+    """3,000 items over one small vocabulary: copies, short items and paraphrases that keep 0.6 to 0.8 of the words."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(1500)]
+    pick = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [pick(rng.choice([3, 6, 10, 15, 24, 40, 70])) for _ in range(3000)]
+    docs = []
+    for d in range(200):
+        body = list(items[d * 15])
+        if len(body) >= decontaminate.SHORT:
+            lost = rng.sample(range(len(body)), int(len(body) * rng.choice([0, 0.2, 0.35])))
+            for k in lost:
+                body[k] = rng.choice(vocab)
+        docs.append((d, " ".join(pick(rng.randrange(20, 120)) + body + pick(rng.randrange(20, 120)))))
+    truth = set()
+    for d, text in docs:
+        item = decontaminate.Item(d * 15, " ".join(items[d * 15]), None)
+        if item.matches(decontaminate.words_of(text)):
+            truth.add((d, d * 15))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")).collect()}
+    recall = len(got & truth) / len(truth)
+    print(f"planted pairs {len(truth)}, recall {recall:.3f}")
+    assert recall >= 0.95
+
+
 def test_candidates_at_a_document_start_are_all_tried(word, monkeypatch):
     item = decontaminate.Item(1, word(40, 7200), None)
     stretched = word(30, 7201).split() + [w for pair in zip(item.words, word(40, 7202).split()) for w in pair]
