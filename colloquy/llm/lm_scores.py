@@ -9,9 +9,9 @@ Model (``gru.py``): the ``FREQUENT`` most frequent words and the end token are p
 classes of ``PER_CLASS``; all other words fall into classes by their spelling, inside which the probability
 follows the corpus counts, ``(c + 1) / (N + V + 1)`` of the class; an unknown word takes the one that is
 left.  So every word, known or not, has a probability, and those of a class add up to one.  The network's
-weights are learnt by truncated backpropagation on a bounded sample of the training documents (about
-``TRAIN_WORDS`` words, chosen by hash), in ``REPLICAS`` parallel tasks whose weights are averaged after each
-of ``ROUNDS`` rounds; all counts cover all training documents.
+weights are learnt by truncated backpropagation on all training documents: in each of ``ROUNDS`` rounds every
+chunk is a task that trains from the same weights on all of its training documents, and the weights are averaged by
+the words they saw, in groups of ``FAN_IN`` on the cluster until one such group is left.
 
 Scoring carries the state across windows, so a document's score is its complete log-likelihood, end token
 included, at bounded memory.
@@ -42,8 +42,7 @@ FREQUENT_CLASSES, PER_CLASS = 32, 32
 FREQUENT = FREQUENT_CLASSES * PER_CLASS - 1      # and the end token
 TAIL_CLASSES = 32
 HIDDEN, EMBED = 16, 12
-TRAIN_WORDS = 1_500_000
-REPLICAS, ROUNDS = 6, 3
+ROUNDS, FAN_IN = 3, 32
 STREAMS, WINDOW, RATE = 48, 16, 0.01
 SEED = 11
 END = b"\n"                                      # no word holds white space
@@ -112,8 +111,7 @@ def _frequent_counts(freq: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _average(rows: pd.DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    flat = np.mean([np.frombuffer(b, dtype=np.float32) for b in rows.sort_values("replica")["weights"]], axis=0)
+def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, v in like.items():
         out[k] = flat[at:at + v.size].reshape(v.shape).astype(np.float32)
@@ -121,27 +119,43 @@ def _average(rows: pd.DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.nd
     return out
 
 
-def _replica(model: Model, start: dict[str, np.ndarray], rate: float):
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for the weights of a group, averaged by ``words``."""
+    pdf = pdf.sort_values("replica")
+    total = sum(n * np.frombuffer(w, dtype=np.float64) for n, w in zip(pdf["words"], pdf["weights"]))
+    words = int(pdf["words"].sum())
+    return pd.DataFrame({"replica": [int(pdf["replica"].iloc[0]) // FAN_IN], "words": [words], "weights": [(total / words).tobytes()]})
+
+
+def _replica(shared, rate: float):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        model, start = shared.value
+        replica = pdf["chunk"].iloc[0]
         pdf = pdf.sort_values("k")
         words, ids, _ = tokens(pdf["text"])
         symbol, cls, inside, _ = model.symbols(words, np.zeros(len(words)))
         p = gru.train(start, symbol[ids], cls[ids], inside[ids], 0, STREAMS, WINDOW, rate)
-        return pd.DataFrame({"replica": [pdf["replica"].iloc[0]], "weights": [np.concatenate([v.ravel() for v in p.values()]).tobytes()]})
+        flat = np.concatenate([v.ravel() for v in p.values()]).astype(np.float64)
+        return pd.DataFrame({"replica": [replica], "words": [len(ids)], "weights": [flat.tobytes()]})
 
     return one
 
 
-def fit_weights(sample: DataFrame, model: Model, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Parameter averaging: every replica trains from the same weights on its share of the sample."""
-    share = sample.select(F.pmod(F.xxhash64(F.lit("replica"), F.col("k")), F.lit(REPLICAS)).alias("replica"), "k", "text")
-    share = materialize(share, "lm-sample")
+def fit_weights(train: DataFrame, chunks: int, model: Model, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parameter averaging: in every round each chunk of ``train(chunk, k, text)`` trains from the same weights."""
+    spark = train.sparkSession
+    schema = "replica bigint, words bigint, weights binary"
     for i in range(ROUNDS):
-        one = _replica(model, weights, RATE / (1 + i))
-        got = share.groupBy("replica").applyInPandas(one, "replica bigint, weights binary").toPandas()
+        shared = spark.sparkContext.broadcast((model, weights))
+        got = materialize(train.groupBy("chunk").applyInPandas(_replica(shared, RATE / (1 + i)), schema), "lm-weights")
+        left = chunks
+        while left > 1:
+            group = F.floor(F.col("replica") / FAN_IN)
+            got, left = got.groupBy(group).applyInPandas(_mean, schema), -(-left // FAN_IN)
+        got = got.toPandas()
         if not len(got):
             break
-        weights = _average(got, weights)
+        weights = _unpack(np.frombuffer(got["weights"].iloc[0], dtype=np.float64), weights)
     return weights
 
 
@@ -174,9 +188,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     shape = gru.Shape(FREQUENT + 1 + TAIL_CLASSES, FREQUENT_CLASSES + TAIL_CLASSES, FREQUENT_CLASSES, PER_CLASS, HIDDEN, EMBED)
     weights = gru.initial(shape, np.log(classes / classes.sum()),
                           np.log(inner.reshape(FREQUENT_CLASSES, PER_CLASS) / inner.reshape(FREQUENT_CLASSES, PER_CLASS).sum(1, keepdims=True)), SEED)
-    rate = min(1.0, TRAIN_WORDS / max(1, model.total))
-    unit = F.pmod(F.xxhash64(F.lit("lm"), F.col("k")), F.lit(1_000_000)) / 1_000_000.0
-    model.weights = fit_weights(rows.filter("train").filter(unit < rate).select("k", "text"), model, weights)
+    model.weights = fit_weights(rows.filter("train").select("chunk", "k", "text"), chunks, model, weights)
     shared = spark.sparkContext.broadcast(model)
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

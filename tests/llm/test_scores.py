@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,32 @@ def test_lm_scores_base_and_total_probability(spark, odd_docs, no_docs, monkeypa
     assert lm_scores.lm_scores(odd_docs.filter("doc_id is null")).count() == 2
 
 
+def test_lm_trains_on_every_training_document(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(lm_scores, "CHUNK_BYTES", 300_000)
+    monkeypatch.setattr(lm_scores, "FAN_IN", 4)
+    seen = []
+    fit = lm_scores.fit_weights
+
+    def spy(train, chunks, model, weights):
+        seen.append((train.count(), chunks, model.total))
+        out = fit(train, chunks, model, weights)
+        assert all(out[k].shape == v.shape and np.isfinite(out[k]).all() for k, v in out.items())
+        assert any((out[k] != weights[k]).any() for k in out)
+        return out
+
+    monkeypatch.setattr(lm_scores, "fit_weights", spy)
+    copies = odd_docs.crossJoin(spark.range(60).select(F.col("id").alias("copy"))).select((F.col("doc_id") * 100 + F.col("copy")).alias("doc_id"), "text")
+    out = lm_scores.lm_scores(copies).collect()
+    assert seen[0][2] > 1_500_000 and seen[0][0] == sum(not r.held_out for r in out) and seen[0][1] > 16
+    assert {r.train_tokens for r in out} == {seen[0][2]}
+
+
+def test_weights_are_averaged_by_words():
+    rows = [(i, 10 * (i + 1), np.full(3, float(i)).tobytes()) for i in range(5)]
+    got = lm_scores._mean(pd.DataFrame(rows, columns=["replica", "words", "weights"]))
+    assert got["words"].tolist() == [150] and np.allclose(np.frombuffer(got["weights"][0]), sum(i * 10 * (i + 1) for i in range(5)) / 150)
+
+
 def test_nearest_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 16))
