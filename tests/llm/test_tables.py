@@ -1,3 +1,7 @@
+import json
+import re
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +109,24 @@ def test_license_scan(spark, no_docs):
     assert {r.basis for r in licenses.license_scan(files, templates.limit(0)).collect()} == {"none"}
 
 
+def test_license_texts_headers_and_spdx(spark):
+    texts = {(a, k): t for a, k, t in json.loads((Path(licenses.__file__).parent / "license_texts.json").read_text("utf-8"))}
+    prose = "\n".join(f"def function{i}(argument{i}): return value{i}" for i in range(60))
+    rows = [("spdx/mit.py", "# SPDX-License-Identifier: MIT\n" + prose, "MIT", "header"), ("spdx/apache.py", "// SPDX-License-Identifier: Apache-2.0\n" + prose, "Apache-2.0", "header"),
+            ("spdx/gpl.py", "SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0", "file"),
+            ("bsd/LICENSE", "Copyright (c) 2005, Jane Doe. All rights reserved.\n\n" + texts["BSD-3-Clause", "text"].split("\n\n", 1)[1], "BSD-3-Clause", "file"),
+            ("gpl/COPYING", texts["GPL-3.0", "text"], "GPL-3.0", "file"), ("gpl2/COPYING", texts["GPL-2.0", "text"], "GPL-2.0", "file"),
+            ("mit/LICENSE", texts["MIT", "text"].replace("<year> <holder>", "2011 Jane Doe"), "MIT", "file"),
+            ("head/a.py", "\n".join("# " + w for w in texts["Apache-2.0", "header"].split(". ")) + "\n" + prose, "Apache-2.0", "header"),
+            ("head/m.py", prose + "\n" + "\n".join("# " + w for w in texts["MIT", "text"].split("\n")) + "\n" + prose, "MIT", "header"),
+            ("head/l.py", "# Copyright 2020 X. All rights reserved.\n# Released under the\n# MIT License.\n" + prose, "MIT", "header")]
+    files = spark.createDataFrame([(i, "/" + p, t) for i, (p, t, *_) in enumerate(rows)], "id bigint, path string, text string")
+    templates = spark.createDataFrame(licenses.TEMPLATES, "license string, text string")
+    got = {r.id: (r.license, r.basis) for r in licenses.license_scan(files, templates).collect()}
+    assert got == {i: (a, b) for i, (_, _, a, b) in enumerate(rows)}
+    assert all(re.search(licenses.CUE_PATTERN, t) for _, t in licenses.TEMPLATES)
+
+
 def test_pipeline_on_odd_tables(spark, odd_docs, no_docs, word, tmp_path_factory):
     for docs, name in ((odd_docs, "odd"), (no_docs, "none")):
         d = shared_path(spark, f"pipe-{name}").removeprefix("file:")
