@@ -19,11 +19,14 @@ def conversation_examples(conv: DataFrame, max_turns: int | None = None,
 
     The history window is computed over *all* roles first and only then filtered to
     assistant rows (filtering first would drop the user lines from the context).
-    ``max_turns`` optionally bounds the history (off by default, like the reference).
+    ``max_turns`` optionally bounds the history to that many lines (off by default, like the reference).
     """
-    lo = Window.unboundedPreceding if max_turns is None else -int(max_turns)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(lo, -1)
-    return (conv.withColumn("_line", role_line())
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    conv = conv.withColumn("_line", role_line())
+    if max_turns is not None:                     # by lines before a row: a row without a line takes no place
+        conv = conv.withColumn("_before", F.count("_line").over(w))
+        w = Window.partitionBy(key).orderBy("_before").rangeBetween(-int(max_turns), -1)
+    return (conv
                 .withColumn("context", F.collect_list("_line").over(w))
                 .filter(F.col("role") == "assistant")
                 .select(key, order, "context", F.col("_line").alias("response")))

@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import render
 from colloquy.operators import scoring, steps
 
 
@@ -126,3 +127,11 @@ def test_properties_on_data(spark):
     assert sums and all(abs(r.s - 1) < 1e-9 for r in sums)
     k = scoring.top_k(scoring.temperature(scoring.count_scores(counts)))
     assert p.join(k, ["ctx", "token"], "left_anti").count() == 0
+
+
+def test_bounded_history_counts_lines_not_rows(spark):
+    rows = [(1, t, "assistant" if t % 3 == 0 else "user", None if 5 < t < 40 else f"word{t}") for t in range(60)]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole = {r.turn: (r.context, r.response) for r in render.conversation_examples(conv).collect()}
+    cut = {r.turn: (r.context, r.response) for r in render.conversation_examples(conv, max_turns=7).collect()}
+    assert cut == {t: (c[-7:], a) for t, (c, a) in whole.items()} and len(cut[39][0]) == 6
