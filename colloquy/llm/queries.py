@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc
+from colloquy.llm import curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
 from colloquy.llm.common import read_table
 from corpus_pipeline import run as pipeline
 
@@ -52,6 +52,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), whitening.COMPONENTS)
+
+
 LLM_REGISTRY = {
     "pipeline": pipeline,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -64,6 +68,7 @@ LLM_REGISTRY = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
 }
 
 LLM_ORACLE = {
