@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
+from colloquy.llm import chat_format, curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
 from colloquy.llm.common import read_table
 from corpus_pipeline import run as pipeline
 
@@ -56,6 +56,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), whitening.COMPONENTS)
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    return chat_format.chat_round_trip(rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)))
+
+
 LLM_REGISTRY = {
     "pipeline": pipeline,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -69,9 +75,11 @@ LLM_REGISTRY = {
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
+    "op12_chat_format": op12_chat_format,
 }
 
 LLM_ORACLE = {
     "op3_url_filter": url_filter.ORACLE,
     "op7_mixing": curriculum.ORACLE.format(src="documents"),
+    "op12_chat_format": chat_format.ORACLE,
 }
