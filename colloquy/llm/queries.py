@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, curriculum, decontaminate, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
+from colloquy.llm import chat_format, curriculum, decontaminate, hard_negatives, licenses, lm_scores, nearest, simhash, suffix_dedup, toxicity, url_filter, warc, whitening
 from colloquy.llm.common import read_table
 from corpus_pipeline import run as pipeline
 
@@ -62,6 +63,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_round_trip(rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 LLM_REGISTRY = {
     "pipeline": pipeline,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -76,10 +82,12 @@ LLM_REGISTRY = {
     "op10_warc": op10_warc,
     "op11_whitening": op11_whitening,
     "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 LLM_ORACLE = {
     "op3_url_filter": url_filter.ORACLE,
     "op7_mixing": curriculum.ORACLE.format(src="documents"),
     "op12_chat_format": chat_format.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -4,7 +4,9 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from colloquy.llm import whitening
+from pyspark.sql import functions as F
+
+from colloquy.llm import hard_negatives, whitening
 
 VECS = "vec_id bigint, embedding array<double>, label int"
 
@@ -95,3 +97,62 @@ def test_planes_give_exact_products():
         assert got.get((i, -1), 0) == u[:, i].sum()
         for j in range(i, 5):
             assert got.get((i, j), 0) == (u[:, i] * u[:, j]).sum()
+
+
+def _mined(rows, width, every=10):
+    """Brute force over every pair: negatives of each anchor's positives."""
+    ok = [(u, i, lab, tuple(math.floor(c * 256) for c in v)) for u, (i, v, lab) in enumerate(rows)
+          if lab is not None and v and len(v) == width and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for u, i, lab, x in ok:
+        if i is None or i % every:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), j is None, j or 0, w, m == lab) for w, j, m, y in ok if w != u)
+        for s, nameless, pid, _, _ in [r for r in scored if r[4]][:5]:
+            fits = [r for r in scored if not r[4] and 80 * -s <= 100 * -r[0] <= 100 * -s][:5]
+            out += [(i, None if nameless else pid, k + 1, None if r[1] else r[2], -s, -r[0]) for k, r in enumerate(fits)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shape", ["spread", "clustered", "equal"])
+def test_hard_negatives_equal_brute_force(spark, vectors, shape, monkeypatch):
+    for name, size in (("SHARD_ROWS", 40), ("SAMPLE_ROWS", 150), ("CELL_SAMPLE", 4), ("BLOCK_ANCHORS", 8)):
+        monkeypatch.setattr(hard_negatives, name, size)
+    r = np.random.default_rng(9)
+    if shape == "clustered":
+        centres = r.standard_normal((5, 6))
+        rows = [(i, [float(v) for v in centres[i % 5] + 0.2 * r.standard_normal(6)], int(r.integers(3))) for i in range(400)] + vectors[300:]
+    elif shape == "equal":                     # groups of copies, one of them a third of the rows, and ties
+        rows = [(i, [1.0, 0.5, 0.25, 0.0, 0.0, 1.0] if i % 3 else [float(v) for v in r.integers(-1, 3, 6)], i % 2) for i in range(300)]
+    else:
+        rows = vectors
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], VECS + ", rank int, uid int").coalesce(1)
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 10 == 0).collect()
+    assert sorted((tuple(g) for g in got), key=str) == _mined(rows, 6) and len(got) > 100
+
+
+def test_hard_negatives_odd_tables(spark, vectors):
+    df = spark.createDataFrame(vectors, VECS)
+    for t, cond in ((df.limit(0), F.lit(True)), (df, F.col("vec_id") == -5), (df.filter("vec_id = 400"), F.lit(True)), (df.filter("vec_id = 10"), F.lit(True)),
+                    (df.filter("label = 1"), F.lit(True))):
+        got = hard_negatives.hard_negatives(t, cond)
+        assert got.count() == 0 and got.columns[0] == "anchor_id"
+    with pytest.raises(ValueError):
+        hard_negatives.hard_negatives(spark.createDataFrame([(1, [1e30], 1)], VECS), F.lit(True))
+
+
+def test_cover_tree_bounds_hold():
+    r = np.random.default_rng(4)
+    x = r.integers(-300, 300, (700, 8))
+    m2 = int((x * x).sum(axis=1).max())
+    p = hard_negatives._sphere(x, m2)
+    t = hard_negatives.build_tree(p)
+    assert sorted(t.order) == list(range(700)) and t.level.max() >= 2
+    q = r.integers(-300, 300, 8).astype(float)
+    scale = np.sqrt((q * q).sum() * m2)
+    low, high = hard_negatives.bounds(x[t.centre] @ q, t.radius, np.full(len(t.lo), scale))
+    for k, (a, b) in enumerate(zip(t.lo, t.hi)):
+        scores = x[t.order[a:b]] @ q
+        assert low[k] <= scores.min() and scores.max() <= high[k]
+        if t.child[k] >= 0:
+            assert sum(t.hi[c] - t.lo[c] for c in range(t.child[k], t.child[k] + t.children[k])) == b - a
