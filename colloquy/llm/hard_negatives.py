@@ -10,8 +10,8 @@ points themselves, and bounds are widened by the rounding of angles: results are
   of the top are those of all rows.  Neighbouring cells are packed into shards of about ``SHARD_ROWS`` rows; a larger cell is
   dealt over several shards by a hash.  Each shard builds the lower levels in one task and is stored as one row.
 * Anchors go down the top in tasks; only shards that can hold a row of a wanted score window are met, by blocks of
-  at most about ``BLOCK_ANCHORS`` anchors.  Inside a shard a heap visits nodes by falling upper bound, skips those outside the windows
-  or wholly of an unwanted label, and verifies leaves by exact inner products.
+  at most about ``BLOCK_ANCHORS`` anchors.  Inside a shard the anchors of a block descend level by level, skip nodes outside
+  the windows or wholly of an unwanted label, and verify leaves best first, by exact inner products.
 * Positives: an anchor first meets one shard near it; the score of its fifth row there bounds the search of all others.
   Negatives: one window a positive, searched together.
 
@@ -26,7 +26,6 @@ and vector columns are read, so columns of clashing names do not matter.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,12 +168,12 @@ def _shard_row(shard: int, pdf: pd.DataFrame, m2: int) -> tuple:
     kinds, code = np.unique(pdf["label"].to_numpy(dtype=str), return_inverse=True)
     code = code[t.order]
     pure = np.array([code[a] if (code[a:b] == code[a]).all() else -1 for a, b in zip(t.lo, t.hi)])
-    blob = [a.astype(np.int64).tobytes() for a in (x[t.order], x[t.centre], t.child, t.children, t.lo, t.hi, pure, code, pdf["uid"].to_numpy()[t.order])]
+    blob = [a.astype(np.int64).tobytes() for a in (x[t.order], x[t.centre], t.parent, t.level, t.child, t.lo, t.hi, pure, code, pdf["uid"].to_numpy()[t.order])]
     ids = pdf["id"].to_numpy(dtype=object)[t.order]
     return (shard, *blob, t.radius.tobytes(), list(kinds), [None if v is None else str(v) for v in ids])
 
 
-_SHARD = ("shard bigint, x binary, centre binary, child binary, children binary, lo binary, hi binary, pure binary, code binary, "
+_SHARD = ("shard bigint, x binary, centre binary, parent binary, level binary, child binary, lo binary, hi binary, pure binary, code binary, "
           "uid binary, radius binary, kinds array<string>, id array<string>")
 
 
@@ -184,47 +183,76 @@ class Shard:
     def __init__(self, row: dict, width: int):
         read = lambda k: np.frombuffer(row[k], dtype=np.int64)
         self.x, self.centre = read("x").reshape(-1, width), read("centre").reshape(-1, width)
-        self.child, self.children, self.lo, self.hi, self.pure, self.code, self.uid = (read(k) for k in ("child", "children", "lo", "hi", "pure", "code", "uid"))
+        self.parent, self.level, self.child, self.lo, self.hi = (read(k) for k in ("parent", "level", "child", "lo", "hi"))
+        self.pure, self.code, self.uid = (read(k) for k in ("pure", "code", "uid"))
         self.radius = np.frombuffer(row["radius"], dtype=np.float64)
         self.kinds, self.id = {k: i for i, k in enumerate(row["kinds"])}, row["id"]
         exact = width * float(np.abs(self.x).max()) ** 2 < 2.0 ** 52
         self.kind = np.float64 if exact else np.int64                  # whole numbers below 2^53 are exact in either
         self.points = self.x.astype(self.kind)
 
-    def search(self, q: np.ndarray, labels: list[str], uids: np.ndarray, low: list, high: list, same: bool, k: int, m2: int, key):
-        """For every anchor and window the first ``k`` rows: ``(anchor, window, score, uid, id)``.  ``key``: sort key of an id."""
-        centre = q.astype(np.float64) @ self.centre.T.astype(np.float64)
+    def search(self, q: np.ndarray, labels: list[str], uids: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int, m2: int, key):
+        """For every anchor and window the first ``k`` rows: arrays ``(anchor, window, score, row of the shard)``.  ``key``: sort key of an id.
+
+        The anchors of a block descend together.  A level's nodes are bounded for the anchors whose parents are alive; every anchor then
+        takes its leaves by falling upper bound, 1, 2, 4, ... of them a round, and a leaf that has fallen below the anchor's k-th scores
+        by its turn is skipped."""
+        n, windows = len(q), low.shape[1]
+        own = np.array([self.kinds.get(v, -2) for v in labels])
         scale = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * np.sqrt(m2)
-        least, most = bounds(centre, self.radius, scale[:, None])
-        for a in range(len(q)):
-            own, mine, lo, hi = self.kinds.get(labels[a], -2), uids[a], low[a], high[a]
-            floor, found, vector = list(lo), [[] for _ in lo], q[a].astype(self.kind)
-            heap = [(-most[a, 0], 0)]
-            while heap:
-                top, node = heapq.heappop(heap)
-                if -top < min(floor):
-                    break
-                pure = self.pure[node]
-                if pure >= 0 and (pure == own) != same:
-                    continue
-                if not any(least[a, node] <= h and -top >= f for h, f in zip(hi, floor)):
-                    continue
-                if self.child[node] >= 0:
-                    for c in range(self.child[node], self.child[node] + self.children[node]):
-                        heapq.heappush(heap, (-min(-top, most[a, c]), c))
-                    continue
-                rows = np.arange(self.lo[node], self.hi[node])
-                rows = rows[((self.code[rows] == own) == same) & (self.uid[rows] != mine)]
-                scores = self.points[rows] @ vector
-                for w in range(len(lo)):
-                    fits = np.flatnonzero((scores >= floor[w]) & (scores <= hi[w]))
-                    if fits.size:
-                        found[w] = sorted([*found[w], *((-int(scores[i]), key(self.id[rows[i]]), int(self.uid[rows[i]]), rows[i]) for i in fits)])[:k]
-                        if len(found[w]) == k:
-                            floor[w] = max(lo[w], -found[w][-1][0])
-            for w, best in enumerate(found):
-                for score, _, uid, row in best:
-                    yield a, w, -score, uid, self.id[row]
+        least, most = bounds(q.astype(np.float64) @ self.centre.T.astype(np.float64), self.radius, scale[:, None])
+        alive = np.zeros(most.shape, dtype=bool)
+        for level in range(self.level.max() + 1):
+            here = np.flatnonzero(self.level == level)
+            if level:
+                most[:, here] = np.minimum(most[:, here], most[:, self.parent[here]])
+            fits = np.zeros((n, len(here)), dtype=bool)
+            for w in range(windows):
+                fits |= (least[:, here] <= high[:, w, None]) & (most[:, here] >= low[:, w, None])
+            unwanted = (self.pure[here] >= 0) & ((self.pure[here] == own[:, None]) != same)
+            alive[:, here] = fits & ~unwanted & (alive[:, self.parent[here]] if level else True)
+        leaves = np.flatnonzero(self.child < 0)
+        most, least, alive = most[:, leaves], least[:, leaves], alive[:, leaves]
+        order = np.argsort(np.where(alive, -most, np.inf), axis=1, kind="stable")
+        rank = np.empty(len(self.id), dtype=np.int64)
+        rank[sorted(range(len(self.id)), key=lambda i: (key(self.id[i]), self.uid[i]))] = np.arange(len(self.id))
+        anchors, floor = q.astype(self.kind), low.copy()
+        best = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))                      # anchor * windows + window, score, row
+        done, take = 0, 1
+        while done < len(leaves):
+            turn = np.zeros(alive.shape, dtype=bool)
+            np.put_along_axis(turn, order[:, done:done + take], True, axis=1)
+            useful = np.zeros(alive.shape, dtype=bool)
+            for w in range(windows):
+                useful |= (least <= high[:, w, None]) & (most >= floor[:, w, None])
+            alive &= useful
+            if not alive.any():
+                break
+            turn &= alive
+            alive &= ~turn
+            done, take = done + take, 2 * take
+            met = []
+            for leaf in np.flatnonzero(turn.any(axis=0)):
+                who, rows = np.flatnonzero(turn[:, leaf]), slice(self.lo[leaves[leaf]], self.hi[leaves[leaf]])
+                scores = anchors[who] @ self.points[rows].T
+                i, j = np.nonzero(((self.code[rows] == own[who, None]) == same) & (self.uid[rows] != uids[who, None])
+                                  & (scores >= floor[who].min(axis=1)[:, None]) & (scores <= high[who].max(axis=1)[:, None]))
+                met.append((who[i], scores[i, j].astype(np.int64), rows.start + j))
+            if not met:
+                continue
+            a, s, r = (np.concatenate(c) for c in zip(*met))
+            found = [best]
+            for w in range(windows):
+                fits = np.flatnonzero((s >= floor[a, w]) & (s <= high[a, w]))
+                found.append((a[fits] * windows + w, s[fits], r[fits]))
+            g, s, r = (np.concatenate(c) for c in zip(*found))
+            by = np.lexsort((rank[r], -s, g))
+            g, s, r = g[by], s[by], r[by]
+            place = np.arange(len(g)) - np.searchsorted(g, g)
+            best = tuple(c[place < k] for c in (g, s, r))
+            last = place == k - 1
+            floor[g[last] // windows, g[last] % windows] = s[last]
+        return best[0] // windows, best[0] % windows, best[1], best[2]
 
 
 def _id_key(numeric: bool):
@@ -319,11 +347,10 @@ class Index:
                     row = {n: b.column(n)[i].as_py() for n in b.schema.names if n != "anchors"}
                     anchors = b.column("anchors").slice(i, 1).flatten()
                     uids, labels, q, low, high = anchors.flatten()
-                    got = list(Shard(row, width).search(matrix(q, width), labels.to_pylist(), uids.to_numpy(), low.to_pylist(), high.to_pylist(), same, k, m2, key))
-                    if got:
-                        a, w, s, u, ids = zip(*got)
-                        yield pa.RecordBatch.from_arrays([uids.take(pa.array(a)), pa.array(w, pa.int32()), pa.array(s, pa.int64()), pa.array(u, pa.int64()),
-                                                          pa.array(ids, pa.string()), pa.array(np.full(len(a), row["shard"]))], names=["uid", "window", "score", "row", "id", "shard"])
+                    shard = Shard(row, width)
+                    a, w, s, r = shard.search(matrix(q, width), labels.to_pylist(), uids.to_numpy(), _padded(low, _FAR), _padded(high, -_FAR), same, k, m2, key)
+                    yield pa.RecordBatch.from_arrays([uids.take(pa.array(a)), pa.array(w.astype(np.int32)), pa.array(s), pa.array(shard.uid[r]), pa.array(shard.id, pa.string()).take(pa.array(r)),
+                                                      pa.array(np.full(len(a), row["shard"]))], names=["uid", "window", "score", "row", "id", "shard"])
 
         return groups.join(self.shards, "shard").drop("_b").mapInArrow(find, "uid bigint, window int, score bigint, row bigint, id string, shard bigint")
 
@@ -393,9 +420,9 @@ def hard_negatives(df: DataFrame, anchor: Column, positives: int = POSITIVES, ne
 ORACLE = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
