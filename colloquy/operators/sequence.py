@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.functions.ordering import global_positions, largest_group, range_positions
+from colloquy.operators.scan import affine_scan
 
 # Largest vector table that is broadcast, in bytes; bigger ones take the shuffle path.
 BROADCAST_MAX_BYTES = 64 << 20
@@ -90,9 +88,9 @@ def decayed_state(df: DataFrame, lam: float, key: str = "user_id", ts: str = "ts
 
     The recurrence has the closed form ``h_t = sum_{s<=t} exp(-lam (t - t_s)) x_s``.  Each key
     is cut into time chunks of ``chunk_seconds``, or less where ``lam`` is large: no exponent inside
-    a chunk exceeds ``MAX_EXPONENT``.  A hot key is spread over many tasks; inside a chunk it is a running-sum window.  Chunk ends are
-    carried with the same recurrence over the chunk summaries (one row per chunk, a small
-    sequential helper per key), and added back with one more decay factor.
+    a chunk exceeds ``MAX_EXPONENT``.  A hot key is spread over many tasks; inside a chunk it is a running-sum window.  Chunk ends follow the
+    same recurrence over the chunk summaries (one row per chunk), as an associative scan, and are added back with one more decay factor.
+    A null key is a key like any other; a null value adds nothing.
     """
     if lam > 0:
         chunk_seconds = min(chunk_seconds, MAX_EXPONENT / lam)
@@ -101,28 +99,14 @@ def decayed_state(df: DataFrame, lam: float, key: str = "user_id", ts: str = "ts
     d = d.withColumn("_t0", F.col("_c").cast("double") * chunk_seconds)
     wc = Window.partitionBy(key, "_c").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_loc", F.exp(F.lit(-lam) * (F.col("_t") - F.col("_t0")))
-                     * F.sum(F.exp(F.lit(lam) * (F.col("_t") - F.col("_t0"))) * F.col(value)).over(wc))
-    ends = (d.groupBy(key, "_c")
+                     * F.sum(F.exp(F.lit(lam) * (F.col("_t") - F.col("_t0"))) * F.coalesce(value, F.lit(0.0))).over(wc))
+    ends = (d.groupBy(F.col(key).alias("_k"), F.col("_c").alias("_ck"))
              .agg(F.max_by(F.struct("_t", "_loc"), F.struct(ts, tie)).alias("_e"))
-             .select(key, "_c", F.col("_e._t").alias("t_end"), F.col("_e._loc").alias("loc_end")))
-    carry = ends.groupBy(key).applyInPandas(_carry_fn(lam, key),
-                                            schema=f"{key} {df.schema[key].dataType.simpleString()}, _c bigint, "
-                                                   "prev_t double, prev_h double")
-    j = d.join(carry, [key, "_c"], "left")
-    h = F.col("_loc") + F.coalesce(F.exp(F.lit(-lam) * (F.col("_t") - F.col("prev_t"))) * F.col("prev_h"), F.lit(0.0))
-    return j.withColumn(out, h).drop("_t", "_c", "_t0", "_loc", "prev_t", "prev_h")
-
-
-def _carry_fn(lam: float, key: str):
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        prev_t, prev_h = [], []
-        h, last_t = None, None
-        for te, le in zip(pdf["t_end"].to_numpy(), pdf["loc_end"].to_numpy()):
-            prev_t.append(last_t)
-            prev_h.append(h)
-            h = le if h is None else le + math.exp(-lam * (te - last_t)) * h
-            last_t = te
-        return pd.DataFrame({key: pdf[key].to_numpy(), "_c": pdf["_c"].to_numpy(),
-                             "prev_t": pd.array(prev_t, dtype="Float64"), "prev_h": pd.array(prev_h, dtype="Float64")})
-    return carry
+             .select("_k", "_ck", F.col("_e._t").alias("_te"), F.col("_e._loc").alias("_le")))
+    earlier = Window.partitionBy("_k").orderBy("_ck")
+    ends = ends.withColumn("_gap", F.col("_te") - F.lag("_te").over(earlier))
+    carry = affine_scan(ends, "_k", ["_ck"], [(F.exp(F.lit(-lam) * F.col("_gap")), F.col("_le"))], ["_he"])
+    carry = carry.select("_k", "_ck", F.lag("_te").over(earlier).alias("_tp"), F.lag("_he").over(earlier).alias("_hp"))
+    j = d.join(carry, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_ck")), "left")
+    h = F.col("_loc") + F.coalesce(F.exp(F.lit(-lam) * (F.col("_t") - F.col("_tp"))) * F.col("_hp"), F.lit(0.0))
+    return j.withColumn(out, h).drop("_t", "_c", "_t0", "_loc", "_k", "_ck", "_tp", "_hp")

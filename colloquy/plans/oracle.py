@@ -421,6 +421,20 @@ rec AS (
 )
 SELECT event_id, user_id, round(h, 6) AS state FROM rec"""
 
+ORACLE["selective_scan"] = """
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, value AS x, greatest((value - 20) / 10, 0) + ln(1 + exp(-abs((value - 20) / 10))) AS d,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events
+),
+rec AS (
+  SELECT user_id, rn, event_id, x, d * x AS h0, d * cos(event_id) * x AS h1 FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.x, exp(-e.d) * r.h0 + e.d * e.x, exp(-0.05 * e.d) * r.h1 + e.d * cos(e.event_id) * e.x
+  FROM rec r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
+)
+SELECT event_id, user_id, round(sin(event_id) * h0 + h1 + 0.5 * x, 6) AS y FROM rec"""
+
 U = "('0x' || substring(md5('42:' || {pos} || ':' || {id}::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
 U0, U1 = U.format(pos="'0'", id="p.prompt_id"), U.format(pos="(g.pos + 1)::VARCHAR", id="g.prompt_id")
 GENERATED = f"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.functions.text import join_ints
-from colloquy.operators import batching, convlog, qa, render, rollout, scoring, sequence, steps, tokens
+from colloquy.operators import batching, convlog, qa, render, rollout, scan, scoring, sequence, steps, tokens
 from colloquy.plans import standins, training
 from colloquy.plans.tables import table
 from colloquy.session import checkpoint_dir
@@ -31,6 +31,7 @@ LOG_EVERY, SAVE_EVERY, TEST_EVERY = 5, 20, 10
 LAZY_MIN_TOKENS = 200          # K9 stand-in minimum so that some rows are "too short"
 DECAY_PER_SECOND = 1.0 / 3600.0
 FIR_WEIGHTS, FIR_BIAS = (0.1, 0.2, 0.3, 0.4), 0.5
+SCAN_RATES, SCAN_SKIP = (-1.0, -0.05), 0.5
 
 
 def query(name):
@@ -560,6 +561,15 @@ def q_decayed_state(spark, sf):
     return s.select("event_id", "user_id", _r("state", 6).alias("state"))
 
 
+@query("selective_scan")
+def q_selective_scan(spark, sf):
+    """Each event chooses its step, input weights and output weights; two states a user."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    y = scan.selective_scan(ev, "user_id", ["ts", "event_id"], F.col("value"), (F.col("value") - 20) / 10,
+                            [F.lit(1.0), F.cos("event_id")], [F.sin("event_id"), F.lit(1.0)], SCAN_RATES, SCAN_SKIP)
+    return y.select("event_id", "user_id", _r("y", 6).alias("y"))
+
+
 # --- split forms of hot keys: the whole table is one key ---------------------------------------------
 
 @query("long_examples")
