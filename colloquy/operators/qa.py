@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
+from colloquy.functions.counted import write_counted
 
 OUT = ["row_key", "branch", "pos1", "pos2", "context", "response"]
 SOURCE_ORDER = ("ambig", "wiki", "truthful", "squad", "instruct")
@@ -131,6 +132,11 @@ def union_sources(flat: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def write_union(flat: dict, path: str) -> dict[str, int]:
+    """U2 -> Parquet, and A1 from the same job: rows written for every source, in the fixed order."""
+    return write_counted(union_sources(flat), lambda d: d.write.parquet(path), "source", [n for n in SOURCE_ORDER if n in flat])
+
+
 def reject_counts(unified: DataFrame) -> DataFrame:
     """Rows per source and how many of them the null rule rejects (of rows flattened with ``drop_null=False``)."""
     bad = F.col("response").isNull() | F.col("context")[0].isNull()

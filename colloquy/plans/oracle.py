@@ -482,6 +482,9 @@ FROM batches GROUP BY epoch, batch_idx"""
 
 # --- files and split forms ----------------------------------------------------------------------
 ORACLE["jsonl_files"] = ORACLE["jsonl_validate"]
+ORACLE["ingest_stream"] = f"SELECT reason, n, n AS n_counted FROM ({ORACLE['jsonl_validate']})"
+ORACLE["chat_stream"] = ORACLE["build_prompts"]
+ORACLE["source_counts_written"] = f"SELECT source, n, n AS n_counted FROM ({ORACLE['source_counts']})"
 ORACLE["corpus_files"] = f"""WITH {EXAMPLES}
 SELECT len(context)::BIGINT AS n_ctx, array_to_string(context, chr(10)) AS context_text, response FROM ex0"""
 ORACLE["qa_files"] = f"""WITH {NEIGH}

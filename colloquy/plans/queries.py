@@ -21,6 +21,7 @@ from colloquy.plans import standins, training
 from colloquy.plans.tables import table
 from colloquy.session import checkpoint_dir
 from colloquy.sources import jsonl, metrics, qa_files
+from colloquy.streaming import chat_state, ingest
 
 REGISTRY: dict = {}
 
@@ -81,6 +82,18 @@ def q_jsonl_files(spark, sf):
     return jsonl.reason_counts(jsonl.classify_lines(jsonl.read_lines(spark, path)))
 
 
+@query("ingest_stream")
+def q_ingest_stream(spark, sf):
+    """The lines arrive in three deliveries; the stream lands each and is started anew for the next, from its checkpoint."""
+    lines = standins.jsonl_lines(_conv(spark, sf))
+    src, out, ckpt = (_folder(spark, f"ingest-{k}") for k in ("in", "out", "ckpt"))
+    for part in range(3):
+        lines.filter(F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3)) == part).select("value").write.mode("append").text(src)
+        ingest.start_ingest_tables(spark, src, out, ckpt).awaitTermination()
+    landed = ingest.ingested_counts(spark, out).groupBy("reason").agg(F.sum("n").alias("n_counted"))
+    return jsonl.reason_counts(ingest.ingested(spark, out)).join(landed, "reason")
+
+
 @query("corpus_files")
 def q_corpus_files(spark, sf):
     """S9 -> S1 -> S2: the example corpus written as JSON lines, read back and validated."""
@@ -163,6 +176,16 @@ def q_qa_reject_counts(spark, sf):
     return qa.reject_counts(qa.union_sources(_flatten(_sources(spark, sf), drop_null=False)))
 
 
+@query("source_counts_written")
+def q_source_counts_written(spark, sf):
+    """U2 + A1: the union written as Parquet, its counts by source observed in the writing job."""
+    path = _folder(spark, "union")
+    counts = qa.write_union(_flat(spark, sf), path)
+    got = spark.createDataFrame([(name, n) for name, n in counts.items()], "source string, n_counted bigint")
+    read = spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return read.join(got, "source")
+
+
 @query("source_counts")
 def q_source_counts(spark, sf):
     return qa.source_counts(qa.union_sources(_flat(spark, sf))).select(
@@ -518,6 +541,19 @@ def q_build_prompts(spark, sf):
     return d.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
 
 
+@query("chat_stream")
+def q_chat_stream(spark, sf):
+    """R2: the log arrives in three deliveries of turns; the stream is started anew for each, from its state, and gives C4-C7."""
+    log = _once(_log(spark, sf))
+    src, out, ckpt = (_folder(spark, f"chat-{k}") for k in ("in", "out", "ckpt"))
+    turn = F.col("turn")
+    for part in (turn < 16, (turn >= 16) & (turn < 48), turn >= 48):
+        log.filter(part).write.mode("append").parquet(src)
+        chat_state.start_sessions(spark, src, out, ckpt).awaitTermination()
+    done = spark.read.schema(chat_state.OUTPUT_SCHEMA).parquet(out).filter("kind = 'message' AND NOT late")
+    return done.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
+
+
 @query("extract_reply")
 def q_extract_reply(spark, sf):
     ex = render.render_text(render.conversation_examples(_conv(spark, sf)))

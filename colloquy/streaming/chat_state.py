@@ -1,13 +1,15 @@
 """R2: per-conversation chat state across micro-batches (history, settings, segment).
 
-``groupBy(conv_id).applyInPandasWithState``: each conversation's state holds the last turn
-seen, the quit flag, the segment number, the carried temperature / max tokens and the user
-lines of the current segment (what the REPL's history list holds).  Rows of a micro-batch
-are processed in ``turn`` order; a row whose turn is not after the last one seen is emitted
-with ``late = true`` and changes nothing.  Idle conversations time out (processing time)
-and their state is dropped.  With a timeout Spark keeps running timer-only micro-batches, so
-a one-shot replay (``availableNow``) passes ``idle_timeout_ms=None``.  The batch equivalent is ``convlog.process_log`` +
-``convlog.build_prompts``.
+``groupBy(conv_id).transformWithStateInPandas`` on RocksDB: a value state holds the last turn seen, the quit flag, the segment
+number, the carried temperature and max tokens; a list state holds the user lines of the current segment (what the REPL's
+history list holds).  A micro-batch *appends* its lines, so the state that is written grows with the new lines and not with the
+history; the history is read only when the conversation says something in the segment it is in, and ``/clear`` empties it.
+
+Rows of a micro-batch are processed in ``turn`` order; a row whose turn is not after the last one seen is emitted with
+``late = true`` and changes nothing.  A conversation that is idle for ``idle_timeout_ms`` of processing time is forgotten by its timer,
+lines and settings together, so the store holds live conversations only.  With timers Spark keeps running timer-only micro-batches,
+so a one-shot replay (``availableNow``) passes ``idle_timeout_ms=None``.  How many rows of a conversation a micro-batch may hold is
+set by the source's rate limit.  The batch equivalent is ``convlog.process_log`` + ``convlog.build_prompts``.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from colloquy import config
 from colloquy.operators.convlog import classify_inputs, clean_inputs
+from colloquy.session import configure
 
 OUTPUT_SCHEMA = ("conv_id bigint, turn bigint, kind string, segment_id bigint, temperature double, "
                  "max_tokens bigint, prompt string, late boolean")
-STATE_SCHEMA = ("last_turn bigint, quit boolean, segment_id bigint, temperature double, max_tokens bigint, "
-                "history array<string>")
+SETTINGS_SCHEMA = "last_turn bigint, quit boolean, segment_id bigint, temperature double, max_tokens bigint, timer bigint"
+LINES_SCHEMA = "line string"
+NEW = (-1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS)
 
 
 def _carried(values: pd.Series, start) -> list:
@@ -33,9 +37,11 @@ def _carried(values: pd.Series, start) -> list:
     return list(accumulate(values.tolist(), lambda held, v: held if pd.isna(v) else v, initial=start))[1:]
 
 
-def _advance(held: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """One conversation's new state and output rows for classified input lines in turn order."""
-    last_turn, ended, segment, temperature, max_tokens, history = held
+def _advance(held: tuple, history, rows: pd.DataFrame) -> tuple[tuple, list[str], pd.DataFrame]:
+    """One conversation's new settings, its new lines in the segment it ends in, and output rows, for classified input lines in turn order.
+
+    ``history()``: the lines so far of the segment it is in."""
+    last_turn, ended, segment, temperature, max_tokens = held
     seen = rows["turn"].cummax().shift(1).fillna(last_turn).clip(lower=last_turn)
     late = rows["turn"] <= seen
     live = rows[~late]
@@ -48,41 +54,85 @@ def _advance(held: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
     lines = (config.USER_PREFIX + live["clean"]).where(live["kind"] == "message")
     prompts = pd.Series([None] * len(live), index=live.index, dtype=object)
     for seg, own in lines.dropna().groupby(live["segment_id"]):
-        before = list(history) if seg == segment else []
+        before = history() if seg == segment else []
         texts = list(accumulate(before + own.tolist(), lambda a, b: a + "\n" + b))[len(before):]
         prompts[own.index] = [t + config.PROMPT_SUFFIX for t in texts]
+    added: list[str] = []
     if len(live):
         end = live.iloc[-1]
-        current = lines[live["segment_id"] == end["segment_id"]].dropna().tolist()
-        history = (list(history) if end["segment_id"] == segment else []) + current
+        added = lines[live["segment_id"] == end["segment_id"]].dropna().tolist()
         segment, temperature, max_tokens = int(end["segment_id"]), float(end["temperature"]), int(end["max_tokens"])
     done = live.assign(prompt=prompts, late=False)
     skipped = rows[late][["turn"]].assign(late=True)
     out = pd.concat([done, skipped]).sort_index().reindex(columns=["turn", "kind", "segment_id", "temperature", "max_tokens", "prompt", "late"])
-    return (last_turn, ended_now, segment, temperature, max_tokens, list(history)), out
+    return (last_turn, ended_now, segment, temperature, max_tokens), added, out
+
+
+class ChatProcessor(StatefulProcessor):
+    """Value state ``settings``, list state ``lines``, one idle timer a conversation."""
+
+    def __init__(self, idle_timeout_ms: int | None):
+        self.idle = idle_timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settings = handle.getValueState("settings", SETTINGS_SCHEMA)
+        self.lines = handle.getListState("lines", LINES_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.settings.get() if self.settings.exists() else None
+        *old, timer = held if held is not None else (*NEW, None)
+        batch = pd.concat(list(rows)).sort_values("turn", kind="stable").reset_index(drop=True)      # arrival order breaks ties
+        new, added, out = _advance(tuple(old), lambda: [r[0] for r in self.lines.get()] if self.lines.exists() else [], batch)
+        if new[2] != old[2] or new[1]:
+            self.lines.clear()                        # another segment, or the session has ended
+        if added and not new[1]:
+            self.lines.appendList([(line,) for line in added])
+        if self.idle:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(timer)
+        self.settings.update((*new, timer))
+        if len(out):
+            out.insert(0, "conv_id", int(key[0]))
+            yield out.astype({"segment_id": "Int64", "max_tokens": "Int64", "turn": "int64", "late": bool})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.settings.clear()
+        self.lines.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that list states need; a session that names a RocksDB store keeps it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, None) or ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def chat_sessions(log: DataFrame, idle_timeout_ms: int | None = 3_600_000) -> DataFrame:
     """Streaming (or batch) ``(conv_id, turn, raw)`` -> one row per processed input line.
 
     Lines are cleaned and classified by the batch operators (C1-C3) before the stateful step, which
-    holds only the transition."""
+    holds only the transition.  Rows without a conversation or a turn are left out."""
+    use_rocksdb(log.sparkSession)
     lines = classify_inputs(clean_inputs(log.select("conv_id", "turn", "raw"))).filter("conv_id is not null and turn is not null").select(
         "conv_id", "turn", "kind", "clean", "temp_value", "tokens_value")
+    return lines.groupBy("conv_id").transformWithStateInPandas(ChatProcessor(idle_timeout_ms), OUTPUT_SCHEMA, "append",
+                                                               "ProcessingTime" if idle_timeout_ms else "None")
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else (-1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS, [])
-        rows = pd.concat(list(pdfs)).sort_values("turn", kind="stable").reset_index(drop=True)  # arrival order breaks ties
-        held, out = _advance(held, rows)
-        state.update(held)
-        if idle_timeout_ms:
-            state.setTimeoutDuration(idle_timeout_ms)
-        if len(out):
-            out.insert(0, "conv_id", int(key[0]))
-            yield out.astype({"segment_id": "Int64", "max_tokens": "Int64", "turn": "int64", "late": bool})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return lines.groupBy("conv_id").applyInPandasWithState(step, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+def start_sessions(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, available_now: bool = True,
+                   idle_timeout_ms: int | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Chat logs that arrive as Parquet files ``(conv_id, turn, raw)`` -> processed lines as Parquet, each row once, also after a restart."""
+    configure(spark)
+    reader = spark.readStream.schema("conv_id bigint, turn bigint, raw string")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    w = (chat_sessions(reader.parquet(in_dir), idle_timeout_ms).writeStream.format("parquet").option("path", out_dir)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
