@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import checkpoint_dir
+from colloquy.session import checkpointed
 
 _ROW_BITS = (1 << 33) - 1        # low bits of monotonically_increasing_id: the row inside its partition
 
@@ -24,12 +24,10 @@ def range_partitions(df: DataFrame, order_cols, parts: int | None = None) -> Dat
 
     Ranges are sampled from the data, so a crowded value prefix is split like any other and parts stay
     even.  The result is checkpointed once: a re-run of a lost task cannot move a row."""
-    checkpoint_dir(df.sparkSession)
     d = df.repartitionByRange(parts, *order_cols) if parts else df.repartitionByRange(*order_cols)
-    return (d.sortWithinPartitions(*order_cols)
-             .select("*", F.spark_partition_id().alias("_part"),
-                     F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row"))
-             .checkpoint(eager=True))
+    return checkpointed(d.sortWithinPartitions(*order_cols)
+                        .select("*", F.spark_partition_id().alias("_part"),
+                                F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("_row")))
 
 
 def range_positions(df: DataFrame, order_cols, pos_col: str = "pos", parts: int | None = None) -> DataFrame:

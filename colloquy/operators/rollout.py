@@ -1,8 +1,8 @@
 """G8 + G10: autoregressive rollout for many prompts at once.
 
-Each step joins every live sequence's last token to the filtered next-token table
-(G2-G5 precomputed once, with cumulative bounds per context), draws with the keyed
-uniform (G6) inside the context's bounds, appends, and applies the stop rule (G7).
+Each step joins every live sequence's last token to the draw table of score levels (G2-G5 precomputed once, see ``nucleus``),
+draws with the keyed uniform (G6), appends, and applies the stop rule (G7).  Levels of many tied tokens are looked up in
+blocks by a second join, which is left out when the table has none.
 The driver loop only launches jobs; lineage is cut with ``checkpoint()`` into the
 cluster's checkpoint folder every few steps.
 """
@@ -11,27 +11,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import config
 from colloquy.functions.text import count_char, keyed_uniform
-from colloquy.operators import scoring
+from colloquy.operators.nucleus import Draw, draw_table
 from colloquy.operators.scoring import strip_prompt
 from colloquy.operators.tokens import tokenize
-from colloquy.session import checkpoint_dir
-
-
-def draw_table(counts: DataFrame, t: float = config.TEMPERATURE, k: int = config.TOP_K,
-               p: float = config.TOP_P) -> DataFrame:
-    """``(ctx, token, lo, hi)``: each surviving token owns ``[lo, hi)`` of the context's CDF in
-    the G6 order; the last token's ``hi`` is +inf (the 'else the last' rule)."""
-    probs = scoring.decode_filters(counts, t, k, p)
-    o = Window.partitionBy("ctx").orderBy(F.desc("logit"), F.asc("token"))
-    cum = F.sum("p").over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = probs.withColumn("hi", cum).withColumn("lo", F.coalesce(F.lag("hi").over(o), F.lit(0.0)))
-    d = d.withColumn("_last", F.row_number().over(o.orderBy(F.asc("logit"), F.desc("token"))) == 1)
-    return d.select("ctx", "token", "lo", F.when(F.col("_last"), F.lit(float("inf"))).otherwise(F.col("hi")).alias("hi"))
+from colloquy.session import checkpointed
 
 
 def generate(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_MAX_TOKENS, t: float = config.TEMPERATURE,
@@ -43,32 +31,29 @@ def generate(prompts: DataFrame, counts: DataFrame, steps: int = config.SAMPLER_
     A sequence stops at eos, when its generated newlines exceed the budget (the stopping token is kept), after
     ``steps`` tokens, or when its last token never occurs as a context (it then ends with a null).
 
-    The draw table is stored once, one row per context.  A sequence is one row that carries its tokens (at
-    most ``steps``), so a step is one join and the plan is a chain.  Every ``checkpoint_every`` steps the
+    The draw table is stored once.  A sequence is one row that carries its tokens (at
+    most ``steps``), so a step is one join (two with large levels) and the plan is a chain.  Every ``checkpoint_every`` steps the
     rows are stored and ended sequences leave the loop; until then they join under a key of their own.
     """
-    checkpoint_dir(prompts.sparkSession)
-    table = (draw_table(counts, t, k, p).groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi", "token")).alias("_draws"))
-             .checkpoint(eager=True))
+    table = draw_table(counts, t, k, p)
     idle = F.concat(F.lit("\0"), F.col("prompt_id").cast("string"))        # no token holds this key
+    u = keyed_uniform(F.lit(str(seed)), F.col("_step").cast("string"), F.col("prompt_id").cast("string"))
+    draw = Draw(table, F.when(~F.col("_done"), F.col("_last")), u, idle, ["prompt_id", "_nl", "gen", "_done", "_step"], "_tok")
+    nl = F.col("_nl") + F.coalesce(count_char("_tok", "\n"), F.lit(0))
+    stop = F.col("_tok").isNull() | (nl > newline_budget)
+    if eos_token:
+        stop = stop | F.coalesce(F.col("_tok") == eos_token, F.lit(False))
+    # the expressions of a step are the same in every step: they are built once
+    after = [F.col("prompt_id"), F.col("_tok").alias("_last"), nl.alias("_nl"),
+             F.when(F.col("_done"), F.col("gen")).otherwise(F.concat("gen", F.array("_tok"))).alias("gen"),
+             (F.col("_done") | stop).alias("_done"), (F.col("_step") + 1).alias("_step")]
     live = prompts.select("prompt_id", F.get("tokens", F.size("tokens") - 1).alias("_last"), F.lit(0).alias("_nl"),
-                          F.array().cast("array<string>").alias("gen"), F.lit(False).alias("_done"))
+                          F.array().cast("array<string>").alias("gen"), F.lit(False).alias("_done"), F.lit(0).alias("_step"))
     ended = []
     for step in range(steps):
-        u = keyed_uniform(F.lit(str(seed)), F.lit(str(step)), F.col("prompt_id").cast("string"))
-        d = live.select("*", u.alias("_u"), F.when(F.col("_done") | F.col("_last").isNull(), idle)
-                        .otherwise(F.col("_last")).alias("_key"))
-        d = d.join(table, d["_key"] == table["ctx"], "left").withColumn("_tok", F.get(F.filter(
-            "_draws", lambda x: (F.col("_u") >= x["lo"]) & (F.col("_u") < x["hi"])), 0)["token"])
-        nl = F.col("_nl") + F.coalesce(count_char("_tok", "\n"), F.lit(0))
-        stop = F.col("_tok").isNull() | (nl > newline_budget)
-        if eos_token:
-            stop = stop | F.coalesce(F.col("_tok") == eos_token, F.lit(False))
-        live = d.select("prompt_id", F.col("_tok").alias("_last"), nl.alias("_nl"),
-                        F.when(F.col("_done"), F.col("gen")).otherwise(F.concat("gen", F.array("_tok"))).alias("gen"),
-                        (F.col("_done") | stop).alias("_done"))
+        live = draw(live).select(after)
         if (step + 1) % checkpoint_every == 0 and step + 1 < steps:
-            live = live.checkpoint(eager=True)
+            live = checkpointed(live)
             ended.append(live.filter("_done").select("prompt_id", "gen"))
             live = live.filter("not _done")
             if live.isEmpty():

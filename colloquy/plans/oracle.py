@@ -4,6 +4,8 @@ Written independently of the Spark code: global windows and plain SQL where Spar
 bucketed/two-phase forms, recursive CTEs where Spark uses closed forms.
 """
 
+from colloquy import config
+
 ORACLE: dict = {}
 
 PRETOKEN = r"' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+'"
@@ -437,7 +439,14 @@ SELECT event_id, user_id, round(sin(event_id) * h0 + h1 + 0.5 * x, 6) AS y FROM
 
 U = "('0x' || substring(md5('42:' || {pos} || ':' || {id}::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
 U0, U1 = U.format(pos="'0'", id="p.prompt_id"), U.format(pos="(g.pos + 1)::VARCHAR", id="g.prompt_id")
-GENERATED = f"""
+FIRST_PROMPTS = """SELECT conv_id AS prompt_id, 'User: ' || arg_min(text, turn) || chr(10) || 'Assistant:' AS prompt
+  FROM conversations WHERE role = 'user' GROUP BY conv_id"""
+FIXED_PROMPTS = " UNION ALL ".join("SELECT {}::BIGINT AS prompt_id, {} AS prompt".format(
+    i, " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))) for i, text in enumerate(config.TEST_PROMPTS))
+
+
+def generated(prompts: str) -> str:
+    return f"""
 cdf AS (
   SELECT ctx, token, logit,
          sum(p) OVER (PARTITION BY ctx ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
@@ -450,10 +459,7 @@ draw AS MATERIALIZED (
          CASE WHEN from_end = 1 THEN 'inf'::DOUBLE ELSE cum END AS hi
   FROM cdf
 ),
-prompts AS MATERIALIZED (
-  SELECT conv_id AS prompt_id, 'User: ' || arg_min(text, turn) || chr(10) || 'Assistant:' AS prompt
-  FROM conversations WHERE role = 'user' GROUP BY conv_id
-),
+prompts AS MATERIALIZED ({prompts}),
 gen(prompt_id, pos, token, nl) AS (
   SELECT p.prompt_id, 0::BIGINT, d.token, coalesce(length(d.token) - length(replace(d.token, chr(10), '')), 0)
   FROM prompts p LEFT JOIN draw d ON d.ctx = regexp_extract_all(p.prompt, {PRETOKEN})[-1] AND {U0} >= d.lo AND {U0} < d.hi
@@ -463,11 +469,30 @@ gen(prompt_id, pos, token, nl) AS (
   LEFT JOIN draw d ON d.ctx = g.token AND {U1} >= d.lo AND {U1} < d.hi
 )
 """
-ORACLE["rollout"] = f"WITH RECURSIVE {EXAMPLES}, {GENERATED} SELECT prompt_id, pos, token FROM gen"
-ORACLE["generation_report"] = f"""WITH RECURSIVE {EXAMPLES}, {GENERATED}
+
+
+def report(prompts: str) -> str:
+    return f"""WITH RECURSIVE {EXAMPLES}, {generated(prompts)}
 SELECT prompt_id, prompt, coalesce(cont, '') AS generated FROM prompts
 LEFT JOIN (SELECT prompt_id, string_agg(token, '' ORDER BY pos) AS cont FROM gen GROUP BY prompt_id) USING (prompt_id)"""
 
+
+ORACLE["rollout"] = f"WITH RECURSIVE {EXAMPLES}, {generated(FIRST_PROMPTS)} SELECT prompt_id, pos, token FROM gen"
+ORACLE["generation_report"] = report(FIRST_PROMPTS)
+ONE_CONTEXT = f"""{EXAMPLES},
+one AS (SELECT token, ln(sum(n)::DOUBLE) / 0.8 AS logit FROM counts GROUP BY token),
+one_p AS (SELECT token, logit, e / sum(e) OVER () AS p FROM (SELECT *, exp(logit - max(logit) OVER ()) AS e FROM one)),
+one_cut AS (
+  SELECT token, logit, p / sum(p) OVER () AS p FROM (
+    SELECT *, coalesce(sum(p) OVER (ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM one_p)
+  WHERE before <= 0.9 + 1e-12)"""
+ORACLE["long_nucleus"] = f"WITH {ONE_CONTEXT} SELECT token, round(p, 12) AS p FROM one_cut"
+ORACLE["long_sample"] = f"""WITH {ONE_CONTEXT},
+one_lo AS (SELECT token, coalesce(sum(p) OVER (ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM one_cut),
+d AS (SELECT conv_id, turn, ('0x' || substring(md5('42:draw:' || conv_id || ':' || turn), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM conversations)
+SELECT conv_id, turn, token FROM d ASOF JOIN one_lo ON d.u >= one_lo.lo"""
+ORACLE["test_prompts"] = report(FIXED_PROMPTS)
+
 ORACLE["special_ids"] = f"""WITH {DOC_VOCAB},
 n AS (SELECT count(*)::BIGINT AS n FROM doc_vocab)
 SELECT false AS has_pad, false AS has_eos, n + 1 AS vocab_size, -1::BIGINT AS eos_id, n AS pad_id FROM n

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.text import join_ints
-from colloquy.operators import batching, convlog, qa, render, rollout, scan, scoring, sequence, steps, tokens
+from colloquy.functions.text import join_ints, keyed_uniform
+from colloquy.operators import batching, convlog, nucleus, qa, render, rollout, scan, scoring, sequence, steps, tokens
 from colloquy.plans import standins, training
 from colloquy.plans.tables import table
-from colloquy.session import checkpoint_dir
+from colloquy.session import checkpoint_dir, checkpointed
 from colloquy.sources import jsonl, metrics, qa_files
 from colloquy.streaming import chat_state, ingest
 
@@ -53,8 +53,7 @@ def _r(c, n=9):
 def _once(df):
     """K7 inside a query: a table used by two branches is checkpointed (reliably, into the
     cluster's ``spark.checkpoint.dir``) so tokenisation runs once and lineage is cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def _folder(spark, what):
@@ -498,6 +497,13 @@ def q_generation_report(spark, sf):
     return rollout.generation_report(_first_prompts(spark, sf), _counts(spark, sf), steps=config.SAMPLER_MAX_TOKENS)
 
 
+@query("test_prompts")
+def q_test_prompts(spark, sf):
+    """The trainer's fixed prompts against the table's next-token counts."""
+    prompts = spark.createDataFrame(list(enumerate(config.TEST_PROMPTS)), "prompt_id bigint, prompt string")
+    return rollout.generation_report(prompts, _counts(spark, sf), steps=config.SAMPLER_MAX_TOKENS)
+
+
 # --- C1-C8 ----------------------------------------------------------------------------------------
 
 def _log(spark, sf):
@@ -616,6 +622,28 @@ def q_long_examples(spark, sf):
                      F.md5(F.array_join("context", "\n")).alias("context_md5"), "response")
 
 
+def _one_context(spark, sf):
+    """Next-token counts of the whole table as one context: thousands of tokens, most of them tied."""
+    counts = _counts(spark, sf).groupBy("token").agg(F.sum("n").alias("n"))
+    return _once(counts.select(F.lit("").alias("ctx"), "token", "n"))
+
+
+@query("long_nucleus")
+def q_long_nucleus(spark, sf):
+    s = nucleus.nucleus(scoring.count_scores(_one_context(spark, sf)), config.TEMPERATURE, 0, config.TOP_P)
+    return s.select("token", _r("p", 12).alias("p"))
+
+
+@query("long_sample")
+def q_long_sample(spark, sf):
+    """One draw a conversation row from the one context."""
+    draws = _conv(spark, sf).select("conv_id", "turn")
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    u = keyed_uniform(F.lit(str(config.SEED)), F.lit("draw"), name)
+    table_ = nucleus.draw_table(_one_context(spark, sf), config.TEMPERATURE, 0, config.TOP_P)
+    return nucleus.draw(draws, table_, F.lit(""), u, F.concat(F.lit("\0"), name))
+
+
 def _long_log(spark, sf):
     return standins.one_key(convlog.classify_inputs(convlog.clean_inputs(_log(spark, sf))), "conv_id", "turn")
 

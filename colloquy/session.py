@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME_CONFS = {
     # duplicate JSON keys: last one wins, as Python's json module does
@@ -49,3 +49,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared checkpoint folder, lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
