@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bucket_count, fresh_name, materialize
@@ -46,7 +47,7 @@ GRAM = 32
 SYMBOL = 8
 DEPTH = (LENGTH - SYMBOL) // SYMBOL        # 24 symbols = 192 bytes, plus 8 bytes compared exactly
 SHARDS = 4
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 HOT_PIECES = 20_000
 BUFFER = 4 << 20
 
@@ -154,24 +155,26 @@ PIECE = "h bigint, pid bigint, k1 bigint, k2 bigint, lo bigint, left smallint, s
 # ---- the bucket: transforms of shards and their merge -------------------------------------------------
 
 def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.int64)
+    return np.unique(x, return_inverse=True)[1].astype(np.int32)
 
 
 def shard_order(sym: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Suffixes of one shard by their first ``DEPTH`` symbols (by prefix doubling); ``end``: each
     position's terminator."""
-    at = np.arange(len(sym))
-    ranks, size = {1: _dense(sym)}, 1
-    while size * 2 <= DEPTH:
-        r = ranks[size]
-        ranks[size * 2] = _dense(r * (r.max() + 1) + r[np.minimum(at + size, end)])
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _dense(a.astype(np.int64) * (int(b.max()) + 1) + b)
+
+    at = np.arange(len(sym), dtype=np.int32)
+    # DEPTH in binary: the ranks of a size are kept only while a doubling or the result needs them
+    r, done, power, size = None, 0, _dense(sym), 1
+    while True:
+        if DEPTH & size:
+            r = power if r is None else joined(r, power[np.minimum(at + done, end)])
+            done += size
+        if size * 2 > DEPTH:
+            return np.argsort(r, kind="stable").astype(np.int32)
+        power = joined(power, power[np.minimum(at + size, end)])
         size *= 2
-    r, done = ranks[size], size
-    while done < DEPTH:
-        step = max(s for s in ranks if s <= DEPTH - done)
-        more = ranks[step][np.minimum(at + done, end)]
-        r, done = _dense(r * (more.max() + 1) + more), done + step
-    return np.argsort(r, kind="stable")
 
 
 def merge_transforms(first: list[np.ndarray], follow: list[np.ndarray]):
@@ -182,20 +185,20 @@ def merge_transforms(first: list[np.ndarray], follow: list[np.ndarray]):
     sym = np.concatenate(first)
     nxt = np.concatenate([f + b for f, b in zip(follow, base)])
     n = len(sym)
-    place = np.arange(n)                   # interleave by no symbol: shard after shard
-    block = np.zeros(n, dtype=np.int64)    # by place
-    top = sym * n
+    place = np.arange(n, dtype=np.int32)   # interleave by no symbol: shard after shard
+    block = np.zeros(n, dtype=np.int32)    # by place
+    top = sym.astype(np.int64) * n
     for _ in range(DEPTH):
         after = place[nxt]
-        order = np.argsort(top + after, kind="stable")       # every shard's run is sorted: a merge of runs
+        order = np.argsort(top + after, kind="stable").astype(np.int32)      # every shard's run is sorted: a merge of runs
         of, behind = sym[order], block[after[order]]
         fresh = np.empty(n, dtype=bool)
         fresh[0] = False
         np.not_equal(of[1:], of[:-1], out=fresh[1:])
         fresh[1:] |= behind[1:] != behind[:-1]
-        block = np.cumsum(fresh)
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
+        block = np.cumsum(fresh, dtype=np.int32)
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
     return order, block
 
 
@@ -210,9 +213,9 @@ def repeated_starts(texts: list[bytes], left: np.ndarray, starts: np.ndarray, we
     size = blocks + 1                      # with its terminator
     begin = np.cumsum(size) - size
     total = int(size.sum())
-    piece = np.repeat(np.arange(len(texts)), size)
-    end = (begin + blocks)[piece]
-    sym = np.zeros(total, dtype=np.int64)
+    piece = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    end = (begin + blocks).astype(np.int32)[piece]
+    sym = np.zeros(total, dtype=np.int32)
     inner = np.ones(total, dtype=bool)
     inner[begin + blocks] = False
     sym[inner] = ids + 1
@@ -221,8 +224,8 @@ def repeated_starts(texts: list[bytes], left: np.ndarray, starts: np.ndarray, we
     first, follow, orders = [], [], []
     for a, b in zip(edges[:-1], edges[1:]):
         order = shard_order(sym[a:b], end[a:b] - a)
-        rank = np.empty(b - a, dtype=np.int64)
-        rank[order] = np.arange(b - a)
+        rank = np.empty(b - a, dtype=np.int32)
+        rank[order] = np.arange(b - a, dtype=np.int32)
         first.append(sym[a:b][order])
         follow.append(rank[np.minimum(order + 1, end[a:b][order] - a)])
         orders.append(order + a)
@@ -295,7 +298,13 @@ def _keyed(docs: DataFrame, extra: list[str]) -> DataFrame:
     return docs.select(*extra, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def repeated_ranges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+def _single(docs: DataFrame) -> DataFrame:
+    """One ``(k1, k2, text)`` of every group of repeated rows; the others stop before the shuffle."""
+    one_row = W.partitionBy("k1", "k2").orderBy("k2")
+    return _keyed(docs, []).withColumn("_r", F.row_number().over(one_row)).filter("_r = 1").drop("_r")
+
+
+def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``(k1, k2, ranges)``: the byte ranges of each document's text that repeat; ranges may overlap."""
     found = materialize(_keyed(docs, []).select("k1", "k2", "text").mapInPandas(_scan, PIECE), "suffix-anchors")
     # a table of its own, so that the join's sides are plain exchanges and a hot anchor's rows can be split
@@ -319,7 +328,8 @@ def repeated_ranges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
                     rows.append((w["h"], w["pid"], w["n"], w["left"], w["starts"], w["hot"], piece))
             yield pd.DataFrame(rows, columns=["h", "pid", "n", "left", "starts", "hot", "piece"])
 
-    texts = keyed.join(wanted, ["k1", "k2"]).select("doc_id", "text", "want").mapInPandas(
+    single = _single(docs)
+    texts = single.join(wanted, ["k1", "k2"]).select("text", "want").mapInPandas(
         cut, "h bigint, pid bigint, n bigint, left smallint, starts smallint, hot boolean, piece binary")
     any_hot = hot.limit(1).count() > 0
     texts = texts if not any_hot else materialize(texts, "suffix-pieces")
@@ -374,22 +384,21 @@ def kept_bytes(raw: bytes, ranges) -> tuple[bytes, int, int]:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    keyed = _keyed(docs, ["doc_id"])
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, text, ranges in zip(pdf["doc_id"], pdf["text"], pdf["ranges"]):
+            for k1, k2, text, ranges in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["ranges"]):
                 raw = _encode(text)
                 kept, removed, spans = kept_bytes(raw, ranges)
-                rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy() if pdf["doc_id"].notna().all() else pdf["doc_id"].astype("Int64"))
-            yield out
+                rows.append((k1, k2, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(rows, columns=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = keyed.join(repeated_ranges(docs, keyed), ["k1", "k2"], "left")
-    return joined.select("doc_id", "text", "ranges").mapInPandas(
-        run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    # texts are cut once for all rows that repeat them, on the exchange that the pieces were cut on; rows join back without texts
+    done = (_single(docs).join(repeated_ranges(docs), ["k1", "k2"], "left").select("k1", "k2", "text", "ranges")
+            .mapInPandas(run, "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"))
+    return (_keyed(docs, ["doc_id"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "k1", "k2").join(done, ["k1", "k2"])
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -399,7 +408,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     k1, k2 = fresh_name("_k1", cols), fresh_name("_k2", cols)
     rows = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), k2: F.xxhash64("text")})
     pair = docs.select("doc_id", "text")
-    ranges = repeated_ranges(pair, _keyed(pair, ["doc_id"])).select(
+    ranges = repeated_ranges(pair).select(
         F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("ranges").alias(name))
 
     @F.pandas_udf("string")
