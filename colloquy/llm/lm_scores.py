@@ -202,9 +202,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         each = fixed[ids]
         base = np.log10((c + 1) / (m.total + m.kinds + 1))[ids]
         add = lambda x: np.add.reduceat(x, starts) if len(x) else np.empty(0)
-        return pd.DataFrame({"doc_id": a["doc_id"].astype("Int64"), "held_out": ~a["train"].to_numpy(), "n_tokens": lengths,
+        return pd.DataFrame({"doc_id": a["doc_id"], "held_out": ~a["train"].to_numpy(), "n_tokens": lengths,
                              "n_known": add((c > 0).astype(np.int64)[ids]), "train_tokens": np.int64(m.total),
                              "base_score": add(base), "score": (log + add(each)) / np.log(10)})
 
-    return (rows.select("chunk", "doc_id", "train", "text").groupBy("chunk").cogroup(counted.select("chunk", "w", "c").groupBy("chunk"))
-            .applyInPandas(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"))
+    # ids travel as text: exact beside nulls
+    return (rows.select("chunk", F.col("doc_id").cast("string"), "train", "text").groupBy("chunk").cogroup(counted.select("chunk", "w", "c").groupBy("chunk"))
+            .applyInPandas(score, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+            .withColumn("doc_id", F.col("doc_id").cast("bigint")))

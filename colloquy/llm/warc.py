@@ -46,9 +46,11 @@ def record_heads(pages: DataFrame) -> DataFrame:
             pdf["payload_digest"] = [digest32(b) for b in raw]
             yield pdf
 
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("bigint").alias("page_id"),
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("string").alias("page_id"),
                         F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(run, "uid bigint, page_id bigint, url string, html string, payload_bytes bigint, payload_digest string")
+    # ids travel as text: exact beside nulls
+    heads = rows.mapInPandas(run, "uid bigint, page_id string, url string, html string, payload_bytes bigint, payload_digest string")
+    return heads.withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 def resolve(heads: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -129,7 +131,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((_page(f["warc-record-id"]), n, told, f["warc-type"],
                                  _page(f["warc-refers-to"]) if "warc-refers-to" in f else None))
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                for name, place in (("page_id", 0), ("refers_to", 4)):
+                    out[name] = pd.array([r[place] for r in rows], dtype="Int64")      # exact beside nulls
+                yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInPandas(run, RESULT)
