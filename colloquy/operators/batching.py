@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.ordering import global_positions
+from colloquy.functions.ordering import global_positions, range_positions
+from colloquy.functions.permute import keyed_permutation
 
 
 def epoch_order(df: DataFrame, key_cols, seed: int = config.SEED, epochs: int = 1,
@@ -30,6 +31,17 @@ def epoch_order(df: DataFrame, key_cols, seed: int = config.SEED, epochs: int =
     return out.drop("_h")
 
 
+def epoch_permutation(df: DataFrame, key_cols, seed: int = config.SEED, epochs: int = 1) -> DataFrame:
+    """B1 by arithmetic: rows are numbered once by their keys; each epoch's ``pos`` is a keyed permutation of that number, computed
+    row by row.  No hash order and no shuffle an epoch, however many epochs.  Adds ``epoch``, ``pos`` and ``n_examples``."""
+    keys = list(key_cols)
+    numbered = range_positions(df, [F.asc_nulls_first(k) for k in keys], pos_col="_at")
+    n = numbered.count()
+    d = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(epochs) - 1))))
+    pos = keyed_permutation(F.col("_at"), max(n, 1), F.lit(str(seed)), F.col("epoch").cast("string"))
+    return d.withColumn("pos", pos).withColumn("n_examples", F.lit(n).cast("bigint")).drop("_at")
+
+
 def assign_batches(ordered: DataFrame, batch_size: int = config.BATCH_SIZE, drop_last: bool = True) -> DataFrame:
     """B2: ``batch_idx = pos div B``, ``slot = pos mod B``; the last partial batch is dropped."""
     b = int(batch_size)

@@ -220,6 +220,26 @@ SELECT conv_id, turn, s.c AS src_conv_id, s.t AS src_turn FROM f"""
 
 ORACLE["epoch_order"] = f"""WITH {EXAMPLES}
 SELECT epoch::BIGINT AS epoch, pos::BIGINT AS pos, conv_id, turn FROM ordered"""
+
+
+def permuted(src: str) -> str:
+    """One pass of the keyed rounds over ``src(conv_id, turn, epoch, n, a, b, x)``."""
+    keep = "conv_id, turn, epoch, n, a, b"
+    sql = f"SELECT {keep}, x // b AS l0, x % b AS r0 FROM {src}"
+    for i in range(6):
+        half, other = ("l", "r") if i % 2 == 0 else ("r", "l")
+        w = f"(({other}{i} + ('0x' || substring(md5('42:' || epoch || ':{i}'), 1, 7))::BIGINT) % 2147483647)"
+        sql = (f"SELECT {keep}, ({half}{i} + {w} * {w} % 2147483647 * 48271 % 2147483647) % {'a' if half == 'l' else 'b'} AS {half}{i + 1}, "
+               f"{other}{i} AS {other}{i + 1} FROM ({sql})")
+    return f"SELECT {keep}, l6 * b + r6 AS x FROM ({sql})"
+
+
+ORACLE["epoch_permutation"] = f"""WITH RECURSIVE {EXAMPLES},
+nums AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1)::BIGINT AS x, count(*) OVER ()::BIGINT AS n FROM ordered WHERE epoch = 0),
+sized AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT)::BIGINT AS b FROM nums),
+epochs AS (SELECT s.*, e.epoch::BIGINT AS epoch FROM sized s, range({config.EPOCHS}) AS e(epoch)),
+walk AS ({permuted("epochs")} UNION ALL {permuted("(SELECT * FROM walk WHERE x >= n)")})
+SELECT epoch, x AS pos, conv_id, turn FROM walk WHERE x < n"""
 ORACLE["batch_assign"] = f"""WITH {EXAMPLES}
 SELECT epoch::BIGINT AS epoch, batch_idx::BIGINT AS batch_idx, slot::BIGINT AS slot, conv_id, turn FROM batches"""
 

@@ -283,6 +283,13 @@ def q_epoch_order(spark, sf):
                                       "conv_id", "turn")
 
 
+@query("epoch_permutation")
+def q_epoch_permutation(spark, sf):
+    ex = training.training_examples(_conv(spark, sf)).select("conv_id", "turn")
+    d = batching.epoch_permutation(ex, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+    return d.select(F.col("epoch").cast("bigint").alias("epoch"), "pos", "conv_id", "turn")
+
+
 @query("batch_assign")
 def q_batch_assign(spark, sf):
     b = batching.assign_batches(_ordered(spark, sf), config.BATCH_SIZE)
