@@ -562,7 +562,7 @@ def q_chat_stream(spark, sf):
     turn = F.col("turn")
     for part in (turn < 16, (turn >= 16) & (turn < 48), turn >= 48):
         log.filter(part).write.mode("append").parquet(src)
-        chat_state.start_sessions(spark, src, out, ckpt).awaitTermination()
+        chat_state.start_sessions(spark, src, out, ckpt, state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     done = spark.read.schema(chat_state.OUTPUT_SCHEMA).parquet(out).filter("kind = 'message' AND NOT late")
     return done.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
 

@@ -127,12 +127,23 @@ def chat_sessions(log: DataFrame, idle_timeout_ms: int | None = 3_600_000) -> Da
 
 
 def start_sessions(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, available_now: bool = True,
-                   idle_timeout_ms: int | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Chat logs that arrive as Parquet files ``(conv_id, turn, raw)`` -> processed lines as Parquet, each row once, also after a restart."""
+                   idle_timeout_ms: int | None = None, max_files_per_trigger: int | None = None,
+                   state_partitions: int | None = None) -> StreamingQuery:
+    """Chat logs that arrive as Parquet files ``(conv_id, turn, raw)`` -> processed lines as Parquet, each row once, also after a restart.
+
+    ``state_partitions``: parts of the state store, each opened by every micro-batch; fixed by the first start of a checkpoint
+    (None: the session's shuffle partitions)."""
     configure(spark)
     reader = spark.readStream.schema("conv_id bigint, turn bigint, raw string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     w = (chat_sessions(reader.parquet(in_dir), idle_timeout_ms).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(state_partitions or before))
+        return w.start()                  # a stream keeps the settings that it was started with
+    finally:
+        spark.conf.set(key, before)

@@ -61,7 +61,8 @@ def test_chat_sessions_restart_from_checkpoint(spark, scratch):
         extra = [(0, 0, "late")] if part is more else []
         spark.createDataFrame(now + extra, LOG).coalesce(1).write.mode("append").parquet(src)
         rows += now
-        assert chat_state.start_sessions(spark, src, out, ckpt).awaitTermination(240)
+        assert chat_state.start_sessions(spark, src, out, ckpt, state_partitions=3).awaitTermination(240)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
     got = spark.read.schema(chat_state.OUTPUT_SCHEMA).parquet(out)
     assert [tuple(r) for r in got.filter("late").select("conv_id", "turn", "kind").collect()] == [(0, 0, None)]
     log = spark.createDataFrame(rows, LOG)
