@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import config
-from colloquy.functions.ordering import largest_group, running_aggs
+from colloquy.functions.ordering import global_positions, largest_group, running_aggs
 from colloquy.functions.text import PY_FLOAT_RE, PY_INT_RE, py_split, py_strip
 
 
@@ -80,6 +80,27 @@ def build_prompts(df: DataFrame) -> DataFrame:
     return msgs.withColumn("prompt", F.concat(F.array_join(hist, "\n"), F.lit(config.PROMPT_SUFFIX)))
 
 
+def segment_lines(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
+    """C7 by reference: each message of ``df`` with its line and the range of lines, ``first_line`` to ``line_no``, that its prompt
+    shows.  Lines are numbered per conversation in chunks; a segment's first line is a minimum of chunk minima.  One row a
+    message, so storage is linear however long a segment is."""
+    msgs = df.filter(F.col("kind") == "message").withColumn("line", F.concat(F.lit(config.USER_PREFIX), F.col("clean")))
+    num = global_positions(msgs, F.floor(F.col("turn") / chunk_rows), ["turn"], pos_col="line_no", partition_cols=["conv_id"])
+    first = num.groupBy("conv_id", "segment_id").agg(F.min("line_no").alias("first_line"))
+    first = first.select(F.col("conv_id").alias("_c"), F.col("segment_id").alias("_s"), "first_line")
+    return num.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("segment_id").eqNullSafe(F.col("_s"))).drop("_c", "_s")
+
+
+def render_prompts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """The prompts of the ``segment_lines`` rows ``wanted``, by a range join with all ``lines``; keeps ``wanted``'s columns."""
+    ln = lines.select(F.col("conv_id").alias("_c"), F.col("line_no").alias("_at"), F.col("line").alias("_text"))
+    keep = wanted.columns
+    d = wanted.join(ln, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_at").between(F.col("first_line"), F.col("line_no")))
+    g = d.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_at", "_text"))).alias("_h"))
+    text = F.array_join(F.transform("_h", lambda s: s["_text"]), "\n")
+    return g.select(*keep, F.concat(text, F.lit(config.PROMPT_SUFFIX)).alias("prompt"))
+
+
 def process_log(log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """C1 -> C6 in order; the largest conversation is measured once, on the raw log."""
     split = hot_rows is None or largest_group(log, "conv_id") > hot_rows

@@ -79,6 +79,39 @@ def conversation_examples_head(conv: DataFrame, max_lines: int, key="conv_id", o
     return early.unionByName(late)
 
 
+def history_lines(conv: DataFrame, key="conv_id", order="turn", chunk_rows: int = 65536) -> DataFrame:
+    """The lines of every conversation once, numbered from 0: ``(key, order, role, line_no, line)``.  A row without text or
+    role has no line.  Numbers come from chunks of a conversation and their running counts, so no window holds it whole."""
+    lines = conv.withColumn("line", role_line()).filter(F.col("line").isNotNull())
+    num = global_positions(lines, F.floor(F.col(order) / chunk_rows), [order], pos_col="line_no", partition_cols=[key])
+    return num.select(key, order, "role", "line_no", "line")
+
+
+def history_ranges(lines: DataFrame, key="conv_id", order="turn") -> DataFrame:
+    """P13 by reference: each assistant line's history as line numbers ``first_line`` to ``last_line`` (none: 0 to -1).
+    Narrow over ``history_lines``, one small row an example: storage is linear in turns."""
+    return lines.filter(F.col("role") == "assistant").select(
+        key, order, F.lit(0).cast("bigint").alias("first_line"), (F.col("line_no") - 1).alias("last_line"),
+        F.col("line_no").alias("response_line"))
+
+
+def ranges_within(ranges: DataFrame, max_turns: int) -> DataFrame:
+    """The last ``max_turns`` lines of each history: arithmetic on its range."""
+    return ranges.withColumn("first_line", F.greatest("first_line", F.col("last_line") + 1 - int(max_turns)))
+
+
+def render_ranges(ranges: DataFrame, lines: DataFrame, key="conv_id", order="turn") -> DataFrame:
+    """``(key, order, context, response)`` of the ranges asked for, by a range join with the lines inside a conversation
+    (null keys are a conversation).  Its output, not its storage, is as long as the histories asked for."""
+    ln = lines.select(F.col(key).alias("_lk"), "line_no", "line")
+    d = ranges.join(ln, F.col(key).eqNullSafe(F.col("_lk")) & F.col("line_no").between(F.col("first_line"), F.col("response_line")))
+    past = F.when(F.col("line_no") <= F.col("last_line"), F.struct("line_no", "line"))
+    own = F.max(F.when(F.col("line_no") == F.col("response_line"), F.col("line")))
+    # the response's line tells rows of one turn apart
+    g = d.groupBy(key, order, "first_line", "response_line").agg(F.sort_array(F.collect_list(past)).alias("_h"), own.alias("response"))
+    return g.select(key, order, F.transform("_h", lambda s: s["line"]).alias("context"), "response")
+
+
 def render_text(df: DataFrame, context="context", response="response", out="full_text") -> DataFrame:
     """``"\\n".join(context) + "\\n" + response`` (an empty context keeps the leading newline)."""
     return df.withColumn(out, F.concat(F.array_join(F.col(context), "\n"), F.lit("\n"), F.col(response)))

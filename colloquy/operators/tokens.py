@@ -106,6 +106,64 @@ def detokenize(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str
     return assembled.select(*keys, F.array_join(F.transform("_s", lambda s: s["token"]), "").alias(out))
 
 
+BLOCK_TOKENS = 1 << 16          # elements a block of sequences holds on average
+SLOT_TOKENS = 16                # elements of a block per slot of its dictionary
+
+
+def map_elements(df: DataFrame, pairs: DataFrame, keys, col: str, out: str, old: str, new: str,
+                 block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``(*keys, out)``: every element of the array ``col`` replaced by ``pairs``' ``new`` value for it (null: no pair).
+
+    No sequence is taken apart.  Sequences are gathered whole into blocks of about ``block_tokens`` elements (by hash of the
+    row, so blocks are even and a re-run task deals alike); a block's distinct elements alone cross the shuffle to meet
+    ``pairs`` and come back as the block's dictionary: an array of small maps, addressed by the element's hash, as a
+    lookup in one large map is linear.  A null array counts as empty, a null element maps to null.  Rows are kept as
+    rows: repeated keys come back as often.  ``pairs`` must hold each ``old`` value once.
+    """
+    keys = list(keys)
+    seqs = df.select(*keys, F.coalesce(F.col(col), F.array().cast(df.schema[col].dataType)).alias("_s"))
+    total = seqs.agg(F.sum(F.size("_s"))).first()[0] or 0
+    n_blocks = max(1, -(-int(total) // int(block_tokens)))
+    blocks = (seqs.withColumn("_b", F.pmod(F.xxhash64(*keys, "_s"), F.lit(n_blocks)))
+                  .groupBy("_b").agg(F.collect_list(F.struct(*keys, "_s")).alias("_rows"))
+                  .withColumn("_all", F.flatten("_rows._s"))
+                  .select("_b", "_rows", "_all", (F.size("_all") / SLOT_TOKENS + 1).cast("int").alias("_n")))
+    words = (blocks.select("_b", "_n", F.explode_outer(F.array_distinct("_all")).alias(old)).filter(F.col(old).isNotNull())
+                   .join(pairs.select(old, new), old)
+                   .select("_b", F.pmod(F.hash(old), F.col("_n")).alias("_slot"), F.struct(F.col(old), F.col(new)).alias("_e")))
+    # a row for every slot: the dictionary's array has no gaps
+    slots = blocks.select("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_slot"),
+                          F.lit(None).cast(words.schema["_e"].dataType).alias("_e"))
+    entry = words.unionByName(slots).repartition("_b").groupBy("_b", "_slot").agg(F.collect_list("_e").alias("_m"))
+    dictionary = (entry.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_slot", "_m"))).alias("_d"))
+                       .select(F.col("_b").alias("_db"), F.transform("_d", lambda s: F.map_from_entries(s["_m"])).alias("_d")))
+
+    def look_up(t):
+        return F.get("_d", F.pmod(F.hash(t), F.col("_n")))[t]
+
+    joined = blocks.select("_b", "_n", "_rows").join(dictionary, F.col("_b") == F.col("_db"))
+    done = joined.select(F.explode(F.transform("_rows", lambda r: F.struct(
+        *[r[k].alias(k) for k in keys], F.transform(r["_s"], look_up).alias(out)))).alias("_r"))
+    return done.select(*[F.col("_r")[c].alias(c) for c in (*keys, out)])
+
+
+def encode_blocks(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str = "ids",
+                  block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``encode`` by block dictionaries (``map_elements``): for tables whose tokens repeat much inside a block, or whose
+    sequences are too long to regroup token by token.  A token that the vocabulary lacks becomes null."""
+    return map_elements(df, vocab, keys, col, out, "token", "token_id", block_tokens)
+
+
+def detokenize_blocks(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str = "text",
+                      special_tokens=(config.EOS_TOKEN, config.PAD_TOKEN), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """K10 by block dictionaries: special ids and ids that the vocabulary lacks become ''.
+
+    ``df`` is read three times (sizes, distinct ids, sequences): pass a stored table."""
+    v = vocab.select("token_id", "token").filter(~F.col("token").isin(*special_tokens))
+    d = map_elements(df, v, keys, col, "_words", "token_id", "token", block_tokens)
+    return d.select(*list(keys), F.array_join(F.transform("_words", lambda t: F.coalesce(t, F.lit(""))), "").alias(out))
+
+
 def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col: str = "tokens",
                   more: dict[str, int] | None = None) -> DataFrame:
     """K8: lazy length (every valid row) and cached length (rows that survive K5), one pass.
@@ -148,3 +206,17 @@ def materialize(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     back, so later epochs (and a lost executor) never re-tokenize or recompute the lineage."""
     df.write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_store(df: DataFrame, name: str, keys, buckets: int, path: str | None = None) -> DataFrame:
+    """K7 for joins: the table ``name`` in ``buckets`` files by hash of ``keys``, each sorted by them.
+
+    Encoding, batch order and losses that join on ``keys`` (all of them) read the store in place: only the other side is
+    exchanged, into as many partitions.  ``path`` names a folder on shared storage (else the warehouse); the table's bucket
+    layout is kept in the session's catalog.  One exchange here lets a bucket be one file.  Null keys are rows of one
+    bucket; keys are those of an example, so a bucket holds about its share of the rows."""
+    keys = list(keys)
+    w = (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+           .bucketBy(buckets, *keys).sortBy(*keys))
+    (w.option("path", path) if path else w).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -559,3 +559,18 @@ ORACLE["long_fir"] = """
 SELECT event_id, round(0.5 + 0.1 * lag(value, 3, 0) OVER w + 0.2 * lag(value, 2, 0) OVER w + 0.3 * lag(value, 1, 0) OVER w
              + 0.4 * value, 6) AS y
 FROM events WINDOW w AS (ORDER BY ts, event_id)"""
+ORACLE["history_render"] = ORACLE["conv_examples"]
+ORACLE["history_ranges"] = """
+SELECT conv_id, turn, greatest(0, n - 3)::BIGINT AS first_line, (n - 1)::BIGINT AS last_line, n::BIGINT AS response_line
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+WHERE role = 'assistant'"""
+ORACLE["prompt_render"] = ORACLE["build_prompts"]
+ORACLE["prompt_ranges"] = f"""WITH {LOG}
+SELECT conv_id, turn, segment_id, count(*) OVER (PARTITION BY conv_id, segment_id ORDER BY turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS n_lines
+FROM seg WHERE kind = 'message'"""
+ORACLE["token_store"] = f"""WITH {EXAMPLES}
+SELECT epoch::BIGINT AS epoch, batch_idx::BIGINT AS batch_idx, slot::BIGINT AS slot, conv_id, turn, len(p.tokens)::BIGINT AS n_tok,
+       md5(array_to_string(p.tokens, {SEP})) AS tokens_md5
+FROM batches JOIN pairs p USING (conv_id, turn)"""
+ORACLE["detokenize_blocks"] = ORACLE["detokenize"]

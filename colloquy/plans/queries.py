@@ -29,6 +29,9 @@ SEP = "\u001f"  # joins surface tokens before hashing (never produced by the tok
 # Stand-in event intervals (optimizer steps) scaled to the test tables; the reference's
 # defaults (100 / 5000 / 500) are the operator defaults in ``config``.
 LOG_EVERY, SAVE_EVERY, TEST_EVERY = 5, 20, 10
+HISTORY_LINES = 3              # lines of history by reference (none in the reference)
+METRICS_PER_DOCUMENT = 4       # logged steps a metrics document holds here, so that there are many
+STORE_BUCKETS = 16             # buckets of the token store at the scale of the test tables
 LAZY_MIN_TOKENS = 200          # K9 stand-in minimum so that some rows are "too short"
 DECAY_PER_SECOND = 1.0 / 3600.0
 FIR_WEIGHTS, FIR_BIAS = (0.1, 0.2, 0.3, 0.4), 0.5
@@ -206,6 +209,22 @@ def q_render_text(spark, sf):
     return ex.select("conv_id", "turn", "full_text", F.char_length("full_text").cast("bigint").alias("n_chars"))
 
 
+@query("history_ranges")
+def q_history_ranges(spark, sf):
+    """P13 by reference: one small row an example."""
+    r = render.ranges_within(render.history_ranges(render.history_lines(_conv(spark, sf))), HISTORY_LINES)
+    return r.select("conv_id", "turn", "first_line", "last_line", "response_line")
+
+
+@query("history_render")
+def q_history_render(spark, sf):
+    """P13 by reference, all histories rendered: equals conv_examples."""
+    lines = _once(render.history_lines(_conv(spark, sf)))
+    ex = render.render_ranges(render.history_ranges(lines), lines)
+    return ex.select("conv_id", "turn", F.size("context").cast("bigint").alias("n_ctx"),
+                     F.array_join("context", "\n").alias("context_text"), "response")
+
+
 # --- K1-K10 ---------------------------------------------------------------------------------
 
 @query("tokenize")
@@ -270,6 +289,17 @@ def q_detokenize(spark, sf):
     return txt.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query("detokenize_blocks")
+def q_detokenize_blocks(spark, sf):
+    """K10 there and back by block dictionaries; special ids as in detokenize."""
+    d, v = _doc_vocab(spark, sf, once=True)
+    v = _once(v.select("token", "token_id"))
+    ids = tokens.encode_blocks(d, v, ["doc_id"], "tokens", "ids")
+    ids = _once(ids.withColumn("ids", F.concat("ids", F.array(tokens.special_ids(v).select("eos_id").scalar()))))
+    txt = tokens.detokenize_blocks(ids, v, ["doc_id"], "ids", "text")
+    return txt.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # --- B1-B7 ----------------------------------------------------------------------------------
 
 def _ordered(spark, sf):
@@ -323,6 +353,19 @@ def q_batch_stats(spark, sf):
         "padded_cells", "real_cells")
 
 
+@query("token_store")
+def q_token_store(spark, sf):
+    """K7: the token table stored in buckets; each batch's rows meet their tokens without an exchange of the tokens."""
+    ex = training.training_examples(_conv(spark, sf))
+    name = f"token_store_{uuid.uuid4().hex}"
+    store = tokens.write_store(ex.select("conv_id", "turn", "tokens"), name, ["conv_id", "turn"], STORE_BUCKETS, _folder(spark, "store"))
+    b = _batches(store.select("conv_id", "turn", F.size("tokens").alias("_n")).select(
+        "conv_id", "turn", F.sequence(F.lit(1), F.col("_n") - 1).alias("input_ids")))
+    d = b.join(store, ["conv_id", "turn"])
+    return d.select(F.col("epoch").cast("bigint").alias("epoch"), "batch_idx", "slot", "conv_id", "turn",
+                    F.size("tokens").cast("bigint").alias("n_tok"), _hash_tokens("tokens").alias("tokens_md5"))
+
+
 # --- A2, T1-T4, A3-A5, N1 -----------------------------------------------------------------------
 
 def _batches(examples):
@@ -424,10 +467,10 @@ def q_metrics_rows(spark, sf):
 
 @query("metrics_document")
 def q_metrics_document(spark, sf):
-    """The logged metrics as the trainer's document of parallel lists, read back as rows."""
+    """The logged metrics as documents of parallel lists with an index, read back as rows."""
     path = _folder(spark, "metrics")
-    metrics.write_metrics_json(_metrics(spark, sf), path)
-    r = metrics.read_metrics_json(spark, path)
+    metrics.write_metrics_json(_metrics(spark, sf), path, steps_per_document=METRICS_PER_DOCUMENT)
+    r = metrics.read_metrics_documents(spark, path)
     return r.select("step", _r("train_loss").alias("train_loss"), _r("lr", 12).alias("lr"), "mem_gb")
 
 
@@ -554,6 +597,22 @@ def q_build_prompts(spark, sf):
     return d.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
 
 
+@query("prompt_ranges")
+def q_prompt_ranges(spark, sf):
+    """C7 by reference: the range of lines of each prompt."""
+    d = convlog.segment_lines(convlog.process_log(_log(spark, sf)))
+    return d.select("conv_id", "turn", "segment_id", (F.col("line_no") - F.col("first_line") + 1).alias("n_lines"))
+
+
+@query("prompt_render")
+def q_prompt_render(spark, sf):
+    """C7 by reference, every prompt rendered: equals build_prompts."""
+    lines = _once(convlog.segment_lines(convlog.process_log(_log(spark, sf))).select(
+        "conv_id", "turn", "segment_id", "temperature", "max_tokens", "first_line", "line_no", "line"))
+    d = convlog.render_prompts(lines.drop("line"), lines)
+    return d.select("conv_id", "turn", "segment_id", "temperature", "max_tokens", "prompt")
+
+
 @query("chat_stream")
 def q_chat_stream(spark, sf):
     """R2: the log arrives in three deliveries of turns; the stream is started anew for each, from its state, and gives C4-C7."""
