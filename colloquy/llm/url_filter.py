@@ -87,7 +87,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERD
     if not n_rules:
         return parsed.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     bloom, n_blocks = blocked_bloom(rules, n_rules)
-    urls = parsed.filter("host <> '' and path <> ''").select("host", "path").distinct()
+    urls = parsed.filter("host <> ''").select("host", "path").distinct()
     part = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.greatest(F.size(part) - F.lit(labels) + 1, F.lit(1)), F.size(part)),
