@@ -7,8 +7,9 @@ sum over the per-source table (a row per source) solves it in integers.
 
 Order: a source's documents are laid out by md5 of their id, once per pass over the source.  A
 document takes the words that lie below the source's target; the one on the boundary is taken in
-part, so a source's taken words equal its rounded target.  Running sums are two-level (md5-prefix
-buckets, whose number follows the row count, then rows inside a bucket): a hot source is many tasks.
+part, so a source's taken words equal its rounded target.  Running sums are two-level (range parts, then rows
+inside a part): a hot source, and an id that many rows share, null included, are many tasks.  The table of sources
+is one row a source, and its windows are one task: meant for up to some millions of sources.
 
 Positions: source i's share of the training time t in [0, 1] follows the weight schedule
 ``1 + g (2t - 1)`` with slope ``g`` from ``SLOPES``.  Its integral ``t + g (t^2 - t)`` is the source's
@@ -22,19 +23,17 @@ other.  Empty tables give no rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialize
+from colloquy.functions.ordering import range_partitions
+from colloquy.llm.common import fresh_name, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)             # 150 % as a fraction
 MAX_REPEATS = 2
 SLOPES = (0.5, 0.0, -0.5)
-ROWS_PER_BUCKET = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,41 +62,68 @@ def source_targets(sizes: DataFrame) -> DataFrame:
                     F.round(target).cast("long").alias("goal"), "slope")
 
 
+def _placed(docs: DataFrame, uid: str | None = None, parts: int | None = None) -> DataFrame:
+    """Every document with its size, its source's size and goal, and ``off``, the words of its source laid out before it.
+
+    Rows are range-partitioned by (source, md5, id, size, row): parts are even whatever the ids are, as rows that tie in all but
+    the row number are alike and may change places.  Running sums are taken inside parts and over one row a part and source."""
+    row = F.col(uid) if uid else F.monotonically_increasing_id()
+    size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), 0)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", F.greatest(size, F.lit(0).cast("long")).alias("size"),
+                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("u"), row.alias("uid"))
+    rows = range_partitions(materialize(rows, "mix-sizes"), ["source", "u", "doc_id", "size", "uid"], parts)
+    sums = rows.groupBy("source", "_part").agg(F.sum("size").alias("bs"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bs").alias("source_size"))).withColumnRenamed("source", "_t")
+    earlier = W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("bs").over(earlier), F.lit(0)).alias("base"))
+    inside = W.partitionBy("_part", "source").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    d = rows.withColumn("in_part", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = d.join(sums, d["source"].eqNullSafe(sums["_s"]) & (d["_part"] == sums["_p"]))
+    return d.join(targets, d["source"].eqNullSafe(targets["_t"])).withColumn("off", F.col("base") + F.col("in_part"))
+
+
+def _below(p: int) -> Column:
+    """Words that pass ``p`` over the source takes of a document."""
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("goal") - p * F.col("source_size") - F.col("off"), F.col("size")))
+
+
+def _position(p: int) -> Column:
+    x = (p * F.col("source_size") + F.col("off")) / F.col("goal")
+    g = F.col("slope")
+    t = F.when(g == 0, x).otherwise((F.sqrt((1 - g) * (1 - g) + 4 * g * x) - (1 - g)) / (2 * g))
+    return F.when(_below(p) > 0, t + F.lit(0.0))   # no negative zero
+
+
 def mix_plan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, position, position_2, range-sorted
     by position (documents that the mix leaves out come last)."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), 0)), F.lit(0))
-                       .cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("u"))
-    rows = materialize(rows.withColumn("size", F.greatest("size", F.lit(0).cast("long"))), "mix-sizes")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    largest = per_source.agg(F.max("n")).first()[0] or 0
-    digits = min(8, max(1, math.ceil(math.log(max(1, largest / ROWS_PER_BUCKET), 16))))
-    rows = rows.withColumn("b", F.substring("u", 1, digits))
-    inside = W.partitionBy("source", "b").orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("bs"))
-    earlier = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("_s"), F.col("b").alias("_b"),
-                             F.coalesce(F.sum("bs").over(earlier), F.lit(0)).alias("base"))
-    targets = source_targets(per_source.select("source", "source_size")).withColumnRenamed("source", "_t")
-    d = rows.join(buckets, rows["source"].eqNullSafe(buckets["_s"]) & (rows["b"] == buckets["_b"]))
-    d = d.join(targets, d["source"].eqNullSafe(targets["_t"])).withColumn("off", F.col("base") + F.col("in_bucket"))
-
-    def below(p: int) -> Column:
-        return F.greatest(F.lit(0).cast("long"), F.least(F.col("goal") - p * F.col("source_size") - F.col("off"), F.col("size")))
-
-    def position(p: int) -> Column:
-        x = (p * F.col("source_size") + F.col("off")) / F.col("goal")
-        g = F.col("slope")
-        t = F.when(g == 0, x).otherwise((F.sqrt((1 - g) * (1 - g) + 4 * g * x) - (1 - g)) / (2 * g))
-        return F.when(below(p) > 0, t + F.lit(0.0))   # no negative zero
-
-    plan = d.select("doc_id", "size", "source_size", "target", sum((below(p) for p in range(1, MAX_REPEATS)), below(0)).alias("taken"),
-                    position(0).alias("position"), position(1).alias("position_2"))
+    plan = _placed(docs).select("doc_id", "size", "source_size", "target", sum((_below(p) for p in range(1, MAX_REPEATS)), _below(0)).alias("taken"),
+                                _position(0).alias("position"), _position(1).alias("position_2"))
     return plan.repartitionByRange(F.col("position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(
         F.col("position").asc_nulls_last(), F.col("doc_id"))
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """The mixed corpus itself: the rows of ``docs``, all columns, once for each pass that takes words of them, range-sorted by
+    training position.  Added (with underscores where a column has the name): ``position``, ``repeat`` (0 or 1) and ``taken``,
+    the words this pass takes: all of the text but for the one document a source that its target cuts.  Rows that the
+    mix leaves out, empty texts among them, have no row."""
+    cols = docs.columns
+    uid = fresh_name("_uid", cols)
+    src = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "mix-docs")
+    passes = F.array(*[F.struct(_position(p).alias("position"), F.lit(p).alias("repeat"), _below(p).alias("taken")) for p in range(MAX_REPEATS)])
+    plan = _placed(src, uid).select(F.col("uid").alias("_plan_uid"), F.explode(passes).alias("_pass")).filter(F.col("_pass.position").isNotNull())
+    named, taken = [], list(cols)
+    for c in ("position", "repeat", "taken"):
+        taken.append(fresh_name(c, taken))
+        named.append(taken[-1])
+    plan = plan.select(F.col("_plan_uid").alias(fresh_name("_plan_uid", [*taken, uid])),
+                       *[F.col(f"_pass.{c}").alias(n) for c, n in zip(("position", "repeat", "taken"), named, strict=True)])
+    out = src.join(plan, src[uid] == plan[plan.columns[0]])
+    order = [F.col(named[0]), F.col(uid), F.col(named[1])]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols, *named)
+
+
 def training_order(plan: DataFrame) -> DataFrame:
     """Every repetition of every taken document as ``(position, doc_id, repeat)``, range-sorted."""
     each = plan.select("doc_id", F.posexplode(F.array("position", "position_2")).alias("repeat", "position"))

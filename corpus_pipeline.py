@@ -4,7 +4,8 @@
 2. simhash           one document of each near-duplicate group stays (the smallest doc_id)
 3. suffix_dedup      byte strings of 200 or more that repeat are cut out of the texts
 4. decontaminate     documents that hold a benchmark item go
-5. mixing            the rest is mixed to target weights along the curriculum
+5. mixing            the rest is mixed to target weights: whole rows in training order, twice where a target asks for
+                     it, with their position, repeat and words taken beside the columns of documents
 
 Rows are kept by row, not by id: repeated rows, null ids and extra columns pass through every stage, and an
 empty table gives an empty result.  See each operator's docstring for its defined results.
@@ -35,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum.mix_plan(docs)
+    return curriculum.mix_documents(docs)
 
 
 STAGES = [

@@ -33,6 +33,15 @@ def test_url_verdicts_equal_sql(spark):
     assert url_filter.url_verdicts(pages.limit(0), rules).count() == 0
 
 
+def test_a_rule_without_a_path_fits_a_url_without_one(spark):
+    rules = spark.createDataFrame([("example.org", "", "block"), ("a.example.org", "/ok", "allow")], "host string, path string, verdict string")
+    urls = ["http://x.example.org", "http://example.org?q=1", "http://a.example.org/ok", "http://a.example.org", "http://example.orga", "://", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules).collect()}
+    rule = ("example.org", "block")
+    assert got == {0: rule, 1: rule, 2: ("a.example.org/ok", "allow"), 3: rule, 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
+
+
 def test_bloom_has_no_false_negative(spark):
     rules = spark.createDataFrame([(f"h{i}.org", f"/p{i % 7}/", "block") for i in range(3000)], "host string, path string, verdict string")
     pages = rules.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://s."), "host", "path").alias("url"))
@@ -63,6 +72,33 @@ def test_mix_plan_equals_sql(spark, odd_docs):
     assert sorted(map(key, want), key=str) == sorted((key(tuple(r)) for r in curriculum.mix_plan(docs).collect()), key=str)
 
 
+def test_rows_without_ids_are_many_parts(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    placed = curriculum._placed(docs, parts=8)
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 600
+    assert sorted(r.off for r in placed.collect()) == [3 * i for i in range(2000)]
+    assert sorted(r.taken for r in curriculum.mix_plan(docs).collect()) == [3] * 1000 + [6] * 1000
+
+
+def test_mixed_documents_follow_the_plan(spark, odd_docs, no_docs):
+    docs = odd_docs.withColumns({"position": F.lit("clash"), "uid": F.lit(7), "_uid": F.lit(8)})
+    rows = curriculum.mix_documents(docs).collect()
+    assert curriculum.mix_documents(docs).columns == [*docs.columns, "position_", "repeat", "taken"]
+    assert [r.position_ for r in rows] == sorted(r.position_ for r in rows)
+    key = lambda r, *more: (r.doc_id, r.text, r.lang, r.source, r.n_chars, *more)
+    given = [key(r) for r in odd_docs.collect()]
+    assert {key(r) for r in rows} <= set(given)                                       # whole rows, nothing else
+    assert {(r.position, r.uid, r["_uid"]) for r in rows} == {("clash", 7, 8)}
+    for k in set(given):                                                              # a repeated row counts for itself
+        assert sum(key(r) == k and r["repeat"] == 0 for r in rows) <= given.count(k)
+    plan = curriculum.mix_plan(odd_docs).collect()
+    want = sorted((round(p, 9), i) for r in plan for i, p in enumerate((r.position, r.position_2)) if p is not None)
+    assert sorted((round(r.position_, 9), r["repeat"]) for r in rows) == want
+    assert sum(r.taken for r in rows) == sum(r.taken for r in plan)
+    assert curriculum.mix_documents(no_docs).count() == 0
+
+
 def test_waterfill_reshares_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10)], "source string, source_size bigint")
     t = {r.source: r.target for r in curriculum.source_targets(sizes).collect()}
@@ -147,4 +183,9 @@ def test_pipeline_on_odd_tables(spark, odd_docs, no_docs, word, tmp_path_factory
         else:
             ids = [r.doc_id for r in out]
             assert 5 not in ids and 102 not in ids and {6, 7, 100, 101} <= set(ids)
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            assert all(r.text == texts[r.doc_id] for r in out if r.doc_id in (6, 7))     # clean texts come through whole
+            assert all(r._uid == 1 and r._row == "r" for r in out)
+            positions = [r.position for r in out]
+            assert positions == sorted(positions) and max(r["repeat"] for r in out) == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "suffix_dedup", "decontaminate", "mixing"]
