@@ -1,51 +1,55 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
-
-Words are scored by class models ``toxic`` and ``ordinary``.  A word's probability in a class is a
-discounted share of the class's word counts, backed off to a spelling model: characters given the
-``ORDER - 1`` before them, with class counts at the top order and, below it, Kneser-Ney continuation
-counts *shared* by both classes.  A word that only one class knows is thus compared by how it is
-spelled, and an unknown word costs both classes alike.  Counts are documents that hold a word.  Where the
-two classes' counts agree (within ``AGREE`` times, or within ``SIGMAS`` standard deviations of the pooled
-rate) both classes use the shared count, so chance differences of rare words weigh nothing.  A document's
-evidence is the difference of the two log-likelihoods per word; a logistic curve fitted on labelled rows that the counts never saw turns
-it into a score.
-
-Fitting uses a bounded sample of the labelled training rows: about ``SAMPLE`` rows of each class for
-the counts (folds 2, 3, 4) and ``CALIBRATION`` rows for the curve (fold 1), picked by a hash of the id,
-at a rate that follows the number of labels.  Word counts are aggregated by Spark; the model that the
-scan carries is bounded by the sample and by ``MAX_WORDS``.  Every row of ``documents`` is scored,
-whole text, in one scan without a shuffle.
+"""Toxicity by two class-conditional Kneser-Ney models over word pairs.
+
+Each class (``toxic``, ``ordinary``) has a model of a word given the word before it.  Counts are documents of
+the sample that hold a word or a pair.  A pair's probability is its discounted share of the class's counts after
+the first word, backed off to the class's word model, and that to continuation counts *shared* by both classes
+(in how many contexts of either class a word stands), and those to one share for unknown words.
+
+Rare expressions: a class count first moves towards what the shared count predicts for it, by ``PULL`` standard
+errors and not beyond it.  So an expression that chance may explain weighs (almost) nothing, an expression of one document costs
+both classes alike, and evidence grows steadily with the counts; nothing is cut off.  The prediction for a word
+is the class's share of all counts; for a pair it is the share that its second word has by itself, so a pair adds only what its
+words leave unexplained (an order of words, a harmless phrase).
+
+A document's evidence is its length-normalised log-likelihood under the toxic model less that under the
+ordinary one; a logistic curve fitted on labelled rows that the counts never saw turns it into a score.
+
+Fitting uses a bounded sample of the labelled training rows: about ``SAMPLE`` rows of each class for the counts
+(folds 2, 3, 4) and ``CALIBRATION`` rows for the curve (fold 1), and of either kind at most about
+``SAMPLE_BYTES`` of text, picked by hashes at rates that follow the number of labels and the size of the texts;
+rows that repeat id and text are taken once.  All words and pairs of the sample count; Spark sums them, and the model that the scan carries is bounded by
+the sample (some 24 bytes a distinct pair).  Words and pairs are known by 64-bit hashes.  Every row of
+``documents`` is scored, whole text, in one scan without a shuffle; a very long text is scored in slices of ``SLICE`` words.
 
 Nulls and edge cases: an empty or null text has evidence 0; a null doc_id counts as held out and has no
-label; a null label is ignored and a doc_id that is labelled twice is toxic if any label says so.
-Without toxic labels every score is 0, without ordinary ones 1.
+label; a null label is ignored and a doc_id that is labelled twice is toxic if any label says so.  Repeated rows
+are scored row by row, alike; an empty table gives an empty result.  Without toxic labels every score is 0, without ordinary ones 1.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import fresh_name
+from colloquy.llm.common import fresh_name, materialize
 
 FOLDS = 5
 CALIBRATION_FOLD = 1
 SAMPLE = 3000
 CALIBRATION = 3000
-MAX_WORDS = 200_000
-ORDER = 5
-DISCOUNT = 0.75
-SIGMAS = 3.0
-AGREE = 2.0
-KNOWN = 20                # a word in so many documents is judged as a word, not by its spelling
+SAMPLE_BYTES = 24 << 20
+DISCOUNT = 0.3
+PULL = 4.0
 CACHE_WORDS = 300_000
+SLICE = 1 << 16
 WORD = re.compile(r"[^\W\d_]+")
+START = xxhash.xxh64_intdigest("\n")             # the context of a text's first word
 
 
 def words_of(text) -> list[str]:
@@ -56,137 +60,158 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
+class Keys:
+    """Hashes of a text's words, the start before them; remembers words within a task (bounded)."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, text) -> np.ndarray:
+        seen, out = self.seen, [START]
+        if len(seen) > CACHE_WORDS:
+            seen.clear()
+        for w in words_of(text):
+            k = seen.get(w)
+            if k is None:
+                k = seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            out.append(k)
+        return np.array(out, dtype=np.uint64)
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = u * np.uint64(0x9E3779B97F4A7C15) + w
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def split_counts(a: np.ndarray, b: np.ndarray, odds, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The two classes' counts on the scale of the shared count ``a + b``.  ``odds`` is the part of it that
+    is predicted for class 1, ``share`` class 1's part of all counts."""
+    both = a + b
+    even = both * odds
+    gap = b - even
+    one = even + np.sign(gap) * np.maximum(np.abs(gap) - PULL * np.sqrt(both * odds * (1 - odds)), 0.0)
+    return (both - one) / (1 - share), one / share
+
+
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
 class KneserNey:
-    """Word log-likelihood ratio of two classes (index 1 toxic, 0 ordinary)."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        n = [max(1, sum(c[k] for c in counts.values())) for k in (0, 1)]
-        kinds = [max(1, sum(c[k] > 0 for c in counts.values())) for k in (0, 1)]
-        top = [Counter(), Counter()]
-        before: defaultdict[str, set] = defaultdict(set)
-        for w, c in counts.items():
-            s = "^" * (ORDER - 1) + w + "$"
-            for i in range(ORDER - 1, len(s)):
-                g = s[i - ORDER + 1:i + 1]
-                for k in (0, 1):
-                    top[k][g] += min(c[k], 1)          # spelling is learnt from word types
-                for m in range(ORDER - 1, 0, -1):      # shared continuation counts of the lower orders
-                    before[g[-m:]].add(g[-m - 1])
-        ctx = [Counter(), Counter()]
-        fan = [Counter(), Counter()]
-        for k in (0, 1):
-            for g, v in top[k].items():
-                ctx[k][g[:-1]] += v
-                fan[k][g[:-1]] += v > 0
-        low_n, low_fan = Counter(), Counter()
-        for g, v in before.items():
-            low_n[g[:-1]] += len(v)
-            low_fan[g[:-1]] += 1
-        uniform = 1.0 / (1 + sum(len(g) == 1 for g in before))
-        shared: dict[str, float] = {}
-
-        def lower(g: str) -> float:
-            if g in shared:
-                return shared[g]
-            rest = lower(g[1:]) if len(g) > 1 else uniform
-            total = low_n.get(g[:-1], 0)
-            p = rest if not total else (max(len(before.get(g, ())) - DISCOUNT, 0) + DISCOUNT * low_fan[g[:-1]] * rest) / total
-            shared[g] = p
-            return p
-
-        def char(k: int, g: str) -> float:
-            total = ctx[k].get(g[:-1], 0)
-            if not total:
-                return lower(g[1:])
-            return (max(top[k].get(g, 0) - DISCOUNT, 0) + DISCOUNT * fan[k][g[:-1]] * lower(g[1:])) / total
-
-        seen = set(top[0]) | set(top[1])
-        logs = {g: (math.log(char(0, g)), math.log(char(1, g))) for g in seen}
-        grams = [sum(t.values()) or 1 for t in top]
-        self.gram = {g: b - a for g, (a, b) in logs.items() if self._differ(top[0][g], top[1][g], *grams)}
-        back = [DISCOUNT * kinds[k] / n[k] for k in (0, 1)]
-        self.word = {}
-        for w, c in counts.items():
-            s = "^" * (ORDER - 1) + w + "$"
-            spell = [sum(logs[s[i - ORDER + 1:i + 1]][k] for i in range(ORDER - 1, len(s))) for k in (0, 1)]
-            p = [max(c[k] - DISCOUNT, 0) / n[k] + back[k] * math.exp(max(spell[k], -600)) for k in (0, 1)]
-            if self._differ(*c, *n):
-                self.word[w] = math.log(p[1]) - math.log(p[0])
-            elif sum(c) >= KNOWN:
-                self.word[w] = 0.0
-
-    @staticmethod
-    def _differ(a: int, b: int, n_a: int, n_b: int) -> bool:
-        """Whether counts of two classes of sizes ``n_a`` and ``n_b`` are too unlike to share one."""
-        share = n_b / (n_a + n_b)
-        off = b - (a + b) * share
-        if off * off < SIGMAS ** 2 * (a + b) * share * (1 - share):
-            return False
-        x, y = (a + 0.5) / n_a, (b + 0.5) / n_b
-        return max(x, y) >= AGREE * min(x, y)
-
-    def ratio(self, w: str) -> float:
-        known = self.word.get(w)
-        if known is not None:
-            return known
-        s = "^" * (ORDER - 1) + w + "$"
-        gram = self.gram
-        return sum(gram.get(s[i - ORDER + 1:i + 1], 0.0) for i in range(ORDER - 1, len(s)))
-
-
-class Scorer:
-    """Evidence of texts; remembers word ratios within a task (bounded)."""
-
-    def __init__(self, model: KneserNey):
-        self.model, self.cache = model, {}
-
-    def evidence(self, text) -> float:
-        words = words_of(text)
-        if not words:
+    """Log-likelihoods of texts under two classes (index 1 toxic, 0 ordinary).
+
+    ``words``: columns w, a, b; ``pairs``: columns u, w, a, b (keys as uint64; documents of class 0 and 1)."""
+
+    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame):
+        words = words.sort_values("w")
+        a, b = words["a"].to_numpy(float), words["b"].to_numpy(float)
+        share = b.sum() / (a.sum() + b.sum())
+        self.words = words["w"].to_numpy()
+        u, w = pairs["u"].to_numpy(), pairs["w"].to_numpy()
+        at = np.searchsorted(self.words, w)
+        kinds, contexts = len(self.words), np.bincount(at, minlength=len(words)).astype(float)
+        rest = DISCOUNT * kinds / (kinds + 1) / contexts.sum()           # an unknown word's share
+        shared = np.maximum(contexts - DISCOUNT, 0) / contexts.sum() + rest
+        word, self.word, self.unknown = [], [], []
+        for c in split_counts(a, b, share, share):
+            top = np.maximum(c - DISCOUNT, 0)
+            back = 1 - top.sum() / c.sum()
+            word.append(top / c.sum() + back * shared)
+            self.word.append(np.log(word[-1]))
+            self.unknown.append(math.log(back * rest))
+        self.first, first = np.unique(u, return_inverse=True)
+        key = pair_key(u, w)
+        order = np.argsort(key)
+        self.pairs, self.pair, self.back = key[order], [], []
+        toxic = word[1][at] * share
+        split = split_counts(pairs["a"].to_numpy(float), pairs["b"].to_numpy(float), toxic / (toxic + word[0][at] * (1 - share)), share)
+        for k, c in enumerate(split):
+            after = np.maximum(np.bincount(first, weights=c), 1e-12)
+            top = np.maximum(c - DISCOUNT, 0)
+            back = np.maximum(1 - np.bincount(first, weights=top) / after, 1e-9)
+            self.back.append(np.log(back))
+            self.pair.append(np.log(top / after[first] + back[first] * word[k][at])[order])
+
+    def log_likelihoods(self, keys: np.ndarray) -> tuple[float, float]:
+        """(ordinary, toxic) log-likelihood of the words behind the start in ``keys``."""
+        out = [0.0, 0.0]
+        for s in range(0, len(keys) - 1, SLICE):
+            w = keys[s + 1:s + 1 + SLICE]
+            u = keys[s:s + len(w)]
+            (pair, paired), (word, known), (first, met) = _place(self.pairs, pair_key(u, w)), _place(self.words, w), _place(self.first, u)
+            for k in (0, 1):
+                low = np.where(known, self.word[k][word], self.unknown[k]) + np.where(met, self.back[k][first], 0.0)
+                out[k] += float(np.where(paired, self.pair[k][pair], low).sum())
+        return out[0], out[1]
+
+    def evidence(self, keys: np.ndarray) -> float:
+        n = len(keys) - 1
+        if n < 1:
             return 0.0
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, total = self.cache, 0.0
-        for w in words:
-            r = cache.get(w)
-            if r is None:
-                r = cache[w] = self.model.ratio(w)
-            total += r
-        return total / len(words)
+        ordinary, toxic = self.log_likelihoods(keys)
+        return toxic / n - ordinary / n
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sample: text, _y, _held."""
     lab = (labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
            .agg(F.max((F.col("toxic") == 1).cast("int")).alias("_y")).filter(fold() != 0))
     n = {r["_y"]: (r["n"], r["c"]) for r in lab.groupBy("_y").agg(
         F.sum((fold() != CALIBRATION_FOLD).cast("int")).alias("n"), F.sum((fold() == CALIBRATION_FOLD).cast("int")).alias("c")).collect()}
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000.0
+
+    def unit(*what):
+        return F.pmod(F.xxhash64(*what), F.lit(1_000_000)) / 1_000_000.0
+
     rate = F.lit(0.0)
     held = sum(c for _, c in n.values())
     for y, (k, _) in n.items():
         rate = F.when((F.col("_y") == y) & (fold() != CALIBRATION_FOLD), min(1.0, SAMPLE / max(1, k))).otherwise(rate)
     rate = F.when(fold() == CALIBRATION_FOLD, min(1.0, CALIBRATION / max(1, held))).otherwise(rate)
-    picked = lab.filter(unit < rate).select(F.col("doc_id").alias("_id"), "_y", (fold() == CALIBRATION_FOLD).alias("_held"))
+    picked = lab.filter(unit(F.lit("sample"), F.col("doc_id")) < rate).select(F.col("doc_id").alias("_id"), "_y", (fold() == CALIBRATION_FOLD).alias("_held"))
     # at most about 2 * SAMPLE + CALIBRATION rows of two numbers: a proven bound for the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "_y", "_held")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = materialize(rows.select("doc_id", "text", "_y", "_held").dropDuplicates(["doc_id", "text"]), "toxicity-sample")
+    thin = F.lit(1.0)
+    for r in rows.groupBy("_held", F.when(~F.col("_held"), F.col("_y")).alias("y")).agg(F.sum(F.octet_length("text").cast("long")).alias("size")).collect():
+        part = F.col("_held") if r["_held"] else (~F.col("_held") & (F.col("_y") == r["y"]))
+        thin = F.when(part, min(1.0, SAMPLE_BYTES / max(1, r["size"] or 0))).otherwise(thin)
+    return rows.filter(unit(F.lit("size"), F.col("doc_id"), F.col("text")) < thin).select("text", "_y", "_held")
 
 
-def word_counts(sample: DataFrame) -> dict[str, tuple[int, int]]:
-    """Documents that hold each word, by class, summed by Spark over the sample; words of two or more
-    documents, at most ``MAX_WORDS``."""
+def count_tables(sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Documents that hold each word and each pair of neighbours, by class, summed by Spark over the sample."""
     def run(batches):
+        keys = Keys()
         for pdf in batches:
             for y, part in pdf.groupby("_y"):
-                c = Counter()
+                single, us, ws = [], [], []
                 for t in part["text"]:
-                    c.update(set(words_of(t)))
-                yield pd.DataFrame({"w": list(c), "y": int(y), "n": list(c.values())})
-
-    agg = (sample.mapInPandas(run, "w string, y int, n bigint").groupBy("w")
-           .agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("a"),
-                F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("b")).filter("a + b > 1 and length(w) <= 40"))
-    top = agg.orderBy((F.col("a") + F.col("b")).desc(), "w").limit(MAX_WORDS)
-    return {r["w"]: (r["a"], r["b"]) for r in top.collect()}
+                    k = keys(t)
+                    if len(k) > 1:
+                        pairs = np.unique(np.stack([k[:-1], k[1:]], axis=1), axis=0)
+                        words = np.unique(k[1:])
+                        single.append(np.repeat([False, True], [len(pairs), len(words)]))
+                        us += [pairs[:, 0], np.zeros(len(words), np.uint64)]
+                        ws += [pairs[:, 1], words]
+                if us:
+                    d = pd.DataFrame({"single": np.concatenate(single), "u": np.concatenate(us).view(np.int64),
+                                      "w": np.concatenate(ws).view(np.int64), "n": 1})
+                    d = d.groupby(["single", "u", "w"], as_index=False)["n"].sum()
+                    d.insert(3, "y", int(y))
+                    yield d
+
+    def of(y):
+        return F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+
+    got = (sample.mapInPandas(run, "single boolean, u bigint, w bigint, y int, n bigint").groupBy("single", "u", "w")
+           .agg(of(0).alias("a"), of(1).alias("b")).toPandas())
+    for c in ("u", "w"):
+        got[c] = got[c].to_numpy(dtype=np.int64).view(np.uint64)
+    single = got["single"].to_numpy(dtype=bool)
+    return got.loc[single, ["w", "a", "b"]], got.loc[~single, ["u", "w", "a", "b"]].sort_values(["u", "w"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -206,23 +231,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """A pickled-by-Spark ``(model, slope, offset)``, or a constant score where a class is missing."""
+    """A broadcast model, slope and offset, or a constant score where a class is missing."""
     sample = _labelled(docs, labels)
-    counts = word_counts(sample.filter(~F.col("_held")).select("text", "_y"))
-    kinds = [sum(c[k] > 0 for c in counts.values()) for k in (0, 1)]
-    if not kinds[1] or not kinds[0]:
-        return (None, 0.0, 0.0 if not kinds[1] else 1.0)
-    model = KneserNey(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words, pairs = count_tables(sample.filter(~F.col("_held")).select("text", "_y"))
+    if not words["a"].sum() or not words["b"].sum():
+        return (None, 0.0, 0.0 if not words["b"].sum() else 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast(KneserNey(words, pairs))
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        model, keys = shared.value, Keys()
         for pdf in batches:
-            yield pd.DataFrame({"x": [scorer.evidence(t) for t in pdf["text"]], "y": pdf["_y"].astype(float)})
+            yield pd.DataFrame({"x": [model.evidence(keys(t)) for t in pdf["text"]], "y": pdf["_y"].astype(float)})
 
     cal = sample.filter("_held").select("text", "_y").mapInPandas(run, "x double, y double").toPandas().sort_values(["x", "y"])
     if cal["y"].nunique() < 2:
-        return (shared, 20.0, -2.0)
+        return (shared, 50.0, -1.0)
     return (shared, *_logistic(cal["x"].to_numpy(), cal["y"].to_numpy()))
 
 
@@ -232,10 +255,12 @@ def with_scores(docs: DataFrame, fitted, col: str) -> DataFrame:
     if shared is None:
         return docs.withColumn(col, F.lit(offset))
 
+    keys = Keys()
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        scorer = Scorer(shared.value)
-        x = np.array([scorer.evidence(t) for t in texts])
+        model = shared.value
+        x = np.array([model.evidence(keys(t)) for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30))))
 
     return docs.withColumn(col, score("text"))

@@ -44,6 +44,77 @@ def test_toxicity_held_out(spark, labelled, odd_docs, no_docs):
     assert len([i for i in left if truth[i]]) <= 8 and len([i for i in left if not truth[i]]) >= 660
 
 
+def plain_ratio(sample, text):
+    """Length-normalised log-likelihood ratio, class 1 over class 0, from dictionaries; sample: (text, class) rows."""
+    d, pull = toxicity.DISCOUNT, toxicity.PULL
+    words, pairs = {}, {}
+    for t, y in sample:
+        ws = toxicity.words_of(t)
+        for table, items in ((words, set(ws)), (pairs, set(zip([None, *ws], ws)))):
+            for i in items:
+                table.setdefault(i, [0, 0])[y] += 1
+    share = sum(c[1] for c in words.values()) / sum(sum(c) for c in words.values())
+
+    def split(c, odds):
+        n, even = sum(c), sum(c) * odds
+        far = max(abs(c[1] - even) - pull * math.sqrt(n * odds * (1 - odds)), 0)
+        one = even + math.copysign(far, c[1] - even)
+        return (n - one) / (1 - share), one / share
+
+    def back_off(counts, k):
+        total = sum(c[k] for c in counts)
+        return total, 1 - sum(max(c[k] - d, 0) for c in counts) / total
+
+    by_word = {w: split(c, share) for w, c in words.items()}
+    rest = d * len(words) / (len(words) + 1) / len(pairs)
+    stands = {w: sum(x[1] == w for x in pairs) for w in words}
+
+    def word(w, k):
+        total, back = back_off(by_word.values(), k)
+        if w not in words:
+            return back * rest
+        return max(by_word[w][k] - d, 0) / total + back * (max(stands[w] - d, 0) / len(pairs) + rest)
+
+    def odds(w):
+        return word(w, 1) * share / (word(w, 1) * share + word(w, 0) * (1 - share))
+
+    by_pair = {x: split(c, odds(x[1])) for x, c in pairs.items()}
+
+    def pair(u, w, k):
+        after = {x: c for x, c in by_pair.items() if x[0] == u}
+        if not after:
+            return word(w, k)
+        total, back = back_off(after.values(), k)
+        return (max(after[u, w][k] - d, 0) / total if (u, w) in after else 0) + back * word(w, k)
+
+    ws = toxicity.words_of(text)
+    return sum(math.log(pair(u, w, 1)) - math.log(pair(u, w, 0)) for u, w in zip([None, *ws], ws)) / len(ws)
+
+
+def test_toxicity_model_equals_plain_sums(spark, monkeypatch):
+    rng = random.Random(3)
+    sample = []
+    for i in range(160):
+        y = int(i % 3 == 0)
+        ws = [rng.choice("ab ba cd da ef ga hi".split()) for _ in range(rng.randrange(1, 14))] + (["vex", "ab"] if y else ["ab", "vex"] if i % 5 else [])
+        sample.append((" ".join(ws), y))
+    words, pairs = toxicity.count_tables(spark.createDataFrame([*sample, (None, 0), ("", 1)], "text string, _y int").repartition(3))
+    model, keys = toxicity.KneserNey(words, pairs), toxicity.Keys()
+    monkeypatch.setattr(toxicity, "SLICE", 3)
+    for t in ("vex ab", "ab vex", "hi", "unheard word ab", "ga ga unheard vex ab ba cd da ef vex"):
+        assert math.isclose(model.evidence(keys(t)), plain_ratio(sample, t), rel_tol=1e-9, abs_tol=1e-9)
+    assert model.evidence(keys("")) == model.evidence(keys(None)) == 0.0
+
+
+def test_toxicity_tells_an_order_of_words(spark):
+    nice, foul = "you are nice and he is dead", "you are dead and he is nice"
+    docs = spark.createDataFrame([(i, (nice, foul)[i % 2]) for i in range(600)], "doc_id bigint, text string")
+    extra = docs.withColumn("text", F.concat("text", F.lit(" x"), F.col("doc_id")))          # texts differ: each row counts
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    out = toxicity.toxicity_scores(extra, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
 def test_gru_gradients_and_window_carry():
     rng = np.random.default_rng(0)
     shape = gru.Shape(12, 6, 4, 2, 5, 3)
