@@ -43,7 +43,7 @@ FOLDS = 5
 CALIBRATION_FOLD = 1
 SAMPLE = 3000
 CALIBRATION = 3000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 12 << 20
 DISCOUNT = 0.3
 PULL = 4.0
 CACHE_WORDS = 300_000
@@ -103,16 +103,23 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """Log-likelihoods of texts under two classes (index 1 toxic, 0 ordinary).
 
-    ``words``: columns w, a, b; ``pairs``: columns u, w, a, b (keys as uint64; documents of class 0 and 1)."""
+    ``words``: (w, a, b); ``pairs``: (u, w, a, b), as arrays (keys as uint64; documents of class 0 and 1)."""
 
-    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame):
-        words = words.sort_values("w")
-        a, b = words["a"].to_numpy(float), words["b"].to_numpy(float)
+    def __init__(self, words: tuple, pairs: tuple):
+        order = np.argsort(words[0])
+        self.words, a, b = (x[order] for x in words)
         share = b.sum() / (a.sum() + b.sum())
-        self.words = words["w"].to_numpy()
-        u, w = pairs["u"].to_numpy(), pairs["w"].to_numpy()
-        at = np.searchsorted(self.words, w)
-        kinds, contexts = len(self.words), np.bincount(at, minlength=len(words)).astype(float)
+        u, w, pa, pb = pairs
+        key = pair_key(u, w)
+        order = np.argsort(key)
+        self.pairs = key[order]
+        del key
+        at = np.searchsorted(self.words, w[order]).astype(np.int32)
+        self.first = np.unique(u)
+        first = np.searchsorted(self.first, u[order]).astype(np.int32)
+        pa, pb = pa[order], pb[order]
+        del u, w, order
+        kinds, contexts = len(self.words), np.bincount(at, minlength=len(self.words)).astype(float)
         rest = DISCOUNT * kinds / (kinds + 1) / contexts.sum()           # an unknown word's share
         shared = np.maximum(contexts - DISCOUNT, 0) / contexts.sum() + rest
         word, self.word, self.unknown = [], [], []
@@ -122,18 +129,16 @@ class KneserNey:
             word.append(top / c.sum() + back * shared)
             self.word.append(np.log(word[-1]))
             self.unknown.append(math.log(back * rest))
-        self.first, first = np.unique(u, return_inverse=True)
-        key = pair_key(u, w)
-        order = np.argsort(key)
-        self.pairs, self.pair, self.back = key[order], [], []
-        toxic = word[1][at] * share
-        split = split_counts(pairs["a"].to_numpy(float), pairs["b"].to_numpy(float), toxic / (toxic + word[0][at] * (1 - share)), share)
-        for k, c in enumerate(split):
+        odds = word[1] * share / (word[1] * share + word[0] * (1 - share))
+        self.back, self.pair = [], []
+        for k, c in enumerate(split_counts(pa, pb, odds[at], share)):
             after = np.maximum(np.bincount(first, weights=c), 1e-12)
-            top = np.maximum(c - DISCOUNT, 0)
-            back = np.maximum(1 - np.bincount(first, weights=top) / after, 1e-9)
+            np.maximum(c - DISCOUNT, 0, out=c)
+            back = np.maximum(1 - np.bincount(first, weights=c) / after, 1e-9)
             self.back.append(np.log(back))
-            self.pair.append(np.log(top / after[first] + back[first] * word[k][at])[order])
+            c /= after[first]
+            c += back[first] * word[k][at]
+            self.pair.append(np.log(c, out=c))
 
     def log_likelihoods(self, keys: np.ndarray) -> tuple[float, float]:
         """(ordinary, toxic) log-likelihood of the words behind the start in ``keys``."""
@@ -181,37 +186,30 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(unit(F.lit("size"), F.col("doc_id"), F.col("text")) < thin).select("text", "_y", "_held")
 
 
-def count_tables(sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+def count_tables(sample: DataFrame) -> tuple[tuple, tuple]:
     """Documents that hold each word and each pair of neighbours, by class, summed by Spark over the sample."""
-    def run(batches):
-        keys = Keys()
-        for pdf in batches:
-            for y, part in pdf.groupby("_y"):
-                single, us, ws = [], [], []
-                for t in part["text"]:
-                    k = keys(t)
-                    if len(k) > 1:
-                        pairs = np.unique(np.stack([k[:-1], k[1:]], axis=1), axis=0)
-                        words = np.unique(k[1:])
-                        single.append(np.repeat([False, True], [len(pairs), len(words)]))
-                        us += [pairs[:, 0], np.zeros(len(words), np.uint64)]
-                        ws += [pairs[:, 1], words]
-                if us:
-                    d = pd.DataFrame({"single": np.concatenate(single), "u": np.concatenate(us).view(np.int64),
-                                      "w": np.concatenate(ws).view(np.int64), "n": 1})
-                    d = d.groupby(["single", "u", "w"], as_index=False)["n"].sum()
-                    d.insert(3, "y", int(y))
-                    yield d
+    def counter(length: int):
+        def run(batches):
+            keys = Keys()
+            for pdf in batches:
+                for y, part in pdf.groupby("_y"):
+                    rows = [np.unique(k[1:, None] if length == 1 else np.stack([k[:-1], k[1:]], axis=1), axis=0) for k in map(keys, part["text"]) if len(k) > 1]
+                    if rows:
+                        rows, n = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+                        cols = {c: rows[:, i].view(np.int64) for i, c in enumerate("uw"[2 - length:])}
+                        yield pd.DataFrame({**cols, "y": int(y), "n": n})
+        return run
 
     def of(y):
-        return F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+        return F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("int")
+
+    def table(length: int) -> tuple:
+        names = list("uw"[2 - length:])
+        got = (sample.mapInPandas(counter(length), ", ".join(f"{c} bigint" for c in names) + ", y int, n bigint")
+               .groupBy(*names).agg(of(0).alias("a"), of(1).alias("b")).toArrow())
+        return (*(got[c].to_numpy().view(np.uint64) for c in names), got["a"].to_numpy(), got["b"].to_numpy())
 
-    got = (sample.mapInPandas(run, "single boolean, u bigint, w bigint, y int, n bigint").groupBy("single", "u", "w")
-           .agg(of(0).alias("a"), of(1).alias("b")).toPandas())
-    for c in ("u", "w"):
-        got[c] = got[c].to_numpy(dtype=np.int64).view(np.uint64)
-    single = got["single"].to_numpy(dtype=bool)
-    return got.loc[single, ["w", "a", "b"]], got.loc[~single, ["u", "w", "a", "b"]].sort_values(["u", "w"])
+    return table(1), table(2)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -234,9 +232,11 @@ def fit(docs: DataFrame, labels: DataFrame):
     """A broadcast model, slope and offset, or a constant score where a class is missing."""
     sample = _labelled(docs, labels)
     words, pairs = count_tables(sample.filter(~F.col("_held")).select("text", "_y"))
-    if not words["a"].sum() or not words["b"].sum():
-        return (None, 0.0, 0.0 if not words["b"].sum() else 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast(KneserNey(words, pairs))
+    if not words[1].sum() or not words[2].sum():
+        return (None, 0.0, 0.0 if not words[2].sum() else 1.0)
+    model = KneserNey(words, pairs)
+    del words, pairs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model, keys = shared.value, Keys()
