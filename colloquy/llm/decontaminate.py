@@ -2,11 +2,12 @@
 
 1. Document frequencies of the benchmark's terms are counted over all documents.  Items are represented by all
    of their terms, weighted by inverse document frequency.
-2. A distributed randomised SVD finds the latent space of TF-IDF passages: partitions multiply their sparse
-   passages by a random test matrix, partial products are summed by Spark per term, and the driver
-   only orthogonalises matrices of (benchmark terms x ``RANK + EXTRA``).  The space is fitted on the
-   benchmark, whose passages weigh ``ITEM_WEIGHT``, and on those of about ``SAMPLE_DOCS`` documents (chosen by hash, at a rate that follows the table).
-3. Every document is read once, whole: windows are folded into the space, and windows whose cosine to a
+2. The latent space is fitted on the TF-IDF passages of **all** documents and of the benchmark.  Tasks sum the products
+   of terms that share a passage; Spark adds these up by term, and a randomised SVD multiplies the distributed
+   sums by a test matrix.  The driver only orthogonalises matrices of (benchmark terms x ``RANK + EXTRA``).  Passages of
+   the benchmark weigh ``ITEM_WEIGHT``; those of the documents together weigh as much as ``DOCS_WEIGHT`` documents would,
+   so that the space does not forget the benchmark as the table grows.
+3. Every document is searched whole: windows are folded into the space, and windows whose cosine to a
    benchmark passage reaches ``COSINE`` are candidates.  An item meets windows of the longest of ``WINDOWS``
    words that is no longer than the item, half a window apart (items of fewer words the shortest).  A window whose
    vector is shorter than ``EVIDENCE`` of the passage's is divided by that length instead of its own: one rare
@@ -27,20 +28,19 @@ full, side by side or in order around a candidate window.  Repeated rows give re
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import fresh_name, materialize
+from colloquy.llm.common import bucket_count, fresh_name, materialize, text_bytes
 
 WINDOWS = (8, 16, 32)
 WINDOW, STRIDE = 32, 16                          # of the passages that the space is fitted on
 RANK, EXTRA, POWER = 320, 16, 1
 ITEM_WEIGHT = 10.0
-SAMPLE_DOCS = 1000
+DOCS_WEIGHT = 1000
 EVIDENCE = 0.5
 COSINE = 0.3
 OVERLAP = 0.6
@@ -48,8 +48,10 @@ ANSWER = 0.5
 SHORT = 8
 ITEM_BLOCK = 5000
 SEED = 5
+TASK_BYTES = 32 << 20                             # of text, per task that sums products: each gives out up to all pairs
 GROUP_TOKENS = 1 << 15
 PRODUCT_CELLS = 1 << 23                          # cosines held at a time
+PAIR_CELLS = 1 << 23                             # sums of pairs of terms that a task holds
 WORD = re.compile(r"\w+")
 RESULT = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double, word_start bigint"
 
@@ -107,19 +109,33 @@ def _term_ids(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     return np.array([get(w, none) for w in words], dtype=np.int32)
 
 
-def document_frequency(docs: DataFrame, vocab_b) -> DataFrame:
-    """``(t, df)``: documents that hold each term; every batch emits one row per term at most."""
+def _id_type(n_terms: int):
+    return np.dtype(np.uint16 if n_terms < 1 << 16 else np.int32)
+
+
+def encode_terms(docs: DataFrame, vocab_b) -> DataFrame:
+    """``docs`` with ``terms``: the numbers of the words of ``text``, words outside the vocabulary as its size, as bytes."""
     def run(batches):
         vocab = vocab_b.value
+        kind = _id_type(len(vocab))
+        for pdf in batches:
+            yield pdf.assign(terms=[_term_ids(words_of(text), vocab).astype(kind).tobytes() for text in pdf["text"]])
+
+    return docs.mapInPandas(run, docs.select("*", F.lit(b"").alias("terms")).schema)
+
+
+def document_frequency(encoded: DataFrame, n: int) -> DataFrame:
+    """``(t, df)``: documents that hold each of the ``n`` terms; every batch emits one row per term at most."""
+    def run(batches):
+        kind = _id_type(n)
         for pdf in batches:
-            df = np.zeros(len(vocab) + 1, dtype=np.int64)
-            for text in pdf["text"]:
-                ids = np.unique(_term_ids(list(set(words_of(text))), vocab))
-                df[ids] += 1
+            df = np.zeros(n + 1, dtype=np.int64)
+            for terms in pdf["terms"]:
+                df[np.unique(np.frombuffer(terms, dtype=kind))] += 1
             t = np.flatnonzero(df[:-1])
             yield pd.DataFrame({"t": t, "df": df[t]})
 
-    return docs.select("text").mapInPandas(run, "t int, df bigint").groupBy("t").agg(F.sum("df").alias("df"))
+    return encoded.select("terms").mapInPandas(run, "t int, df bigint").groupBy("t").agg(F.sum("df").alias("df"))
 
 
 def _windows(rows: np.ndarray) -> list[np.ndarray]:
@@ -127,48 +143,158 @@ def _windows(rows: np.ndarray) -> list[np.ndarray]:
     return [rows[i:i + 2].ravel() for i in range(max(1, len(rows) - 1))]
 
 
-def latent_space(sample: DataFrame, idf: np.ndarray, vocab_b) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the weighted TF-IDF passages of ``sample(text, weight)``, by a
-    randomised range finder with ``POWER`` power steps.  Passage products never leave the executors."""
-    spark = sample.sparkSession
+class PairSums:
+    """Upper triangle of the products of terms that share a passage, summed over passages scaled to unit length.
+
+    Small vocabularies add in place; else sums are kept sorted, and given out when there are many."""
+
+    def __init__(self, idf: np.ndarray):
+        self.idf, self.n = idf, len(idf)
+        self.first = np.arange(self.n, dtype=np.int64) * self.n - np.arange(self.n, dtype=np.int64) * (np.arange(self.n) + 1) // 2
+        cells = self.n * (self.n + 1) // 2                      # pair (t, u), t <= u, has the number first[t] + u
+        self.dense = np.zeros(cells) if cells <= PAIR_CELLS else None
+        self.keys, self.sums, self.held = [], [], 0
+
+    def add(self, docs: list[np.ndarray], weights: list[float]) -> None:
+        """Passages of documents (term numbers) that weigh ``weights``."""
+        n, width = self.n, 2 * STRIDE
+        rows = [passages(ids, n) for ids in docs]
+        per = np.array([len(r) for r in rows])
+        last = np.cumsum(per) - 1
+        starts = np.ones(int(per.sum()), dtype=bool)
+        starts[last[per > 1]] = False
+        starts = np.flatnonzero(starts)
+        rows = np.concatenate([*rows, np.full((1, STRIDE), n, dtype=np.int32)])
+        alone = np.zeros(len(rows), dtype=bool)
+        alone[last[per == 1]] = True
+        follow = np.where(alone[starts], len(rows) - 1, starts + 1)
+        weight = np.repeat(np.asarray(weights, dtype=float), per)[starts]
+        some = (rows != n).any(axis=1)
+        kept = some[starts] | some[follow]
+        win = np.sort(np.concatenate([rows[starts[kept]], rows[follow[kept]]], axis=1), axis=1)
+        weight = weight[kept]
+        new = np.ones(win.shape, dtype=bool)
+        new[:, 1:] = win[:, 1:] != win[:, :-1]
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, win.size))
+        term, owner = win.ravel()[at].astype(np.int64), at // width
+        real = term != n
+        term, owner, count = term[real], owner[real], count[real]
+        v = count * self.idf[term]
+        v *= (weight / np.sqrt(np.maximum(np.bincount(owner, v * v, len(win)), 1e-300)))[owner]
+        for d in range(width):
+            same = np.flatnonzero(owner[d:] == owner[:len(owner) - d])
+            if not len(same):
+                break
+            self._sum(self.first[term[same]] + term[same + d], v[same] * v[same + d])
+
+    def _sum(self, key: np.ndarray, x: np.ndarray) -> None:
+        if self.dense is not None:
+            np.add.at(self.dense, key, x)
+            return
+        self.keys.append(key)
+        self.sums.append(x)
+        self.held += len(key)
+        if self.held > PAIR_CELLS // 4:
+            self._merge()
+
+    def _merge(self) -> None:
+        if len(self.keys) > 1:
+            key, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+            self.keys, self.sums = [key], [np.bincount(at, np.concatenate(self.sums))]
+            self.held = len(key)
+
+    def full(self) -> bool:
+        return self.dense is None and len(self.keys) == 1 and self.held > PAIR_CELLS // 8
+
+    def take(self) -> pd.DataFrame:
+        """The sums as rows ``(t, u, x)``, one a term, and start anew."""
+        if self.dense is not None:
+            key = np.flatnonzero(self.dense)
+            x = self.dense[key]
+            self.dense[key] = 0
+        elif self.keys:
+            self.keys, self.sums = [np.concatenate(self.keys)], [np.concatenate(self.sums)]
+            key, at = np.unique(self.keys[0], return_inverse=True)
+            x = np.bincount(at, self.sums[0])
+        else:
+            key, x = np.empty(0, np.int64), np.empty(0)
+        self.keys, self.sums, self.held = [], [], 0
+        t = np.searchsorted(self.first + np.arange(self.n), key, "right") - 1
+        cut = np.flatnonzero(np.diff(t)) + 1
+        u = (key - self.first[t]).astype(np.int32)
+        heads = t[np.concatenate([[0], cut])] if len(t) else t
+        return pd.DataFrame({"t": heads, "u": pd.Series(np.split(u, cut) if len(t) else [], dtype=object),
+                             "x": pd.Series(np.split(x, cut) if len(t) else [], dtype=object)})
+
+
+def term_products(encoded: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``(t, u, x)``: A'A of the weighted unit TF-IDF passages A of ``encoded(terms, weight)``, a row a term with the terms
+    that share a passage with it."""
     n = len(idf)
-    width = min(n, RANK + EXTRA)
+    idf_b = encoded.sparkSession.sparkContext.broadcast(idf)
 
-    def sparse(batches):
-        vocab = vocab_b.value
+    def run(batches):
+        sums, kind = PairSums(idf_b.value), _id_type(n)
+        docs, weights, size = [], [], 0
         for pdf in batches:
-            out = []
-            for text, weight in zip(pdf["text"], pdf["weight"]):
-                for w in _windows(passages(_term_ids(words_of(text), vocab), n)):
-                    c = Counter(w[w < n].tolist())
-                    if c:
-                        v = np.array([k * idf[t] for t, k in c.items()])
-                        out.append((list(c), (v * (weight / np.linalg.norm(v))).tolist()))
-            yield pd.DataFrame(out, columns=["t", "v"], dtype=object)
-
-    rows = materialize(sample.select("text", "weight").mapInPandas(sparse, "t array<int>, v array<double>"), "lsa-passages")
+            for terms, weight in zip(pdf["terms"], pdf["weight"]):
+                docs.append(np.frombuffer(terms, dtype=kind))
+                weights.append(weight)
+                size += len(docs[-1])
+                if size >= GROUP_TOKENS:
+                    sums.add(docs, weights)
+                    docs, weights, size = [], [], 0
+                    if sums.full():
+                        yield sums.take()
+        if docs:
+            sums.add(docs, weights)
+        yield sums.take()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, back = [], []
+        for t, rows in pdf.groupby("t"):
+            total = np.zeros(n)
+            for u, x in zip(rows["u"], rows["x"]):
+                total[u] += x
+            u = np.flatnonzero(total)
+            out.append((t, u, total[u]))
+            back.append((np.full(int((u != t).sum()), t), u[u != t], total[u[u != t]]))
+        t, u, x = (np.concatenate(c) for c in zip(*back))                   # the same sums, by the other term
+        order = np.argsort(u, kind="stable")
+        cut = np.flatnonzero(np.diff(u[order])) + 1
+        if len(u):
+            out += zip(u[order][np.concatenate([[0], cut])].tolist(), np.split(t[order], cut), np.split(x[order], cut))
+        return pd.DataFrame(out, columns=["t", "u", "x"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(t, np.concatenate(rows["u"].tolist()), np.concatenate(rows["x"].tolist())) for t, rows in pdf.groupby("t")]
+        return pd.DataFrame(out, columns=["t", "u", "x"])
+
+    schema, group = "t int, u array<int>, x array<double>", F.pmod("t", F.lit(max(1, n // 32)))
+    summed = encoded.select("terms", "weight").mapInPandas(run, schema).groupBy(group).applyInPandas(merge, schema)
+    return summed.groupBy(group).applyInPandas(gather, schema)
+
+
+def latent_space(encoded: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the weighted TF-IDF passages of ``encoded(terms, weight)``, by a
+    randomised range finder with ``POWER`` power steps.  Passages are read once; their products stay distributed."""
+    spark = encoded.sparkSession
+    n = len(idf)
+    width = min(n, RANK + EXTRA)
+    rows = materialize(term_products(encoded, idf), "lsa-products")
 
     def product(q: np.ndarray) -> np.ndarray:
-        """A' (A q) over all passages."""
+        """A'A q."""
         q_b = spark.sparkContext.broadcast(q)
 
         def run(batches):
-            total = np.zeros((n, width))
+            q = q_b.value
             for pdf in batches:
-                for t, v in zip(pdf["t"], pdf["v"]):
-                    t, v = np.asarray(t), np.asarray(v)
-                    total[t] += np.outer(v, v @ q_b.value[t])
-            t = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pd.DataFrame({"t": t, "x": pd.Series(list(total[t]), dtype=object)})
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            t, at = np.unique(pdf["t"].to_numpy(), return_inverse=True)
-            total = np.zeros((len(t), width))
-            np.add.at(total, at, np.stack(pdf["x"].to_numpy()))
-            return pd.DataFrame({"t": t, "x": pd.Series(list(total), dtype=object)})
-
-        got = rows.mapInPandas(run, "t int, x array<double>").groupBy(F.pmod("t", F.lit(64)).alias("g")).applyInPandas(
-            add, "t int, x array<double>").toPandas()
+                x = [np.asarray(x) @ q[np.asarray(u)] for u, x in zip(pdf["u"], pdf["x"])]
+                yield pd.DataFrame({"t": pdf["t"], "x": pd.Series(x, dtype=object)})
+
+        got = rows.mapInPandas(run, "t int, x array<double>").toPandas()
         out = np.zeros((n, width))
         if len(got):
             out[got["t"].to_numpy()] = np.stack(got["x"].to_numpy())
@@ -304,6 +430,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not n_items:
         return spark.createDataFrame([], RESULT)
     n_docs = docs.count()
+    tasks = bucket_count(text_bytes(docs), TASK_BYTES)
     out = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
@@ -312,16 +439,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not listed:
             continue
         every = sorted({w for x in listed for w in x.words})
-        counted = document_frequency(docs, spark.sparkContext.broadcast({w: i for i, w in enumerate(every)}))
-        frequency = {every[r["t"]]: r["df"] for r in counted.collect()}     # at most one row per term of the block
         vocab = {w: i for i, w in enumerate(every)}
         vocab_b = spark.sparkContext.broadcast(vocab)
-        df = np.array([frequency.get(w, 0) for w in every], dtype=float)
+        # read anew by each pass: stored terms would cost the disk more than the passes cost time
+        encoded = encode_terms(docs.select("text"), vocab_b).select("terms")
+        counted = document_frequency(encoded, len(vocab))
+        frequency = {r["t"]: r["df"] for r in counted.collect()}            # at most one row per term of the block
+        df = np.array([frequency.get(i, 0) for i in range(len(vocab))], dtype=float)
         idf = np.log((1 + n_docs) / (1 + df)) + 0.05
-        rate = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-        unit = F.pmod(F.xxhash64(F.lit("lsa"), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-        sample = docs.filter(unit < rate).select("text", F.lit(1.0).alias("weight")).union(part.select("text", F.lit(ITEM_WEIGHT)))
-        space = latent_space(sample, idf, vocab_b)
+        weight = min(1.0, (DOCS_WEIGHT / max(1, n_docs)) ** 0.5)            # squared in the products
+        both = encoded.select("terms", F.lit(weight).alias("weight")).union(
+            encode_terms(part.select("text"), vocab_b).select("terms", F.lit(ITEM_WEIGHT)))
+        space = latent_space(both.coalesce(tasks), idf)
         table = np.zeros((len(vocab) + 1, space.shape[1]), dtype=np.float32)
         table[:-1] = space * idf[:, None]
         search_b = spark.sparkContext.broadcast(Search(listed, vocab, table))

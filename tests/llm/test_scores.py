@@ -293,3 +293,40 @@ def test_nearest_huge_and_tiny_components(spark):
     rows = [(i, [10.0 ** e * (i % 7 + 1), 10.0 ** e]) for e in (160, -170) for i in range(40) if (i < 20) == (e > 0)]
     out = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     assert {r.query_id for r in out} == {0, 20} and len(out) == 40
+
+
+def test_latent_space_is_fitted_on_every_document(spark, word, monkeypatch):
+    """Products of the passages of more documents than ``DOCS_WEIGHT``, against a plain loop over all of them."""
+    monkeypatch.setattr(decontaminate, "DOCS_WEIGHT", 10)
+    vocab = {w: i for i, w in enumerate(sorted(set(word(25, 7300).split())))}
+    names, rng = list(vocab), random.Random(5)
+    texts = [" ".join(rng.choice([*names, "zz", "yy"]) for _ in range(rng.choice([0, 3, 16, 17, 33, 90]))) for _ in range(60)]
+    idf = np.linspace(0.1, 2.0, len(vocab))
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(4)
+    encoded = decontaminate.encode_terms(rows, spark.sparkContext.broadcast(vocab))
+    want = np.zeros((len(vocab), len(vocab)))
+    for t in texts:
+        for w in decontaminate._windows(decontaminate.passages(decontaminate._term_ids(t.split(), vocab), len(vocab))):
+            v = np.bincount(w, minlength=len(vocab) + 1)[:-1] * idf
+            if v.any():
+                want += np.outer(v, v) / (v @ v) / 4
+    got = np.zeros_like(want)
+    for r in decontaminate.term_products(encoded.select("terms", F.lit(0.5).alias("weight")), idf).collect():
+        got[r.t, r.u] += r.x
+    assert np.allclose(want, got)
+    monkeypatch.setattr(decontaminate, "PAIR_CELLS", 200)    # too few for dense sums: kept sorted, given out in parts
+    got, parts = np.zeros_like(want), 0
+    sums = decontaminate.PairSums(idf)
+    for t in [*texts, None]:
+        if t is None or sums.full():
+            parts += 1
+            for r in sums.take().itertuples():
+                got[r.t, r.u] += r.x
+        if t:
+            sums.add([decontaminate._term_ids(t.split(), vocab)], [0.5])
+    assert np.allclose(np.triu(want), got) and parts > 1
+    fitted = []
+    monkeypatch.setattr(decontaminate, "latent_space", lambda e, idf: fitted.append(e.groupBy("weight").count().collect()) or np.eye(len(idf)))
+    docs = rows.select(F.lit(1).alias("doc_id"), "text")
+    decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(names))], "item_id bigint, text string")).collect()
+    assert sorted((round(r["weight"] ** 2, 6), r["count"]) for r in fitted[0]) == [(round(10 / 61, 6), 61), (100.0, 1)]
