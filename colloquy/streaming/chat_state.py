@@ -15,8 +15,8 @@ set by the source's rate limit.  The batch equivalent is ``convlog.process_log``
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -32,40 +32,41 @@ LINES_SCHEMA = "line string"
 NEW = (-1, False, 0, config.TEMPERATURE, config.MAX_NEW_TOKENS)
 
 
-def _carried(values: pd.Series, start) -> list:
-    """Running last value, ``start`` before the first."""
-    return list(accumulate(values.tolist(), lambda held, v: held if pd.isna(v) else v, initial=start))[1:]
+def _advance(held: tuple, history, turns: list, kinds: list, texts: list, temps: list, limits: list) -> tuple[tuple, list[str], list[tuple]]:
+    """One conversation's new settings, its new lines in the segment it ends in, and output rows (without the conversation), for
+    classified input lines in turn order, given as columns.
 
-
-def _advance(held: tuple, history, rows: pd.DataFrame) -> tuple[tuple, list[str], pd.DataFrame]:
-    """One conversation's new settings, its new lines in the segment it ends in, and output rows, for classified input lines in turn order.
-
-    ``history()``: the lines so far of the segment it is in."""
+    ``history()``: the lines so far of the segment it is in; called once at most."""
     last_turn, ended, segment, temperature, max_tokens = held
-    seen = rows["turn"].cummax().shift(1).fillna(last_turn).clip(lower=last_turn)
-    late = rows["turn"] <= seen
-    live = rows[~late]
-    last_turn = int(max(last_turn, rows["turn"].max()))
-    stop = (live["kind"] == "quit").cumsum() > 0
-    ended_now = ended or bool(stop.any())
-    live = live[~stop] if not ended else live.iloc[:0]
-    live = live.assign(segment_id=segment + (live["kind"] == "clear").cumsum(),
-                       temperature=_carried(live["temp_value"], temperature), max_tokens=_carried(live["tokens_value"], max_tokens))
-    lines = (config.USER_PREFIX + live["clean"]).where(live["kind"] == "message")
-    prompts = pd.Series([None] * len(live), index=live.index, dtype=object)
-    for seg, own in lines.dropna().groupby(live["segment_id"]):
-        before = history() if seg == segment else []
-        texts = list(accumulate(before + own.tolist(), lambda a, b: a + "\n" + b))[len(before):]
-        prompts[own.index] = [t + config.PROMPT_SUFFIX for t in texts]
     added: list[str] = []
-    if len(live):
-        end = live.iloc[-1]
-        added = lines[live["segment_id"] == end["segment_id"]].dropna().tolist()
-        segment, temperature, max_tokens = int(end["segment_id"]), float(end["temperature"]), int(end["max_tokens"])
-    done = live.assign(prompt=prompts, late=False)
-    skipped = rows[late][["turn"]].assign(late=True)
-    out = pd.concat([done, skipped]).sort_index().reindex(columns=["turn", "kind", "segment_id", "temperature", "max_tokens", "prompt", "late"])
-    return (last_turn, ended_now, segment, temperature, max_tokens), added, out
+    said, out = None, []                              # the segment's lines as one text, when a message needs it
+    for turn, kind, text, temp, limit in zip(turns, kinds, texts, temps, limits):
+        if turn <= last_turn:
+            out.append((turn, None, None, None, None, None, True))
+            continue
+        last_turn = turn
+        ended = ended or kind == "quit"
+        if ended:
+            continue
+        if kind == "clear":
+            segment, said, added = segment + 1, "", []
+        temperature = temperature if temp is None else temp
+        max_tokens = max_tokens if limit is None else limit
+        prompt = None
+        if kind == "message" and text is not None:
+            if said is None:
+                said = "\n".join(history())
+            line = config.USER_PREFIX + text
+            said = f"{said}\n{line}" if said else line
+            added.append(line)
+            prompt = said + config.PROMPT_SUFFIX
+        out.append((turn, kind, segment, temperature, max_tokens, prompt, False))
+    return (last_turn, ended, segment, temperature, max_tokens), added, out
+
+
+def _values(column: pd.Series) -> list:
+    """Values of a column, None where it is null."""
+    return [None if v is None or v != v else v for v in column.tolist()]
 
 
 class ChatProcessor(StatefulProcessor):
@@ -82,8 +83,14 @@ class ChatProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.settings.get() if self.settings.exists() else None
         *old, timer = held if held is not None else (*NEW, None)
-        batch = pd.concat(list(rows)).sort_values("turn", kind="stable").reset_index(drop=True)      # arrival order breaks ties
-        new, added, out = _advance(tuple(old), lambda: [r[0] for r in self.lines.get()] if self.lines.exists() else [], batch)
+        batch = [pd.concat(columns) if len(columns) > 1 else columns[0] for columns in zip(*(
+            [part[c] for c in ("turn", "kind", "clean", "temp_value", "tokens_value")] for part in rows))]
+        columns = [_values(c) for c in batch]
+        order = sorted(range(len(columns[0])), key=columns[0].__getitem__)       # stable: arrival order breaks ties
+        turns, kinds, texts, temps, limits = ([c[i] for i in order] for c in columns)
+        limits = [None if v is None else int(v) for v in limits]
+        new, added, out = _advance(tuple(old), lambda: [r[0] for r in self.lines.get()] if self.lines.exists() else [],
+                                   turns, kinds, texts, temps, limits)
         if new[2] != old[2] or new[1]:
             self.lines.clear()                        # another segment, or the session has ended
         if added and not new[1]:
@@ -94,9 +101,12 @@ class ChatProcessor(StatefulProcessor):
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
             self.handle.registerTimer(timer)
         self.settings.update((*new, timer))
-        if len(out):
-            out.insert(0, "conv_id", int(key[0]))
-            yield out.astype({"segment_id": "Int64", "max_tokens": "Int64", "turn": "int64", "late": bool})
+        if out:
+            turn, kind, segment, temperature, limit, prompt, late = zip(*out)
+            yield pd.DataFrame({"conv_id": int(key[0]), "turn": np.array(turn, dtype=np.int64), "kind": pd.Series(kind, dtype=object),
+                                "segment_id": pd.array(segment, dtype="Int64"), "temperature": np.array(temperature, dtype=float),
+                                "max_tokens": pd.array(limit, dtype="Int64"), "prompt": pd.Series(prompt, dtype=object),
+                                "late": np.array(late, dtype=bool)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.settings.clear()

@@ -112,3 +112,16 @@ def test_chat_state_appends_and_expires():
     assert lines.reads == before                                   # a command does not read the history
     list(p.handleExpiredTimer((7,), None, None))
     assert not settings.exists() and not lines.exists()
+
+
+def test_chat_step_takes_no_frame_a_line():
+    """Settings, segments, late rows and the end of a session from plain columns; a line costs microseconds, not a frame's milliseconds."""
+    rows = [(1, "message", "a", None, None), (1, "message", "late", None, None), (2, "temp", "/temp 1", 1.0, None), (3, "message", None, None, None),
+            (4, "message", "b", None, None), (5, "clear", "/clear", None, None), (6, "tokens", "/tokens 7", None, 7), (7, "message", "c", None, None),
+            (9, "quit", "/quit", None, None), (10, "message", "d", None, None)]
+    held = (0, False, 2, 0.5, 10)
+    new, added, out = chat_state._advance(held, lambda: ["User: x"], *map(list, zip(*rows)))
+    assert new == (10, True, 3, 1.0, 7) and added == ["User: c"]
+    assert [r[0] for r in out] == [1, 1, 2, 3, 4, 5, 6, 7] and [r[0] for r in out if r[6]] == [1]
+    assert [r[5] for r in out if r[5]] == ["User: x\nUser: a\nAssistant:", "User: x\nUser: a\nUser: b\nAssistant:", "User: c\nAssistant:"]
+    assert out[4][2:5] == (2, 1.0, 10) and out[7][2:5] == (3, 1.0, 7)
