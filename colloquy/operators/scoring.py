@@ -26,13 +26,45 @@ def count_scores(counts: DataFrame) -> DataFrame:
     return counts.withColumn("logit", F.log(F.col("n").cast("double")))
 
 
-def batch_loss(batches: DataFrame, counts: DataFrame, accumulation: int = config.ACCUMULATION_STEPS,
+def _probabilities(counts: DataFrame) -> DataFrame:
+    tot = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))
+    return counts.join(tot, "ctx").select("ctx", "token", (F.col("n") / F.col("n_ctx")).alias("p"))
+
+
+def example_loss(examples: DataFrame, counts: DataFrame, keys, input_col: str = "input_ids", label_col: str = "labels",
+                 smoothing: float | None = None, ignore_index: int = -100) -> DataFrame:
+    """A3 per row of ``examples``: ``(*keys, loss_sum, n_positions)``, the sum of ``-ln p(label | ctx)`` over its real positions
+    (numeric labels equal to ``ignore_index`` are padding) and their number, p = count ratio within the context.
+
+    An example's loss is the same in every epoch, so its positions meet the counts once, and only sums travel on.  Rows are
+    kept as rows, those without a real position too; ``examples`` must be a stored table, as rows are told apart by number.
+    An unseen pair fails the job unless a ``smoothing`` probability is given."""
+    keys = list(keys)
+    numeric = examples.schema[label_col].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
+    real = F.col("z.token") != F.lit(ignore_index) if numeric else F.lit(True)
+    rows = examples.withColumn("_row", F.monotonically_increasing_id())
+    pos = (rows.select("_row", F.explode_outer(F.arrays_zip(F.col(input_col).alias("ctx"), F.col(label_col).alias("token"))).alias("z"))
+               .filter(F.col("z").isNotNull() & real).select("_row", "z.ctx", "z.token"))
+    j = pos.join(_probabilities(counts), ["ctx", "token"], "left")
+    p = F.col("p") if smoothing is None else F.coalesce("p", F.lit(float(smoothing)))
+    nll = F.when(p.isNull(), F.raise_error(F.lit("batch_loss: unseen (ctx, token) pair"))).otherwise(-F.log(p))
+    sums = j.groupBy("_row").agg(F.sum(nll).alias("loss_sum"), F.count(F.lit(1)).alias("n_positions"))
+    return rows.select(*keys, "_row").join(sums, "_row", "left").select(
+        *keys, F.coalesce("loss_sum", F.lit(0.0)).alias("loss_sum"), F.coalesce("n_positions", F.lit(0)).cast("bigint").alias("n_positions"))
+
+
+def batch_loss(batches: DataFrame, counts: DataFrame | None = None, accumulation: int = config.ACCUMULATION_STEPS,
                input_col: str = "input_ids", label_col: str = "labels", smoothing: float | None = None,
                ignore_index: int = -100) -> DataFrame:
     """A3 + A5: masked mean of ``-ln p(label | ctx)`` per ``(epoch, batch_idx)`` over the real
-    positions (numeric labels equal to ``ignore_index`` are padding), p = count ratio within the context.  Positions are aggregated to
-    ``(batch, ctx, token)`` before the join.  An unseen pair fails the job unless a
-    ``smoothing`` probability is given."""
+    positions (numeric labels equal to ``ignore_index`` are padding), p = count ratio within the context.
+
+    Without ``counts``, ``batches`` holds the sums of ``example_loss`` in place of tokens.  Else positions are aggregated to
+    ``(batch, ctx, token)`` before the join.  An unseen pair fails the job unless a ``smoothing`` probability is given."""
+    if counts is None:
+        out = batches.filter("n_positions > 0").groupBy("epoch", "batch_idx").agg(
+            (F.sum("loss_sum") / F.sum("n_positions")).alias("loss"), F.sum("n_positions").cast("bigint").alias("n_positions"))
+        return out.withColumn("scaled_loss", F.col("loss") / accumulation)
     numeric = batches.schema[label_col].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
     real = F.col("z.token") != F.lit(ignore_index) if numeric else F.lit(True)
     pos = (batches.select("epoch", "batch_idx",
@@ -40,9 +72,7 @@ def batch_loss(batches: DataFrame, counts: DataFrame, accumulation: int = config
                   .filter(F.col("z").isNotNull() & real)
                   .groupBy("epoch", "batch_idx", F.col("z.ctx").alias("ctx"), F.col("z.token").alias("token"))
                   .agg(F.count(F.lit(1)).alias("c")))
-    tot = counts.groupBy("ctx").agg(F.sum("n").alias("n_ctx"))
-    probs = counts.join(tot, "ctx").select("ctx", "token", (F.col("n") / F.col("n_ctx")).alias("p"))
-    j = pos.join(probs, ["ctx", "token"], "left")
+    j = pos.join(_probabilities(counts), ["ctx", "token"], "left")
     p = F.col("p") if smoothing is None else F.coalesce("p", F.lit(float(smoothing)))
     nll = F.when(p.isNull(), F.raise_error(F.lit("batch_loss: unseen (ctx, token) pair"))).otherwise(-F.log(p))
     out = j.groupBy("epoch", "batch_idx").agg((F.sum(F.col("c") * nll) / F.sum("c")).alias("loss"),

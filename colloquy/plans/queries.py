@@ -426,8 +426,10 @@ def q_next_token(spark, sf):
 
 
 def _batch_loss(examples):
-    ordered = batching.epoch_order(examples, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
-    return scoring.batch_loss(batching.assign_batches(ordered), scoring.next_token_counts(examples))
+    """An example's loss is summed once and takes part in every epoch as two numbers."""
+    each = _once(scoring.example_loss(examples, scoring.next_token_counts(examples), ["conv_id", "turn"]))
+    ordered = batching.epoch_order(each, ["conv_id", "turn"], seed=config.SEED, epochs=config.EPOCHS)
+    return scoring.batch_loss(batching.assign_batches(ordered))
 
 
 @query("batch_loss")

@@ -135,3 +135,17 @@ def test_metrics_document_round_trip(spark, scratch):
 def test_reject_counts(spark):
     u = spark.createDataFrame([("s", ["q"], "a"), ("s", [None], "a"), ("t", ["q"], None)], "source string, context array<string>, response string")
     assert sorted(tuple(r) for r in qa.reject_counts(u).collect()) == [("s", 2, 1), ("t", 1, 1)]
+
+
+def test_example_loss_is_taken_once_for_all_epochs(spark):
+    """Sums of rows give the loss of a batch; repeated and null keys stay rows, and no epoch carries tokens."""
+    schema = "epoch int, batch_idx int, conv_id bigint, turn bigint, input_ids array<int>, labels array<int>"
+    rows = [(e, i // 2, None if i == 3 else i // 2, 0, [1, 2, 1], [2, 1, -100 if i == 1 else 3]) for e in range(2) for i in range(4)]
+    rows += [(0, 2, 9, 9, [1], [-100])]
+    batches = spark.createDataFrame(rows, schema)
+    counts = spark.createDataFrame([(1, 2, 3), (1, 3, 1), (2, 1, 5)], "ctx int, token int, n bigint")
+    each = scoring.example_loss(batches, counts, ["epoch", "batch_idx", "conv_id"])
+    assert each.columns == ["epoch", "batch_idx", "conv_id", "loss_sum", "n_positions"] and each.count() == 9
+    def rounded(df):
+        return sorted((r.epoch, r.batch_idx, round(r.loss, 12), round(r.scaled_loss, 12), r.n_positions) for r in df.collect())
+    assert rounded(scoring.batch_loss(each)) == rounded(scoring.batch_loss(batches, counts)) and len(rounded(scoring.batch_loss(each))) == 4
