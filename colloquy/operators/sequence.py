@@ -20,18 +20,22 @@ def small_side(df: DataFrame, col: str, max_bytes: int = BROADCAST_MAX_BYTES):
 
 
 def embed_lookup(positions: DataFrame, embeddings: DataFrame, n_vectors: int | None = None,
-                 id_col: str = "token_id", pos_col: str = "pos") -> DataFrame:
+                 id_col: str = "token_id", pos_col: str = "pos", max_len: int | None = None) -> DataFrame:
     """M1: gather ``embedding[id]`` and add the positional vector ``embedding[pos]``
     (both ``mod n_vectors``); element-wise add with ``zip_with``.  Vectors are addressed by
-    their rank of ``vec_id``, so gaps in the ids lose nothing; null ids address no vector.  The
-    embedding table is broadcast only after its size is checked."""
+    their rank of ``vec_id``, so gaps in the ids lose nothing; null ids address no vector.  A
+    table of vectors is broadcast only after its size is checked.
+
+    ``max_len``: places are 0 to ``max_len - 1``, so only as many positional vectors are joined.  With them small enough to
+    broadcast, a larger embedding table costs one exchange of the positions, without any vector."""
     emb = range_positions(embeddings.filter("vec_id is not null").select("vec_id", "embedding"), ["vec_id"], pos_col="_slot")
     emb = emb.select(F.col("_slot").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     emb_j, n = small_side(emb, "v")
     n = n_vectors or n
+    places = emb_j if max_len is None else small_side(emb.filter(F.col("vec_id") < max_len), "v")[0]
     d = positions.withColumn("_tv", F.pmod(F.col(id_col), F.lit(n))).withColumn("_pv", F.pmod(F.col(pos_col), F.lit(n)))
     tok = emb_j.select(F.col("vec_id").alias("_tv"), F.col("v").alias("_tok_vec"))
-    pos = emb_j.select(F.col("vec_id").alias("_pv"), F.col("v").alias("_pos_vec"))
+    pos = places.select(F.col("vec_id").alias("_pv"), F.col("v").alias("_pos_vec"))
     return (d.join(tok, "_tv").join(pos, "_pv")
              .withColumn("vector", F.zip_with("_tok_vec", "_pos_vec", lambda a, b: a + b))
              .drop("_tv", "_pv", "_tok_vec", "_pos_vec"))

@@ -643,7 +643,8 @@ def q_embed_lookup(spark, sf):
     v = _example_vocab(ex)
     pos = tokens.explode_items(ex, "input_ids", "token", keys=["conv_id", "turn"], pos="pos")
     pos = pos.join(v.select("token", "token_id"), "token")
-    e = sequence.embed_lookup(pos, table(spark, sf, "embeddings"))
+    longest = ex.agg(F.max(F.size("input_ids"))).first()[0] or 0
+    e = sequence.embed_lookup(pos, table(spark, sf, "embeddings"), max_len=longest)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"),
                     F.col("token_id").cast("bigint").alias("token_id"), _r(norm, 6).alias("norm"))

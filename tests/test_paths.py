@@ -137,6 +137,18 @@ def test_reject_counts(spark):
     assert sorted(tuple(r) for r in qa.reject_counts(u).collect()) == [("s", 2, 1), ("t", 1, 1)]
 
 
+def test_embed_lookup_exchanges_no_vector(spark, monkeypatch):
+    """Ids meet a large table by one exchange; the vectors of the places in use are broadcast."""
+    emb = spark.createDataFrame([(10 * i, [float(i)] * 8) for i in range(200)], "vec_id bigint, embedding array<float>")
+    pos = spark.createDataFrame([(i % 230, i % 3) for i in range(500)] + [(None, 0)], "token_id bigint, pos int")
+    want = sorted((r.token_id, r.pos, r.vector[7]) for r in sequence.embed_lookup(pos, emb).collect())
+    monkeypatch.setattr(sequence, "BROADCAST_MAX_BYTES", 1000)
+    got = sequence.embed_lookup(pos, emb, max_len=3)
+    assert sorted((r.token_id, r.pos, r.vector[7]) for r in got.collect()) == want and len(want) == 500
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (_tv" in x or "Join Inner, (_pv" in x]
+    assert sorted("strategy=broadcast" in x for x in joins) == [False, True] and all("broadcast" not in x for x in joins if "(_tv" in x)
+
+
 def test_example_loss_is_taken_once_for_all_epochs(spark):
     """Sums of rows give the loss of a batch; repeated and null keys stay rows, and no epoch carries tokens."""
     schema = "epoch int, batch_idx int, conv_id bigint, turn bigint, input_ids array<int>, labels array<int>"
