@@ -142,11 +142,12 @@ def test_embed_lookup_exchanges_no_vector(spark, monkeypatch):
     emb = spark.createDataFrame([(10 * i, [float(i)] * 8) for i in range(200)], "vec_id bigint, embedding array<float>")
     pos = spark.createDataFrame([(i % 230, i % 3) for i in range(500)] + [(None, 0)], "token_id bigint, pos int")
     want = sorted((r.token_id, r.pos, r.vector[7]) for r in sequence.embed_lookup(pos, emb).collect())
-    monkeypatch.setattr(sequence, "BROADCAST_MAX_BYTES", 1000)
+    small_side = sequence.small_side
+    monkeypatch.setattr(sequence, "small_side", lambda df, col: small_side(df, col, 1000))
     got = sequence.embed_lookup(pos, emb, max_len=3)
     assert sorted((r.token_id, r.pos, r.vector[7]) for r in got.collect()) == want and len(want) == 500
-    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner, (_tv" in x or "Join Inner, (_pv" in x]
-    assert sorted("strategy=broadcast" in x for x in joins) == [False, True] and all("broadcast" not in x for x in joins if "(_tv" in x)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and ("_tv#" in x or "_pv#" in x)]
+    assert {"_pv#" in x: "strategy=broadcast" in x for x in joins} == {True: True, False: False} and len(joins) == 2
 
 
 def test_example_loss_is_taken_once_for_all_epochs(spark):
