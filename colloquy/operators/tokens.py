@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,96 +75,127 @@ def special_ids(vocab: DataFrame, has_pad: bool = False, has_eos: bool = True) -
         (size + int(has_pad or not has_eos)).alias("vocab_size"), eos.alias("eos_id"), pad.alias("pad_id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str = "ids") -> DataFrame:
-    """Surface tokens -> ids by an equi-join on the token (AQE broadcasts a small vocabulary
-    after measuring it and splits skewed token partitions otherwise).  Each key group holds
-    one sequence, so the re-assembly is bounded by the sequence length."""
+BLOCK_TOKENS = 1 << 20          # elements a block of sequences holds on average
+
+
+def _in_blocks(df: DataFrame, pairs: DataFrame, keys, col: str, out: str, old: str, new: str, block_tokens: int,
+               merge: bool, text: bool) -> DataFrame:
+    """``(*keys, out)``: elements of the array ``col`` replaced by ``pairs``' ``new`` value for them, as an array or (``text``)
+    joined to a string.
+
+    No element crosses the network by itself.  Sequences are dealt whole into blocks of about ``block_tokens`` elements; a block's
+    distinct elements alone meet ``pairs`` and come back as its dictionary, and an Arrow task a block looks the elements up.
+    ``merge`` deals by the keys and makes one sequence of rows that share them: by place, then by value.  Without it rows
+    stay rows.  ``df`` is read three times (sizes, distinct elements, sequences): pass a stored table."""
     keys = list(keys)
-    # outer explode: an empty sequence keeps one (null) row and encodes to []
-    exploded = df.select(*keys, F.posexplode_outer(F.col(col)).alias("_p", "token"))
-    joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
-    item = F.when(F.col("_p").isNotNull(), F.struct("_p", "token_id"))
-    return (joined.groupBy(*keys)
-                  .agg(F.sort_array(F.collect_list(item)).alias("_s"))
-                  .select(*keys, F.transform("_s", lambda s: s["token_id"]).alias(out)))
+    places = [f"_k{i}" for i in range(len(keys))]
+    seqs = df.select(*[F.col(k).alias(p) for k, p in zip(keys, places)],
+                     F.coalesce(F.col(col), F.array().cast(df.schema[col].dataType)).alias("_s"))
+    total = seqs.agg(F.sum(F.size("_s"))).first()[0] or 0
+    n_blocks = max(1, -(-int(total) // int(block_tokens)))
+    seqs = seqs.withColumn("_b", F.pmod(F.xxhash64(*(places if merge else [*places, "_s"])), F.lit(n_blocks)))
+    kind_old = df.schema[col].dataType.elementType
+    packed = isinstance(kind_old, T.StringType)
+    if packed:                  # one string and its lengths: an array of short strings takes three times the room
+        seqs = seqs.select(*places, "_b", F.array_join("_s", "").alias("_s"), F.transform("_s", F.octet_length).alias("_n"))
+
+    def items_of(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        """(elements, elements of each row)."""
+        block = block.combine_chunks()
+        s = block["_s"].chunk(0)
+        if not packed:
+            return pc.list_flatten(s), pc.list_value_length(s).to_numpy().astype(np.int64)
+        sizes = pc.list_flatten(block["_n"].chunk(0))
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(), dtype=np.int64)
+        at = np.frombuffer(s.buffers()[1], dtype=np.int32)[s.offset:s.offset + len(s) + 1]
+        data = s.buffers()[2]
+        offsets = np.concatenate([[0], ends]).astype(np.int32) + at[0]
+        items = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), data if data is not None else pa.py_buffer(b"")])
+        if sizes.null_count:
+            items = pc.if_else(sizes.is_valid(), items, pa.scalar(None, pa.string()))
+        return items, pc.list_value_length(block["_n"].chunk(0)).to_numpy().astype(np.int64)
+
+    def distinct(block: pa.Table) -> pa.Table:
+        words = pa.concat_arrays([pc.unique(items_of(pa.Table.from_batches([c]))[0]) for c in block.to_batches()])
+        return pa.table({"_b": block["_b"][:1], "_w": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)})
+
+    # all columns are passed, so that this exchange of the sequences is the one that the look-up reads
+    words = seqs.groupBy("_b").applyInArrow(distinct, T.StructType([T.StructField("_b", T.LongType()), T.StructField("_w", T.ArrayType(kind_old))]))
+    words = words.select("_b", F.explode_outer(F.array_distinct("_w")).alias("_old")).filter(F.col("_old").isNotNull())
+    found = words.join(pairs.select(F.col(old).alias("_old"), F.col(new).alias("_new")), "_old").select(F.col("_b").alias("_db"), "_old", "_new")
+    kind = found.schema["_new"].dataType
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], T.StructField(out, kind if text else T.ArrayType(kind))])
+
+    def look_up(block: pa.Table, dictionary: pa.Table) -> pa.Table:
+        items, lengths = items_of(block)
+        values = dictionary["_new"].combine_chunks().take(pc.index_in(items, value_set=dictionary["_old"].combine_chunks()))
+        values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+        if text:
+            values = pc.fill_null(values, "")
+        rows = block.select(places).combine_chunks()
+        if merge:
+            row = pa.array(np.arange(len(lengths)))
+            groups = rows.append_column("_i", row).group_by(places).aggregate([("_i", "list")])["_i_list"]
+            if len(groups) < len(lengths):
+                members = pc.list_flatten(groups).to_numpy()
+                group = np.empty(len(lengths), dtype=np.int64)
+                group[members] = np.repeat(np.arange(len(groups)), pc.list_value_length(groups).to_numpy())
+                rows = rows.take(pa.array(members[np.unique(group[members], return_index=True)[1]]))
+                starts = np.cumsum(lengths) - lengths
+                order = pc.sort_indices(pa.table({"g": np.repeat(group, lengths), "p": np.arange(len(values)) - np.repeat(starts, lengths), "v": values}),
+                                        sort_keys=[(c, "ascending") for c in "gpv"], null_placement="at_start")
+                values, lengths = values.take(order), np.bincount(group, lengths, len(groups)).astype(np.int64)
+        done = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+        return pa.table([*rows.columns, pc.binary_join(done, "") if text else done], names=schema.names)
+
+    return seqs.groupBy("_b").cogroup(found.groupBy("_db")).applyInArrow(look_up, schema)
+
+
+def encode(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str = "ids", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Surface tokens -> ids, by dictionaries of blocks of sequences (``_in_blocks``).  One row a key: an empty sequence
+    encodes to [], a token that the vocabulary lacks to null."""
+    return _in_blocks(df, vocab, keys, col, out, "token", "token_id", block_tokens, merge=True, text=False)
 
 
 def detokenize(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str = "text",
-               special_tokens=(config.EOS_TOKEN, config.PAD_TOKEN), specials: DataFrame | None = None) -> DataFrame:
+               special_tokens=(config.EOS_TOKEN, config.PAD_TOKEN), specials: DataFrame | None = None,
+               block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Ids -> text, skipping special tokens (decode(..., skip_special_tokens=True)).
 
-    Special and unknown ids become '' instead of being filtered out, and the outer explode
-    keeps empty sequences, so every input sequence comes back from the one regroup (no join
-    back to the keys)."""
-    keys = list(keys)
+    Special and unknown ids become '' instead of being filtered out, so every input sequence comes back, one row a key."""
     v = vocab.select("token", "token_id")
     if specials is not None:
         sp = specials.select(F.col("eos_id").alias("token_id"), F.lit(config.EOS_TOKEN).alias("token"))
         v = v.unionByName(sp.filter(F.col("token_id").isNotNull()))
-    exploded = df.select(*keys, F.posexplode_outer(F.col(col)).alias("_p", "token_id"))
-    joined = exploded.join(v, "token_id", "left").withColumn(
-        "token", F.when(F.col("token").isin(*special_tokens) | F.col("token").isNull(), F.lit("")).otherwise(F.col("token")))
-    assembled = (joined.groupBy(*keys)
-                       .agg(F.sort_array(F.collect_list(F.struct("_p", "token"))).alias("_s")))
-    return assembled.select(*keys, F.array_join(F.transform("_s", lambda s: s["token"]), "").alias(out))
-
-
-BLOCK_TOKENS = 1 << 16          # elements a block of sequences holds on average
-SLOT_TOKENS = 16                # elements of a block per slot of its dictionary
+    v = v.filter(~F.col("token").isin(*special_tokens))
+    return _in_blocks(df, v, keys, col, out, "token_id", "token", block_tokens, merge=True, text=True)
 
 
 def map_elements(df: DataFrame, pairs: DataFrame, keys, col: str, out: str, old: str, new: str,
                  block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(*keys, out)``: every element of the array ``col`` replaced by ``pairs``' ``new`` value for it (null: no pair).
 
-    No sequence is taken apart.  Sequences are gathered whole into blocks of about ``block_tokens`` elements (by hash of the
-    row, so blocks are even and a re-run task deals alike); a block's distinct elements alone cross the shuffle to meet
-    ``pairs`` and come back as the block's dictionary: an array of small maps, addressed by the element's hash, as a
-    lookup in one large map is linear.  A null array counts as empty, a null element maps to null.  Rows are kept as
-    rows: repeated keys come back as often.  ``pairs`` must hold each ``old`` value once.
+    No sequence is taken apart (``_in_blocks``; blocks by hash of the row, so they are even and a re-run task deals alike).
+    A null array counts as empty, a null element maps to null.  Rows are kept as rows: repeated keys come back as often.
+    ``pairs`` must hold each ``old`` value once.
     """
-    keys = list(keys)
-    seqs = df.select(*keys, F.coalesce(F.col(col), F.array().cast(df.schema[col].dataType)).alias("_s"))
-    total = seqs.agg(F.sum(F.size("_s"))).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // int(block_tokens)))
-    blocks = (seqs.withColumn("_b", F.pmod(F.xxhash64(*keys, "_s"), F.lit(n_blocks)))
-                  .groupBy("_b").agg(F.collect_list(F.struct(*keys, "_s")).alias("_rows"))
-                  .withColumn("_all", F.flatten("_rows._s"))
-                  .select("_b", "_rows", "_all", (F.size("_all") / SLOT_TOKENS + 1).cast("int").alias("_n")))
-    words = (blocks.select("_b", "_n", F.explode_outer(F.array_distinct("_all")).alias(old)).filter(F.col(old).isNotNull())
-                   .join(pairs.select(old, new), old)
-                   .select("_b", F.pmod(F.hash(old), F.col("_n")).alias("_slot"), F.struct(F.col(old), F.col(new)).alias("_e")))
-    # a row for every slot: the dictionary's array has no gaps
-    slots = blocks.select("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_slot"),
-                          F.lit(None).cast(words.schema["_e"].dataType).alias("_e"))
-    entry = words.unionByName(slots).repartition("_b").groupBy("_b", "_slot").agg(F.collect_list("_e").alias("_m"))
-    dictionary = (entry.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_slot", "_m"))).alias("_d"))
-                       .select(F.col("_b").alias("_db"), F.transform("_d", lambda s: F.map_from_entries(s["_m"])).alias("_d")))
-
-    def look_up(t):
-        return F.get("_d", F.pmod(F.hash(t), F.col("_n")))[t]
-
-    joined = blocks.select("_b", "_n", "_rows").join(dictionary, F.col("_b") == F.col("_db"))
-    done = joined.select(F.explode(F.transform("_rows", lambda r: F.struct(
-        *[r[k].alias(k) for k in keys], F.transform(r["_s"], look_up).alias(out)))).alias("_r"))
-    return done.select(*[F.col("_r")[c].alias(c) for c in (*keys, out)])
+    return _in_blocks(df, pairs, keys, col, out, old, new, block_tokens, merge=False, text=False)
 
 
 def encode_blocks(df: DataFrame, vocab: DataFrame, keys, col: str = "tokens", out: str = "ids",
                   block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``encode`` by block dictionaries (``map_elements``): for tables whose tokens repeat much inside a block, or whose
-    sequences are too long to regroup token by token.  A token that the vocabulary lacks becomes null."""
+    """``encode`` of rows as rows (``map_elements``): repeated keys are not merged.  A token that the vocabulary lacks
+    becomes null."""
     return map_elements(df, vocab, keys, col, out, "token", "token_id", block_tokens)
 
 
 def detokenize_blocks(df: DataFrame, vocab: DataFrame, keys, col: str = "ids", out: str = "text",
                       special_tokens=(config.EOS_TOKEN, config.PAD_TOKEN), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """K10 by block dictionaries: special ids and ids that the vocabulary lacks become ''.
+    """K10 of rows as rows: special ids and ids that the vocabulary lacks become ''.
 
     ``df`` is read three times (sizes, distinct ids, sequences): pass a stored table."""
     v = vocab.select("token_id", "token").filter(~F.col("token").isin(*special_tokens))
-    d = map_elements(df, v, keys, col, "_words", "token_id", "token", block_tokens)
-    return d.select(*list(keys), F.array_join(F.transform("_words", lambda t: F.coalesce(t, F.lit(""))), "").alias(out))
+    return _in_blocks(df, v, keys, col, out, "token_id", "token", block_tokens, merge=False, text=True)
 
 
 def dataset_sizes(tokenized: DataFrame, min_tokens: int = config.MIN_TOKENS, col: str = "tokens",

@@ -59,6 +59,11 @@ def _once(df):
     return checkpointed(df)
 
 
+def _stored(df, what):
+    """As ``_once``, as compressed Parquet: for tables of whole token sequences (a checkpoint's rows are not compressed)."""
+    return tokens.materialize(df, _folder(df.sparkSession, what))
+
+
 def _folder(spark, what):
     """A new folder below the shared checkpoint folder; it goes with that folder."""
     return os.path.join(checkpoint_dir(spark), f"{what}-{uuid.uuid4().hex}")
@@ -237,7 +242,7 @@ def q_tokenize(spark, sf):
 def _doc_vocab(spark, sf, once=False):
     d = tokens.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
     if once:
-        d = _once(d)
+        d = _stored(d, "tokens")
     return d, tokens.build_vocab(d)
 
 
@@ -281,10 +286,11 @@ def q_special_ids(spark, sf):
 @query("detokenize")
 def q_detokenize(spark, sf):
     d, v = _doc_vocab(spark, sf, once=True)
+    v = _once(v.select("token", "token_id"))
     sp = tokens.special_ids(v)
     ids = tokens.encode(d, v, ["doc_id"], "tokens", "ids")
     # every sequence ends with <|endoftext|>; decoding skips it
-    ids = ids.withColumn("ids", F.concat("ids", F.array(sp.select("eos_id").scalar())))
+    ids = _stored(ids.withColumn("ids", F.concat("ids", F.array(sp.select("eos_id").scalar()))), "ids")
     txt = tokens.detokenize(ids, v, ["doc_id"], "ids", "text", specials=sp)
     return txt.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
@@ -295,7 +301,7 @@ def q_detokenize_blocks(spark, sf):
     d, v = _doc_vocab(spark, sf, once=True)
     v = _once(v.select("token", "token_id"))
     ids = tokens.encode_blocks(d, v, ["doc_id"], "tokens", "ids")
-    ids = _once(ids.withColumn("ids", F.concat("ids", F.array(tokens.special_ids(v).select("eos_id").scalar()))))
+    ids = _stored(ids.withColumn("ids", F.concat("ids", F.array(tokens.special_ids(v).select("eos_id").scalar()))), "ids")
     txt = tokens.detokenize_blocks(ids, v, ["doc_id"], "ids", "text")
     return txt.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
@@ -332,7 +338,7 @@ def _example_vocab(ex):
 
 @query("padded_batches")
 def q_padded_batches(spark, sf):
-    ex = training.training_examples(_conv(spark, sf))
+    ex = _stored(training.training_examples(_conv(spark, sf)).select("conv_id", "turn", "tokens"), "examples")
     v = _example_vocab(ex)
     sp = tokens.special_ids(v)
     ids = tokens.encode(ex, v, ["conv_id", "turn"], "tokens", "ids")

@@ -119,3 +119,39 @@ def test_metrics_in_many_documents(spark, scratch):
     assert [r.step for r in some.orderBy("step").collect()] == [40, 45, 50, 55, 60, 65]
     assert {r.document for r in some.collect()} == {1, 2, 3}
     assert metrics.read_metrics_documents(spark, path, 1000).count() == 0
+
+
+def test_encode_and_detokenize_make_one_sequence_of_a_key(spark):
+    """Rows that share a key, null included, are one sequence by place, then value, as a join and a regroup would give."""
+    ids = {"a": 2, "é": 0, "": 1, "b ": 3}
+    vocab = spark.createDataFrame(list(ids.items()), "token string, token_id bigint")
+    seqs = [(1, ["a", "b ", "é"]), (1, ["é"]), (1, []), (2, ["", None, "zzz"]), (2, ["a"]), (None, ["b "]), (None, ["a", "a"]), (3, None), (4, ["é", "é"])]
+    df = spark.createDataFrame(seqs, "k int, tokens array<string>").repartition(3)
+
+    def merged(rows, value, least):
+        out = {}
+        for k, s in rows:
+            out.setdefault(k, []).extend((p, value(t)) for p, t in enumerate(s or []))
+        return {k: [v for _, v in sorted(s, key=lambda e: (e[0], least if e[1] is None else e[1]))] for k, s in out.items()}
+
+    for block in (1, 4, 1 << 20):
+        got = tokens.encode(df, vocab, ["k"], block_tokens=block)
+        assert got.dtypes == [("k", "int"), ("ids", "array<bigint>")]
+        want = merged(seqs, ids.get, -1)
+        assert {r.k: r.ids for r in got.collect()} == want and got.count() == len(want)
+        twice = got.union(spark.createDataFrame([(4, [2, 9])], "k int, ids array<bigint>"))
+        names = {i: t for t, i in ids.items()}
+        text = {k: "".join(s) for k, s in merged([*want.items(), (4, [2, 9])], lambda i: names.get(i, ""), "").items()}
+        assert {r.k: r.text for r in tokens.detokenize(twice, vocab, ["k"], block_tokens=block).collect()} == text
+
+
+def test_no_element_of_a_sequence_crosses_an_exchange(spark, scratch):
+    """Shuffled rows of the encoder: the sequences, and each distinct token a few times, not a row a token."""
+    df = spark.range(200).select("id", F.array_repeat(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")), 50).alias("tokens"))
+    df = tokens.materialize(df, os.path.join(scratch, "sequences"))
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(3)], "token string, token_id bigint")
+    for got in (tokens.encode(df, vocab, ["id"]), tokens.encode_blocks(df, vocab, ["id"])):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan and "map_from_entries" not in plan and plan.count("CoGroups") == 1
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString() or got.count() == 200
+        assert got.select(F.explode("ids").alias("i")).agg(F.count("i")).first()[0] == 10000
