@@ -27,14 +27,13 @@ full, side by side or in order around a candidate window.  Repeated rows give re
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bucket_count, fresh_name, materialize, text_bytes
+from colloquy.llm.terms import WORD, Terms
 
 WINDOWS = (8, 16, 32)
 WINDOW, STRIDE = 32, 16                          # of the passages that the space is fitted on
@@ -50,9 +49,9 @@ ITEM_BLOCK = 5000
 SEED = 5
 TASK_BYTES = 32 << 20                             # of text, per task that sums products: each gives out up to all pairs
 GROUP_TOKENS = 1 << 15
+SEARCH_TOKENS = 1 << 12                          # searched at a time: their vectors stay in the processor's cache
 PRODUCT_CELLS = 1 << 23                          # cosines held at a time
 PAIR_CELLS = 1 << 23                             # sums of pairs of terms that a task holds
-WORD = re.compile(r"\w+")
 RESULT = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double, word_start bigint"
 
 
@@ -80,11 +79,16 @@ class Item:
         self.item_id, self.words = item_id, words_of(text)
         self.answer = words_of(answer)
 
+    def can_overlap(self, most: int) -> bool:
+        """Whether a common subsequence of at most ``most`` words may be enough."""
+        return most / len(self.words) >= (OVERLAP if len(self.words) >= SHORT else 1.0)
+
     def matches(self, region: list[str]):
         """(overlap, answer share or None without an answer) if ``region`` holds the item, else None."""
-        overlap = lcs(self.words, region) / len(self.words)
-        if overlap < (OVERLAP if len(self.words) >= SHORT else 1.0):
+        common = lcs(self.words, region)
+        if not self.can_overlap(common):
             return None
+        overlap = common / len(self.words)
         if not self.answer:
             return overlap, None
         answer = lcs(self.answer, region) / len(self.answer)
@@ -114,14 +118,14 @@ def _id_type(n_terms: int):
 
 
 def encode_terms(docs: DataFrame, vocab_b) -> DataFrame:
-    """``docs`` with ``terms``: the numbers of the words of ``text``, words outside the vocabulary as its size, as bytes."""
+    """``docs`` with ``terms`` for ``text``: the numbers of its words, words outside the vocabulary as its size, as bytes."""
     def run(batches):
-        vocab = vocab_b.value
-        kind = _id_type(len(vocab))
+        terms = Terms(vocab_b.value)
+        kind = _id_type(terms.none)
         for pdf in batches:
-            yield pdf.assign(terms=[_term_ids(words_of(text), vocab).astype(kind).tobytes() for text in pdf["text"]])
+            yield pdf.drop(columns="text").assign(terms=[ids.astype(kind).tobytes() for ids in terms.ids(pdf["text"])])
 
-    return docs.mapInPandas(run, docs.select("*", F.lit(b"").alias("terms")).schema)
+    return docs.mapInPandas(run, docs.drop("text").withColumn("terms", F.lit(b"")).schema)
 
 
 def document_frequency(encoded: DataFrame, n: int) -> DataFrame:
@@ -312,6 +316,13 @@ class Search:
 
     def __init__(self, items: list[Item], vocab: dict[str, int], table: np.ndarray):
         self.items, self.vocab, self.table = items, vocab, table
+        self.terms, self.last = Terms(vocab), (None, None)
+        self.counts = []                                  # per item: how often it holds each of its terms
+        for item in items:
+            count: dict[int, int] = {}
+            for w in item.words:
+                count[vocab[w]] = count.get(vocab[w], 0) + 1
+            self.counts.append(count)
         self.groups = []                                  # (window, owners, lengths, unit vectors)
         for window in WINDOWS:
             vectors, owner = [], []
@@ -333,6 +344,12 @@ class Search:
                 sequence = _term_ids(item.words, vocab).tobytes()
                 self.short.setdefault(len(item.words), {}).setdefault(sequence, []).append(i)
 
+    def ids(self, texts) -> list[np.ndarray]:
+        """Term numbers of each text; those of the last list of texts are kept."""
+        if self.last[0] is not texts:
+            self.last = texts, self.terms.ids(texts)
+        return self.last[1]
+
     def sequences(self, ids: np.ndarray):
         """(item number, first word) of the first occurrence of each short item in one document."""
         for n, items in self.short.items():
@@ -356,40 +373,47 @@ class Search:
                 return
             unit = np.concatenate([g for _, g in group])          # rows of the smallest stride, padded to the largest
             count = np.array([len(g) for _, g in group])
+            number = np.array([i for i, _ in group])
             own = np.flatnonzero((unit != none).any(axis=1))
             z = np.zeros((len(unit), self.table.shape[1]), dtype=np.float32)
-            z[own] = self.table[unit[own]].sum(axis=1)
+            if len(own):
+                used = unit[own].T
+                folded = self.table[used[0]]
+                for column in used[1:]:
+                    folded += self.table[column]
+                z[own] = folded
+            rows, k = z, 1
             for window, owner, length, vectors in self.groups:
-                k = window // 2 // least
-                rows = z.reshape(len(z) // k, k, -1).sum(axis=1) if k > 1 else z
-                has = np.unique(own // k)
-                per = count // k
-                doc = np.repeat(np.array([i for i, _ in group]), per)
-                at = np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
-                starts = np.unique(np.concatenate([has, has - 1]))
-                starts = starts[starts >= 0]
+                while k < window // 2 // least:
+                    rows, k = rows[::2] + rows[1::2], 2 * k
+                last = np.cumsum(count // k) - 1                  # a document's last row is a window of its own
+                square = np.einsum("ij,ij->i", rows, rows)
+                norm = square.copy()
+                norm[:-1] += square[1:] + 2 * np.einsum("ij,ij->i", rows[:-1], rows[1:])
+                norm[last] = square[last]
+                norm = np.sqrt(np.maximum(norm, 0))
                 step = max(1, PRODUCT_CELLS // max(1, len(owner)))
-                for a in range(0, len(starts), step):
-                    first = starts[a:a + step]
-                    whole = rows[first].copy()
-                    ok = np.flatnonzero(at[first] + 1 < np.repeat(per, per)[first])      # rows behind a document's last stay out
-                    whole[ok] += rows[first[ok] + 1]
-                    cos = whole @ vectors.T
-                    cos /= np.maximum(np.linalg.norm(whole, axis=1)[:, None], EVIDENCE * length[None, :]) + 1e-9
-                    r, c = np.nonzero(cos >= COSINE)
-                    out.append((doc[first[r]], owner[c], at[first[r]] * (window // 2), cos[r, c]))
+                for a in range(0, len(rows), step):
+                    part = rows[a:a + step + 1] @ vectors.T       # a window is two rows
+                    cos, after = part[:step], part[1:].copy()
+                    after[last[(last >= a) & (last < a + len(after))] - a] = 0
+                    cos[:len(after)] += after
+                    cos /= np.maximum(norm[a:a + step, None], EVIDENCE * length[None, :]) + 1e-9
+                    hit = np.flatnonzero((cos >= COSINE).ravel())
+                    r, c = np.divmod(hit, len(owner))
+                    doc = np.searchsorted(last, a + r)
+                    at = a + r - (last[doc] + 1 - count[doc] // k)
+                    out.append((number[doc], owner[c], at * (window // 2), cos.ravel()[hit]))
             group.clear()
 
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            if not words:
+        for i, ids in enumerate(self.ids(texts)):
+            if not len(ids):
                 continue
-            ids = _term_ids(words, self.vocab)
             for item, at in self.sequences(ids):
                 out.append(([i], [item], [at], [1.0]))
             group.append((i, passages(ids, none, WINDOWS[-1] // 2).reshape(-1, least)))
-            size += len(words)
-            if size >= GROUP_TOKENS:
+            size += len(ids)
+            if size >= SEARCH_TOKENS:
                 flush()
                 size = 0
         flush()
@@ -401,37 +425,40 @@ class Search:
 
     def found(self, texts):
         """Confirmed (text number, item number, cosine, overlap, answer, first word)."""
-        done, last, words, tried = set(), None, [], set()
+        done, last, words, ids, tried = set(), None, None, [], set()
         for doc, i, at, cos in self.candidates(texts):
             if (doc, i) in done:
                 continue
             if doc != last:
-                last, words, tried = doc, words_of(texts[doc]), set()
+                last, words, ids, tried = doc, None, self.ids(texts)[doc].tolist(), set()
             item = self.items[i]
             a, b = max(0, at - len(item.words)), at + window_of(len(item.words)) + len(item.words)
             if (i, a, b) in tried:                        # several passages of an item in one window
                 continue
             tried.add((i, a, b))
+            count = self.counts[i]
+            common = [t for t in ids[a:b] if t in count]  # no subsequence is longer than the words in common
+            if not item.can_overlap(len(common)) or not item.can_overlap(sum(count[t] for t in set(common))):
+                continue
+            words = words_of(texts[doc]) if words is None else words
             got = item.matches(words[a:b])
             if got:
                 done.add((doc, i))
                 yield doc, i, cos, *got, at
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, cosine, overlap, answer, word_start)`` of every document and item it holds."""
+def searches(docs: DataFrame, benchmark: DataFrame):
+    """For each block of the benchmark a broadcast ``Search``, its space fitted on all of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     items = materialize(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", answer.cast("string").alias("answer"))
                         .filter(r"text rlike '(?U)\\w'").dropDuplicates(), "benchmark")
     n_items = items.count()
     blocks = -(-n_items // ITEM_BLOCK)
     if not n_items:
-        return spark.createDataFrame([], RESULT)
+        return
     n_docs = docs.count()
     tasks = bucket_count(text_bytes(docs), TASK_BYTES)
-    out = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         listed = [Item(r["item_id"], r["text"], r["answer"]) for r in part.orderBy("item_id", "text").collect()]
@@ -441,8 +468,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         every = sorted({w for x in listed for w in x.words})
         vocab = {w: i for i, w in enumerate(every)}
         vocab_b = spark.sparkContext.broadcast(vocab)
-        # read anew by each pass: stored terms would cost the disk more than the passes cost time
-        encoded = encode_terms(docs.select("text"), vocab_b).select("terms")
+        encoded = materialize(encode_terms(docs.select("text"), vocab_b), "lsa-terms")      # two bytes a word, mostly; no texts
         counted = document_frequency(encoded, len(vocab))
         frequency = {r["t"]: r["df"] for r in counted.collect()}            # at most one row per term of the block
         df = np.array([frequency.get(i, 0) for i in range(len(vocab))], dtype=float)
@@ -453,12 +479,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         space = latent_space(both.coalesce(tasks), idf)
         table = np.zeros((len(vocab) + 1, space.shape[1]), dtype=np.float32)
         table[:-1] = space * idf[:, None]
-        search_b = spark.sparkContext.broadcast(Search(listed, vocab, table))
+        yield spark.sparkContext.broadcast(Search(listed, vocab, table))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, item_id, cosine, overlap, answer, word_start)`` of every document and item it holds."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    out = None
+    for search_b in searches(docs, benchmark):
         # ids travel as text: exact beside nulls
         rows = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_finder(search_b), RESULT.replace("doc_id bigint", "doc_id string"))
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
         out = rows if out is None else out.union(rows)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+    return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
 def _finder(search_b):
