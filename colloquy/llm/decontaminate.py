@@ -382,22 +382,19 @@ class Search:
                 for column in used[1:]:
                     folded += self.table[column]
                 z[own] = folded
-            rows, k = z, 1
             for window, owner, length, vectors in self.groups:
-                while k < window // 2 // least:
-                    rows, k = rows[::2] + rows[1::2], 2 * k
+                k = window // 2 // least
+                rows = z[::k].copy()
+                for j in range(1, k):
+                    rows += z[j::k]
                 last = np.cumsum(count // k) - 1                  # a document's last row is a window of its own
-                square = np.einsum("ij,ij->i", rows, rows)
-                norm = square.copy()
-                norm[:-1] += square[1:] + 2 * np.einsum("ij,ij->i", rows[:-1], rows[1:])
-                norm[last] = square[last]
-                norm = np.sqrt(np.maximum(norm, 0))
+                whole = rows.copy()                               # a window is two rows
+                whole[:-1] += rows[1:]
+                whole[last] = rows[last]
+                norm = np.linalg.norm(whole, axis=1)
                 step = max(1, PRODUCT_CELLS // max(1, len(owner)))
                 for a in range(0, len(rows), step):
-                    part = rows[a:a + step + 1] @ vectors.T       # a window is two rows
-                    cos, after = part[:step], part[1:].copy()
-                    after[last[(last >= a) & (last < a + len(after))] - a] = 0
-                    cos[:len(after)] += after
+                    cos = whole[a:a + step] @ vectors.T
                     cos /= np.maximum(norm[a:a + step, None], EVIDENCE * length[None, :]) + 1e-9
                     hit = np.flatnonzero((cos >= COSINE).ravel())
                     r, c = np.divmod(hit, len(owner))
