@@ -27,15 +27,20 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and a lost
     executor costs only the tasks that read."""
     spark = df.sparkSession
-    path = shared_path(spark, what)
+    path = path or shared_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame, path: str) -> None:
+    """Give back the disk of ``df``, materialized at ``path``, once nothing reads it any more."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def bucket_count(n_bytes: int, per_bucket: int, least: int = 1) -> int:
     """Number of buckets of about ``per_bucket`` bytes each."""
     return max(least, -(-int(n_bytes) // per_bucket))

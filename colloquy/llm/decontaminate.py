@@ -27,12 +27,14 @@ full, side by side or in order around a candidate window.  Repeated rows give re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bucket_count, fresh_name, materialize, text_bytes
+from colloquy.llm.common import bucket_count, discard, materialize, shared_path, text_bytes
 from colloquy.llm.terms import WORD, Terms
 
 WINDOWS = (8, 16, 32)
@@ -465,7 +467,8 @@ def searches(docs: DataFrame, benchmark: DataFrame):
         every = sorted({w for x in listed for w in x.words})
         vocab = {w: i for i, w in enumerate(every)}
         vocab_b = spark.sparkContext.broadcast(vocab)
-        encoded = materialize(encode_terms(docs.select("text"), vocab_b), "lsa-terms")      # two bytes a word, mostly; no texts
+        path = shared_path(spark, "lsa-terms")
+        encoded = materialize(encode_terms(docs.select("text"), vocab_b), "lsa-terms", path)    # two bytes a word, mostly; no texts
         counted = document_frequency(encoded, len(vocab))
         frequency = {r["t"]: r["df"] for r in counted.collect()}            # at most one row per term of the block
         df = np.array([frequency.get(i, 0) for i in range(len(vocab))], dtype=float)
@@ -474,6 +477,7 @@ def searches(docs: DataFrame, benchmark: DataFrame):
         both = encoded.select("terms", F.lit(weight).alias("weight")).union(
             encode_terms(part.select("text"), vocab_b).select("terms", F.lit(ITEM_WEIGHT)))
         space = latent_space(both.coalesce(tasks), idf)
+        discard(encoded, path)
         table = np.zeros((len(vocab) + 1, space.shape[1]), dtype=np.float32)
         table[:-1] = space * idf[:, None]
         yield spark.sparkContext.broadcast(Search(listed, vocab, table))
@@ -505,9 +509,20 @@ def _finder(search_b):
     return run
 
 
+def _holds_item(search_b):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = search_b.value
+        for part in texts:
+            bad = np.zeros(len(part), dtype=bool)
+            bad[[d for d, *_ in search.found(part.tolist())]] = True
+            yield pd.Series(bad)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, columns as given."""
-    row = fresh_name("_row", docs.columns)
-    src = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-in")
-    bad = contaminated(src.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return src.join(bad, src[row] == bad["_bad"], "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that hold no benchmark item, columns as given.  Rows are judged where they are; only texts go to Python."""
+    kept = docs
+    for search_b in searches(docs.select("text"), benchmark):
+        kept = kept.filter(~_holds_item(search_b)("text"))
+    return kept

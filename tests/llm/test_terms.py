@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from colloquy.llm import decontaminate
 from colloquy.llm.terms import PIECE, Terms
@@ -53,3 +54,21 @@ def test_windows_without_enough_common_words_are_not_compared(word, monkeypatch)
     assert [(d, i) for d, i, *_ in search.found(texts)] == [(0, 2)]
     pairs = len({c[:2] for c in search.candidates(texts)})
     assert pairs >= 1 and len(asked) <= pairs
+
+
+def test_drop_contaminated_keeps_no_copy_of_the_texts(spark, word, monkeypatch):
+    written = []
+    plain = decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, what, path=None: written.append(df.columns) or plain(df, what, path))
+    gone, throw = [], decontaminate.discard
+    monkeypatch.setattr(decontaminate, "discard", lambda df, path: throw(df, path) or gone.append(spark.read.parquet(path).count()))
+    item = word(40, 7700)
+    docs = spark.createDataFrame([(1, word(50, 7701) + " " + item, {"k": 1}), (None, word(90, 7702), None), (2, None, {}), (2, None, {})],
+                                 "doc_id bigint, text string, more map<string, int>")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.schema == docs.schema and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("not doc_id <=> 1").collect()))
+    assert all("text" not in c or "item_id" in c for c in written) and gone == [0]
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 1)                 # one pass a block
+    more = bench.union(spark.createDataFrame([(2, word(90, 7702))], bench.schema))
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, more).select(F.col("doc_id")).collect()) == [2, 2]
