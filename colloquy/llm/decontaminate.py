@@ -16,7 +16,9 @@
 4. A candidate is confirmed in the text around it by the longest common subsequence of words with the whole
    item (at least ``OVERLAP`` of the item) and, where the table has an answer, by an answer check (at least
    ``ANSWER`` of the words of the answer, in order); without one the overlap decides and ``answer`` is null.
-   Candidates of a pair are tried from the highest cosine on until one holds; none is skipped.
+   Candidates of a pair are tried from the highest cosine on until one holds; left out are only those around which the words in
+   common, each as often as both sides have it, are fewer than the overlap asks for.
+5. Words are numbered once: the fit and the search read the stored numbers (``drop_contaminated`` numbers the texts where they are).
 
 The benchmark is taken in blocks of ``ITEM_BLOCK`` items, so what a task holds is bounded; a larger benchmark costs more
 passes.  Results are one row per (document, item): no document is compared with another.
@@ -27,6 +29,7 @@ full, side by side or in order around a candidate window.  Repeated rows give re
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +56,7 @@ TASK_BYTES = 32 << 20                             # of text, per task that sums
 GROUP_TOKENS = 1 << 15
 SEARCH_TOKENS = 1 << 12                          # searched at a time: their vectors stay in the processor's cache
 PRODUCT_CELLS = 1 << 23                          # cosines held at a time
+REGION_TOKENS = 1 << 18                          # words around candidates that are looked at together
 PAIR_CELLS = 1 << 23                             # sums of pairs of terms that a task holds
 RESULT = "doc_id bigint, item_id bigint, cosine double, overlap double, answer double, word_start bigint"
 
@@ -81,12 +85,18 @@ class Item:
         self.item_id, self.words = item_id, words_of(text)
         self.answer = words_of(answer)
 
+    def numbered(self, vocab: dict[str, int]) -> "Item":
+        """The item with numbers for words."""
+        out = copy.copy(self)
+        out.words, out.answer = [vocab[w] for w in self.words], [vocab.get(w, -1) for w in self.answer]
+        return out
+
     def can_overlap(self, most: int) -> bool:
         """Whether a common subsequence of at most ``most`` words may be enough."""
         return most / len(self.words) >= (OVERLAP if len(self.words) >= SHORT else 1.0)
 
-    def matches(self, region: list[str]):
-        """(overlap, answer share or None without an answer) if ``region`` holds the item, else None."""
+    def matches(self, region: list):
+        """(overlap, answer share or None without an answer) if ``region`` (words, or numbers if ``numbered``) holds the item, else None."""
         common = lcs(self.words, region)
         if not self.can_overlap(common):
             return None
@@ -115,29 +125,28 @@ def _term_ids(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     return np.array([get(w, none) for w in words], dtype=np.int32)
 
 
-def _id_type(n_terms: int):
-    return np.dtype(np.uint16 if n_terms < 1 << 16 else np.int32)
-
-
 def encode_terms(docs: DataFrame, vocab_b) -> DataFrame:
-    """``docs`` with ``terms`` for ``text``: the numbers of its words, words outside the vocabulary as its size, as bytes."""
+    """``docs`` with ``terms`` for ``text``: the numbers (int32) of its words, words outside the vocabulary as its size, as bytes."""
     def run(batches):
         terms = Terms(vocab_b.value)
-        kind = _id_type(terms.none)
         for pdf in batches:
-            yield pdf.drop(columns="text").assign(terms=[ids.astype(kind).tobytes() for ids in terms.ids(pdf["text"])])
+            yield pdf.drop(columns="text").assign(terms=[ids.tobytes() for ids in terms.ids(pdf["text"])])
 
     return docs.mapInPandas(run, docs.drop("text").withColumn("terms", F.lit(b"")).schema)
 
 
+def _first(ids: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` terms keep their numbers, all others get ``n``."""
+    return np.minimum(ids, np.int32(n))
+
+
 def document_frequency(encoded: DataFrame, n: int) -> DataFrame:
-    """``(t, df)``: documents that hold each of the ``n`` terms; every batch emits one row per term at most."""
+    """``(t, df)``: documents that hold each of the first ``n`` terms; every batch emits one row per term at most."""
     def run(batches):
-        kind = _id_type(n)
         for pdf in batches:
             df = np.zeros(n + 1, dtype=np.int64)
             for terms in pdf["terms"]:
-                df[np.unique(np.frombuffer(terms, dtype=kind))] += 1
+                df[np.unique(_first(np.frombuffer(terms, dtype=np.int32), n))] += 1
             t = np.flatnonzero(df[:-1])
             yield pd.DataFrame({"t": t, "df": df[t]})
 
@@ -241,11 +250,11 @@ def term_products(encoded: DataFrame, idf: np.ndarray) -> DataFrame:
     idf_b = encoded.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        sums, kind = PairSums(idf_b.value), _id_type(n)
+        sums = PairSums(idf_b.value)
         docs, weights, size = [], [], 0
         for pdf in batches:
             for terms, weight in zip(pdf["terms"], pdf["weight"]):
-                docs.append(np.frombuffer(terms, dtype=kind))
+                docs.append(_first(np.frombuffer(terms, dtype=np.int32), n))
                 weights.append(weight)
                 size += len(docs[-1])
                 if size >= GROUP_TOKENS:
@@ -314,24 +323,32 @@ def latent_space(encoded: DataFrame, idf: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Items, their latent passages by window length, and the folding table; size bounded by ``ITEM_BLOCK``."""
+    """Items, their latent passages by window length, and the folding table; size bounded by ``ITEM_BLOCK``.
+
+    The first words of ``vocab`` are those of ``table``, whose last row stands for all others; words of answers alone may follow."""
 
     def __init__(self, items: list[Item], vocab: dict[str, int], table: np.ndarray):
-        self.items, self.vocab, self.table = items, vocab, table
+        self.items, self.table, self.none = items, table, len(table) - 1
         self.terms, self.last = Terms(vocab), (None, None)
+        self.numbered = [item.numbered(vocab) for item in items]
         self.counts = []                                  # per item: how often it holds each of its terms
         for item in items:
             count: dict[int, int] = {}
             for w in item.words:
                 count[vocab[w]] = count.get(vocab[w], 0) + 1
             self.counts.append(count)
+        held = np.array([(i, t, n) for i, count in enumerate(self.counts) for t, n in count.items()], dtype=np.int64).reshape(-1, 3)
+        self.most = np.zeros(1 << max(16, (16 * len(held)).bit_length()), dtype=np.int32)   # ``counts`` by slot, the most of those that share one
+        np.maximum.at(self.most, self._slot(held[:, 0], held[:, 1]), held[:, 2].astype(np.int32))
+        self.lengths = np.array([len(item.words) for item in items], dtype=np.int64)
+        self.windows = np.array([window_of(n) for n in self.lengths.tolist()], dtype=np.int64)
         self.groups = []                                  # (window, owners, lengths, unit vectors)
         for window in WINDOWS:
             vectors, owner = [], []
             for i, item in enumerate(items):
                 if window_of(len(item.words)) != window:
                     continue
-                for w in _windows(passages(_term_ids(item.words, vocab), len(vocab), window // 2)):
+                for w in _windows(passages(_term_ids(item.words, vocab), self.none, window // 2)):
                     vectors.append(table[w].sum(axis=0))
                     owner.append(i)
             if not owner:
@@ -346,8 +363,14 @@ class Search:
                 sequence = _term_ids(item.words, vocab).tobytes()
                 self.short.setdefault(len(item.words), {}).setdefault(sequence, []).append(i)
 
+    def _slot(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        h = item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + term.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(65 - len(self.most).bit_length())).astype(np.int64)
+
     def ids(self, texts) -> list[np.ndarray]:
-        """Term numbers of each text; those of the last list of texts are kept."""
+        """Term numbers of each text, of which those of the last list are kept; a list of numbers is taken as it is."""
+        if len(texts) and isinstance(texts[0], np.ndarray):
+            return texts
         if self.last[0] is not texts:
             self.last = texts, self.terms.ids(texts)
         return self.last[1]
@@ -366,8 +389,15 @@ class Search:
                     break
 
     def candidates(self, texts):
-        """(text number, item number, first word, cosine) of candidate windows, best first per pair."""
-        none, least = len(self.vocab), WINDOWS[0] // 2
+        """(text number, item number, first word, cosine) of candidate windows, best first per pair, without those around which the
+        words in common cannot be enough."""
+        columns = self._near(texts)
+        kept = self._may_overlap(texts, *columns[:3])
+        return zip(*(x[kept].tolist() for x in columns))
+
+    def _near(self, texts) -> tuple[np.ndarray, ...]:
+        """Columns text number, item number, first word, cosine of the windows near an item, best first per pair."""
+        none, least = self.none, WINDOWS[0] // 2
         out, group, size = [], [], 0
 
         def flush():
@@ -376,33 +406,40 @@ class Search:
             unit = np.concatenate([g for _, g in group])          # rows of the smallest stride, padded to the largest
             count = np.array([len(g) for _, g in group])
             number = np.array([i for i, _ in group])
-            own = np.flatnonzero((unit != none).any(axis=1))
+            known = unit != none
+            words = known.sum(axis=1)
+            own = np.argsort(-words, kind="stable")[:np.count_nonzero(words)]
             z = np.zeros((len(unit), self.table.shape[1]), dtype=np.float32)
-            if len(own):
-                used = unit[own].T
-                folded = self.table[used[0]]
-                for column in used[1:]:
-                    folded += self.table[column]
+            if len(own):                                          # words of the benchmark first, as they follow: others have no vector
+                used = np.take_along_axis(unit[own], np.argsort(~known[own], axis=1, kind="stable"), axis=1).T
+                folded = self.table.take(used[0], axis=0)
+                for j in range(1, int(words[own[0]])):
+                    n = np.count_nonzero(words[own] > j)
+                    folded[:n] += self.table.take(used[j, :n], axis=0)
                 z[own] = folded
+            rows, held = z, 1
             for window, owner, length, vectors in self.groups:
                 k = window // 2 // least
-                rows = z[::k].copy()
-                for j in range(1, k):
-                    rows += z[j::k]
+                rows = rows[::k // held]
+                for j in range(held, k):                          # a row is two of the window before
+                    rows = rows + z[j::k]
+                held = k
                 last = np.cumsum(count // k) - 1                  # a document's last row is a window of its own
-                whole = rows.copy()                               # a window is two rows
-                whole[:-1] += rows[1:]
+                whole = np.empty_like(rows)                       # a window is two rows
+                np.add(rows[:-1], rows[1:], out=whole[:-1])
                 whole[last] = rows[last]
-                norm = np.linalg.norm(whole, axis=1)
+                norm = np.sqrt((whole * whole).sum(axis=1))
                 step = max(1, PRODUCT_CELLS // max(1, len(owner)))
                 for a in range(0, len(rows), step):
                     cos = whole[a:a + step] @ vectors.T
-                    cos /= np.maximum(norm[a:a + step, None], EVIDENCE * length[None, :]) + 1e-9
-                    hit = np.flatnonzero((cos >= COSINE).ravel())
+                    hit = np.flatnonzero((cos > 0.999 * COSINE * norm[a:a + step, None]).ravel())      # few are divided
                     r, c = np.divmod(hit, len(owner))
+                    found = cos.ravel()[hit] / (np.maximum(norm[a + r], EVIDENCE * length[c]) + 1e-9)
+                    near = found >= COSINE
+                    r, c, found = r[near], c[near], found[near]
                     doc = np.searchsorted(last, a + r)
                     at = a + r - (last[doc] + 1 - count[doc] // k)
-                    out.append((number[doc], owner[c], at * (window // 2), cos.ravel()[hit]))
+                    out.append((number[doc], owner[c], at * (window // 2), found))
             group.clear()
 
         for i, ids in enumerate(self.ids(texts)):
@@ -410,44 +447,69 @@ class Search:
                 continue
             for item, at in self.sequences(ids):
                 out.append(([i], [item], [at], [1.0]))
-            group.append((i, passages(ids, none, WINDOWS[-1] // 2).reshape(-1, least)))
+            group.append((i, passages(_first(ids, none), none, WINDOWS[-1] // 2).reshape(-1, least)))
             size += len(ids)
             if size >= SEARCH_TOKENS:
                 flush()
                 size = 0
         flush()
-        if not out:
-            return []
+        out.append((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)))
         doc, item, at, cos = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((at, -cos, item, doc))
-        return zip(doc[order].tolist(), item[order].tolist(), at[order].tolist(), cos[order].tolist())
+        return doc[order], item[order], at[order], cos[order]
+
+    def _may_overlap(self, texts, doc: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the candidates around which the words in common with the item may be enough: no subsequence is longer."""
+        ids = self.ids(texts)
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        ids, base = np.concatenate([np.empty(0, np.int32), *ids]), np.cumsum(sizes) - sizes
+        n = self.lengths[item]
+        a, b = np.maximum(0, at - n), np.minimum(sizes[doc], at + self.windows[item] + n)
+        step = max(1, REGION_TOKENS // max(1, int((b - a).max(initial=0))))
+        kept = [np.empty(0, np.int64)]
+        for i in range(0, len(doc), step):
+            some = np.arange(i, min(i + step, len(doc)))
+            size = b[some] - a[some]
+            owner = np.repeat(some, size)
+            word = ids[np.arange(len(owner)) + np.repeat(base[doc[some]] + a[some] - (np.cumsum(size) - size), size)]
+            most = self.most[self._slot(item[owner], word)]
+            owner, word, most = owner[most > 0], word[most > 0], most[most > 0]
+            enough = self._enough(np.bincount(owner - i, minlength=len(some)), n[some])
+            left = enough[owner - i]
+            key = np.sort((owner[left] - i) * np.int64(self.terms.none + 1) + word[left])      # each word as often as the item has it
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+            owner, word = np.divmod(key[first], self.terms.none + 1)
+            times = np.minimum(np.diff(np.append(first, len(key))), self.most[self._slot(item[owner + i], word)])
+            kept.append(some[enough & self._enough(np.bincount(owner, times, len(some)), n[some])])
+        return np.concatenate(kept)
+
+    @staticmethod
+    def _enough(most: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """``Item.can_overlap`` of many."""
+        return most / length >= np.where(length >= SHORT, OVERLAP, 1.0)
 
     def found(self, texts):
-        """Confirmed (text number, item number, cosine, overlap, answer, first word)."""
-        done, last, words, ids, tried = set(), None, None, [], set()
+        """Confirmed (text number, item number, cosine, overlap, answer, first word); ``texts`` or their term numbers."""
+        done, last, ids, tried = set(), None, [], set()
         for doc, i, at, cos in self.candidates(texts):
             if (doc, i) in done:
                 continue
             if doc != last:
-                last, words, ids, tried = doc, None, self.ids(texts)[doc].tolist(), set()
-            item = self.items[i]
+                last, ids, tried = doc, self.ids(texts)[doc].tolist(), set()
+            item = self.numbered[i]
             a, b = max(0, at - len(item.words)), at + window_of(len(item.words)) + len(item.words)
             if (i, a, b) in tried:                        # several passages of an item in one window
                 continue
             tried.add((i, a, b))
-            count = self.counts[i]
-            common = [t for t in ids[a:b] if t in count]  # no subsequence is longer than the words in common
-            if not item.can_overlap(len(common)) or not item.can_overlap(sum(count[t] for t in set(common))):
-                continue
-            words = words_of(texts[doc]) if words is None else words
-            got = item.matches(words[a:b])
+            got = item.matches(ids[a:b])
             if got:
                 done.add((doc, i))
                 yield doc, i, cos, *got, at
 
 
 def searches(docs: DataFrame, benchmark: DataFrame):
-    """For each block of the benchmark a broadcast ``Search``, its space fitted on all of ``docs``."""
+    """For each block of the benchmark a broadcast ``Search``, its space fitted on all of ``docs``, and ``docs`` with term numbers
+    for texts (``encode_terms``), which are given back when the next block is asked for."""
     spark = docs.sparkSession
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     items = materialize(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", answer.cast("string").alias("answer"))
@@ -465,32 +527,34 @@ def searches(docs: DataFrame, benchmark: DataFrame):
         if not listed:
             continue
         every = sorted({w for x in listed for w in x.words})
+        n = len(every)
+        every += sorted({w for x in listed for w in x.answer} - set(every))         # only looked for in answers
         vocab = {w: i for i, w in enumerate(every)}
         vocab_b = spark.sparkContext.broadcast(vocab)
         path = shared_path(spark, "lsa-terms")
-        encoded = materialize(encode_terms(docs.select("text"), vocab_b), "lsa-terms", path)    # two bytes a word, mostly; no texts
-        counted = document_frequency(encoded, len(vocab))
+        encoded = materialize(encode_terms(docs, vocab_b), "lsa-terms", path)       # four bytes a word before compression; no texts
+        counted = document_frequency(encoded, n)
         frequency = {r["t"]: r["df"] for r in counted.collect()}            # at most one row per term of the block
-        df = np.array([frequency.get(i, 0) for i in range(len(vocab))], dtype=float)
+        df = np.array([frequency.get(i, 0) for i in range(n)], dtype=float)
         idf = np.log((1 + n_docs) / (1 + df)) + 0.05
         weight = min(1.0, (DOCS_WEIGHT / max(1, n_docs)) ** 0.5)            # squared in the products
         both = encoded.select("terms", F.lit(weight).alias("weight")).union(
             encode_terms(part.select("text"), vocab_b).select("terms", F.lit(ITEM_WEIGHT)))
         space = latent_space(both.coalesce(tasks), idf)
-        discard(encoded, path)
-        table = np.zeros((len(vocab) + 1, space.shape[1]), dtype=np.float32)
+        table = np.zeros((n + 1, space.shape[1]), dtype=np.float32)
         table[:-1] = space * idf[:, None]
-        yield spark.sparkContext.broadcast(Search(listed, vocab, table))
+        yield spark.sparkContext.broadcast(Search(listed, vocab, table)), encoded
+        discard(encoded, path)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap, answer, word_start)`` of every document and item it holds."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # ids travel as text: exact beside nulls
+    docs = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text")
     out = None
-    for search_b in searches(docs, benchmark):
-        # ids travel as text: exact beside nulls
-        rows = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_finder(search_b), RESULT.replace("doc_id bigint", "doc_id string"))
-        rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    for search_b, encoded in searches(docs, benchmark):
+        rows = encoded.mapInPandas(_finder(search_b), RESULT.replace("doc_id bigint", "doc_id string"))
+        rows = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("bigint")), "contaminated")
         out = rows if out is None else out.union(rows)
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
@@ -501,7 +565,7 @@ def _finder(search_b):
         for pdf in batches:
             ids = pdf["doc_id"].tolist()
             got = [(ids[d], search.items[i].item_id, cos, overlap, answer, at)
-                   for d, i, cos, overlap, answer, at in search.found(pdf["text"].tolist())]
+                   for d, i, cos, overlap, answer, at in search.found([np.frombuffer(x, dtype=np.int32) for x in pdf["terms"]])]
             out = pd.DataFrame(got, columns=["doc_id", "item_id", "cosine", "overlap", "answer", "word_start"])
             out["item_id"] = pd.array([g[1] for g in got], dtype="Int64")
             yield out
@@ -523,6 +587,6 @@ def _holds_item(search_b):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, columns as given.  Rows are judged where they are; only texts go to Python."""
     kept = docs
-    for search_b in searches(docs.select("text"), benchmark):
+    for search_b, _ in searches(docs.select("text"), benchmark):
         kept = kept.filter(~_holds_item(search_b)("text"))
     return kept

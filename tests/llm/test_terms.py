@@ -72,3 +72,41 @@ def test_drop_contaminated_keeps_no_copy_of_the_texts(spark, word, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 1)                 # one pass a block
     more = bench.union(spark.createDataFrame([(2, word(90, 7702))], bench.schema))
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, more).select(F.col("doc_id")).collect()) == [2, 2]
+
+
+def test_search_goes_over_the_stored_numbers(spark, word, monkeypatch):
+    """Words are numbered once; texts and their numbers give the same rows, and words of answers alone have numbers too."""
+    items = [decontaminate.Item(i, word(40, 7800 + i), "blue whale" if i else None) for i in range(3)]
+    vocab = {w: k for k, w in enumerate(sorted({w for x in items for w in x.words}))}
+    table = np.eye(len(vocab) + 1, len(vocab), dtype=np.float32)
+    vocab |= {"blue": len(vocab), "whale": len(vocab) + 1}
+    body = [" ".join(x.words) for x in items]
+    texts = [word(200, 7810) + " " + body[0], None, word(70, 7811) + " " + body[1] + " Blue, whale " + word(50, 7812), body[2] + " whale blue " + body[1]]
+    search = decontaminate.Search(items, vocab, table)
+    got = list(search.found(texts))
+    assert [(d, i, answer) for d, i, _, _, answer, _ in got] == [(0, 0, None), (2, 1, 1.0), (3, 1, 0.5), (3, 2, 0.5)]
+    assert got == list(search.found(Terms(vocab).ids(texts)))
+    written, plain = [], decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, what, path=None: written.append(df.columns) or plain(df, what, path))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(x.item_id, b, " ".join(x.answer) or None) for x, b in zip(items, body)], "item_id bigint, text string, answer string")
+    assert sorted((r.doc_id, r.item_id, r.answer) for r in decontaminate.contaminated(docs, bench).collect()) == [(d, i, a) for d, i, _, _, a, _ in got]
+    assert ["doc_id", "terms"] in written and all("text" not in c or "item_id" in c for c in written)
+
+
+def test_no_candidate_that_may_hold_its_item_is_left_out(word):
+    """Words in common are counted for many candidates at once: as ``Item.can_overlap`` of each word as often as both have it."""
+    rng = random.Random(9)
+    names = word(60, 7900).split()
+    items = [decontaminate.Item(i, " ".join(rng.choices(names, k=n)), None) for i, n in enumerate([3, 5, 9, 20, 33, 60])]
+    vocab = {w: k for k, w in enumerate(sorted({w for x in items for w in x.words}))}
+    search = decontaminate.Search(items, vocab, np.eye(len(vocab) + 1, len(vocab), dtype=np.float32))
+    texts = [" ".join(rng.choices([*names, "zz"], k=n)) for n in (1, 8, 40, 300)] + [None, ""]
+    at = [(d, i, a) for d, t in enumerate(texts) for i in range(6) for a in range(0, len(decontaminate.words_of(t)), 4)]
+    want = []
+    for k, (d, i, a) in enumerate(at):
+        n = len(items[i].words)
+        region = decontaminate.words_of(texts[d])[max(0, a - n):a + decontaminate.window_of(n) + n]
+        if items[i].can_overlap(sum(min(items[i].words.count(w), region.count(w)) for w in set(region))):
+            want.append(k)
+    assert search._may_overlap(texts, *np.array(at).T).tolist() == want and 0 < len(want) < len(at)
