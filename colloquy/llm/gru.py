@@ -52,81 +52,130 @@ def train_window(p: dict, x: np.ndarray, h0: np.ndarray, end: int, cls: np.ndarr
     """Loss gradients of one window (truncated backpropagation).  x, cls, word: (steps, streams); ``word``
     is -1 for targets outside the frequent classes.  Returns (gradients, loss per token, last state)."""
     steps, streams = x.shape
-    k = h0.shape[1]
-    table = p["emb"] @ p["w"] + p["b"]
-    states, caches, h = [], [], h0
+    k, kind = h0.shape[1], p["u"].dtype
+    sign = np.repeat(np.array([-1, 1], kind), [2 * k, k])              # the gates take exp(-x)
+    inputs, u = p["emb"].take(x.ravel(), axis=0), p["u"] * sign
+    xin = inputs @ (p["w"] * sign)
+    xin += p["b"] * sign
+    xin = xin.reshape(steps, streams, 3 * k)
+    alive = (x != end).astype(kind)[:, :, None]                        # a document starts from the zero state
+    prev, hs, nn = np.empty((3, steps, streams, k), kind)
+    hu, zr = np.empty((steps, streams, 3 * k), kind), np.empty((steps, streams, 2 * k), kind)
+    h = h0
     for t in range(steps):
-        h = h * (x[t] != end)[:, None]          # a document starts from the zero state
-        prev = h
-        h, cache = step(p, table[x[t]], h)
-        states.append(h)
-        caches.append((prev, cache))
-    hs = np.concatenate(states)
+        np.multiply(h, alive[t], out=prev[t])
+        np.matmul(prev[t], u, out=hu[t])
+        g = zr[t]
+        np.add(xin[t, :, :2 * k], hu[t, :, :2 * k], out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        n, h = nn[t], hs[t]
+        np.multiply(g[:, k:], hu[t, :, 2 * k:], out=n)
+        n += xin[t, :, 2 * k:]
+        np.tanh(n, out=n)
+        np.subtract(prev[t], n, out=h)
+        h *= g[:, :k]
+        h += n
+    last, hs = h, hs.reshape(-1, k)
     cf, wf = cls.ravel(), word.ravel()
     n = len(cf)
-    logp = log_softmax(hs @ p["c"] + p["cb"])
-    loss = -logp[np.arange(n), cf].sum()
-    d = np.exp(logp)
-    d[np.arange(n), cf] -= 1
-    d /= n
+    d, loss = _softmax_errors(hs @ p["c"] + p["cb"], cf, n)
     g = {"c": hs.T @ d, "cb": d.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
     dh = d @ p["c"].T
     frequent = np.flatnonzero(wf >= 0)
-    order = frequent[np.argsort(cf[frequent], kind="stable")]
-    for rows in np.split(order, np.flatnonzero(np.diff(cf[order])) + 1) if len(order) else []:
-        c = cf[rows[0]]
-        lp = log_softmax(hs[rows] @ p["o"][c].T + p["ob"][c])
-        loss -= lp[np.arange(len(rows)), wf[rows]].sum()
-        e = np.exp(lp)
-        e[np.arange(len(rows)), wf[rows]] -= 1
-        e /= n
-        g["o"][c] += e.T @ hs[rows]
-        g["ob"][c] += e.sum(0)
-        dh[rows] += e @ p["o"][c]
+    if len(frequent):
+        order = frequent[np.argsort(cf[frequent], kind="stable")]      # each class is a stretch
+        c, states = cf[order], hs[order]
+        starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        stretches = list(zip(c[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(c)]))
+        logits, back = p["ob"][c], np.empty_like(states)
+        product = np.empty_like(logits)
+        for i, a, b in stretches:
+            np.matmul(states[a:b], p["o"][i].T, out=product[a:b])
+        logits += product
+        e, more = _softmax_errors(logits, wf[order], n)
+        loss += more
+        for i, a, b in stretches:
+            np.matmul(e[a:b].T, states[a:b], out=g["o"][i])
+            np.matmul(e[a:b], p["o"][i], out=back[a:b])
+        g["ob"][c[starts]] = np.add.reduceat(e, starts, axis=0)
+        dh[order] += back
     dh = dh.reshape(steps, streams, k)
-    g["u"] = np.zeros_like(p["u"])
-    dtable = np.zeros_like(table)
-    carry = np.zeros_like(h0)
+    z, r = zr[..., :k], zr[..., k:]
+    left = 1 - z
+    dn = left * (1 - nn * nn)
+    factor = np.empty((steps, streams, 3, k), kind)                    # from a state's gradient to those of its projections
+    np.multiply((prev - nn) * z, left, out=factor[:, :, 0])
+    np.multiply(dn * hu[..., 2 * k:], r * (1 - r), out=factor[:, :, 1])
+    np.multiply(dn, r, out=factor[:, :, 2])
+    dhu, back = np.empty_like(factor), np.ascontiguousarray(p["u"].T)
+    carry, kept = np.zeros_like(h0), np.empty_like(h0)
     for t in range(steps - 1, -1, -1):
-        prev, (z, r, nn, hun) = caches[t]
-        dcur = dh[t] + carry
-        dn = dcur * (1 - z) * (1 - nn * nn)
-        dz = dcur * (prev - nn) * z * (1 - z)
-        dr = dn * hun * r * (1 - r)
-        dx = np.concatenate([dz, dr, dn], axis=1)
-        dhu = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(dtable, x[t], dx)
-        g["u"] += prev.T @ dhu
-        carry = (dcur * z + dhu @ p["u"].T) * (x[t] != end)[:, None]
-    g["emb"], g["w"], g["b"] = dtable @ p["w"].T, p["emb"].T @ dtable, dtable.sum(0)
-    return g, loss / n, h
+        dh[t] += carry
+        np.multiply(dh[t, :, None], factor[t], out=dhu[t])
+        np.matmul(dhu[t].reshape(streams, 3 * k), back, out=carry)
+        np.multiply(dh[t], z[t], out=kept)
+        carry += kept
+        carry *= alive[t]
+    g["u"] = prev.reshape(-1, k).T @ dhu.reshape(-1, 3 * k)
+    dhu[:, :, 2] = dh * dn                                             # now the inputs' gradients
+    dx = dhu.reshape(-1, 3 * k)
+    g["w"], g["b"] = inputs.T @ dx, dx.sum(0)
+    size = p["emb"].shape[1]
+    g["emb"] = np.zeros_like(p["emb"])
+    np.add.at(g["emb"].reshape(-1), (x.reshape(-1, 1) * size + np.arange(size)).ravel(), (dx @ p["w"].T).ravel())
+    return g, loss / n, last
+
+
+def _softmax_errors(x: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """(gradients of the mean loss over ``n`` by the logits ``x``, written over them; summed loss)."""
+    rows = np.arange(len(x))
+    if x.max(initial=0) > 60 or x.min(initial=0) < -60:                # else no exponential is out of range
+        x -= x.max(axis=1, keepdims=True)
+    at = x[rows, target]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x *= (1 / (total * n))[:, None]
+    x[rows, target] -= 1 / n
+    return x, float((np.log(total) - at).sum())
 
 
 def train(p: dict, tokens: np.ndarray, classes: np.ndarray, words: np.ndarray, end: int, streams: int, window: int, rate: float, epochs: int = 1) -> dict:
     """Adam over parallel streams of the token sequence, state carried from window to window.
 
     ``tokens`` are input symbols of documents, each closed by ``end``; classes and words are its targets."""
-    p = {k: v.copy() for k, v in p.items()}
     streams = max(1, min(streams, len(tokens) // (2 * window)))
     per = len(tokens) // streams
     if per < 2:
-        return p
+        return {k: v.copy() for k, v in p.items()}
     x = np.concatenate([[end], tokens[:-1]])[:per * streams].reshape(streams, per).T
     c, w = classes[:per * streams].reshape(streams, per).T, words[:per * streams].reshape(streams, per).T
-    m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    flat = np.concatenate([v.ravel() for v in p.values()])             # all weights side by side: a step is one pass over them
+    ends = np.cumsum([v.size for v in p.values()])
+    p = {k: part.reshape(v.shape) for (k, v), part in zip(p.items(), np.split(flat, ends[:-1]))}
+    v, m, s, a, b = np.zeros((5, len(flat)), flat.dtype)
     i = 0
     for _ in range(epochs):
         h = np.zeros((streams, p["u"].shape[0]), np.float32)
-        for a in range(0, per, window):
-            g, _, h = train_window(p, x[a:a + window], h, end, c[a:a + window], w[a:a + window])
+        for at in range(0, per, window):
+            g, _, h = train_window(p, x[at:at + window], h, end, c[at:at + window], w[at:at + window])
             i += 1
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            clip = min(1.0, 1.0 / max(norm, 1e-12))
-            for k, v in g.items():
-                v = v * clip
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                p[k] -= (rate * (m[k] / (1 - 0.9 ** i)) / (np.sqrt(s[k] / (1 - 0.99 ** i)) + 1e-6)).astype(np.float32)
+            np.concatenate([g[k].ravel() for k in p], out=v)
+            v *= min(1.0, 1.0 / max(float(np.sqrt(v @ v)), 1e-12))
+            np.subtract(v, m, out=a)
+            a *= 0.1
+            m += a
+            np.multiply(v, v, out=a)
+            a -= s
+            a *= 0.01
+            s += a
+            np.divide(s, 1 - 0.99 ** i, out=a)
+            np.sqrt(a, out=a)
+            a += 1e-6
+            np.multiply(m, rate / (1 - 0.9 ** i), out=b)
+            b /= a
+            flat -= b
     return p
 
 
